@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 K = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MIN_COVERAGE = 0.7
+MIN_COVERAGE = 0.8
 MAX_STRETCH = 1.5
 DIAGONAL_GAP = 4
 

@@ -19,12 +19,26 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.quality import score_quality, train_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlode.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlode.llm.licenses import scan_licenses
 
@@ -40,7 +54,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op6_toxicity": op6_toxicity,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
