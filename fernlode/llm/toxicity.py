@@ -30,7 +30,7 @@ from fernlode.llm.training import SAMPLE_ROWS, fit_logistic, held_out, labelled_
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 PRIOR = 10.0
-MIN_DOCS, MIN_WEIGHT, MAX_ENTRIES, MAX_EXCEPTIONS = 3, 1.2, 4000, 1000
+MIN_DOCS, MIN_WEIGHT, MAX_ENTRIES, MAX_EXCEPTIONS = 3, 1.5, 4000, 1000
 CALIBRATION_FOLD = 4
 #: Harmless phrases around words that are often insults.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "pond scum")
@@ -109,7 +109,8 @@ def hits(machine, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
 
 def _row_features(machine, text: str | None) -> list[float]:
     found, length = hits(machine, text)
-    total = sum(w for _, _, w in found)
+    times = Counter((end - start, w) for start, end, w in found)
+    total = sum(w * (1 + math.log(n)) for (_, w), n in times.items())  # a word said over and over is one sign, not many
     places = len({start for start, _, _ in found})
     return [math.log1p(total), math.log1p(1000 * total / (length + 200)), max((w for _, _, w in found), default=0.0), math.log1p(places)]
 
