@@ -39,6 +39,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=2, similarity=80)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlode.llm.licenses import scan_licenses
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_minhash": op7_minhash,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
