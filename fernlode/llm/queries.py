@@ -32,6 +32,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.suffix import repeat_report
+
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlode.llm.toxicity import score_toxicity, train_toxicity
 
@@ -62,6 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op5_suffix": op5_suffix,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
     "op9_licenses": op9_licenses,
