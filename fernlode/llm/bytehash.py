@@ -17,6 +17,8 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits.
+IS_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 STEP_BYTES = 2 << 20
 
 
@@ -56,12 +58,12 @@ def text_chunks(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
         row = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of several texts, A-Z lower-cased, and each text's first word; words are runs of bytes other than ASCII white space."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of several texts, A-Z lower-cased, and each text's first word; words are runs of bytes other than ``breaks`` (ASCII white space)."""
     n = len(data)
     if n == 0:
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    inside = ~IS_SPACE[data]
+    inside = ~breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)

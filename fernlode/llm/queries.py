@@ -32,6 +32,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlode.llm.suffix import repeat_report
 
@@ -51,6 +57,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, similarity=80)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.embeddings import embedding_duplicates
+
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlode.llm.licenses import scan_licenses
 
@@ -68,14 +80,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
     "op5_suffix": op5_suffix,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
+    "op8_embeddings": op8_embeddings,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        r AS (SELECT vec_id AS x, vec_id AS c FROM embeddings UNION SELECT p.y, r.c FROM r JOIN p ON p.x = r.x AND r.c < p.y),
+        n AS (SELECT x, count(*) AS k FROM p GROUP BY x),
+        m AS (SELECT x, min(c) AS c FROM r GROUP BY x)
+        SELECT e.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+        FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN m ON m.x = e.vec_id""",
     "op10_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
              d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
