@@ -38,6 +38,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.wrappers import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernlode.llm.suffix import repeat_report
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_html": op4_html,
     "op5_suffix": op5_suffix,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
