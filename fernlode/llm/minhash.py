@@ -56,7 +56,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
             if b - a >= k:
                 out.append(np.unique(grams[a : b - k + 1]))
             elif b > a:
-                short = (words[a:b] * factors[: b - a]).sum(dtype=_U) + factors[k] * _U(b - a)
+                short = np.append(words[a:b] * factors[: b - a], factors[k : k + 1] * _U(b - a)).sum(dtype=_U)
                 out.append(mix(np.array([short], _U)))
             else:
                 out.append(np.zeros(0, _U))
@@ -76,7 +76,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     for j in range(m):
         if len(element) == 0:
             break
-        draw = mix(element + _U(j + 1) * _U(0xD1342543DE82EF95))
+        draw = mix(element + _U((j + 1) * 0xD1342543DE82EF95 % 2**64))
         value = (_U(j) << _U(32)) | (draw >> _U(32))
         k = j + (((draw & _U(0xFFFFFFFF)) * _U(m - j)) >> _U(32)).astype(np.int64)
         if j == DENSE_FROM:  # few and small documents come this far: whole permutations for their elements
