@@ -48,7 +48,6 @@ FLUSH_SPANS = 100_000
 HOT_SPANS = 256
 BYTES_A_PARTITION = 24 << 20
 BUCKETS_A_PARTITION = 8
-BROADCAST_BYTES = 48 << 20
 
 ANCHOR = np.dtype([("h", "<u8"), ("k", "<u8"), ("doc", "<i8"), ("s", "<i4"), ("n", "u1"), ("o", "u1")])
 SPAN = np.dtype([("h", "<u8"), ("s", "<i4"), ("n", "u1"), ("o", "u1"), ("hot", "u1")])
@@ -361,11 +360,9 @@ def _meet_spans(rows: DataFrame, min_match: int, gram: int) -> DataFrame:
 
 
 def _by_document(rows: DataFrame, kind: int, label: str, name: str) -> DataFrame:
-    """One row per document with its blobs, a written table; hinted for broadcast if its bytes are within the bound."""
+    """One row per document with its blobs, a written table."""
     own = rows.filter(F.col("kind") == kind).groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("data").alias(name))
-    table = materialize(own, label)
-    size = table.agg(F.sum(40 + F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + 24 + F.octet_length(x)))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+    return materialize(own, label)
 
 
 def repeated_ranges(docs: DataFrame, min_match: int = MIN_MATCH, gram: int = GRAM) -> DataFrame:
