@@ -437,5 +437,6 @@ def remove_repeats(docs: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = docs.withColumn("_id", F.col("doc_id").cast("long")).join(ranges.withColumnRenamed("ranges", "_ranges"), F.col("_id") == F.col("_doc"), "left")
-    return joined.select(*(docs[c] for c in names), "_ranges").mapInArrow(run, schema)
+    own = ranges.select(F.col("_doc").alias("__fernlode_doc"), F.col("ranges").alias("__fernlode_ranges"))
+    joined = docs.join(own, docs.doc_id.cast("long") == own["__fernlode_doc"], "left")
+    return joined.select(*(docs[c] for c in names), "__fernlode_ranges").mapInArrow(run, schema)
