@@ -7,10 +7,10 @@ document stops as soon as every slot holds a value of the current step or an ear
 Here all documents of a batch take the same step at once.
 
 Documents with equal shingle sets are one class.  Classes that share a band are compared with the
-smallest of the band; classes of a small band that are still in different components after that are
-compared with each other, and larger bands of unlike classes are split by a further band each and
-treated alike, so a band of many copies costs one comparison per copy and a passage that many
-unlike texts share does not cost all their pairs.  Every link is confirmed on full sets.  With ``bands`` x ``rows`` = 48 x 6 a pair at the threshold of 0.8 shares no band with
+smallest of the band.  Pairs of a band that are in different components after that are compared
+with each other unless the counts from the first comparison rule them out (see ``_across``), so no link
+that the bands find is lost, while a band of many copies costs one comparison a copy and not one a
+pair.  Every link is confirmed on full sets.  With ``bands`` x ``rows`` = 48 x 6 a pair at the threshold of 0.8 shares no band with
 probability 5e-7.
 
 Cases: null and empty texts have size 0, their own component, and are kept; rows that share a
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlode.llm.bytehash import mix, text_chunks, word_hashes
@@ -37,8 +37,6 @@ BANDS, ROWS = 48, 6
 DENSE_FROM = 6
 EMPTY = _U(2**64 - 1)
 BROADCAST_IDS = 400_000
-#: Bands up to this size are compared whole; larger ones are split by further bands, up to DEPTHS bands in all.
-SMALL_BAND, DEPTHS = 12, 4
 CHUNK_BYTES = 192 << 10
 
 
@@ -144,22 +142,29 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(run, "id long, grams binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (src, dst) whose full sets have 100 * intersection >= similarity * union."""
+def _measured(pairs: DataFrame, sets: DataFrame, own_part: bool = False) -> DataFrame:
+    """(src, dst, src_n, dst_n, common) on full sets; with ``own_part`` also what src has and dst has not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            rows, own = [], []
             for a, b in zip(batch.column(2), batch.column(3)):
                 a, b = (np.frombuffer(x.as_buffer(), _U) for x in (a, b))
-                both = np.sort(np.concatenate([a, b]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= similarity * (len(a) + len(b) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                shared = b[at] == a
+                rows.append((len(a), len(b), int(shared.sum())))
+                own.append(a[~shared].view(np.int64) if own_part else [])
+            counts = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *counts, pa.array(own, pa.list_(pa.int64()))], names=["src", "dst", "src_n", "dst_n", "common", "own"])
 
     own = sets.select(F.col("id").alias("src"), F.col("grams").alias("a"))
     other = sets.select(F.col("id").alias("dst"), F.col("grams").alias("b"))
-    return pairs.select("src", "dst").join(own, "src").select("src", "dst", "a").join(other, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    joined = pairs.select("src", "dst").join(own, "src").select("src", "dst", "a").join(other, "dst").select("src", "dst", "a", "b")
+    return joined.mapInArrow(run, "src long, dst long, src_n long, dst_n long, common long, own array<long>")
+
+
+def _links(measured: DataFrame, similarity: int) -> DataFrame:
+    return measured.filter(100 * F.col("common") >= similarity * (F.col("src_n") + F.col("dst_n") - F.col("common"))).select("src", "dst")
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -180,25 +185,17 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     classes = broadcast_if_small(classes, BROADCAST_IDS)
     known = usable.join(classes, of_set, "left")
     reps = known.filter("rep IS NULL OR rep = doc_id").select("doc_id", "n_shingles", "bands")
-    banded = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("place", "band"))
+    banded = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     members = _shared(banded)
     sets = materialize(_sets_of(docs, materialize(members.groupBy("id").agg(F.count("*").alias("_n")).select("id"), "member_ids"), k), "sets")
-    tested, links, components = None, None, None
-    for depth in range(DEPTHS):
-        # First everybody against the smallest of the band, then across the components that are left.
-        for pairs in (_stars, _across):
-            new = pairs(members, components, similarity, depth == DEPTHS - 1)
-            new = materialize(new if tested is None else new.join(tested, ["src", "dst"], "left_anti"), "pairs")
-            tested = new if tested is None else tested.unionByName(new)
-            found = materialize(_confirmed(new, sets, similarity), "links")
-            if components is None or not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                components = connected_components(links)
-        large = _mixed(members, components).filter(F.col("in_band") > SMALL_BAND)
-        large = materialize(large.select("band", "id", "n", "place"), "large_bands")
-        if large.isEmpty():
-            break
-        members = _shared(_finer(large, reps))
+    stars = _distinct(members.filter(F.col("id") != F.col("pivot")).select(F.col("id").alias("src"), F.col("pivot").alias("dst")))
+    measured = materialize(_measured(stars, sets).drop("own"), "stars")
+    links = _links(measured, similarity)
+    components = connected_components(links)
+    across = materialize(_across(members, measured, components, sets, similarity), "across")
+    more = materialize(_links(_measured(across, sets), similarity), "links")
+    if not more.isEmpty():
+        components = connected_components(links.unionByName(more))
     components = broadcast_if_small(components, BROADCAST_IDS)
     rows_out = signed.drop("bands").join(classes, of_set, "left").withColumn("node", F.coalesce("rep", "doc_id"))
     joined = rows_out.join(components, "node", "left")
@@ -213,38 +210,41 @@ def _shared(banded: DataFrame) -> DataFrame:
     return materialize(banded.join(broadcast_if_small(shared, BROADCAST_IDS), "band"), "members")
 
 
-def _stars(members: DataFrame, components: DataFrame | None, similarity: int, last: bool) -> DataFrame:
-    pairs = members.filter((F.col("id") != F.col("pivot")) & _close("n", "pivot_n", similarity))
-    return _distinct(pairs.select(F.col("id").alias("src"), F.col("pivot").alias("dst")))
+def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs of a band in different components that can still reach the similarity; no such pair is left out.
 
-
-def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of bands whose classes are in several components, as a written table."""
+    With the band's smallest class A and the counts known from the stars, S and X share at most
+    min(|S and A|, |X and A|) elements inside A.  So a pair qualifies by that bound alone, or it must share
+    elements outside A, and then one of the first |S| / 5 + 1 of those in order of rarity (prefix filtering).
+    """
     own = broadcast_if_small(components.select(F.col("node").alias("id"), "component"), BROADCAST_IDS)
-    rows = members.select("band", "id", "n", "place", "in_band").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = members.select("band", "id", "n", "pivot").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    return rows.join(broadcast_if_small(materialize(mixed, "mixed"), BROADCAST_IDS), "band")
-
-
-def _across(members: DataFrame, components: DataFrame, similarity: int, last: bool) -> DataFrame:
-    """All pairs of different components in small bands (in every band that is left, the last time)."""
-    rows = _mixed(members, components)
-    rows = materialize(rows if last else rows.filter(F.col("in_band") <= SMALL_BAND), "mixed_members")
-    a = rows.select("band", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    b = rows.select("band", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    met = a.join(b, "band").filter((F.col("a") > F.col("b")) & (F.col("ac") != F.col("bc")) & _close("an", "bn", similarity))
-    return _distinct(met.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-
-def _finer(large: DataFrame, reps: DataFrame) -> DataFrame:
-    """Large bands of unlike classes (texts that share a passage and no more), split by a second band each.
-
-    A pair at the threshold shares 12 of 48 bands in the mean and fewer than two with probability 8e-6.
-    """
-    own = large.join(reps.select(F.col("doc_id").alias("id"), "bands"), "id")
-    size = F.size("bands")
-    second = F.transform(F.sequence(F.lit(1), F.floor(size / 2).cast("int")), lambda k: F.struct(((F.col("place") + k) % size).alias("place"), F.xxhash64("band", F.element_at("bands", ((F.col("place") + k) % size + 1).cast("int"))).alias("band")))
-    return own.select("id", "n", F.explode(second).alias("s")).select("id", "n", F.col("s.place").alias("place"), F.col("s.band").alias("band"))
+    rows = rows.filter(F.col("id") != F.col("pivot")).join(broadcast_if_small(materialize(mixed, "mixed"), BROADCAST_IDS), "band")
+    inside = measured.select(F.col("src").alias("id"), F.col("dst").alias("pivot"), F.col("common").alias("i"))
+    rows = materialize(rows.join(inside, ["id", "pivot"]), "mixed_members")
+
+    def side(frame: DataFrame, by: str, mark: str) -> DataFrame:
+        return frame.select(by, *(["pivot"] if by != "band" else []), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "n", "i", "component")))
+
+    def met(frame: DataFrame, on: list[str], extra) -> DataFrame:
+        pairs = side(frame, on[0], "a").join(side(frame, on[0], "b"), on)
+        pairs = pairs.filter((F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _close("n_a", "n_b", similarity) & extra)
+        return pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+
+    most = F.least("i_a", "i_b")
+    bounded = met(rows, ["band"], 100 * most >= similarity * (F.col("n_a") + F.col("n_b") - most))
+    # What each class has outside A, the rarest first.
+    alone = rows.groupBy("id", "pivot", "n", "i", "component").agg(F.count("*").alias("_n")).drop("_n")
+    outside = _measured(alone.select(F.col("id").alias("src"), F.col("pivot").alias("dst")), sets, own_part=True)
+    outside = materialize(outside.select(F.col("src").alias("id"), F.col("dst").alias("pivot"), F.explode("own").alias("element")), "outside")
+    rarity = outside.groupBy("pivot", "element").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id", "pivot").orderBy("df", "element")
+    ranked = outside.join(rarity, ["pivot", "element"]).withColumn("place", F.row_number().over(order)).filter("df > 1")
+    prefix = ranked.join(alone, ["id", "pivot"]).filter(100 * (F.col("place") - 1) <= (100 - similarity) * F.col("n"))
+    sharing = met(prefix.select("element", "pivot", "id", "n", "i", "component"), ["element", "pivot"], F.lit(True))
+    tested = measured.select("src", "dst")
+    return _distinct(bounded.unionByName(sharing)).join(tested, ["src", "dst"], "left_anti")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -31,14 +33,22 @@ def brute(rows, k, similarity):
 
 
 @pytest.mark.parametrize("k", [2, 5])
-@pytest.mark.parametrize("small", [12, 1])
-def test_against_brute_force(docs_of, corpus, k, small, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL_BAND", small)
+def test_against_brute_force(docs_of, corpus, k):
     got = near_duplicates(docs_of(corpus), k=k).collect()
     assert {tuple(r) for r in got if r.doc_id is not None} == brute(corpus, k, 80)
     assert len(got) == len(corpus) and [r.kept for r in got if r.doc_id is None] == [True]
 
 
+def test_chains_of_copies(docs_of):
+    """Each text is near its neighbours only, so stars around the smallest leave components to join."""
+    rng = random.Random(9)
+    words, rows = [f"w{rng.randrange(10**6)}" for _ in range(60)], []
+    for step in range(40):
+        words = words[2:] + [f"w{rng.randrange(10**6)}" for _ in range(2)]
+        rows += [(step * 7 % 40 * 10 + t, " ".join(words[: 60 - t])) for t in range(3)]
+    assert {tuple(r) for r in near_duplicates(docs_of(rows), k=2).collect()} == brute(rows, 2, 80)
+
+
 def test_without_broadcasts(docs_of, corpus, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     assert {tuple(r) for r in near_duplicates(docs_of(corpus), k=2).collect() if r.doc_id is not None} == brute(corpus, 2, 80)
