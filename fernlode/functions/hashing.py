@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT, RECORD = b"\x1f", b"\x1e"
 
@@ -47,7 +48,7 @@ def verdict_id(run_id: Column, diff_hash: Column, checkspec_hash: Column, closur
     return F.sha2(F.array_join(F.concat(F.array(run_id, F.coalesce(diff_hash, none), checkspec_hash, F.coalesce(closure, none)), check_hashes), "\n"), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_tag(text: pd.Series) -> pd.Series:
     """FNV-1a 64 over lines without trailing blanks, each closed by a newline, as 16 upper-case hex digits."""
     return text.map(lambda t: None if t is None else f"{fnv1a64(b''.join(line.rstrip(' \t').encode() + b'\n' for line in t.split('\n'))):016X}")
