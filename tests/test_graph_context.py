@@ -1,0 +1,90 @@
+import pytest
+from pyspark.sql import functions as F
+
+from fernlode.operators import context, graph
+
+SYM = "path string, language string, kind string, name string, line long, column long, start_line long, end_line long, signature string"
+REF = "path string, language string, kind string, name string, line long, column long, import_path string"
+
+
+@pytest.fixture(scope="module")
+def code(spark):
+    symbols = spark.createDataFrame([("lib.rs", "rust", "function", "target", 1, 1, 1, 3, "fn target"), ("main.rs", "rust", "function", "caller", 1, 1, 1, 6, "fn caller"), ("main.rs", "rust", "function", "outer", 8, 1, 8, 12, "fn outer"), ("lib.rs", "rust", "struct", "Kind", 5, 1, 5, 5, "struct Kind")], SYM)
+    refs = spark.createDataFrame([("main.rs", "rust", "call", "target", 2, 5, None), ("main.rs", "rust", "call", "target", 3, 5, None), ("main.rs", "rust", "call", "caller", 9, 5, None), ("main.rs", "rust", "type", "Kind", 4, 2, None), ("main.rs", "rust", "import", "target", 1, 1, "lib::target"), ("main.rs", "rust", "call", "let", 2, 1, None)], REF)
+    return symbols, refs
+
+
+def test_pagerank_of_two_nodes(spark):
+    edges = spark.createDataFrame([("consumer", "lib", 2.0)], "src string, dst string, weight double")
+    files = spark.createDataFrame([("consumer",), ("lib",)], "path string")
+    assert [(r.path, r.score) for r in graph.repo_map(edges, files).collect()] == [("lib", "0.64912281"), ("consumer", "0.35087719")]
+
+
+def test_edges_and_imports(code):
+    symbols, refs = code
+    files = symbols.select("path").distinct()
+    imports = graph.resolve_imports(refs, files)
+    assert [tuple(r) for r in imports.collect()] == [("main.rs", "lib.rs")]
+    assert [tuple(r) for r in graph.reference_edges(refs, symbols, imports).collect()] == [("main.rs", "lib.rs", 12.0)]
+    assert graph.import_candidates("javascript", "./a", "x/y.js")[:2] == ["x/a", "x/a.js"] and graph.import_candidates("python", "a.b", "x/y.py")[:2] == ["a/b.py", "a/b/__init__.py"]
+
+
+def test_navigation(spark, code):
+    symbols, refs = code
+    assert {(r.symbol, r.ref_name, r.ref_line) for r in graph.enclosing_symbols(refs, symbols).collect()} >= {("caller", "target", 2), ("outer", "caller", 9)}
+    assert {(r.symbol, r.depth) for r in graph.impact(refs, symbols, "target", 2).collect()} == {("caller", 1), ("outer", 2)}
+    assert [r.name for r in graph.trace_path(refs, symbols, "outer", "target").orderBy("step").collect()] == ["outer", "caller", "target"]
+    assert graph.trace_path(refs, symbols, "target", "outer").count() == 0
+    assert {r.name for r in graph.outgoing_calls(refs, symbols, "caller").collect()} == {"target", "Kind"}
+    assert {r.confidence for r in graph.find_references(refs, symbols, "target").collect()} == {"high"}
+    corpus = spark.createDataFrame([("r", "lib.rs", "fn target\n  x\n}\n\nstruct Kind;")], "root_id string, rel_path string, text string")
+    assert graph.read_symbol(symbols, corpus, "target").first().body == "fn target\n  x\n}"
+    selected = spark.createDataFrame([("main.rs",)], "path string")
+    assert [tuple(r) for r in graph.type_expansion(refs, symbols, selected, ["struct"]).collect()] == [("lib.rs", "Kind")]
+    changed = spark.createDataFrame([("main.rs", 4), ("main.rs", 7)], "path string, line long")
+    assert [(r.name, r.changed_lines) for r in graph.overlapping_symbols(symbols, changed).collect()] == [("caller", 1)]
+
+
+def test_common_names_are_pruned(spark):
+    symbols = spark.createDataFrame([(f"f{k}.rs", "rust", "function", n, 1, 1, 1, 1, "") for k in range(8) for n in ("common", f"own{k}")], SYM)
+    assert graph.defining_files(symbols).count() == 8
+
+
+def test_clusters_and_ranges(spark):
+    hits = spark.createDataFrame([("f", n) for n in (10, 11, 13, 40)], "path string, line long")
+    assert [(r.start_line, r.end_line) for r in context.cluster_lines(hits, ["path"]).orderBy("island").collect()] == [(8, 15), (38, 42)]
+    ranges = spark.createDataFrame([("f", 1, 3, None), ("f", 4, 6, None), ("f", 5, 9, "x"), ("f", 20, 21, "x")], "path string, start_line long, end_line long, label string")
+    assert sorted((r.start_line, r.end_line) for r in context.merge_ranges(ranges, ["path"]).collect()) == [(1, 6), (5, 9), (20, 21)]
+
+
+def test_secrets(spark):
+    text = "\n".join(["OPENAI_API_KEY=sk-proj-" + "a1" * 16, "AWS_ACCESS_KEY_ID=AKIA" + "ABCD1234" * 2, "-----BEGIN RSA PRIVATE KEY-----", "password: short", "db-password = 'abcdefgh12345678'", "ghp_" + "x" * 20, "xoxb-" + "1" * 12, "no secret = here at all 123456789"])
+    rows = spark.createDataFrame([("r", "f", text)], "root_id string, rel_path string, text string")
+    got = {(r.line, r.kind) for r in context.scan_secrets(rows).collect()}
+    assert got == {(1, "openai_key"), (1, "generic_secret"), (2, "aws_access_key"), (3, "private_key"), (5, "generic_secret"), (6, "github_token"), (7, "slack_token")} or got - {(1, "generic_secret")} == {(1, "openai_key"), (2, "aws_access_key"), (3, "private_key"), (5, "generic_secret"), (6, "github_token"), (7, "slack_token")}
+
+
+def test_fusion_scout_and_allocation(spark):
+    hits = spark.createDataFrame([("a", 10), ("a", 5), ("b", 1)], "path string, score long")
+    none = hits.filter("false")
+    ranks = spark.createDataFrame([("b", 0.5), ("c", 0.25)], "path string, rank double")
+    fused = context.fuse(hits, none, ranks, "a zz")
+    got = {r.path: round(r.fused, 4) for r in fused.collect()}
+    assert got == {"a": 0.65, "b": round(0.55 * 2000001 / 4000015 + 0.35, 4), "c": 0.175}
+    lines = spark.createDataFrame([("a", 3)], "path string, line long")
+    first = context.scout(fused, lines, 2).filter("path = 'a'").first()
+    assert [(r.start_line, r.end_line) for r in first.ranges] == [(1, 5)]
+    included, excluded = context.allocate([{"path": "a", "full": 60, "codemap": 10}, {"path": "b", "full": 50, "codemap": 45}, {"path": "c", "full": 30}, {"path": "d", "full": 90, "codemap": None, "slices": 5, "hits": True}], 100)
+    assert [(i["path"], i["mode"]) for i in included] == [("a", "full"), ("c", "full"), ("d", "slices")] and excluded == [{"path": "b", "reason": "budget"}]
+
+
+def test_selection(spark):
+    now = spark.createDataFrame([("r", "a", "full", 1), ("r", "b", "full", 2)], "root_id string, path string, mode string, seq long")
+    more = spark.createDataFrame([("r", "b", "slices", 3), ("r", "c", "full", 4)], now.schema)
+    pairs = lambda d: sorted((r.path, r.mode) for r in d.collect())
+    assert pairs(context.select_ops(now, more, "add")) == [("a", "full"), ("b", "slices"), ("c", "full")]
+    assert pairs(context.select_ops(now, more, "remove")) == [("a", "full")] and pairs(context.select_ops(now, more, "clear")) == []
+    assert pairs(context.select_ops(now, more, "demote")) == [("a", "full"), ("b", "codemap_only")]
+    tools = spark.createDataFrame([("file_search", "find text in files", "pattern", "regex"), ("git", "history", "op", "x")], "name string, description string, params string, param_descriptions string")
+    assert [r.name for r in context.tool_search(tools, "search zzz").collect()] == ["file_search"]
+    assert {r.name: r.description for r in context.first_wins([tools.limit(1), tools], "name").collect()}.keys() == {"file_search", "git"}
