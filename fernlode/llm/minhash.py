@@ -213,9 +213,10 @@ def _shared(banded: DataFrame) -> DataFrame:
 def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs of a band in different components that can still reach the similarity; no such pair is left out.
 
-    With the band's smallest class A and the counts known from the stars, S and X share at most
-    min(|S and A|, |X and A|) elements inside A.  So a pair qualifies by that bound alone, or it must share
-    elements outside A, and then one of the first |S| / 5 + 1 of those in order of rarity (prefix filtering).
+    Let M be the band's smallest class together with the elements that most of its band have beside it. S and
+    X share at most min(|S and M|, |X and M|) elements inside M, and these counts are known. So a pair qualifies
+    by that bound alone, or it must share elements outside M, and then one of its first ones in order of
+    rarity (prefix filtering: with m the least size that X can have, S has n - t (n + m) / (100 + t) + 1 of them to look at).
     """
     own = broadcast_if_small(components.select(F.col("node").alias("id"), "component"), BROADCAST_IDS)
     rows = members.select("band", "id", "n", "pivot").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -232,16 +233,23 @@ def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets
         pairs = pairs.filter((F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _close("n_a", "n_b", similarity) & extra)
         return pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
 
-    most = F.least("i_a", "i_b")
-    bounded = met(rows, ["band"], 100 * most >= similarity * (F.col("n_a") + F.col("n_b") - most))
-    # What each class has outside A, the rarest first.
     alone = rows.groupBy("id", "pivot", "n", "i", "component").agg(F.count("*").alias("_n")).drop("_n")
     outside = _measured(alone.select(F.col("id").alias("src"), F.col("pivot").alias("dst")), sets, own_part=True)
     outside = materialize(outside.select(F.col("src").alias("id"), F.col("dst").alias("pivot"), F.explode("own").alias("element")), "outside")
-    rarity = outside.groupBy("pivot", "element").agg(F.count("*").alias("df"))
+    groups = broadcast_if_small(materialize(alone.groupBy("pivot").agg(F.count("*").alias("members"), F.min("n").alias("least")), "groups"), BROADCAST_IDS)
+    rarity = materialize(outside.groupBy("pivot", "element").agg(F.count("*").alias("df")).filter("df > 1").join(groups, "pivot"), "rarity")
+    ranked = outside.join(rarity, ["pivot", "element"], "left").withColumn("usual", F.coalesce(2 * F.col("df") > F.col("members"), F.lit(False)))
+    ranked = materialize(ranked.select("id", "pivot", "element", F.coalesce("df", F.lit(1)).alias("df"), "usual"), "ranked")
+    usual = ranked.filter("usual").groupBy("id", "pivot").agg(F.count("*").alias("extra"))
+    counted = F.col("i") + F.coalesce("extra", F.lit(0))
+    alone = materialize(alone.join(usual, ["id", "pivot"], "left").withColumn("i", counted).drop("extra").join(groups, "pivot"), "alone")
+    rows = rows.drop("i").join(alone.select("id", "pivot", "i"), ["id", "pivot"])
+    most = F.least("i_a", "i_b")
+    bounded = met(rows, ["band"], 100 * most >= similarity * (F.col("n_a") + F.col("n_b") - most))
     order = Window.partitionBy("id", "pivot").orderBy("df", "element")
-    ranked = outside.join(rarity, ["pivot", "element"]).withColumn("place", F.row_number().over(order)).filter("df > 1")
-    prefix = ranked.join(alone, ["id", "pivot"]).filter(100 * (F.col("place") - 1) <= (100 - similarity) * F.col("n"))
+    placed = ranked.filter(~F.col("usual")).withColumn("place", F.row_number().over(order)).filter("df > 1")
+    smallest = F.greatest(F.col("least"), F.col("n") * similarity / 100)
+    prefix = placed.join(alone, ["id", "pivot"]).filter(F.col("place") <= F.col("n") - similarity * (F.col("n") + smallest) / (100 + similarity) + 1.001)
     sharing = met(prefix.select("element", "pivot", "id", "n", "i", "component"), ["element", "pivot"], F.lit(True))
     tested = measured.select("src", "dst")
     return _distinct(bounded.unionByName(sharing)).join(tested, ["src", "dst"], "left_anti")
