@@ -29,8 +29,8 @@ class IgnoreRules:
                 continue
             keep, line = line.startswith("!"), line.lstrip("!")
             only_dirs, line = line.endswith("/"), line.rstrip("/")
-            pattern = line.lstrip("/") if "/" in line else f"**/{line}"
-            self.rules.append((re.compile(glob_regex(pattern if "/" in pattern else "/" + pattern).replace("^/", "^")), keep, only_dirs))
+            rule = glob_regex(line) if "/" not in line else "^" + glob_regex("/" + line.lstrip("/"))[2:]
+            self.rules.append((re.compile(rule), keep, only_dirs))
 
     def verdict(self, rel: str, is_dir: bool) -> bool | None:
         """True ignored, False kept, None no rule."""
@@ -128,7 +128,7 @@ def host_files(spark: SparkSession, files: list[tuple[str, bytes]], root_id: str
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a path of any store as (abs_path, size, content), by Spark's own reader."""
+    """Files below a path of any store as (abs_path, size, content), by Spark's own reader; it passes over hidden and empty files, so left-join a catalog to it."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("abs_path"), F.col("length").alias("size"), "content")
 
 
