@@ -22,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches between Spark and Python to 8 MB, unless the session has a size of its own.
+
+    Whole texts and shingle sets fill the default of 64 MB, which a task holds several times over on both sides.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m"):
+        spark.conf.set(key, "8388608b")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -31,6 +41,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     The result has no lineage: a lost executor costs a reread of files, never a recomputation.
     """
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
