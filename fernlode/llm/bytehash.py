@@ -19,7 +19,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Everything in ASCII but letters and digits.
 IS_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i up to n."""
     size = max(_POWERS, default=0)
     if size < n:
-        size = max(n, STEP_BYTES + (1 << 18))
+        size = max(n, STEP_BYTES + (128 << 10))
         up, down = np.full(size + 1, BASE, _U), np.full(size + 1, BASE_INVERSE, _U)
         up[0] = down[0] = 1
         _POWERS.clear()

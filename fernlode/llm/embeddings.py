@@ -34,7 +34,7 @@ THRESHOLD = 0.98
 MISS = 1e-6
 #: Half-width of the bound in standard deviations.
 SIGMAS = 4.0
-BLOCK = 1024
+BLOCK = 256
 SEED = 5
 BROADCAST_IDS = 400_000
 

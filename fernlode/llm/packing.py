@@ -29,7 +29,7 @@ from fernlode.storage import materialize
 
 MAX_LEN = 2048
 SEPARATOR_ID = 0
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 500_000
 CACHED_CHUNK_CHARS = 64
 WORDS_A_CALL = 48
 DOCS_A_STEP = 512

@@ -42,8 +42,8 @@ from fernlode.storage import materialize
 _U = np.uint64
 MIN_MATCH = 100
 GRAM = 32
-STEP_BYTES = 512 << 10
-FLUSH_ANCHORS = 1_500_000
+STEP_BYTES = 384 << 10
+FLUSH_ANCHORS = 1_000_000
 FLUSH_SPANS = 100_000
 HOT_SPANS = 256
 BYTES_A_PARTITION = 24 << 20

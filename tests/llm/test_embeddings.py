@@ -39,7 +39,7 @@ def brute(rows):
     return {(i, links[i], find(i), find(i) == i) for i in label}
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [256, 3])
 def test_against_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", block)
     frame = spark.createDataFrame(data(), "vec_id long, embedding array<float>, label int").repartition(3)
