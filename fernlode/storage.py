@@ -28,7 +28,7 @@ def bound_batches(spark: SparkSession) -> None:
     Whole texts and shingle sets fill the default of 64 MB, which a task holds several times over on both sides.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m"):
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m"):
         spark.conf.set(key, "8388608b")
 
 
