@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.functions.hashing import chain, ledger_identity
@@ -48,8 +48,10 @@ def verify_ledger(records: DataFrame, log: str = "log_id") -> DataFrame:
 
     A record fails as seq_gap (seq is not its position), prev_mismatch or hash_mismatch, in this order.
     """
-    before = F.lag("record_hash", 1, "").over(Window.partitionBy(log).orderBy("position"))
-    rows = records.select(log, "position", "seq", "prev_hash", "record_hash", before.alias("_prev"), ledger_identity(F.col("seq"), F.col("kind_json")).alias("_id"))
+    own = records.select(log, "position", "seq", "prev_hash", "record_hash", ledger_identity(F.col("seq"), F.col("kind_json")).alias("_id"))
+    # The neighbour comes by an equality join on the place before, so that one long log is spread over all tasks.
+    before = records.select(log, (F.col("position") + 1).alias("position"), F.col("record_hash").alias("_prev"))
+    rows = own.join(before, [log, "position"], "left").withColumn("_prev", F.coalesce("_prev", F.lit("")))
     failure = F.when(F.col("seq") != F.col("position"), "seq_gap").when(F.col("prev_hash") != F.col("_prev"), "prev_mismatch").when(chain(F.col("_prev"), F.col("_id")) != F.col("record_hash"), "hash_mismatch")
     marked = rows.select(log, "position", "record_hash", failure.alias("failure"))
     # Sealed up to the first failure: only records before it have proven neighbours.

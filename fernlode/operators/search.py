@@ -39,13 +39,13 @@ def entry_filter(entries: DataFrame, extensions: list[str] = (), include: list[s
 
 
 def scan_budget(entries: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
-    """Entries in snapshot order before the first that would pass either bound."""
-    order = Window.orderBy("rel_path", "root_id")  # one global order is the feature
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    narrow = entries.select(*KEY, "size")
-    over = (F.row_number().over(order) > max_files) | (F.sum("size").over(upto) > max_bytes)
-    kept = narrow.withColumn("_over", over.cast("int")).withColumn("_stop", F.max("_over").over(upto)).filter("_stop = 0").select(*KEY)
-    return entries.join(kept, KEY, "left_semi")
+    """Entries in snapshot order before the first that would pass either bound.
+
+    Only the first ``max_files`` of the order can be among them, so the running sum is over that many rows.
+    """
+    first = entries.orderBy("rel_path", "root_id").limit(max_files)
+    upto = Window.orderBy("rel_path", "root_id").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("_bytes", F.sum("size").over(upto)).filter(F.col("_bytes") <= max_bytes).drop("_bytes")
 
 
 def is_binary(content: Column) -> Column:
