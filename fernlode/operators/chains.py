@@ -74,6 +74,29 @@ def replay_verify(tape: DataFrame, recorded: DataFrame, roots: DataFrame, run: s
     return joined.select(run, ok.alias("verified"), F.when(~ok, F.coalesce("_at", "_first")).alias("diverged_at_seq"))
 
 
+#: The payload of each kind of event, in the order in which it is hashed.
+EVENT_FIELDS = {
+    "run_started": ("agent", "task", "cwd", "inputs"),
+    "turn_started": ("turn",),
+    "output": ("turn", "text"),
+    "usage_updated": ("turn", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cost_micro_usd"),
+    "turn_finished": ("turn", "ok"),
+    "run_finished": ("ok", "exit_code", "timed_out"),
+    "tool_started": ("turn", "tool", "title", "args_hash"),
+    "tool_finished": ("turn", "tool", "ok", "title", "output_hash"),
+}
+
+
+def hash_events(tape: DataFrame, nested: bool = True) -> DataFrame:
+    """event_hash of typed tape rows: SHA-256 of the compact JSON of seq and the kind's own fields, absent ones left out."""
+    json = F.lit(None).cast("string")
+    for kind, fields in EVENT_FIELDS.items():
+        body = [F.lit(kind).alias("kind"), *(F.col(f) for f in fields if f in tape.columns)]
+        parts = [F.col("seq").cast("long").alias("seq"), F.struct(*body).alias("kind")] if nested else [F.col("seq").cast("long").alias("seq"), *body]
+        json = F.when(F.col("kind") == kind, F.to_json(F.struct(*parts))).otherwise(json)
+    return tape.withColumn("event_hash", F.sha2(json, 256))
+
+
 def seal_labels(labels: DataFrame) -> DataFrame:
     """Outcome labels as a chain for each run; the time of observation and derived hashes are zeroed before hashing."""
     identity = F.to_json(F.struct(F.col("seq").cast("long").alias("seq"), F.struct("outcome").alias("outcome"), F.struct("source").alias("source"), F.lit(0).alias("observed_at_ms"), F.lit("").alias("label_hash"), F.lit("").alias("chained_hash")))
