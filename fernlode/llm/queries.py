@@ -97,6 +97,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_suffix": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             o AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 1000)) AS o FROM d),
+             c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2198) AS part, least(1000, length(h) // 2 - 99 - o) AS m FROM o),
+             p AS (SELECT doc_id, o, part, unnest(range(0, m)) AS t FROM c),
+             w AS (SELECT doc_id, o + t AS s, row_number() OVER (PARTITION BY substr(part, 2 * t + 1, 200) ORDER BY doc_id, o + t) AS k FROM p),
+             i AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM w WHERE k > 1),
+             j AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM i),
+             r AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM j GROUP BY doc_id, run),
+             q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM r),
+             t AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id)""",
+    "op7_minhash": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda k: ws[k] || ' ' || ws[k + 1]) ELSE ws END) AS g FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+             e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+             r AS (SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.x AND r.c < e.y),
+             m AS (SELECT x, min(c) AS c FROM r GROUP BY x)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id""",
     "op8_embeddings": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
