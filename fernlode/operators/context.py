@@ -15,6 +15,10 @@ SYMBOL_FIELDS = {"name": 80, "kind": 24, "signature": 16, "display_path": 4, "pa
 TOOL_FIELDS = {"name": 40, "description": 12, "params": 8, "param_descriptions": 4}
 # Key suffixes of secrets.
 SECRET_KEYS = ("api_key", "apikey", "secret", "secret_key", "access_token", "auth_token", "token", "password", "passwd")
+# What each kind of token starts with, and how many characters follow at least.
+SECRET_TOKENS = {"aws_access_key": ("(?:AKIA|ASIA)", 16), "github_token": ("(?:gh[pousr]_|github_pat_)", 20), "openai_key": ("sk-", 21), "slack_token": ("xox[bpars]-", 12)}
+# A line that breaks any rule has one of these.
+SECRET_LINE = "|".join(["[=:]", " PRIVATE KEY-----", *(start for start, _ in SECRET_TOKENS.values())])
 
 
 def secret_kinds(line: Column) -> Column:
@@ -29,10 +33,7 @@ def secret_kinds(line: Column) -> Column:
     generic = ends & (F.octet_length(value) >= 16) & ~value.contains(" ") & value.rlike("[A-Za-z]") & value.rlike("[0-9]")
     rules = {
         "private_key": line.contains("-----BEGIN ") & line.contains(" PRIVATE KEY-----"),
-        "aws_access_key": line.rlike(f"(?:AKIA|ASIA){tail}{{16,}}"),
-        "github_token": line.rlike(f"(?:gh[pousr]_|github_pat_){tail}{{20,}}"),
-        "openai_key": line.rlike(f"sk-{tail}{{21,}}"),
-        "slack_token": line.rlike(f"xox[bpars]-{tail}{{12,}}"),
+        **{name: line.rlike(f"{start}{tail}{{{n},}}") for name, (start, n) in SECRET_TOKENS.items()},
         "generic_secret": F.coalesce(generic, F.lit(False)),
     }
     return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
@@ -40,7 +41,7 @@ def secret_kinds(line: Column) -> Column:
 
 def scan_secrets(corpus: DataFrame) -> DataFrame:
     """(root_id, rel_path, line, kind): one row for each rule and line."""
-    rows = corpus.select("root_id", "rel_path", F.posexplode(lines(F.col("text"))).alias("_k", "_line")).filter(F.col("_line").rlike("[=:]|PRIVATE KEY|AKIA|ASIA|gh|sk-|xox"))
+    rows = corpus.select("root_id", "rel_path", F.posexplode(lines(F.col("text"))).alias("_k", "_line")).filter(F.col("_line").rlike(SECRET_LINE))
     return rows.select("root_id", "rel_path", (F.col("_k") + 1).cast("long").alias("line"), F.explode(secret_kinds(F.col("_line"))).alias("kind"))
 
 
