@@ -8,7 +8,7 @@ each host it meets, and the wrappers of a host are aligned with each other in tu
 third of all pages costs a row a task.
 
 The wrapper tells in which element the host keeps its varying text and which texts it repeats on
-every page.  Extraction takes that element and leaves out what is marked as a menu, footer, sidebar,
+every page, if it has at least ``CONSTANT_PAGES`` pages with different texts.  Extraction takes that element and leaves out what is marked as a menu, footer, sidebar,
 notice, advert, form or reader comments inside it; where a host has no such element, the body is
 taken without the repeated texts.
 
@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ from fernlode.storage import broadcast_if_small, materialize
 
 BROADCAST_HOSTS = 100_000
 CONSTANT_PAGES = 3
+LONG_TEXT = 200
 MAX_PERIOD = 12
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,7 +164,16 @@ def parse(html: str | None) -> tuple[list[tuple[str, dict[str, tuple[int, int]],
     return blocks, stream
 
 
-# A wrapper is a list of nodes [key, optional, repeated, text]: text is a slot's constant text, or None once it varies.
+def _digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def text_key(text: str) -> str:
+    """The text, or the length and a 128-bit hash of a long one."""
+    return text if len(text) <= LONG_TEXT else f"\x00{len(text)} {_digest(text)}"
+
+
+# A wrapper is a list of nodes [key, optional, repeated, text]: text is the key of a slot's constant text, or None once it varies.
 def fold_repeats(nodes: list[list]) -> list[list]:
     """Immediate repeats of up to MAX_PERIOD nodes become one repeated group, shortest periods first."""
     for period in range(1, MAX_PERIOD + 1):
@@ -189,9 +200,15 @@ def fold_repeats(nodes: list[list]) -> list[list]:
 
 
 def page_wrapper(html: str | None) -> list[list]:
+    return _wrapper_and_texts(html)[0]
+
+
+def _wrapper_and_texts(html: str | None) -> tuple[list[list], str]:
+    """The wrapper of one page, and a hash of the texts outside dropped elements, which is equal for copies."""
     blocks, stream = parse(html)
     texts = iter(blocks)
-    return fold_repeats([[t, False, False, next(texts)[0][:200] if t == "#" else None] for t in stream])
+    wrapper = fold_repeats([[t, False, False, text_key(next(texts)[0]) if t == "#" else None] for t in stream])
+    return wrapper, _digest("\n".join(text for text, _, dropped in blocks if dropped < 0))
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -205,8 +222,8 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def describe(wrapper: list[list], pages: int) -> dict:
-    """The element with the host's varying text, and the texts that every page repeats."""
+def describe(wrapper: list[list], distinct: int) -> dict:
+    """The element with the host's varying text, and the texts that every one of enough distinct pages repeats."""
     open_: list[str] = []
     slots: dict[str, int] = {"article": 0, "main": 0, "content": 0, "": 0}
     constants = []
@@ -216,7 +233,7 @@ def describe(wrapper: list[list], pages: int) -> dict:
                 slots[""] += 1
                 for kind in ("article", "main", "content"):
                     slots[kind] += any(e.split(".")[0] == kind or kind == "content" and e.partition(".")[2] in CONTENT for e in open_)
-            elif not optional and pages >= CONSTANT_PAGES:
+            elif not optional and distinct >= CONSTANT_PAGES:
                 constants.append(text)
         elif key.startswith("</"):
             for i in range(len(open_) - 1, -1, -1):
@@ -242,7 +259,7 @@ def extract(html: str | None, host: dict | None) -> str:
             best = max(sizes, key=lambda k: (sizes[k], -k))
             return "\n".join(text for text, open_, dropped in blocks if kind in open_ and open_[kind][0] == best and dropped < open_[kind][1])
     constants = set((host or {}).get("constants", ()))
-    return "\n".join(text for text, _, dropped in blocks if dropped < 0 and text[:200] not in constants)
+    return "\n".join(text for text, _, dropped in blocks if dropped < 0 and text_key(text) not in constants)
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -257,15 +274,20 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         found: dict[str, list] = {}
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = page_wrapper(html.as_py())
+                own, texts = _wrapper_and_texts(html.as_py())
                 known = found.get(host)
                 if known is None:
-                    found[host] = [own, 1]
+                    found[host] = [own, 1, {texts}]
                 else:
                     known[1] += 1
+                    if len(known[2]) < CONSTANT_PAGES:  # more need not be told apart
+                        known[2].add(texts)
                     if known[0] != own:
                         known[0] = align(known[0], own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64())], names=["host", "wrapper", "pages"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w, _, _ in found.values()], pa.string()), pa.array([n for _, n, _ in found.values()], pa.int64()), pa.array([sorted(t) for _, _, t in found.values()], pa.list_(pa.string()))],
+            names=["host", "wrapper", "pages", "texts"],
+        )
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist()))
@@ -275,9 +297,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             if other != wrapper:
                 wrapper = align(wrapper, other)
         pages = sum(n for _, n in rows)
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "pages": pa.array([pages], pa.int64()), "description": [json.dumps(describe(wrapper, pages))]})
+        distinct = len({t for texts in table.column("texts").to_pylist() for t in texts})
+        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "pages": pa.array([pages], pa.int64()), "description": [json.dumps(describe(wrapper, distinct))]})
 
-    partial = _with_host(pages).select("host", "html").mapInArrow(local, "host string, wrapper string, pages long")
+    partial = _with_host(pages).select("host", "html").mapInArrow(local, "host string, wrapper string, pages long, texts array<string>")
     return partial.groupBy("host").applyInArrow(merge, "host string, wrapper string, pages long, description string")
 
 

@@ -28,3 +28,17 @@ def test_pages(spark):
     assert [got[20 + k].text for k in range(4)] == [f"text {k}" for k in range(4)]
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert extract_pages(frame.limit(0)).count() == 0
+
+
+def test_boilerplate_is_a_whole_text_of_distinct_pages(spark):
+    opening = "the same opening words of every block " * 8
+    rows = [(k, f"http://long/{k}", f"<body><div>Brand</div><p>{opening}{k}</p><div>Bottom</div></body>") for k in range(4)]
+    rows += [(10 + k, f"http://copies/{k}", "<body><h1>Title</h1><p>lone paragraph</p></body>") for k in range(5)]
+    rows += [(20 + k, f"http://ads/{k}", f"<body><p>lone paragraph</p><div class='ad'>buy {k}</div></body>") for k in range(5)]
+    rows += [(30 + k, f"http://mixed/{k}", f"<body><div>Brand</div><p>text {k % 3}</p></body>") for k in range(6)]
+    frame = spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string")
+    for parts in (1, 4):
+        got = {r.page_id: r.text for r in extract_pages(frame.repartition(parts)).collect()}
+        assert [got[k] for k in range(4)] == [f"{opening}{k}" for k in range(4)]
+        assert {got[10 + k] for k in range(5)} == {"Title\nlone paragraph"} and {got[20 + k] for k in range(5)} == {"lone paragraph"}
+        assert [got[30 + k] for k in range(6)] == [f"text {k % 3}" for k in range(6)]
