@@ -8,8 +8,9 @@ each host it meets, and the wrappers of a host are aligned with each other in tu
 third of all pages costs a row a task.
 
 The wrapper tells in which element the host keeps its varying text and which texts it repeats on
-every page, if it has at least ``CONSTANT_PAGES`` pages with different texts.  Extraction takes that element and leaves out what is marked as a menu, footer, sidebar,
-notice, advert, form or reader comments inside it; where a host has no such element, the body is
+every page, if it has at least ``CONSTANT_PAGES`` pages with different texts.  Extraction takes all elements of that kind on the page, in page order, but those inside a
+menu, sidebar or the like, and leaves out what is marked as a menu, footer, sidebar,
+notice, advert, form or reader comments inside them; where a host has no such element, the body is
 taken without the repeated texts.
 
 Cases: a null html is empty, its text too; a page without host belongs to the host ""; unclosed and
@@ -74,12 +75,12 @@ def _marks(attributes: str) -> tuple[set[str], bool]:
     return words, hidden
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, dict[str, tuple[int, int]], int]], list[str]]:
-    """Blocks (text, open containers {kind: (number, depth)}, depth of the innermost dropped element) and the tag stream.
+def parse(html: str | None) -> tuple[list[tuple[str, dict[str, tuple[int, int, int]], int]], list[str]]:
+    """Blocks (text, open containers {kind: (number, depth, number of the innermost dropped element around it or 0)}, depth of the innermost dropped element) and the tag stream.
 
     In the stream '#' stands for the block whose number is its place among the '#'.
     """
-    blocks: list[tuple[str, dict[str, tuple[int, int]], int]] = []
+    blocks: list[tuple[str, dict[str, tuple[int, int, int]], int]] = []
     stream: list[str] = []
     stack: list[_Element] = []
     parts: list[str] = []
@@ -90,12 +91,12 @@ def parse(html: str | None) -> tuple[list[tuple[str, dict[str, tuple[int, int]],
             text = _SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
-                open_, dropped = {}, -1
+                open_, dropped, around = {}, -1, 0
                 for depth, e in enumerate(stack):
                     if e.kind and e.kind not in open_:
-                        open_[e.kind] = (e.number, depth)
+                        open_[e.kind] = (e.number, depth, around)
                     if e.dropped:
-                        dropped = depth
+                        dropped, around = depth, e.number
                 blocks.append((text, open_, dropped))
                 stream.append("#")
 
@@ -257,7 +258,9 @@ def extract(html: str | None, host: dict | None) -> str:
                 sizes[open_[kind][0]] = sizes.get(open_[kind][0], 0) + len(text)
         if sizes:
             best = max(sizes, key=lambda k: (sizes[k], -k))
-            return "\n".join(text for text, open_, dropped in blocks if kind in open_ and open_[kind][0] == best and dropped < open_[kind][1])
+            # What stands around the largest element is no boilerplate, whatever its name says.
+            clean = {0, *(open_[kind][2] for _, open_, _ in blocks if kind in open_ and open_[kind][0] == best)}
+            return "\n".join(text for text, open_, dropped in blocks if kind in open_ and open_[kind][2] in clean and dropped < open_[kind][1])
     constants = set((host or {}).get("constants", ()))
     return "\n".join(text for text, _, dropped in blocks if dropped < 0 and text_key(text) not in constants)
 

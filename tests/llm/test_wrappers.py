@@ -42,3 +42,11 @@ def test_boilerplate_is_a_whole_text_of_distinct_pages(spark):
         assert [got[k] for k in range(4)] == [f"{opening}{k}" for k in range(4)]
         assert {got[10 + k] for k in range(5)} == {"Title\nlone paragraph"} and {got[20 + k] for k in range(5)} == {"lone paragraph"}
         assert [got[30 + k] for k in range(6)] == [f"text {k % 3}" for k in range(6)]
+
+
+def test_all_elements_of_the_kind_are_kept():
+    assert extract("<div class=content><p>one</div><div class=ad>buy</div><div class=content><p>two, longer</div>", None) == "one\ntwo, longer"
+    assert extract("<main><article>a</article><article>b b<aside>x</aside></article></main><article class=comment>no no no</article><aside><article>t</article></aside>", None) == "a\nb b"
+    assert extract("<main>one</main><nav>n</nav><main>two</main>", {"kind": "main", "constants": []}) == "one\ntwo"
+    named = "<div class='page with-sidebar'><article>long main text</article><article>next</article></div><article>end</article><div class=related><article>rel</article></div>"
+    assert extract(named, None) == "long main text\nnext\nend"
