@@ -8,8 +8,8 @@ that it covers and by its length.  A base phrase is a template whose every k-gra
 one diagonal, which holds exactly where its words stand consecutively.
 
 Cases: a null text is an empty one, with no words, labels or places and score 0; texts shorter
-than a k-gram have no matches; rows that share a doc_id are scanned as one document's rows and
-reported once for each distinct word count; an empty table gives an empty result; other columns are ignored.
+than a k-gram have no matches; every row is scanned and reported by itself, also rows that share
+a doc_id or have none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def template_positions(spark: SparkSession, base: list[tuple[str, str]], templat
 
 
 def license_spans(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Verified spans: doc_id, n_words, template, label, is_base, start, end, coverage; one row with a null template for each document without."""
+    """Verified spans: row_id (of the input row, within this table), doc_id, n_words, template, label, is_base, start, end, coverage; one row with a null template for each document without."""
     spark = docs.sparkSession
     # One more element, which always matches, keeps each document and its word count in the same pass.
     keeper = F.xxhash64(F.lit("\x00document"))
@@ -74,12 +74,12 @@ def license_spans(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, t
         return F.struct(n.cast("long").alias("n_words"), F.concat(F.array(keeper), F.when(n >= K, grams).otherwise(F.array().cast("array<bigint>"))).alias("_g"))
 
     # Bound to a lambda variable and unnested, the words are split once for a document and not once for each use.
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.transform(F.array(words_column(F.col("text"))), scanned)))
-    rows = tokens.select("doc_id", "n_words", F.posexplode("_g").alias("_p", "gram"))
+    tokens = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.transform(F.array(words_column(F.col("text"))), scanned)))
+    rows = tokens.select("row_id", "doc_id", "n_words", F.posexplode("_g").alias("_p", "gram"))
     keep_row = spark.range(1).select(keeper.alias("gram"), F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("is_base"), F.lit(0).alias("t_pos"), F.lit(1).alias("t_grams"))
     hits = rows.join(F.broadcast(template_positions(spark, base, templates).unionByName(keep_row)), "gram")
     hits = hits.withColumn("pos", F.col("_p") - 1).withColumn("diagonal", F.col("pos") - F.col("t_pos"))
-    by = ["doc_id", "n_words", "template", "label", "is_base", "t_grams"]
+    by = ["row_id", "doc_id", "n_words", "template", "label", "is_base", "t_grams"]
     diagonals = hits.groupBy(*by, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     order = Window.partitionBy(*by).orderBy("diagonal")
     # Base phrases stay on one diagonal; others merge with the next diagonal if their places also meet.
@@ -92,15 +92,16 @@ def license_spans(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, t
     good = spans.filter(F.when(F.col("is_base"), whole).otherwise(close))
     start = F.when(F.col("is_base"), F.col("diagonal")).otherwise(F.col("lo"))
     document = F.col("template") < 0
-    return good.select("doc_id", "n_words", F.when(~document, F.col("template")).alias("template"), "label", "is_base", F.when(~document, start).cast("long").alias("start"), F.when(~document, F.col("hi") + K).cast("long").alias("end"), F.when(~document, coverage).alias("coverage"))
+    return good.select("row_id", "doc_id", "n_words", F.when(~document, F.col("template")).alias("template"), "label", "is_base", F.when(~document, start).cast("long").alias("start"), F.when(~document, F.col("hi") + K).cast("long").alias("end"), F.when(~document, coverage).alias("coverage"))
 
 
 def scan_licenses(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best coverage of a template)."""
+    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best coverage of a template)."""
     spans = license_spans(docs, base, templates)
     of_base = lambda c: F.when(F.col("is_base"), F.col(c))
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return spans.groupBy("doc_id", "n_words").agg(
+    found = spans.groupBy("row_id", "doc_id", "n_words").agg(
         F.count(of_base("start")).alias("n_base"), F.min(of_base("start")).alias("first_word"), F.max(of_base("start")).alias("last_word"),
         join(of_base("label")).alias("base_labels"), join(F.col("label")).alias("labels"), F.coalesce(F.max("coverage"), F.lit(0.0)).alias("score"),
     )
+    return found.drop("row_id")

@@ -35,3 +35,11 @@ def test_spans_merge_neighbouring_diagonals(docs_of):
 
 def test_empty(docs_of):
     assert scan_licenses(docs_of([])).count() == 0
+
+
+def test_every_row_is_scanned_by_itself(docs_of):
+    text = "Released under the MIT License. And under the mit license"
+    rows = [(1, text), (1, text), (1, "cc by nc and more"), (None, text), (None, text), (None, "all of it cc by nc, cc by nc"), (None, "plain words of the same length, ten in all"), (2, None), (2, None)]
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in scan_licenses(docs_of(rows)).collect()), key=str)
+    mit = (10, 2, 1, 6, "mit")
+    assert got == sorted([(1, *mit), (1, *mit), (1, 5, 1, 0, 0, "cc-by-nc"), (0, *mit), (0, *mit), (0, 9, 2, 3, 6, "cc-by-nc"), (0, 9, 0, None, None, ""), (2, 0, 0, None, None, ""), (2, 0, 0, None, None, "")], key=str)
