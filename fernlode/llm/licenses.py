@@ -3,8 +3,9 @@
 All rolling word k-gram hashes of a text are joined to the positions of the same k-grams in
 license templates.  Each match votes for a diagonal (position in the text minus position in
 the template); votes are summed by diagonal, neighbouring diagonals (inserted or missing
-words) are merged into spans, and a span is verified by the share of the template's k-grams
-that it covers and by its length.  A base phrase is a template whose every k-gram must vote on
+words) are merged into spans unless whole by themselves, and a span is verified by the share of the template's k-grams
+that it covers and by its length; of a span that is too long its best diagonal is taken, if it
+covers enough.  A base phrase is a template whose every k-gram must vote on
 one diagonal, which holds exactly where its words stand consecutively.
 
 Cases: a null text is an empty one, with no words, labels or places and score 0; texts shorter
@@ -82,14 +83,17 @@ def license_spans(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, t
     by = ["row_id", "doc_id", "n_words", "template", "label", "is_base", "t_grams"]
     diagonals = hits.groupBy(*by, "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     order = Window.partitionBy(*by).orderBy("diagonal")
-    # Base phrases stay on one diagonal; others merge with the next diagonal if their places also meet.
-    new = F.col("is_base") | F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DIAGONAL_GAP) | (F.col("lo") - F.lag("hi").over(order) > DIAGONAL_GAP + K), F.lit(True))
+    # Base phrases and whole templates stay on one diagonal; others merge with the next diagonal if their places also meet.
+    alone = F.col("votes") == F.col("t_grams")
+    new = F.col("is_base") | alone | F.coalesce(F.lag(alone).over(order) | (F.col("diagonal") - F.lag("diagonal").over(order) > DIAGONAL_GAP) | (F.col("lo") - F.lag("hi").over(order) > DIAGONAL_GAP + K), F.lit(True))
     runs = diagonals.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy(*by, "_run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"))
+    spans = runs.groupBy(*by, "_run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diagonal").alias("diagonal"), F.max(F.struct("votes", "lo", "hi")).alias("_best"))
+    # A run that is stretched too far is its best diagonal.
+    far = F.col("hi") - F.col("lo") + 1 > MAX_STRETCH * F.col("t_grams") + DIAGONAL_GAP
+    spans = spans.select(*by, "diagonal", *[F.when(far, F.col(f"_best.{c}")).otherwise(F.col(c)).alias(c) for c in ("votes", "lo", "hi")])
     coverage = F.least(F.col("votes") / F.col("t_grams"), F.lit(1.0))
     whole = F.col("votes") == F.col("t_grams")
-    close = (coverage >= MIN_COVERAGE) & (F.col("hi") - F.col("lo") + 1 <= MAX_STRETCH * F.col("t_grams") + DIAGONAL_GAP)
-    good = spans.filter(F.when(F.col("is_base"), whole).otherwise(close))
+    good = spans.filter(F.when(F.col("is_base"), whole).otherwise(coverage >= MIN_COVERAGE))
     start = F.when(F.col("is_base"), F.col("diagonal")).otherwise(F.col("lo"))
     document = F.col("template") < 0
     return good.select("row_id", "doc_id", "n_words", F.when(~document, F.col("template")).alias("template"), "label", "is_base", F.when(~document, start).cast("long").alias("start"), F.when(~document, F.col("hi") + K).cast("long").alias("end"), F.when(~document, coverage).alias("coverage"))

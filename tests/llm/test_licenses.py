@@ -43,3 +43,12 @@ def test_every_row_is_scanned_by_itself(docs_of):
     got = sorted(((r.doc_id or 0, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in scan_licenses(docs_of(rows)).collect()), key=str)
     mit = (10, 2, 1, 6, "mit")
     assert got == sorted([(1, *mit), (1, *mit), (1, 5, 1, 0, 0, "cc-by-nc"), (0, *mit), (0, *mit), (0, 9, 2, 3, 6, "cc-by-nc"), (0, 9, 0, None, None, ""), (2, 0, 0, None, None, ""), (2, 0, 0, None, None, "")], key=str)
+
+
+def test_repeats_side_by_side_are_kept(docs_of):
+    got = {r.doc_id: r for r in scan_licenses(docs_of([(k, "All rights reserved. " * k) for k in range(1, 9)])).collect()}
+    assert {(r.labels, r.score) for r in got.values()} == {("all-rights-reserved", 1.0)}
+    words_ = [f"w{k}" for k in range(12)]
+    text = " ".join([*words_[:11], "x", "x", *words_[9:], "x", *words_[9:], "x", *words_[9:]])
+    r = license_spans(docs_of([(1, text)]), [], [("t", " ".join(words_))]).filter("label = 't'").collect()
+    assert [(x.start, x.end, x.coverage) for x in r] == [(0, 11, 0.9)]
