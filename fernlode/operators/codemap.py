@@ -40,7 +40,7 @@ _IMPORTS = {
     "go": re.compile(r"\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$"),
 }
 _CONTAINERS = ("struct", "enum", "trait", "impl", "class", "interface", "module")
-SYMBOL_DDL = "kind string, name string, line long, column long, start_line long, end_line long, signature string, language string, members array<string>"
+SYMBOL_DDL = "kind string, name string, line long, column long, start_line long, end_line long, signature string, language string, members array<string>, member_signatures array<string>"
 REF_DDL = "kind string, name string, line long, column long, import_path string, language string"
 
 
@@ -130,8 +130,8 @@ def symbols_of(text: str, language: str) -> list[dict]:
                 break
     out.sort(key=lambda s: (s["line"], s["column"], s["name"]))
     for s in out:
-        inside = [x["name"] for x in out if s["kind"] in _CONTAINERS and s["line"] < x["line"] and x["end_line"] <= s["end_line"]]
-        s["members"] = inside[:MAX_MEMBERS]
+        inside = [x for x in out if s["kind"] in _CONTAINERS and s["line"] < x["line"] and x["end_line"] <= s["end_line"]][:MAX_MEMBERS]
+        s["members"], s["member_signatures"] = [x["name"] for x in inside], [x["signature"] for x in inside]
     return out
 
 

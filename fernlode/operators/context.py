@@ -12,6 +12,7 @@ SEARCH_WEIGHT, REPO_WEIGHT, PATH_WEIGHT = 0.55, 0.35, 0.10
 CONTENT_HIT, PATH_SHARE = 2_000_000, 0.25
 # Field weights of symbol search and tool search.
 SYMBOL_FIELDS = {"name": 80, "kind": 24, "signature": 16, "display_path": 4, "path": 4}
+MEMBER_FIELDS = {"members": 10, "member_signatures": 4}
 TOOL_FIELDS = {"name": 40, "description": 12, "params": 8, "param_descriptions": 4}
 # Key suffixes of secrets.
 SECRET_KEYS = ("api_key", "apikey", "secret", "secret_key", "access_token", "auth_token", "token", "password", "passwd")
@@ -71,10 +72,12 @@ def merge_ranges(ranges: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, "_run").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.min("label").alias("label")).drop("_run")
 
 
-def field_search(rows: DataFrame, query: str, weights: dict[str, int], all_terms: bool = True) -> DataFrame:
-    """Rows with a score: the sum over terms and fields; every term must hit (or, for tool search, any)."""
+def field_search(rows: DataFrame, query: str, weights: dict[str, int], all_terms: bool = True, lists: dict[str, int] | None = None) -> DataFrame:
+    """Rows with a score: the sum over terms, fields and the elements of lists; every term must hit (or, for tool search, any)."""
     terms = query_terms(query)
+    of_list = lambda f, t, w: F.coalesce(F.aggregate(F.transform(f, lambda x: field_score(F.coalesce(x, F.lit("")), t, w)), F.lit(0), lambda a, b: a + b), F.lit(0))
     by_term = [sum((field_score(F.coalesce(F.col(f).cast("string"), F.lit("")), t, w) for f, w in weights.items()), F.lit(0)) for t in terms]
+    by_term = [sum((of_list(f, t, w) for f, w in (lists or {}).items()), s) for t, s in zip(terms, by_term)]
     out = rows.withColumn("score", sum(by_term, F.lit(0)).cast("long"))
     hit = F.lit(bool(terms)) if all_terms else F.lit(False)
     for s in by_term:
@@ -86,7 +89,7 @@ def symbol_search(symbols: DataFrame, query: str, language: str | None = None, k
     rows = symbols if language is None else symbols.filter(F.col("language") == language)
     rows = rows if kind is None else rows.filter(F.lower("kind") == kind.lower())
     weights = {f: w for f, w in SYMBOL_FIELDS.items() if f in rows.columns}
-    out = field_search(rows, query, weights)
+    out = field_search(rows, query, weights, lists={f: w for f, w in MEMBER_FIELDS.items() if f in rows.columns})
     return out if max_results is None else out.orderBy(F.desc("score"), "path", "line", "kind", "name").limit(max_results)
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fernlode.operators import context, graph
+from fernlode.operators import codemap, context, graph
 
 SYM = "path string, language string, kind string, name string, line long, column long, start_line long, end_line long, signature string"
 REF = "path string, language string, kind string, name string, line long, column long, import_path string"
@@ -71,6 +71,17 @@ def test_secrets_on_bare_lines(spark):
     assert sorted((r.line, r.kind) for r in context.scan_secrets(rows).collect()) == [(k + 1, kind) for k, (kind, _) in enumerate(lines)]
 
 
+def test_symbols_are_found_by_their_members(spark):
+    text = "struct Store {\n    x: u8,\n}\nimpl Store {\n    fn flush_all(&self, depth: Level) {\n    }\n    fn other(&self) {\n    }\n}\n"
+    corpus = spark.createDataFrame([("r", "lib.rs", text)], "root_id string, rel_path string, text string")
+    table = codemap.symbol_table(codemap.parse_corpus(corpus))
+    found = lambda query: {(r.kind, r.score) for r in context.symbol_search(table, query).collect() if r.kind == "impl"}
+    assert found("flush") == {("impl", 2 * 10 + 2 * 4)} and found("level") == {("impl", 2 * 4)}
+    assert found("store level") and not found("store absent")
+    null = table.limit(1).withColumn("members", F.lit(None).cast("array<string>")).withColumn("name", F.lit("lone"))
+    assert context.symbol_search(null, "lone").first().score == 4 * 80
+
+
 def test_fusion_scout_and_allocation(spark):
     hits = spark.createDataFrame([("a", 10), ("a", 5), ("b", 1)], "path string, score long")
     none = hits.filter("false")
