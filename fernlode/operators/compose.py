@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions.hashing import context_hash
@@ -16,7 +16,7 @@ from fernlode.operators import codemap, context, edits, graph, search
 
 MAP_CHARS, TREE_BYTES, GIT_CHARS = 12_000, 16_000, 20_000
 # Directories that a tree leaves out, uncounted.
-NOISE = ("node_modules", ".git", "target", "dist", "build", "__pycache__", ".venv", "venv", ".idea", ".vscode")
+NOISE = ("node_modules", ".git", ".hg", ".svn", "target", "dist", "build", "out", "coverage", "vendor", ".next", ".nuxt", ".turbo", ".cache", ".venv", "venv", "__pycache__", ".idea", ".gradle", "DerivedData", "Pods")
 SECTIONS = ("file_map", "tree", "code", "contents", "diff", "meta_prompts", "instructions")
 # What starts a line that binds a name, by language family.
 BINDINGS = {"rust": ("let ", "let mut ", "const ", "static "), "python": ("",), "javascript": ("let ", "const ", "var "), "go": ("var ", "const ")}
@@ -72,9 +72,12 @@ def render_map(rows: list[tuple[str, str]], cap: int = MAP_CHARS) -> str:
 
 def render_tree(nodes: DataFrame, mode: str = "auto", cap: int = TREE_BYTES, max_siblings: int = 100) -> str:
     """A tree of (parent, name, kind, depth); 'auto' gives up files, then depth, until it fits the cap in bytes."""
-    rows = [tuple(r) for r in nodes.filter(~F.col("name").isin(*NOISE)).select("parent", "name", "kind").orderBy("parent", "kind", "name").limit(200_000).collect()]
+    # Folders sort before files, so the first max_siblings of a folder are those that any rendering can show; the rest are only counted.
+    own = nodes.filter(~F.col("name").isin(*NOISE)).select("parent", "name", "kind")
+    first = own.withColumn("_k", F.row_number().over(Window.partitionBy("parent").orderBy("kind", "name"))).filter(F.col("_k") <= max_siblings)
+    counts = {r["parent"]: (r["n"], r["dirs"]) for r in own.groupBy("parent").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "dir").alias("dirs")).collect()}  # a row a folder
     children: dict[str, list[tuple[str, str]]] = {}
-    for parent, name, kind in rows:
+    for parent, name, kind, _ in first.orderBy("parent", "_k").collect():  # at most max_siblings rows a folder
         children.setdefault(parent, []).append((name, kind))
 
     def render(folders_only: bool, depth: int | None) -> str:
@@ -82,15 +85,16 @@ def render_tree(nodes: DataFrame, mode: str = "auto", cap: int = TREE_BYTES, max
 
         def visit(parent: str, level: int, indent: str) -> None:
             own = [(n, k) for n, k in children.get(parent, []) if k == "dir" or not folders_only]
-            for n, k in own[:max_siblings]:
+            for n, k in own:
                 out.append(f"{indent}{n}{'/' if k == 'dir' else ''}")
                 path = f"{parent}/{n}" if parent else n
                 if k == "dir" and (depth is None or level < depth):
                     visit(path, level + 1, indent + "  ")
                 elif k == "dir":
                     out.append(f"{indent}  … {sum(1 for p in children if p == path or p.startswith(path + '/'))} folders below")
-            if len(own) > max_siblings:
-                out.append(f"{indent}… {len(own) - max_siblings} more")
+            more = counts.get(parent, (0, 0))[folders_only] - len(own)
+            if more > 0:
+                out.append(f"{indent}… {more} more")
 
         visit("", 1, "")
         return "\n".join(out)

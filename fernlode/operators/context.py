@@ -15,9 +15,9 @@ SYMBOL_FIELDS = {"name": 80, "kind": 24, "signature": 16, "display_path": 4, "pa
 MEMBER_FIELDS = {"members": 10, "member_signatures": 4}
 TOOL_FIELDS = {"name": 40, "description": 12, "params": 8, "param_descriptions": 4}
 # Key suffixes of secrets.
-SECRET_KEYS = ("api_key", "apikey", "secret", "secret_key", "access_token", "auth_token", "token", "password", "passwd")
+SECRET_KEYS = ("api_key", "apikey", "auth_token", "client_secret", "password", "private_key", "secret", "secret_key", "token")
 # What each kind of token starts with, and how many characters follow at least.
-SECRET_TOKENS = {"aws_access_key": ("(?:AKIA|ASIA)", 16), "github_token": ("(?:gh[pousr]_|github_pat_)", 20), "openai_key": ("sk-", 21), "slack_token": ("xox[bpars]-", 12)}
+SECRET_TOKENS = {"aws_access_key_id": ("(?:AKIA|ASIA)", 16), "github_token": ("(?:gh[pousr]_|github_pat_)", 20), "openai_api_key": ("sk-", 21), "slack_token": ("xox[bpars]-", 12)}
 # A line that breaks any rule has one of these.
 SECRET_LINE = "|".join(["[=:]", " PRIVATE KEY-----", *(start for start, _ in SECRET_TOKENS.values())])
 
@@ -33,9 +33,9 @@ def secret_kinds(line: Column) -> Column:
         ends = ends | key.endswith(k)
     generic = ends & (F.octet_length(value) >= 16) & ~value.contains(" ") & value.rlike("[A-Za-z]") & value.rlike("[0-9]")
     rules = {
-        "private_key": line.contains("-----BEGIN ") & line.contains(" PRIVATE KEY-----"),
+        "private_key_block": line.contains("-----BEGIN ") & line.contains(" PRIVATE KEY-----"),
         **{name: line.rlike(f"{start}{tail}{{{n},}}") for name, (start, n) in SECRET_TOKENS.items()},
-        "generic_secret": F.coalesce(generic, F.lit(False)),
+        "generic_secret_assignment": F.coalesce(generic, F.lit(False)),
     }
     return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull())
 

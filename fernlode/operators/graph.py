@@ -19,7 +19,7 @@ PRUNE_FILES, PRUNE_SHARE = 4, 4
 
 # Names that are not followed, by language.
 STOP_NAMES = {
-    "rust": "Self abstract as async await become box break const continue crate do dyn else enum extern false final fn for if impl in let loop macro match mod move mut override priv pub ref return self static struct super trait true try type typeof unsafe unsized use virtual where while yield Result Option Some None Ok Err".split(),
+    "rust": "Self abstract as async await become box break const continue crate do dyn else enum extern false final fn for if impl in let loop macro match mod move mut override priv pub ref return self static struct super trait true try type typeof unsafe unsized use virtual where while yield Result Option Some None Ok".split(),
     "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return self try while with yield print".split(),
     "javascript": "arguments async await break case catch class const continue debugger default delete do else export extends false finally for from function get if import in instanceof let new null of return set static super switch target this throw true try typeof undefined var void while with yield".split(),
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var append cap clear close complex copy delete imag len make max min new panic print println real recover any bool byte comparable complex64 complex128 error float32 float64 int int8 int16 int32 int64 rune string uint uint8 uint16 uint32 uint64 uintptr false true iota nil err ctx ok".split(),

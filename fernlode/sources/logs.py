@@ -42,8 +42,8 @@ def append_ndjson(records: DataFrame, path: str) -> None:
 
 
 def write_documents(records: DataFrame, path: str, key: str) -> None:
-    """One JSON document folder for each key."""
-    records.write.mode("overwrite").partitionBy(key).json(path)
+    """One JSON document folder for each key; documents of other keys stay."""
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
 
 
 _SPAN = "struct<start_unix_nano: bigint, span_id: string, gen_ai_operation: string, gen_ai_system: string, input_tokens: bigint, output_tokens: bigint, content_text: string>"
