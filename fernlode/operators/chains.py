@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.functions.hashing import chain, ledger_identity
+from fernlode.storage import map_batches
 
 
 def seal(tape: DataFrame, run: str = "run_id") -> DataFrame:
@@ -36,7 +37,7 @@ def seal(tape: DataFrame, run: str = "run_id") -> DataFrame:
 
     rows = tape.select(run, F.col("seq").cast("long").alias("seq"), "event_hash")
     parts = int(tape.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, run).sortWithinPartitions(run, "seq").mapInArrow(fold, f"{run} {dtype}, seq long, event_hash string, chained_hash string")
+    return map_batches(rows.repartition(parts, run).sortWithinPartitions(run, "seq"), fold, f"{run} {dtype}, seq long, event_hash string, chained_hash string")
 
 
 def chain_roots(sealed: DataFrame, run: str = "run_id") -> DataFrame:

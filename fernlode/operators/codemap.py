@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import EXTENSION_LANGUAGE, language_from_fence, language_from_shebang
+from fernlode.storage import map_batches
 
 MAX_SIGNATURE, MAX_MEMBERS = 200, 200
 BODY_LINES, COMMENT_LINES, GROUP_LINES = 4, 6, 4
@@ -185,7 +186,7 @@ def parse_corpus(corpus: DataFrame) -> DataFrame:
                 refs.append(references_of(text or "", language) if language else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(symbols, _arrow(SYMBOL_DDL)), pa.array(refs, _arrow(REF_DDL))], names=["root_id", "path", "language", "symbols", "refs"])
 
-    return corpus.select("root_id", "rel_path", "text").mapInArrow(run, schema)
+    return map_batches(corpus.select("root_id", "rel_path", "text"), run, schema)
 
 
 def _ddl(ddl: str) -> str:

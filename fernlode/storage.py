@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+BATCH_BYTES = "8388608b"
+FILES_A_CORE, NARROW_FILES_A_CORE = 8, 2
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,33 +22,38 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"{LOCAL_CHECKPOINTS}/{uuid.uuid4().hex}")
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep batches between Spark and Python to 8 MB, unless the session has a size of its own.
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of at most 8 MB, unless the session has a size of its own.
 
-    Whole texts and shingle sets fill the default of 64 MB, which a task holds several times over on both sides.
+    Whole texts and shingle sets fill Spark's default of 64 MB, which a task holds several times over on both sides.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864b", "67108864", "64m"):
-        spark.conf.set(key, "8388608b")
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the table read back.
 
-    The result has no lineage: a lost executor costs a reread of files, never a recomputation.
+    The result has no lineage: a lost executor costs a reread of files, never a recomputation.  At most
+    ``FILES_A_CORE`` files a core are written, and ``NARROW_FILES_A_CORE`` of a ``narrow`` table (ids, links, counts), so that
+    many near-empty partitions do not become as many files; partitions are still computed one by one.
     """
-    bound_batches(df.sparkSession)
+    cores = df.sparkSession.sparkContext.defaultParallelism
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.coalesce(cores * (NARROW_FILES_A_CORE if narrow else FILES_A_CORE)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

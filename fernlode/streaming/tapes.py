@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fernlode.functions.hashing import ledger_identity
 from fernlode.sources.logs import _exists
+from fernlode.storage import map_batches
 
 CAPTURED_DDL = "run_id long, seq long, event_id long, kind string"
 REPLAY_FRAMES = 1024
@@ -93,7 +94,7 @@ def append_ledger(batch: DataFrame, path: str, batch_id: int) -> None:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("log_id", "seq", "kind_json")), pa.array(previous, pa.string()), pa.array(record, pa.string())], names=["log_id", "seq", "kind_json", "prev_hash", "record_hash"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sealed = joined.repartition(parts, "log_id").sortWithinPartitions("log_id", "seq").mapInArrow(fold, "log_id string, seq long, kind_json string, prev_hash string, record_hash string")
+    sealed = map_batches(joined.repartition(parts, "log_id").sortWithinPartitions("log_id", "seq"), fold, "log_id string, seq long, kind_json string, prev_hash string, record_hash string")
     sealed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
