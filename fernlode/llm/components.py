@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlode.storage import broadcast_if_small, materialize
+from fernlode.storage import broadcast_if_small, map_batches, materialize
 
 BROADCAST_NODES = 400_000
 FLUSH_LINKS = 2_000_000
@@ -46,25 +46,25 @@ def _unite_partition(links: DataFrame) -> DataFrame:
                 parent.clear()
         yield stars()
 
-    return links.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).mapInArrow(run, LINKS_DDL)
+    return map_batches(links.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), run, LINKS_DDL)
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One large or small star over (src, dst) with dst < src."""
     both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else links
     # A written table of minima: either broadcast within the bound, or a join whose hot keys Spark can split.
-    least = broadcast_if_small(materialize(both.groupBy("src").agg(F.min("dst").alias("_m")), "least"), BROADCAST_NODES)
+    least = broadcast_if_small(materialize(both.groupBy("src").agg(F.min("dst").alias("_m")), "least", narrow=True), BROADCAST_NODES)
     joined = both.join(least, "src").withColumn("_m", F.least("src", "_m"))
     if large:
         out = joined.filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("_m").alias("dst"))
     else:
         out = joined.select(F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("_m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("_m").alias("dst")))).alias("e")).select("e.*")
-    return materialize(out.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("_n")).drop("_n"), "links")
+    return materialize(out.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("_n")).drop("_n"), "links", narrow=True)
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) for every node of ``links`` (src, dst) that is not its component's smallest."""
-    now = materialize(_unite_partition(links.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")), "links")
+    now = materialize(_unite_partition(links.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")), "links", narrow=True)
     if now.isEmpty():
         return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     sign = None

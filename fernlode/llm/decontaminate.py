@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.llm.bytehash import IS_BREAK, mix, text_chunks, word_hashes
-from fernlode.storage import broadcast_if_small, materialize
+from fernlode.storage import broadcast_if_small, map_batches, materialize
 
 _U = np.uint64
 ERROR_WORDS = 8
@@ -155,7 +155,7 @@ def _block_matches(docs: DataFrame, compiled: dict) -> DataFrame:
                     out.append((batch.column(0)[row + doc].as_py(), compiled["ids"][number], distance, len(compiled["words"][number]), start, stop))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MATCHES_DDL)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, MATCHES_DDL)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_words: int = ERROR_WORDS, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -174,4 +174,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_words: int = ERROR
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no test item is found, all columns unchanged."""
     found = contaminated(docs, benchmark).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id")
-    return docs.join(broadcast_if_small(materialize(found, "contaminated"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(materialize(found, "contaminated", narrow=True), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)

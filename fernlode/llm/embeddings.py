@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.llm.components import connected_components
-from fernlode.storage import broadcast_if_small, materialize
+from fernlode.storage import broadcast_if_small, map_batches, materialize
 
 THRESHOLD = 0.98
 MISS = 1e-6
@@ -100,7 +100,7 @@ def _band_rows(classes: DataFrame, bands: int, band_bits: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.bands.size + 1, bands), pa.int32()), pa.array(codes.bands.reshape(-1)))
                     yield pa.RecordBatch.from_arrays([own.column(0), lists], names=["rep", "codes"])
 
-    return classes.select("rep", "v").mapInArrow(run, "rep long, codes array<long>")
+    return map_batches(classes.select("rep", "v"), run, "rep long, codes array<long>")
 
 
 def _settle_groups(rows: DataFrame, bands: int, band_bits: int, threshold: float) -> DataFrame:
@@ -158,7 +158,7 @@ def _settle_groups(rows: DataFrame, bands: int, band_bits: int, threshold: float
         if held is not None and held.num_rows:
             yield from _by_size(held, settle)
 
-    return rows.mapInArrow(run, "rep long, links long, root long")
+    return map_batches(rows, run, "rep long, links long, root long")
 
 
 def _by_size(table: pa.Table, settle) -> Iterator[pa.RecordBatch]:
@@ -186,12 +186,12 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
     hashed = usable.select("vec_id", "label", "v", *key)
     of = ["label", "_a", "_b"]
     classes = materialize(hashed.groupBy(*of).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")), "vectors")
-    copies = broadcast_if_small(materialize(classes.filter("weight > 1").select(*of, "rep", "weight"), "copies"), BROADCAST_IDS)
+    copies = broadcast_if_small(materialize(classes.filter("weight > 1").select(*of, "rep", "weight"), "copies", narrow=True), BROADCAST_IDS)
     bands, bits = plan_bands(classes.count(), threshold)
     coded = materialize(_band_rows(classes, bands, bits), "codes")
     labelled = coded.join(classes.select("rep", "label", F.size("v").alias("size")), "rep")
     banded = labelled.select("rep", "label", "size", F.posexplode("codes").alias("band", "code")).select("rep", "size", "band", F.xxhash64("label", "size", "band", "code").alias("group"))
-    shared = materialize(banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "shared_codes")
+    shared = materialize(banded.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1"), "shared_codes", narrow=True)
     members = banded.join(broadcast_if_small(shared, BROADCAST_IDS), "group")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = members.withColumn("_k", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -200,7 +200,7 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> Da
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.repartition(parts, "group", "lo", "hi").sortWithinPartitions("size", "group", "lo", "hi", "rep")
     settled = materialize(_settle_groups(dealt, bands, bits, threshold), "settled")
-    counts = broadcast_if_small(materialize(settled.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("links")), "counts"), BROADCAST_IDS)
+    counts = broadcast_if_small(materialize(settled.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("links")), "counts", narrow=True), BROADCAST_IDS)
     components = connected_components(settled.filter("root <> rep").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     components = broadcast_if_small(components, BROADCAST_IDS)
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _valid("v")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fernlode.llm.bytehash import mix, text_chunks, word_hashes
 from fernlode.llm.components import connected_components
-from fernlode.storage import broadcast_if_small, materialize
+from fernlode.storage import broadcast_if_small, map_batches, materialize
 
 _U = np.uint64
 SHINGLE, SIMILARITY = 5, 80
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, bands), pa.int32()), pa.array(own.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(s, pa.int64()) for s in sums), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -139,7 +139,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 at += len(sets)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi").mapInArrow(run, "id long, grams binary")
+    return map_batches(texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi"), run, "id long, grams binary")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, own_part: bool = False) -> DataFrame:
@@ -160,7 +160,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, own_part: bool = False) -> Data
     own = sets.select(F.col("id").alias("src"), F.col("grams").alias("a"))
     other = sets.select(F.col("id").alias("dst"), F.col("grams").alias("b"))
     joined = pairs.select("src", "dst").join(own, "src").select("src", "dst", "a").join(other, "dst").select("src", "dst", "a", "b")
-    return joined.mapInArrow(run, "src long, dst long, src_n long, dst_n long, common long, own array<long>")
+    return map_batches(joined, run, "src long, dst long, src_n long, dst_n long, common long, own array<long>")
 
 
 def _links(measured: DataFrame, similarity: int) -> DataFrame:
@@ -181,19 +181,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     of_set = ["set_a", "set_b", "n_shingles"]
     # A class of equal sets is represented by its smallest id; the classes of several rows are few and a table of their own.
-    classes = materialize(usable.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "classes")
+    classes = materialize(usable.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "classes", narrow=True)
     classes = broadcast_if_small(classes, BROADCAST_IDS)
     known = usable.join(classes, of_set, "left")
     reps = known.filter("rep IS NULL OR rep = doc_id").select("doc_id", "n_shingles", "bands")
     banded = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     members = _shared(banded)
-    sets = materialize(_sets_of(docs, materialize(members.groupBy("id").agg(F.count("*").alias("_n")).select("id"), "member_ids"), k), "sets")
+    sets = materialize(_sets_of(docs, materialize(members.groupBy("id").agg(F.count("*").alias("_n")).select("id"), "member_ids", narrow=True), k), "sets")
     stars = _distinct(members.filter(F.col("id") != F.col("pivot")).select(F.col("id").alias("src"), F.col("pivot").alias("dst")))
-    measured = materialize(_measured(stars, sets).drop("own"), "stars")
+    measured = materialize(_measured(stars, sets).drop("own"), "stars", narrow=True)
     links = _links(measured, similarity)
     components = connected_components(links)
-    across = materialize(_across(members, measured, components, sets, similarity), "across")
-    more = materialize(_links(_measured(across, sets), similarity), "links")
+    across = materialize(_across(members, measured, components, sets, similarity), "across", narrow=True)
+    more = materialize(_links(_measured(across, sets), similarity), "links", narrow=True)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
     components = broadcast_if_small(components, BROADCAST_IDS)
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
 def _shared(banded: DataFrame) -> DataFrame:
     """The rows of bands that several classes have, with the band's smallest class, as a written table."""
     shared = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("in_band")).filter("in_band > 1")
-    shared = materialize(shared.select("band", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "in_band"), "shared_bands")
+    shared = materialize(shared.select("band", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), "in_band"), "shared_bands", narrow=True)
     return materialize(banded.join(broadcast_if_small(shared, BROADCAST_IDS), "band"), "members")
 
 
@@ -221,9 +221,9 @@ def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets
     own = broadcast_if_small(components.select(F.col("node").alias("id"), "component"), BROADCAST_IDS)
     rows = members.select("band", "id", "n", "pivot").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    rows = rows.filter(F.col("id") != F.col("pivot")).join(broadcast_if_small(materialize(mixed, "mixed"), BROADCAST_IDS), "band")
+    rows = rows.filter(F.col("id") != F.col("pivot")).join(broadcast_if_small(materialize(mixed, "mixed", narrow=True), BROADCAST_IDS), "band")
     inside = measured.select(F.col("src").alias("id"), F.col("dst").alias("pivot"), F.col("common").alias("i"))
-    rows = materialize(rows.join(inside, ["id", "pivot"]), "mixed_members")
+    rows = materialize(rows.join(inside, ["id", "pivot"]), "mixed_members", narrow=True)
 
     def side(frame: DataFrame, by: str, mark: str) -> DataFrame:
         return frame.select(by, *(["pivot"] if by != "band" else []), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "n", "i", "component")))
@@ -236,13 +236,13 @@ def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets
     alone = rows.groupBy("id", "pivot", "n", "i", "component").agg(F.count("*").alias("_n")).drop("_n")
     outside = _measured(alone.select(F.col("id").alias("src"), F.col("pivot").alias("dst")), sets, own_part=True)
     outside = materialize(outside.select(F.col("src").alias("id"), F.col("dst").alias("pivot"), F.explode("own").alias("element")), "outside")
-    groups = broadcast_if_small(materialize(alone.groupBy("pivot").agg(F.count("*").alias("members"), F.min("n").alias("least")), "groups"), BROADCAST_IDS)
+    groups = broadcast_if_small(materialize(alone.groupBy("pivot").agg(F.count("*").alias("members"), F.min("n").alias("least")), "groups", narrow=True), BROADCAST_IDS)
     rarity = materialize(outside.groupBy("pivot", "element").agg(F.count("*").alias("df")).filter("df > 1").join(groups, "pivot"), "rarity")
     ranked = outside.join(rarity, ["pivot", "element"], "left").withColumn("usual", F.coalesce(2 * F.col("df") > F.col("members"), F.lit(False)))
     ranked = materialize(ranked.select("id", "pivot", "element", F.coalesce("df", F.lit(1)).alias("df"), "usual"), "ranked")
     usual = ranked.filter("usual").groupBy("id", "pivot").agg(F.count("*").alias("extra"))
     counted = F.col("i") + F.coalesce("extra", F.lit(0))
-    alone = materialize(alone.join(usual, ["id", "pivot"], "left").withColumn("i", counted).drop("extra").join(groups, "pivot"), "alone")
+    alone = materialize(alone.join(usual, ["id", "pivot"], "left").withColumn("i", counted).drop("extra").join(groups, "pivot"), "alone", narrow=True)
     rows = rows.drop("i").join(alone.select("id", "pivot", "i"), ["id", "pivot"])
     most = F.least("i_a", "i_b")
     bounded = met(rows, ["band"], 100 * most >= similarity * (F.col("n_a") + F.col("n_b") - most))
@@ -258,4 +258,4 @@ def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The documents whose id is the smallest of their group, all columns unchanged."""
     gone = near_duplicates(docs, k, similarity).filter(~F.col("kept")).groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id")
-    return docs.join(broadcast_if_small(materialize(gone, "duplicates"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(materialize(gone, "duplicates", narrow=True), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)

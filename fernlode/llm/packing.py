@@ -15,121 +15,230 @@ gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fernlode.storage import materialize
+from fernlode.llm.bytehash import mix
+from fernlode.storage import map_batches, materialize
+
+_U = np.uint64
 
 MAX_LEN = 2048
 SEPARATOR_ID = 0
-CACHED_CHUNKS = 500_000
-CACHED_CHUNK_CHARS = 64
-WORDS_A_CALL = 48
-DOCS_A_STEP = 512
-CLOSING_MARKS = ".,;:!?*#$%&"
+CACHED_CHUNKS, CACHED_CHUNK_CHARS = 50_000, 64
+SEGMENT_CHARS = 64 << 10
+LONG_WORD = 200
 ROWS_PER_SALT = 250_000
-#: str.split() also splits at these, which the tokenizer does not count as white space.
-_CONTROL_SPACES = "\x1c\x1d\x1e\x1f"
+_SPACE = " \t\n\r\x0b\x0c"
+#: Characters whose words go through the bare merges.
+_USUAL = "A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-@\\[-`{-~"
+_SPACES = re.compile(f"[{_SPACE}]")
+#: Chunks in a row that hold any other character.
+_STRANGE = re.compile(f"(?<![^{_SPACE}])((?:[^{_SPACE}]*[^{_SPACE}{_USUAL}][^{_SPACE}]*[{_SPACE}]*)+)")
+_USUAL_BYTES = bytes(b for b in range(256) if not re.match(f"[^{_SPACE}{_USUAL}]", chr(b)))
+#: Of lower-case usual characters: white space, letters, digits (words by themselves) and marks.
+_KIND = np.array([0 if chr(b) in _SPACE else 1 if chr(b).isalpha() else 2 if 48 <= b < 58 else 3 for b in range(256)], np.uint8)
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_DDL = PIECES_DDL + ", sequence_id long, offset long"
 
 
-class _ChunkIds(dict):
-    """Ids of white-space-free chunks as little-endian 32-bit bytes.
+class _WordIds:
+    """A bounded table from words of at most 16 bytes (as two integers, so that keys are exact) to their ids.
+
+    Open addressing, looked up for all words of a segment at once; when it is half full it starts afresh.
+    """
 
-    White space always separates tokens in this vocabulary, so a text's ids are its chunks'
-    ids in a row.  New chunks are learnt a batch at a time: a lower-case word of Latin-1 letters
-    passes the vocabulary's normalization and splitting unchanged, so such words go many to a
-    call through the bare model, and the token that ends a word shows where each one ends;
-    capitals and closing marks are taken off first.  All other chunks go through the
-    whole tokenizer.  The cache is bounded; a chunk that is not kept is tokenized again.
+    SLOTS, POOL = 1 << 20, 1 << 22
+
+    def __init__(self):
+        self.keys = np.zeros((self.SLOTS, 2), _U)
+        self.first, self.count = np.zeros(self.SLOTS, np.int32), np.zeros(self.SLOTS, np.int32)
+        self.pool, self.used, self.words = np.zeros(self.POOL, "<u4"), 0, 0
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys[:, 0] ^ mix(keys[:, 1])) & _U(self.SLOTS - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        slot, out = self._home(keys), np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            here = slot[left]
+            same = (self.keys[here] == keys[left]).all(axis=1)
+            out[left[same]] = here[same]
+            left = left[~same & (self.keys[here, 0] != 0)]
+            slot[left] = (slot[left] + 1) & (self.SLOTS - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct keys that are not in the table, and their ids in a row."""
+        if self.words + len(keys) > self.SLOTS // 2 or self.used + len(ids) > self.POOL:
+            self.__init__()
+        starts = self.used + np.cumsum(counts) - counts
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used, self.words = self.used + len(ids), self.words + len(keys)
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            _, at = np.unique(slot[left], return_index=True)  # one key for each slot
+            win = left[at]
+            win = win[self.keys[slot[win], 0] == 0]
+            self.keys[slot[win]], self.first[slot[win]], self.count[slot[win]] = keys[win], starts[win], counts[win]
+            placed = np.zeros(len(keys), bool)
+            placed[win] = True
+            left = left[~placed[left]]
+            taken = left[self.keys[slot[left], 0] != 0]
+            slot[taken] = (slot[taken] + 1) & (self.SLOTS - 1)
+
+
+class _TextIds:
+    """Ids of texts as little-endian 32-bit bytes.
+
+    White space always separates tokens in this vocabulary, so a text's ids are its chunks' ids in a row.  ASCII
+    (but for apostrophes and ``<``) and Latin-1 letters pass the vocabulary's normalization as their lower case, and
+    split into words, digits and runs of marks.  A BPE with word ends is the same as one over bytes in which the end
+    of a word is a byte of its own, and a merge's place in the list is its token's id; so a byte-pair
+    encoder that takes ids as ranks gives the tokenizer's ids of all new words of a segment in one call.  Chunks
+    with other characters and very long words go through the tokenizer itself.
     """
 
+    END = "\x01"  # in no word that goes through the bare merges
+
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = json.loads(self.bare.to_str())["model"].get("end_of_word_suffix")
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if suffix:
-            self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+        with open(path) as f:
+            parsed = json.load(f)
+        special = {t["content"] for t in parsed.get("added_tokens", ())}
+        plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+        suffix, end, ranks = parsed["model"]["end_of_word_suffix"], self.END.encode(), {}
+        for token, i in parsed["model"]["vocab"].items():
+            if token not in special:
+                body = token.removesuffix(suffix)
+                ranks[bytes(byte_of[c] for c in body) + (end if body != token else b"")] = i
+        self.merges = tiktoken.Encoding("words", pat_str=f"[^{self.END}]*{self.END}", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[i for token, i in ranks.items() if token.endswith(end)]] = True
+        self.known = _WordIds()
+        self.rare = lru_cache(CACHED_CHUNKS)(self.encode)
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
-        lines = [" ".join(words[k : k + WORDS_A_CALL]) for k in range(0, len(words), WORDS_A_CALL)]
-        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)])
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) != len(words):
-            self.update((w, self.encode(w)) for w in words)
-            return
-        raw, start = ids.tobytes(), 0
-        for word, stop in zip(words, stops.tolist()):
-            self[word] = raw[start:stop]
-            start = stop
-
-    def learn(self, texts: list[str]) -> None:
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
-        seen: set[str] = set()
-        for text in texts:
-            seen.update(text.split())
-        words: set[str] = set()
-        parts: list[tuple[str, str, str]] = []
-        for chunk in seen:
-            if chunk in self or len(chunk) > CACHED_CHUNK_CHARS:
+    def _new_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each)."""
+        text = b"".join(w + b"\x01" for w in words).decode("latin-1")
+        ids = np.array(self.merges.encode_ordinary(text), "<u4")
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def usual(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word, where each word starts) of lower-case usual characters."""
+        low = np.frombuffer(raw + b" " * 16, np.uint8)
+        kind = _KIND[low]
+        edge = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        inside = kind != 0
+        start = np.flatnonzero(inside & np.append(True, edge))
+        stop = np.flatnonzero(inside[:-1] & (edge | (kind[:-1] == 2))) + 1
+        size = stop - start
+        keys = low[np.minimum(start[:, None] + np.arange(16), len(low) - 1)]
+        keys[np.arange(16) >= size[:, None]] = 0
+        keys = keys.view("<u8")
+        short = size <= 16
+        slot = np.full(len(size), -1, np.int64)
+        slot[short] = self.known.find(keys[short])
+        pool, first, count = [self.known.pool], self.known.first[slot].astype(np.int64), self.known.count[slot]
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            # Short words once each; the others as often as they stand.
+            _, at, back = np.unique(np.where(short[new], mix(keys[new, 0] ^ mix(keys[new, 1])), new.astype(_U)), return_index=True, return_inverse=True)
+            if (keys[new] != keys[new][at][back]).any():  # two words of one hash
+                at = back = np.arange(len(new))
+            own = new[at]
+            words = [raw[a:b] for a, b in zip(start[own].tolist(), stop[own].tolist())]
+            long = {k for k in np.flatnonzero(size[own] > LONG_WORD).tolist()}
+            ids, counts = self._new_words([b"" if k in long else w for k, w in enumerate(words)] if long else words)
+            if long:
+                parts = np.split(ids, np.cumsum(counts)[:-1])
+                for k in long:
+                    parts[k] = np.frombuffer(self.encode(words[k].decode("latin-1")), "<u4")
+                ids, counts = np.concatenate(parts), np.array([len(p) for p in parts])
+            first[new] = (np.cumsum(counts) - counts)[back] + self.known.POOL
+            count[new] = counts[back]
+            pool.append(ids)
+            keep = short[own]
+            self.known.add(keys[own[keep]], ids[np.repeat(keep, counts)], counts[keep])
+        total = np.cumsum(count, dtype=np.int64)
+        place = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - (total - count), count)
+        out = pool[0][np.minimum(place, self.known.POOL - 1)] if len(pool) == 1 else np.concatenate(pool)[place]
+        return out, count, start
+
+    def document(self, text: str) -> bytes:
+        """The ids of one text, a segment at a time."""
+        out, at = [], 0
+        while at < len(text):
+            cut = _SPACES.search(text, at + SEGMENT_CHARS)
+            stop = cut.start() if cut else len(text)
+            for k, part in enumerate(_STRANGE.split(text[at:stop])):
+                if k % 2:
+                    out.append(self.rare(part) if len(part) <= CACHED_CHUNK_CHARS else self.encode(part))
+                elif part:
+                    out.append(self.usual(part.lower().encode("latin-1"))[0].tobytes())
+            at = stop
+        return b"".join(out)
+
+    def documents(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order; texts of usual characters a segment at a time."""
+        held: list[bytes] = []
+        size = 0
+
+        def flush() -> Iterator[bytes]:
+            if held:
+                ids, count, start = self.usual(b"\n".join(held))
+                ends = np.cumsum([len(t) + 1 for t in held])
+                words = np.searchsorted(start, ends)
+                cuts = np.append(0, np.cumsum(count))[words] * 4
+                raw = ids.tobytes()
+                yield from (raw[a:b] for a, b in zip([0, *cuts.tolist()], cuts.tolist()))
+                held.clear()
+
+        for value in texts:
+            text = value.as_py() or ""
+            try:
+                own = text.lower().encode("latin-1") if len(text) <= SEGMENT_CHARS else None
+            except UnicodeEncodeError:
+                own = None
+            if own is None or own.translate(None, _USUAL_BYTES):
+                yield from flush()
+                size = 0
+                yield self.document(text)
                 continue
-            word = chunk.rstrip(CLOSING_MARKS)
-            mark = chunk[len(word) :]
-            if word.isalpha() and (word.isascii() or all(c <= "\xff" for c in word)):
-                low = word.lower()
-                if low not in self:
-                    words.add(low)
-                if low != chunk:
-                    parts.append((chunk, low, mark))
-        if words:
-            self._learn_words(list(words))
-        for chunk, low, mark in parts:
-            self[chunk] = self[low] + (self[mark] if mark else b"")
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= CACHED_CHUNK_CHARS:
-            self[chunk] = ids
-        return ids
-
-    def document(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _CONTROL_SPACES):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-_CACHES: dict[str, _ChunkIds] = {}
-
-
-def _chunk_ids(path: str) -> _ChunkIds:
-    if path not in _CACHES:
-        _CACHES[path] = _ChunkIds(path)
-    return _CACHES[path]
+            held.append(own)
+            size += len(own)
+            if size > SEGMENT_CHARS:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+
+@lru_cache
+def _text_ids(path: str) -> _TextIds:
+    return _TextIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, separator_id: int = SEPARATOR_ID) -> DataFrame:
@@ -138,21 +247,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, s
     step = 4 * max_len
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _chunk_ids(tokenizer_path)
+        ids_of = _text_ids(tokenizer_path)
         for batch in batches:
             out = ([], [], [], [], [])
-            for at in range(0, batch.num_rows, DOCS_A_STEP):
-                texts = [t or "" for t in batch.column(1).slice(at, DOCS_A_STEP).to_pylist()]
-                cache.learn(texts)
-                for doc_id, text in zip(batch.column(0).slice(at, DOCS_A_STEP).to_pylist(), texts):
-                    ids = cache.document(text) + end
-                    for k, first in enumerate(range(0, len(ids), step)):
-                        part = ids[first : first + step]
-                        for column, value in zip(out, (doc_id, k, first // 4, len(part) // 4, zlib.crc32(part))):
-                            column.append(value)
+            for doc_id, own in zip(batch.column(0).to_pylist(), ids_of.documents(batch.column(1))):
+                ids = own + end
+                for k, first in enumerate(range(0, len(ids), step)):
+                    part = ids[first : first + step]
+                    for column, value in zip(out, (doc_id, k, first // 4, len(part) // 4, zlib.crc32(part))):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES)], schema=PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES_DDL)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES_DDL)
 
 
 def _fullest(lengths: list[int], counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -246,7 +352,7 @@ def place_pieces(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
                 offset.append(at[k] + place * length)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], schema=schema)
 
-    return ranked.select(*names, (F.col("_rank") + F.col("_before")).alias("_rank")).mapInArrow(run, PACKED_DDL)
+    return map_batches(ranked.select(*names, (F.col("_rank") + F.col("_before")).alias("_rank")), run, PACKED_DDL)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, separator_id: int = SEPARATOR_ID) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.llm.training import SAMPLE_ROWS, fit_logistic, held_out, labelled_sample, sigmoid
+from fernlode.storage import map_batches
 
 PAIRS = 60_000
 AT_THRESHOLD = 0.3
@@ -97,7 +98,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "doc_id"])
 
     # At most sample_rows short rows.
-    rows = sample.select("text", "y", "doc_id").mapInArrow(run, "x array<double>, y int, doc_id long").collect()
+    rows = map_batches(sample.select("text", "y", "doc_id"), run, "x array<double>, y int, doc_id long").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
     y = np.array([r["y"] for r in rows])
     if len(rows) == 0 or y.min() == y.max():
@@ -116,5 +117,5 @@ def score_quality(docs: DataFrame, model: dict, at_threshold: float = AT_THRESHO
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(probability(model, x), pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = map_batches(rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= at_threshold).cast("int"))

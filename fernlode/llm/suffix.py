@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlode.llm.bytehash import BYTE_VALUES, mix, powers, text_chunks
-from fernlode.storage import materialize
+from fernlode.storage import map_batches, materialize
 
 _U = np.uint64
 MIN_MATCH = 100
@@ -303,7 +303,7 @@ def _anchor_rows(texts: DataFrame, buckets: int, min_match: int, gram: int) -> D
         if held:
             yield from flush()
 
-    return texts.mapInArrow(run, EXCHANGE_DDL)
+    return map_batches(texts, run, EXCHANGE_DDL)
 
 
 def _meet_anchors(rows: DataFrame, min_match: int) -> DataFrame:
@@ -328,7 +328,7 @@ def _meet_anchors(rows: DataFrame, min_match: int) -> DataFrame:
         spans["hot"] = marked[several]
         yield from _present(_rows(RANGES, gone, None, ["a", "b"]), _rows(SPANS, spans, None, list(SPAN.names)))
 
-    return rows.mapInArrow(run, EXCHANGE_DDL)
+    return map_batches(rows, run, EXCHANGE_DDL)
 
 
 def _cut_spans(texts: DataFrame, buckets: int, min_match: int, gram: int) -> DataFrame:
@@ -383,7 +383,7 @@ def _cut_spans(texts: DataFrame, buckets: int, min_match: int, gram: int) -> Dat
                     cold, hot, n = [], [], 0
         yield from flush()
 
-    return texts.mapInArrow(run, EXCHANGE_DDL)
+    return map_batches(texts, run, EXCHANGE_DDL)
 
 
 def _meet_spans(rows: DataFrame, min_match: int, gram: int) -> DataFrame:
@@ -401,7 +401,7 @@ def _meet_spans(rows: DataFrame, min_match: int, gram: int) -> DataFrame:
             yield from _present(_rows(RANGES, gone, None, ["a", "b"]))
         yield from _present(_rows(RANGES, settle_windows(got.pop(WINDOWS), min_match)[0], None, ["a", "b"]))
 
-    return rows.mapInArrow(run, EXCHANGE_DDL)
+    return map_batches(rows, run, EXCHANGE_DDL)
 
 
 def _by_document(rows: DataFrame, kind: int, label: str, name: str) -> DataFrame:
@@ -413,19 +413,19 @@ def _by_document(rows: DataFrame, kind: int, label: str, name: str) -> DataFrame
 def _text_bases(texts: DataFrame) -> tuple[DataFrame | None, int]:
     """(the bytes that stand before each of several texts of one doc_id, by hash and length, or None where no id has several; the bytes of all texts)."""
     key = [F.xxhash64("text").alias("_h"), F.octet_length("text").cast("long").alias("_n")]
-    own = materialize(texts.select("doc_id", *key).groupBy("doc_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"), F.sum("_n").alias("n")), "lengths")
+    own = materialize(texts.select("doc_id", *key).groupBy("doc_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"), F.sum("_n").alias("n")), "lengths", narrow=True)
     total = own.agg(F.sum("n")).first()[0] or 0
-    mixed = materialize(own.filter("lo <> hi").select("doc_id"), "shared_ids")
+    mixed = materialize(own.filter("lo <> hi").select("doc_id"), "shared_ids", narrow=True)
     if mixed.isEmpty():
         return None, total
     variants = texts.select("doc_id", *key).join(mixed, "doc_id").groupBy("doc_id", "_h", "_n").agg(F.count("*").alias("_c")).drop("_c")
-    variants = materialize(variants.withColumn("_cell", F.shiftright("_h", 54).cast("int")), "variants")  # 1,024 cells, however many texts an id has
+    variants = materialize(variants.withColumn("_cell", F.shiftright("_h", 54).cast("int")), "variants", narrow=True)  # 1,024 cells, however many texts an id has
     before = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     cells = variants.groupBy("doc_id", "_cell").agg(F.sum("_n").alias("_sum"))
     cells = cells.select("doc_id", "_cell", F.coalesce(F.sum("_sum").over(before(["doc_id"], ["_cell"])), F.lit(0)).alias("_first"))
     within = F.coalesce(F.sum("_n").over(before(["doc_id", "_cell"], ["_h", "_n"])), F.lit(0))
     bases = variants.withColumn("_in", within).join(cells, ["doc_id", "_cell"])
-    return materialize(bases.select(F.col("doc_id").alias("_id"), "_h", "_n", (F.col("_first") + F.col("_in")).alias("_base")), "bases"), total
+    return materialize(bases.select(F.col("doc_id").alias("_id"), "_h", "_n", (F.col("_first") + F.col("_in")).alias("_base")), "bases", narrow=True), total
 
 
 def _based(rows: DataFrame, bases: DataFrame | None) -> DataFrame:
@@ -495,7 +495,7 @@ def repeat_report(docs: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = texts.join(ranges, texts.doc_id == ranges._doc, "left").select("doc_id", F.encode("text", "UTF-8"), "ranges", "_base")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
@@ -521,4 +521,4 @@ def remove_repeats(docs: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _based(rows, bases)
     joined = rows.join(ranges, rows.doc_id.cast("long") == ranges["_doc"], "left")
-    return joined.select(*(F.col("_row")[c].alias(c) for c in names), F.col("ranges").alias("__fernlode_ranges"), F.col("_base").alias("__fernlode_base")).mapInArrow(run, schema)
+    return map_batches(joined.select(*(F.col("_row")[c].alias(c) for c in names), F.col("ranges").alias("__fernlode_ranges"), F.col("_base").alias("__fernlode_base")), run, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.llm.training import SAMPLE_ROWS, fit_logistic, held_out, labelled_sample, sigmoid
+from fernlode.storage import map_batches
 
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
@@ -131,7 +132,7 @@ def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS, max_entries: int
         for at in range(0, len(terms), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(terms[at : at + 50_000]), *(pa.array(c[at : at + 50_000], pa.int64()) for c in counts)], names=["term", "n1", "n0"])
 
-    counted = rows.select("text", "y").mapInArrow(run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counted = map_batches(rows.select("text", "y"), run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     counted = counted.filter((F.col("n1") >= min_docs) | (F.col("term") == ""))
     totals = counted.filter(F.col("term") == "")
     share = totals.select((F.col("n1") / (F.col("n1") + F.col("n0"))).alias("p"))
@@ -157,7 +158,7 @@ def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], limit: int =
                 count.update((pair, y) for pair in pairs)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.int32()), pa.array(list(count.values()), pa.int64())], names=["pair", "y", "n"])
 
-    rows = sample.filter(F.col("fold") != CALIBRATION_FOLD).select("text", "y").mapInArrow(run, "pair string, y int, n long")
+    rows = map_batches(sample.filter(F.col("fold") != CALIBRATION_FOLD).select("text", "y"), run, "pair string, y int, n long")
     pairs = rows.groupBy("pair").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
     return [r["pair"] for r in pairs.filter("n1 = 0 AND n0 >= 3").orderBy(F.desc("n0"), "pair").limit(limit).collect()]
 
@@ -178,7 +179,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     own = sample.filter(F.col("fold") == CALIBRATION_FOLD)
-    rows = own.select("text", "y").mapInArrow(run, "x array<double>, y int").collect()  # at most sample_rows short rows
+    rows = map_batches(own.select("text", "y"), run, "x array<double>, y int").collect()  # at most sample_rows short rows
     rows.sort()
     y = np.array([r["y"] for r in rows], float)
     if len(rows) == 0 or y.min() == y.max():
@@ -209,7 +210,7 @@ def _scored(rows: DataFrame, model: dict) -> DataFrame:
                 score = _scores(model, machine, batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return map_batches(rows, run, "doc_id long, held_out boolean, score double")
 
 
 def drop_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,4 +224,4 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Da
                 keep = _scores(model, machine, batch.column(names.index("text")).to_pylist()) < threshold
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

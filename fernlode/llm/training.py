@@ -30,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     own = own.withColumn("fold", fold_of(F.col("doc_id"))).filter("fold <> 0").groupBy("doc_id", "fold").agg(F.max("y").alias("y"))
-    picked = materialize(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels")
+    picked = materialize(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels", narrow=True)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return materialize(texts.join(F.broadcast(picked), "doc_id"), "sample")  # picked has a proven bound
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlode.storage import broadcast_if_small, materialize, new_path
+from fernlode.storage import broadcast_if_small, map_batches, materialize, new_path
 
 MIN_REVISIT_BYTES = 1000
 SPLIT_BYTES = 4 << 20
@@ -108,7 +108,7 @@ def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], f.type) for i, f in enumerate(MANIFEST)], schema=MANIFEST)
 
-    return materialize(records.mapInArrow(run, MANIFEST_DDL), "manifest")
+    return materialize(map_batches(records, run, MANIFEST_DDL), "manifest", narrow=True)
 
 
 class _Window:
@@ -228,7 +228,7 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = SPLIT_BYT
                             rows, held = [], 0
                 yield _batch(rows)
 
-    return ranges.repartition(min(int(n), 100_000), F.col("path"), F.col("start")).mapInArrow(run, RECORDS_DDL)
+    return map_batches(ranges.repartition(min(int(n), 100_000), F.col("path"), F.col("start")), run, RECORDS_DDL)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

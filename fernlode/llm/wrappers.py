@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlode.storage import broadcast_if_small, materialize
+from fernlode.storage import broadcast_if_small, map_batches, materialize
 
 BROADCAST_HOSTS = 100_000
 CONSTANT_PAGES = 3
@@ -303,13 +303,13 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         distinct = len({t for texts in table.column("texts").to_pylist() for t in texts})
         return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "pages": pa.array([pages], pa.int64()), "description": [json.dumps(describe(wrapper, distinct))]})
 
-    partial = _with_host(pages).select("host", "html").mapInArrow(local, "host string, wrapper string, pages long, texts array<string>")
+    partial = map_batches(_with_host(pages).select("host", "html"), local, "host string, wrapper string, pages long, texts array<string>")
     return partial.groupBy("host").applyInArrow(merge, "host string, wrapper string, pages long, description string")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    hosts = broadcast_if_small(materialize(infer_wrappers(pages).select("host", "description"), "wrappers"), BROADCAST_HOSTS)
+    hosts = broadcast_if_small(materialize(infer_wrappers(pages).select("host", "description"), "wrappers", narrow=True), BROADCAST_HOSTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, dict | None] = {None: None}
@@ -322,4 +322,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = _with_host(pages).join(hosts, "host", "left")
-    return joined.select("page_id", "url", "html", "description").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "description"), run, "page_id long, url string, text string, n_chars long")

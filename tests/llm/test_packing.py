@@ -4,15 +4,17 @@ from array import array
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from fernlode.llm.packing import _ChunkIds, pack, plan_bins
+from fernlode.llm import packing
+from fernlode.llm.packing import _TextIds, pack, plan_bins
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-CHUNKS = _ChunkIds(PATH)
+IDS = _TextIds(PATH)
 
 
 def direct(text):
@@ -25,14 +27,12 @@ Tokenizer_ = Tokenizer.from_file(PATH)
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80))
 def test_chunk_ids_equal_the_tokenizer(text):
-    CHUNKS.learn([text])
-    assert CHUNKS.document(text) == direct(text)
+    assert list(IDS.documents(pa.array([text, text]))) == 2 * [direct(text)] and IDS.document(text) == direct(text)
 
 
 @pytest.mark.parametrize("text", ["It's DON'T we'll", "H̱ello İs ΣΑΣ", "a<|endoftext|>b", "x\x1cy z", "foo!!! Bar?,", "ª µ ß ẞ ﬁ", "naïve Café,"])
 def test_chunk_ids_of_odd_texts(text):
-    CHUNKS.learn([text])
-    assert CHUNKS.document(text) == direct(text)
+    assert list(IDS.documents(pa.array([text, text]))) == 2 * [direct(text)] and IDS.document(text) == direct(text)
 
 
 def test_plan_covers_every_piece_once_without_overflow():
@@ -68,3 +68,16 @@ def test_pack_round_trip(spark, docs_of, corpus):
 
 def test_pack_empty_table(docs_of):
     assert pack(docs_of([]), PATH).count() == 0
+
+
+def test_ids_are_the_tokenizers(monkeypatch):
+    monkeypatch.setattr(packing._WordIds, "SLOTS", 1 << 8)
+    monkeypatch.setattr(packing._WordIds, "POOL", 1 << 12)
+    monkeypatch.setattr(packing, "SEGMENT_CHARS", 300)
+    ids_of = _TextIds(PATH)
+    rng = random.Random(5)
+    odd = "aAbßéÉ.,'’<|>_-09 \t\n\x0b\x85\xa0\x1c½²µªÿ日本İſ€\x00\x01\x7f\xad"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["".join(rng.choice("aeiourstnlAEß. ,") for _ in range(rng.randint(0, 400))) for _ in range(300)]
+    texts += [None, "é" * 300 + " a b", "x" * 2000, "a " * 2000 + "b" * 300, "abc " * 1000 + "日本", "<|endoftext|> don't"]
+    assert list(ids_of.documents(pa.array(texts))) == [ids_of.encode(t or "") for t in texts]
