@@ -7,10 +7,11 @@ bit-parallel distance of the whole item against the words around the hit.  Words
 letters and digits with A-Z lower-cased, so case, punctuation and white space do not count.
 
 The test set is a stated query set: it is taken in blocks of at most ``BLOCK_BYTES`` of text, each
-sent to all tasks, and every block meets all documents.
+sent to all tasks, and every block meets all documents; the driver holds one block at a time.
 
-Cases: null and empty texts match nothing, nor do items without words; items under
-``MIN_WORDS`` words must match exactly and are taken only from ``MIN_WORDS`` on; repeated rows are
+Cases: null and empty texts match nothing, nor do items without words; items under ``ERROR_WORDS`` words, down to
+one, must match exactly (``min_words`` can leave short ones out); a script without spaces has one word for each run
+between ASCII characters, so its items are found only as whole runs; repeated rows are
 reported once for each (doc_id, item_id), with the best match; a null doc_id is reported as null;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -22,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from fernlode.storage import broadcast_if_small, map_batches, materialize
 
 _U = np.uint64
 ERROR_WORDS = 8
-MIN_WORDS = 5
+MIN_WORDS = 1
 BLOCK_BYTES = 16 << 20
 BROADCAST_IDS = 400_000
 _STEP = _U(0xD6E8FEB86659FD93)
@@ -65,8 +67,8 @@ def _sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, back
 
 
-def myers(pattern: list[int], text: list[int]) -> tuple[int, int]:
-    """(least distance of the pattern to any part of the text, end of the first best part)."""
+def myers(pattern: list[int], text: list[int], anchored: bool = False) -> tuple[int, int]:
+    """(least distance of the pattern to any part of the text, end of the first best part); ``anchored``: of parts from the text's start."""
     m = len(pattern)
     where: dict[int, int] = {}
     for i, w in enumerate(pattern):
@@ -82,7 +84,7 @@ def myers(pattern: list[int], text: list[int]) -> tuple[int, int]:
             score += 1
         elif hn & top:
             score -= 1
-        x = (hp << 1) & mask
+        x = (hp << 1 | anchored) & mask
         vn = x & d0
         vp = ((hn << 1) | ~(x | d0)) & mask
         if score < best:
@@ -137,14 +139,13 @@ def _matches(words: np.ndarray, first: np.ndarray, compiled: dict) -> Iterator[t
         found = [(*myers(compiled["words"][number], words[a:b].tolist()), a) for a, b in joined]
         distance, end, a = min(found)
         if distance <= compiled["errors"][number]:
-            base = int(first[doc])
-            stop = a + end - base
-            yield doc, number, distance, max(0, stop - len(compiled["words"][number])), stop
+            base, pattern = int(first[doc]), compiled["words"][number]
+            back = words[max(a, a + end - len(pattern) - distance) : a + end][::-1].tolist()
+            length = myers(pattern[::-1], back, anchored=True)[1]  # the part that ends there, from its end
+            yield doc, number, distance, a + end - length - base, a + end - base
 
 
-def _block_matches(docs: DataFrame, compiled: dict) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(compiled)  # at most a block
-
+def _block_matches(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = shared.value
         for batch in batches:
@@ -163,10 +164,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_words: int = ERROR
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = size // block_bytes + 1
-    parts = []
+    parts: list[DataFrame] = []
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).distinct().orderBy("item_id", "text").collect()  # a block of the query set
-        parts.append(_block_matches(docs, compile_items([(r["item_id"], r["text"]) for r in own], error_words, min_words)))
+        shared = docs.sparkSession.sparkContext.broadcast(compile_items([(r["item_id"], r["text"]) for r in own], error_words, min_words))  # at most a block
+        found = _block_matches(docs, shared)
+        parts.append(materialize(found, "matches", narrow=True) if blocks > 1 else found)
+        if blocks > 1:
+            shared.destroy()
     best = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start_word", "end_word", "item_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.distance", "m.item_words", "m.start_word", "m.end_word")
 

@@ -13,7 +13,8 @@ blocks, so no task holds more than two blocks, and results are counts and spanni
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label or id, link with nothing; only vectors of one length are compared; rows that share a
-vec_id and vector are one vector's rows, and each counts as a row; an empty table gives an empty result; other columns
+vec_id and vector are one vector's rows, and each counts as a row; different vectors under one vec_id are vectors of
+their own, linked or not, with their id's place among the ids; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -180,6 +181,28 @@ def _unite(root: np.ndarray, rep: np.ndarray, p: np.ndarray, q: np.ndarray) -> N
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    content = F.xxhash64("label", "embedding")
+    ids = rows.filter("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(content).alias("lo"), F.max(content).alias("hi"))
+    shared = materialize(ids.filter("lo <> hi").select("vec_id"), "shared_ids", narrow=True)
+    if shared.isEmpty():
+        return _duplicates(rows, threshold)
+    # Vectors that share an id go by numbers above all ids; afterwards each component gets its smallest id.
+    own = rows.join(shared, "vec_id", "left_semi").groupBy("vec_id", content.alias("_c")).agg(F.count("*").alias("_n")).drop("_n")
+    top = (rows.agg(F.max("vec_id")).first()[0] or 0) + 1
+    names = materialize(own.select("vec_id", "_c", (F.lit(top) + F.monotonically_increasing_id()).alias("_name")), "names", narrow=True)
+    named = rows.withColumn("_c", content).join(names, ["vec_id", "_c"], "left")
+    named = materialize(named.select("vec_id", F.coalesce("_name", "vec_id").alias("_name"), "label", "embedding"), "named")
+    out = materialize(_duplicates(named.select(F.col("_name").alias("vec_id"), "label", "embedding"), threshold), "duplicates")
+    ids = named.select(F.col("_name").alias("_node"), F.col("vec_id").alias("_id")).groupBy("_node", "_id").agg(F.count("*").alias("_n")).drop("_n")
+    out = out.join(ids, out.vec_id.eqNullSafe(ids["_node"]), "left").select(F.col("_id").alias("vec_id"), "n_links", F.col("component_id").alias("_g"), F.col("vec_id").alias("_node"))
+    least = out.groupBy("_g").agg(F.min("vec_id").alias("component_id")).withColumnRenamed("_g", "_h")
+    out = out.join(least, F.col("_g") == F.col("_h"), "left")
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """The same for a table in which no id has different vectors."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     usable = rows.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _valid("v"))
     key = [F.xxhash64("v").alias("_a"), F.xxhash64("v", F.lit(1)).alias("_b")]

@@ -62,3 +62,18 @@ def test_estimates_are_unbiased_and_bounds_hold():
     true, upper = x @ x.T, upper_bounds(codes, rows, rows)
     error = (upper - codes.width[None, :] - true)[~np.eye(400, dtype=bool)]
     assert abs(error.mean()) < 2e-3 and (upper >= true).mean() > 0.999
+
+
+def test_different_vectors_under_one_id(spark):
+    rows = data()
+    ids = {i: i % 50 if i < 600 else i for i, _, _ in rows}
+    frame = spark.createDataFrame([(ids[i], v, l) for i, v, l in rows], "vec_id long, embedding array<float>, label int").repartition(3)
+    wide = [(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None, l) for i, v, l in rows]
+    found = brute(wide)
+    least = {}
+    for i, _, c, _ in found:
+        least[c] = min(least.get(c, ids[i]), ids[i])
+    expect = sorted((ids[i], n, least[c], ids[i] == least[c]) for i, n, c, _ in found)
+    got = sorted(tuple(r) for r in embedding_duplicates(frame).collect())
+    assert [g[:2] for g in got] == [e[:2] for e in expect]
+    assert got == expect
