@@ -1,29 +1,33 @@
 """Main-text extraction by union-free wrapper inference for each host.
 
-A page is a stream of block tags and texts.  Immediate repeats in a stream become repeated groups;
-then the streams of one host are aligned one after the other with the wrapper so far: what both have stays,
-texts that differ become slots, and what only one side has becomes optional.  There are no
-alternatives, so the wrapper is a union-free regular expression.  Every task makes one wrapper for
-each host it meets, and the wrappers of a host are aligned with each other in turn, so a host of a
-third of all pages costs a row a task.
-
-The wrapper tells in which element the host keeps its varying text and which texts it repeats on
-every page, if it has at least ``CONSTANT_PAGES`` pages with different texts.  Extraction takes all elements of that kind on the page, in page order, but those inside a
-menu, sidebar or the like, and leaves out what is marked as a menu, footer, sidebar,
-notice, advert, form or reader comments inside them; where a host has no such element, the body is
-taken without the repeated texts.
+A page is a tree of block elements and texts, read from its token stream.  A wrapper is such a tree with the marks of a
+union-free regular expression: a node may be optional or repeated, several nodes may stand in a repeated group, and a text
+is constant or a slot.  The first page is the first wrapper; every further page is aligned with it, and each
+mismatch is resolved on the spot: differing texts become a slot; nodes that repeat what has just been
+matched, on either side, become a repeated node or group; what only one side has becomes optional.  There are no
+alternatives.
+
+Pages whose trees agree but for the lengths of runs are aligned in the task that reads them, one wrapper for each such
+class; the classes of a host are then aligned in the order of their hashes, in groups of a few that
+are aligned in turn, so that the result does not depend on how pages are dealt out and a host of a third of all
+pages costs a row a task and class.
+
+The wrapper says which region holds the host's slots: the kind of element (article, main, or one whose name speaks of
+content) that has undropped slots, or else the whole body.  Tags and names are the prior: what they mark as a menu, header, footer, sidebar,
+notice, advert, form or reader comments is no region and no part of one.  Each page is read along the wrapper: of a
+region all texts are kept, without one the slots, for a constant is a template's text once two different pages show it.
 
 Cases: a null html is empty, its text too; a page without host belongs to the host ""; unclosed and
-stray tags end with their parent; rows that share a page_id are each extracted; an empty table gives an
-empty result; other columns are ignored.
+stray tags end with their parent; rows that share a page_id are each extracted; equal pages are one page for what is
+constant; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from hashlib import blake2b
 from html import unescape
 
@@ -31,17 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernlode.storage import broadcast_if_small, map_batches, materialize
+from fernlode.storage import map_batches, materialize
 
-BROADCAST_HOSTS = 100_000
-CONSTANT_PAGES = 3
+BROADCAST_BYTES = 16 << 20
+HELD_BYTES = 16 << 20
 LONG_TEXT = 200
-MAX_PERIOD = 12
+#: Wrappers that are aligned at once when those of a host are brought together.
+FAN_IN = 32
+OPTIONAL, REPEATED = 1, 2
+#: Blocks nested deeper than this become part of the block around them.
+MAX_DEPTH = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea title iframe svg canvas object dialog menu fieldset math audio video".split())
+DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea title iframe svg canvas object dialog menu fieldset audio video".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dd dt", {"dl"}), "dd": ("dd dt", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 BOILERPLATE = frozenset(
@@ -50,6 +58,11 @@ BOILERPLATE = frozenset(
     "related recommended recommendations comment comments commentlist disqus reply replies respond discussion pagination pager form search toolbar skip".split()
 )
 CONTENT = frozenset("article articlebody content post entry story main maincontent postcontent entrycontent text".split())
+KINDS = ("article", "main", "content")
+#: Blocks of running text: of names in parts, only whole ones tell.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption".split())
+#: A name of a title, such as entry-header.
+TITLES = frozenset("header head title".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -57,73 +70,74 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("name", "kind", "dropped", "number")
+    __slots__ = ("name", "node", "muted")
 
-    def __init__(self, name: str, kind: str, dropped: bool, number: int):
-        self.name, self.kind, self.dropped, self.number = name, kind, dropped, number
+    def __init__(self, name: str, node: list | None, muted: bool):
+        self.name, self.node, self.muted = name, node, muted
 
 
-def _marks(attributes: str) -> tuple[set[str], bool]:
-    words, hidden = set(), False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        value, name = a or b or c, name.lower()
-        if name in ("hidden", "aria-hidden"):
-            hidden = hidden or value.lower() not in ("false",) and (name == "hidden" or value.lower() == "true")
-        else:
-            words.update(w.lower() for w in _WORD.findall(value))
-            words.add(re.sub(r"[^a-z]", "", value.lower()))
-    return words, hidden
-
-
-def parse(html: str | None) -> tuple[list[tuple[str, dict[str, tuple[int, int, int]], int]], list[str]]:
-    """Blocks (text, open containers {kind: (number, depth, number of the innermost dropped element around it or 0)}, depth of the innermost dropped element) and the tag stream.
-
-    In the stream '#' stands for the block whose number is its place among the '#'.
+def _marks(attributes: str, name: str) -> tuple[set[str], set[str], bool]:
+    """(boilerplate words, content words, hidden) of an element's names."""
+    boilerplate, content, hidden = set(), set(), False
+    for attribute, a, b, c in _ATTRIBUTE.findall(attributes):
+        value, attribute = a or b or c, attribute.lower()
+        if attribute == "hidden" or attribute == "aria-hidden":
+            hidden = hidden or attribute == "hidden" or value.lower() == "true"
+            continue
+        for token in value.split():
+            words = {w.lower() for w in _WORD.findall(token)}
+            whole = re.sub(r"[^a-z]", "", token.lower())
+            content |= (words | {whole}) & CONTENT
+            if attribute == "role" and whole == "main":
+                content.add("main")
+            bad = ({whole} if name in TEXT_BLOCKS else words | {whole}) & BOILERPLATE
+            if not (bad <= TITLES and words & CONTENT):
+                boilerplate |= bad
+    return boilerplate, content, hidden
+
+
+def parse(html: str | None) -> list[list]:
+    """The page as a list of nodes: [key, 0, kids] of a block element, ["#", 0, text] of a text.
+
+    A key is the tag's name, then "-" and a word if it is dropped, or "+" and its kind if it may be a region.
     """
-    blocks: list[tuple[str, dict[str, tuple[int, int, int]], int]] = []
-    stream: list[str] = []
+    root: list[list] = []
     stack: list[_Element] = []
     parts: list[str] = []
-    n, at, html = 0, 0, html or ""
+    at, html = 0, html or ""
+    kids, muted, depth = root, 0, 0
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
-                open_, dropped, around = {}, -1, 0
-                for depth, e in enumerate(stack):
-                    if e.kind and e.kind not in open_:
-                        open_[e.kind] = (e.number, depth, around)
-                    if e.dropped:
-                        dropped, around = depth, e.number
-                blocks.append((text, open_, dropped))
-                stream.append("#")
+                kids.append(["#", 0, text])
 
     def pop_to(k: int) -> None:
-        flush()
-        for e in reversed(stack[k:]):
-            if e.name in BLOCK:
-                stream.append(f"</{e.name}>")
+        nonlocal kids, muted, depth
+        if any(e.node is not None for e in stack[k:]):
+            flush()
+        muted -= sum(e.muted for e in stack[k:])
+        depth -= sum(e.node is not None for e in stack[k:])
         del stack[k:]
+        kids = next((e.node[2] for e in reversed(stack) if e.node is not None), root)
 
     while True:
         found = _TOKEN.search(html, at)
+        stop = len(html) if found is None else found.start()
+        if stop > at and not muted:
+            parts.append(unescape(html[at:stop]))
         if found is None:
-            parts.append(unescape(html[at:]))
             break
-        if found.start() > at:
-            parts.append(unescape(html[at : found.start()]))
         at = found.end()
         name = (found[2] or found[5] or "").lower()
         if not name:
             continue
         if found[1] or found[4]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
-            if k is not None and name in BLOCK:
+            if k is not None and (name in BLOCK or not any(e.node is not None for e in stack[k + 1 :])):  # an inline end tag does not close blocks
                 pop_to(k)
-            elif k is not None and not any(e.name in BLOCK for e in stack[k + 1 :]):  # an inline end tag does not close blocks
-                del stack[k:]
             continue
         attributes = found[3] or found[6] or ""
         if name in RAW:
@@ -133,15 +147,15 @@ def parse(html: str | None) -> tuple[list[tuple[str, dict[str, tuple[int, int, i
         if name in VOID:
             if name in BLOCK:
                 flush()
-            else:
-                parts.append(" " if name in ("br", "wbr") else "")
+            elif name in ("br", "wbr"):
+                parts.append(" ")
             continue
         if name in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name == "p":
                     pop_to(k)
                     break
-                if stack[k].name in BLOCK:
+                if stack[k].node is not None:
                     break
         if name in IMPLIED:
             ends, scope = IMPLIED[name]
@@ -153,116 +167,209 @@ def parse(html: str | None) -> tuple[list[tuple[str, dict[str, tuple[int, int, i
                     break
         if attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
-        words, hidden = _marks(attributes) if attributes else (set(), False)
-        kind = name if name in ("article", "main") else "main" if "main" in words and "role" in attributes else "content" if words & CONTENT and name in BLOCK else ""
-        dropped = name in DROPPED or hidden or bool(words & BOILERPLATE) and name not in ("html", "body", "main")
-        if name in BLOCK:
-            flush()
-            stream.append(f"<{name}{'.' + min(words & (BOILERPLATE | CONTENT)) if words & (BOILERPLATE | CONTENT) else ''}>")
-        n += 1
-        stack.append(_Element(name, kind, dropped, n))
+        bad, content, hidden = _marks(attributes, name) if attributes else ((), (), False)
+        dropped = name in DROPPED or hidden or bool(bad) and name not in ("html", "body", "main")
+        if name == "header" and not any(e.node is not None and "+" in e.node[0] for e in stack):
+            dropped = True  # of the site, not of an article
+        if name not in BLOCK:
+            stack.append(_Element(name, None, dropped))
+            muted += dropped
+            continue
+        flush()
+        if depth >= MAX_DEPTH:  # deeper blocks are read where they stand
+            stack.append(_Element(name, ["", 0, kids], dropped))
+            muted += dropped
+            depth += 1
+            continue
+        kind = name if name in ("article", "main") else "main" if "main" in content and "role" in attributes else "content" if content else ""
+        node = [name + (f"-{min(bad, default=name)}" if dropped else "") + (f"+{kind}" if kind else ""), 0, []]
+        kids.append(node)
+        kids = node[2]
+        stack.append(_Element(name, node, False))
+        depth += 1
     pop_to(0)
-    return blocks, stream
-
-
-def _digest(text: str) -> str:
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    flush()
+    return root
 
 
 def text_key(text: str) -> str:
     """The text, or the length and a 128-bit hash of a long one."""
-    return text if len(text) <= LONG_TEXT else f"\x00{len(text)} {_digest(text)}"
-
-
-# A wrapper is a list of nodes [key, optional, repeated, text]: text is the key of a slot's constant text, or None once it varies.
-def fold_repeats(nodes: list[list]) -> list[list]:
-    """Immediate repeats of up to MAX_PERIOD nodes become one repeated group, shortest periods first."""
-    for period in range(1, MAX_PERIOD + 1):
-        out: list[list] = []
-        i = 0
-        while i < len(nodes):
-            unit = [x[0] for x in nodes[i : i + period]]
-            j = i + period
-            while len(unit) == period and [x[0] for x in nodes[j : j + period]] == unit:
-                j += period
-            if j > i + period and (period > 1 or unit[0] == "#"):
-                group = [list(x) for x in nodes[i : i + period]]
-                for k, x in enumerate(group):
-                    x[2] = True
-                    if any(y[3] != x[3] for y in nodes[i + k : j : period]):
-                        x[3] = None
-                out += group
-                i = j
-            else:
-                out.append(nodes[i])
-                i += 1
-        nodes = out
-    return nodes
-
-
-def page_wrapper(html: str | None) -> list[list]:
-    return _wrapper_and_texts(html)[0]
-
-
-def _wrapper_and_texts(html: str | None) -> tuple[list[list], str]:
-    """The wrapper of one page, and a hash of the texts outside dropped elements, which is equal for copies."""
-    blocks, stream = parse(html)
-    texts = iter(blocks)
-    wrapper = fold_repeats([[t, False, False, text_key(next(texts)[0]) if t == "#" else None] for t in stream])
-    return wrapper, _digest("\n".join(text for text, _, dropped in blocks if dropped < 0))
+    return text if len(text) <= LONG_TEXT else f"\x00{len(text)} {blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
+def _texts(nodes: list[list]) -> list[str]:
+    """The undropped texts."""
+    read: list[tuple[str, bool]] = []
+    _read(nodes, [], read)
+    return [t for t, _ in read]
+
+
+def page_wrapper(nodes: list[list]) -> list[list]:
+    """A page as a wrapper: all its texts are constant."""
+    return [[key, 0, text_key(x) if key == "#" else page_wrapper(x)] for key, _, x in nodes]
+
+
+def _shape(nodes: list[list]) -> str:
+    """The tree with runs of equal nodes as one: pages of one shape differ in texts and lengths of runs."""
+    out: list[str] = []
+    for key, _, x in nodes:
+        own = key if key == "#" else f"{key}({_shape(x)})"
+        if not out or out[-1] != own:
+            out.append(own)
+    return ",".join(out)
+
+
+def _join(a: list, b: list) -> list:
+    """Two nodes of one key as one."""
+    if a == b:
+        return a
+    if a[0] == "#":
+        return ["#", a[1] | b[1], a[2] if a[2] == b[2] else None]
+    return [a[0], a[1] | b[1], a[2] if a[2] == b[2] else align(a[2], b[2])]
+
+
+def _optional(nodes: list[list]) -> list[list]:
+    return [[key, flags | OPTIONAL, x] for key, flags, x in nodes]
+
+
+def _fold(out: list[list], nodes: list[list], at: int) -> int:
+    """Resolve nodes[at:] as a repeat of the end of ``out``; the number of nodes that are used up."""
+    if not out:
+        return 0
+    if out[-1][0] == "()":
+        used, unit = _take(out[-1][2], nodes, at)
+        if used:
+            out[-1] = ["()", out[-1][1], unit]
+            return used
+    for k in range(1, min(len(out), len(nodes) - at) + 1):
+        if out[-k][0] == nodes[at][0] and all(out[i - k][0] == nodes[at + i][0] for i in range(k)):
+            unit = [_join(out[i - k], nodes[at + i]) for i in range(k)]
+            out[-k:] = [[unit[0][0], unit[0][1] | REPEATED, unit[0][2]]] if k == 1 else [["()", REPEATED, unit]]
+            return k
+    return 0
+
+
+def _take(unit: list[list], nodes: list[list], at: int) -> tuple[int, list[list]]:
+    """(how many nodes from ``at`` on are further turns of a repeated group, the group that covers them)."""
+    keys = {x[0] for x in unit}
+    first = next((x[0] for x in unit if not x[1] & OPTIONAL), unit[0][0])
+    stop = at
+    while stop < len(nodes) and nodes[stop][0] in keys:
+        stop += 1
+    if stop == at or nodes[at][0] != first:
+        return 0, unit
+    turns = [i for i in range(at, stop) if nodes[i][0] == first] + [stop]
+    for a, b in zip(turns, turns[1:]):
+        unit = align(unit, nodes[a:b])
+    return stop - at, unit
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper that covers both: common nodes stay, others become optional, differing texts become slots."""
+    """The wrapper that covers two lists of nodes: what both have stays, and every mismatch becomes a repeat or optional."""
     out: list[list] = []
-    for tag, i, j, k, m in SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_opcodes():
-        if tag == "equal":
-            out += [[x[0], x[1] or y[1], x[2] or y[2], x[3] if x[3] == y[3] else None] for x, y in zip(a[i:j], b[k:m])]
+    i = j = 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
+            out.append(_join(a[i], b[j]))
+            i, j = i + 1, j + 1
+            continue
+        if i < len(a) and j < len(b) and "()" in (a[i][0], b[j][0]):
+            group, nodes, at = (a[i], b, j) if a[i][0] == "()" else (b[j], a, i)
+            used, unit = _take(group[2], nodes, at)
+            if used:
+                out.append(["()", group[1], unit])
+                i, j = (i + 1, j + used) if group is a[i] else (i + used, j + 1)
+                continue
+        used = _fold(out, b, j) if j < len(b) else 0
+        if used:
+            j += used
+            continue
+        used = _fold(out, a, i) if i < len(a) else 0
+        if used:
+            i += used
+            continue
+        if i == len(a) or j == len(b):
+            out += _optional(a[i:] if j == len(b) else b[j:])[:1]
+            i, j = (i + 1, j) if j == len(b) else (i, j + 1)
+            continue
+        skip_a = next((k for k in range(i + 1, len(a)) if a[k][0] == b[j][0]), None)
+        skip_b = next((k for k in range(j + 1, len(b)) if b[k][0] == a[i][0]), None)
+        if skip_a is not None and (skip_b is None or skip_a - i <= skip_b - j):
+            out += _optional(a[i:skip_a])
+            i = skip_a
+        elif skip_b is not None:
+            out += _optional(b[j:skip_b])
+            j = skip_b
         else:
-            out += [[x[0], True, *x[2:]] for x in a[i:j]] + [[y[0], True, *y[2:]] for y in b[k:m]]
+            out += _optional([a[i], b[j]])
+            i, j = i + 1, j + 1
     return out
 
 
-def describe(wrapper: list[list], distinct: int) -> dict:
-    """The element with the host's varying text, and the texts that every one of enough distinct pages repeats."""
-    open_: list[str] = []
-    slots: dict[str, int] = {"article": 0, "main": 0, "content": 0, "": 0}
-    constants = []
-    for key, optional, repeated, text in wrapper:
+def _regions(nodes: list[list], kind: str, around: tuple[int, ...] = ()) -> Iterator[tuple[list, tuple[int, ...], int]]:
+    """(element, ids of the dropped elements around it, number of its undropped slots) of the outermost elements of a kind."""
+    for node in nodes:
+        if node[0] == "#":
+            continue
+        if node[0].endswith(f"+{kind}"):
+            yield node, around, _slots(node[2])
+        else:
+            yield from _regions(node[2], kind, (*around, id(node)) if "-" in node[0] else around)
+
+
+def _slots(nodes: list[list]) -> int:
+    return sum((x is None or bool(flags & REPEATED)) if key == "#" else 0 if "-" in key else _slots(x) for key, flags, x in nodes)
+
+
+def choose_kind(wrapper: list[list]) -> str:
+    """The kind of the host's region: the first with undropped slots, or with undropped elements of it, or "" for the body."""
+    found = {kind: [n for _, _, n in _regions(wrapper, kind)] for kind in KINDS}
+    return next((k for k in KINDS if sum(found[k])), next((k for k in KINDS if found[k]), ""))
+
+
+def _read(nodes: list[list], wrapper: list[list], out: list[tuple[str, bool]], optional: bool = False) -> None:
+    """(text, whether it is no template's) of the undropped texts of nodes, read along a wrapper.
+
+    A text is the template's if it is constant and stands in no optional part, so that every page has shown it.
+    """
+    flat: list[list] = []
+    turn: list[int] = []  # where the next turn of a node's group begins, or the node itself if it repeats
+    for x in wrapper:
+        first = len(flat)
+        flat += x[2] if x[0] == "()" else [x]
+        turn += [first if x[0] == "()" else k if x[1] & REPEATED else k + 1 for k in range(first, len(flat))]
+    at = -1
+    for key, _, x in nodes:
+        if "-" in key:
+            continue
+        again = turn[at] if at >= 0 else 0
+        near = at if at >= 0 and flat[at][1] & REPEATED else at + 1
+        own = next((k for k in (*range(near, len(flat)), *range(again, near), *range(again)) if flat[k][0] == key), None)
+        at = at if own is None else own
         if key == "#":
-            if text is None or repeated:
-                slots[""] += 1
-                for kind in ("article", "main", "content"):
-                    slots[kind] += any(e.split(".")[0] == kind or kind == "content" and e.partition(".")[2] in CONTENT for e in open_)
-            elif not optional and distinct >= CONSTANT_PAGES:
-                constants.append(text)
-        elif key.startswith("</"):
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i].split(".")[0] == key[2:-1]:
-                    del open_[i:]
-                    break
+            out.append((x, optional or own is None or bool(flat[own][1] & OPTIONAL) or flat[own][2] != text_key(x)))
         else:
-            open_.append(key[1:-1])
-    kind = next((k for k in ("article", "main", "content") if slots[k]), "")
-    return {"kind": kind, "constants": constants}
-
-
-def extract(html: str | None, host: dict | None) -> str:
-    """Main text of one page."""
-    blocks, _ = parse(html)
-    first = (host or {}).get("kind") or "article"
-    for kind in dict.fromkeys((first, "article", "main", "content")):
-        sizes: dict[int, int] = {}
-        for text, open_, dropped in blocks:
-            if kind in open_ and dropped < open_[kind][1]:
-                sizes[open_[kind][0]] = sizes.get(open_[kind][0], 0) + len(text)
-        if sizes:
-            best = max(sizes, key=lambda k: (sizes[k], -k))
-            # What stands around the largest element is no boilerplate, whatever its name says.
-            clean = {0, *(open_[kind][2] for _, open_, _ in blocks if kind in open_ and open_[kind][0] == best)}
-            return "\n".join(text for text, open_, dropped in blocks if kind in open_ and open_[kind][2] in clean and dropped < open_[kind][1])
-    constants = set((host or {}).get("constants", ()))
-    return "\n".join(text for text, _, dropped in blocks if dropped < 0 and text_key(text) not in constants)
+            _read(x, [] if own is None else flat[own][2], out, optional or own is not None and bool(flat[own][1] & OPTIONAL))
+
+
+def extract(html: str | None, wrapper: list[list] | None, different: bool = True, kind: str | None = None) -> str:
+    """Main text of one page, read along the wrapper of its host; ``different``: whether that covers different pages."""
+    nodes = parse(html)
+    if wrapper is None:  # one page by itself cannot tell what is a template's
+        wrapper, different = page_wrapper(nodes), False
+    for own in dict.fromkeys((kind or choose_kind(wrapper), *KINDS)):
+        regions = [(node, around) for node, around, _ in _regions(nodes, own)] if own else []
+        texts: list[list[str]] = []
+        for node, _ in regions:
+            texts.append(_texts(node[2]) if "-" not in node[0] else [])
+        if any(texts):
+            # What stands around the largest region is no boilerplate, whatever its name says.
+            best = max(range(len(texts)), key=lambda k: (sum(map(len, texts[k])), -k))
+            clean = set(regions[best][1])
+            return "\n".join(t for (_, around), own_texts in zip(regions, texts) if clean.issuperset(around) for t in own_texts)
+    read: list[tuple[str, bool]] = []
+    _read(nodes, wrapper, read)
+    return "\n".join(t for t, own in read if own or not different)
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -270,56 +377,103 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
 
+def _aligned(wrappers: list[str]) -> str:
+    wrapper = json.loads(wrappers[0])
+    for text in wrappers[1:]:
+        if text != wrappers[0]:
+            wrapper = align(wrapper, json.loads(text))
+    return json.dumps(wrapper)
+
+
+_CLASS_DDL = "host string, shape long, wrapper string, pages long, texts array<long>"
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """Some classes of a host as one, in the order of their hashes."""
+    rows = sorted(zip(table.column("shape").to_pylist(), table.column("wrapper").to_pylist()))
+    texts = sorted({t for own in table.column("texts").to_pylist() for t in own})[:2]  # whether there are two
+    pages = sum(table.column("pages").to_pylist())
+    return pa.table({"host": table.column("host").slice(0, 1), "shape": pa.array([rows[0][0]], pa.int64()), "wrapper": [_aligned([w for _, w in rows])], "pages": pa.array([pages], pa.int64()), "texts": pa.array([texts], pa.list_(pa.int64()))})
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON nodes), pages, description (JSON): the wrapper of every host."""
+    """host, wrapper (JSON nodes), pages, different (whether two pages differ in their texts): the wrapper of every host."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
+        found: dict[tuple[str, int], list] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, values = list(found), list(found.values())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int64()), pa.array([json.dumps(v[0]) for v in values], pa.string()), pa.array([v[1] for v in values], pa.int64()), pa.array([sorted(v[2]) for v in values], pa.list_(pa.int64()))],
+                names=["host", "shape", "wrapper", "pages", "texts"],
+            )
+
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own, texts = _wrapper_and_texts(html.as_py())
-                known = found.get(host)
+                nodes = parse(html.as_py())
+                own, shape = page_wrapper(nodes), _number(_shape(nodes))
+                texts = _number("\n".join(_texts(nodes)))
+                known = found.get((host, shape))
                 if known is None:
-                    found[host] = [own, 1, {texts}]
-                else:
-                    known[1] += 1
-                    if len(known[2]) < CONSTANT_PAGES:  # more need not be told apart
+                    found[host, shape] = [own, 1, {texts}]
+                    size += len(html.as_buffer()) if html.is_valid else 0
+                    if size > HELD_BYTES:
+                        yield flush()
+                        found.clear()
+                        size = 0
+                    continue
+                known[1] += 1
+                if texts not in known[2]:
+                    if len(known[2]) < 2:  # two tell that pages differ
                         known[2].add(texts)
-                    if known[0] != own:
-                        known[0] = align(known[0], own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w, _, _ in found.values()], pa.string()), pa.array([n for _, n, _ in found.values()], pa.int64()), pa.array([sorted(t) for _, _, t in found.values()], pa.list_(pa.string()))],
-            names=["host", "wrapper", "pages", "texts"],
-        )
-
-    def merge(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist()))
-        wrapper = json.loads(rows[0][0])
-        for text, _ in rows[1:]:
-            other = json.loads(text)
-            if other != wrapper:
-                wrapper = align(wrapper, other)
-        pages = sum(n for _, n in rows)
-        distinct = len({t for texts in table.column("texts").to_pylist() for t in texts})
-        return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(wrapper)], "pages": pa.array([pages], pa.int64()), "description": [json.dumps(describe(wrapper, distinct))]})
-
-    partial = map_batches(_with_host(pages).select("host", "html"), local, "host string, wrapper string, pages long, texts array<string>")
-    return partial.groupBy("host").applyInArrow(merge, "host string, wrapper string, pages long, description string")
+                    known[0] = align(known[0], own)
+        if found:
+            yield flush()
+
+    partial = map_batches(_with_host(pages).select("host", "html"), local, _CLASS_DDL)
+    classes = materialize(partial.groupBy("host", "shape").applyInArrow(_merge, _CLASS_DDL), "classes")
+    most = classes.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits = max(math.ceil(math.log2(max(most, 1) / FAN_IN)), 0)
+    while bits > 0:  # groups of classes with the same leading bits
+        part = F.shiftrightunsigned("shape", 64 - bits)
+        classes = materialize(classes.groupBy("host", part.alias("_part")).applyInArrow(_merge, _CLASS_DDL), "classes")
+        bits -= FAN_IN.bit_length() - 1
+    whole = classes.groupBy("host").applyInArrow(_merge, _CLASS_DDL)
+    return whole.select("host", "wrapper", "pages", (F.size("texts") > 1).alias("different"))
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    hosts = broadcast_if_small(materialize(infer_wrappers(pages).select("host", "description"), "wrappers", narrow=True), BROADCAST_HOSTS)
+    hosts = materialize(infer_wrappers(pages), "wrappers", narrow=True)
+    size = hosts.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper").cast("long"))).first()[0] or 0
+    rows = _with_host(pages)
+    shared = None
+    if size <= BROADCAST_BYTES:
+        own = hosts.select("host", "wrapper", "different").collect()  # within the bound just counted
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: (r["wrapper"], r["different"]) for r in own})
+        rows = rows.select("page_id", "url", "html", "host")
+    else:
+        rows = rows.join(hosts, "host", "left").select("page_id", "url", "html", "wrapper", "different")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, dict | None] = {None: None}
+        known: dict[str, tuple[list, str]] = {}
         for batch in batches:
             texts = []
-            for html, text in zip(batch.column(2), batch.column(3).to_pylist()):
-                if text not in known:
-                    known[text] = json.loads(text)
-                texts.append(extract(html.as_py(), known[text]))
+            found = (shared.value[h] for h in batch.column(3).to_pylist()) if shared else zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            for html, (wrapper, different) in zip(batch.column(2), found):
+                if wrapper not in known:
+                    if len(known) >= 1000:
+                        known.clear()
+                    own = json.loads(wrapper)
+                    known[wrapper] = own, choose_kind(own)
+                own, kind = known[wrapper]
+                texts.append(extract(html.as_py(), own, different, kind))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = _with_host(pages).join(hosts, "host", "left")
-    return map_batches(joined.select("page_id", "url", "html", "description"), run, "page_id long, url string, text string, n_chars long")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long")

@@ -1,4 +1,12 @@
-from fernlode.llm.wrappers import align, extract, extract_pages, fold_repeats, page_wrapper
+import random
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from fernlode.llm import wrappers
+from fernlode.llm.wrappers import OPTIONAL, REPEATED, align, extract, extract_pages, infer_wrappers, page_wrapper, parse
 
 PAGE = """<html><head><title>x</title><script>var a="<p>no</p>";</script></head><body class="with-sidebar"><header class="site">Site</header><nav><ul><li><a>a</a><li>b</ul></nav>
 <div class="cookie-notice">We use</div><article class="post"><h1>Title &amp; {n}</h1><p><b>One<br>two<p>Three &lt;x&gt;&nbsp; 3 < 4 <i>it</i>al<aside>rel</aside><div class="ad">buy</div>
@@ -10,13 +18,70 @@ def test_extract():
     assert extract(None, None) == "" and extract("plain", None) == "plain" and extract("<p>a<p>b<script>x", None) == "a\nb"
 
 
-def test_wrapper_has_slots_optionals_and_repeats():
-    a = page_wrapper("<body><h1>Site</h1><ul><li>1<li>2<li>3</ul><p>x</p></body>")
-    b = page_wrapper("<body><h1>Site</h1><ul><li>4<li>5</ul><div>new</div><p>y</p></body>")
-    both = align(a, b)
-    assert [x[0] for x in both if x[1]] == ["<div>", "#", "</div>"]
-    assert [x for x in both if x[2]] and [x[3] for x in both if x[0] == "#"][0] == "Site" and both[-3][3] is None
-    assert fold_repeats([["#", False, False, "a"], ["#", False, False, "b"]]) == [["#", False, True, None]]
+def wrapped(*pages):
+    out = page_wrapper(parse(pages[0]))
+    for page in pages[1:]:
+        out = align(out, page_wrapper(parse(page)))
+    return out
+
+
+def test_mismatches_become_slots_optionals_and_repeats():
+    a, b = "<h1>Site</h1><ul><li>1<li>2<li>3</ul><p>x</p>", "<h1>Site</h1><ul><li>4<li>2</ul><div>new</div><p>y</p>"
+    text = lambda t: [["#", 0, t]]
+    expect = [["h1", 0, text("Site")], ["ul", 0, [["li", 0, text(None)], ["li", REPEATED, text(None)]]], ["div", OPTIONAL, text("new")], ["p", 0, text(None)]]
+    assert wrapped(a, b) == expect and wrapped(b, a) == expect and wrapped(a, a) == page_wrapper(parse(a))
+    group = wrapped("<dl><dt>a<dd>b</dl>", "<dl><dt>a<dd>c<dt>d<dd>e<dt>f<dd>g</dl>")
+    assert group == [["dl", 0, [["()", REPEATED, [["dt", 0, text(None)], ["dd", 0, text(None)]]]]]]
+    assert align(group, page_wrapper(parse("<dl><dt>h<dd>i<dd>j<dt>k<dd>l</dl>"))) == [["dl", 0, [["()", REPEATED, [["dt", 0, text(None)], ["dd", REPEATED, text(None)]]]]]]
+
+
+def language(wrapper, word):
+    """Whether the keys of a list of nodes are a word of a wrapper's regular expression, by Python's own matcher."""
+    names = {}
+    sign = lambda key: names.setdefault(key, chr(0x4E00 + len(names)))
+
+    def of(nodes):
+        return "".join(f"(?:{of(x) if key == '()' else sign(key)}){'+' if flags & REPEATED else ''}{'?' if flags & OPTIONAL and not flags & REPEATED else ''}" if not (flags & OPTIONAL and flags & REPEATED) else f"(?:{of(x) if key == '()' else sign(key)})*" for key, flags, x in nodes)
+
+    pattern = of(wrapper)
+    return re.fullmatch(pattern, "".join(sign(k) for k in word)) is not None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=7), min_size=1, max_size=5))
+def test_a_wrapper_covers_every_page_it_was_made_of(pages):
+    wrapper = [[k, 0, []] for k in pages[0]]
+    for page in pages[1:]:
+        wrapper = align(wrapper, [[k, 0, []] for k in page])
+    assert all(language(wrapper, page) for page in pages)
+
+
+def test_odd_pages():
+    assert extract("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>end", None) == "deep\nend"
+    assert extract("<div>" * 300 + "a<nav>menu</nav>b" + "</div>" * 300, None) == "a\nb"
+    assert extract("<p>" + "long words " * 100_000, None) == ("long words " * 100_000).strip()
+    assert extract("<header><h1>Site</h1></header><p>hello</p>", None) == "hello"
+    assert extract("<article><h1 class='entry-header'>x</h1><p class='search-results'>y</p><math>1</math><button>go</button></article>", None) == "x\ny\n1"
+    assert extract("<article><header><h1>Title</h1></header><p>t</p></article>", None) == "Title\nt"
+
+
+def test_the_wrapper_decides(spark):
+    page = "<body><div>Brand</div><div><p>text {k}</p></div><div>Bottom</div></body>"
+    wrapper = wrapped(*(page.replace("{k}", str(k)) for k in range(3)))
+    assert extract(page, wrapper) == "text {k}" and extract(page, None) != extract(page, wrapper)
+    rows = [(k, "http://two/", page.replace("{k}", str(k))) for k in range(2)] + [(9, "http://one/", page)] * 2
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in extract_pages(frame).collect()) == [(0, "text 0"), (1, "text 1"), *[(9, "Brand\ntext {k}\nBottom")] * 2]
+
+
+def test_wrappers_do_not_depend_on_the_partitions(spark, monkeypatch):
+    rng = random.Random(2)
+    block = lambda: rng.choice(["<p>{}</p>", "<ul><li>{}<li>b</ul>", "<h2>{}</h2><p>x</p>", "<div class=ad>{}</div>", "<dl><dt>{}<dd>y</dl>"]).format(rng.randrange(3))
+    rows = [(k, f"http://{'abc'[k % 3]}/", "<body><div>top</div>" + "".join(block() for _ in range(rng.randrange(6))) + "</body>") for k in range(150)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(wrappers, "FAN_IN", 4)
+    found = [sorted(map(tuple, infer_wrappers(frame.repartition(n).orderBy(F.hash("page_id", F.lit(n))) if n else frame.coalesce(1)).collect())) for n in (0, 3, 7)]
+    assert found[0] == found[1] == found[2] and [r[2] for r in found[0]] == [50, 50, 50]
 
 
 def test_pages(spark):
@@ -47,6 +112,6 @@ def test_boilerplate_is_a_whole_text_of_distinct_pages(spark):
 def test_all_elements_of_the_kind_are_kept():
     assert extract("<div class=content><p>one</div><div class=ad>buy</div><div class=content><p>two, longer</div>", None) == "one\ntwo, longer"
     assert extract("<main><article>a</article><article>b b<aside>x</aside></article></main><article class=comment>no no no</article><aside><article>t</article></aside>", None) == "a\nb b"
-    assert extract("<main>one</main><nav>n</nav><main>two</main>", {"kind": "main", "constants": []}) == "one\ntwo"
+    assert extract("<main>one</main><nav>n</nav><main>two</main>", None, kind="main") == "one\ntwo"
     named = "<div class='page with-sidebar'><article>long main text</article><article>next</article></div><article>end</article><div class=related><article>rel</article></div>"
     assert extract(named, None) == "long main text\nnext\nend"
