@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+BPE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Words that a query does not search for.
@@ -146,6 +150,27 @@ def count_tokens(c: Column) -> Column:
     return F.ceil(F.char_length(c) / 4).cast("long")
 
 
+def bpe_counter(vocabulary: str, pattern: str = BPE_PATTERN):
+    """A column function that counts the tokens of a byte-pair vocabulary (a file of base64 tokens with their ranks)."""
+    @F.pandas_udf(T.LongType())
+    def count(text: pd.Series) -> pd.Series:
+        encoding = _bpe(vocabulary, pattern)
+        return text.map(lambda t: None if t is None else len(encoding.encode_ordinary(t)))
+
+    return count
+
+
+@lru_cache
+def _bpe(vocabulary: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def split_assignment(line: Column) -> tuple[Column, Column]:
     """Key and value at the first '=', or at the first ':' if there is no '=' with a value after it."""
 

@@ -75,6 +75,11 @@ def replay_verify(tape: DataFrame, recorded: DataFrame, roots: DataFrame, run: s
     return joined.select(run, ok.alias("verified"), F.when(~ok, F.coalesce("_at", "_first")).alias("diverged_at_seq"))
 
 
+def replay_progress(tape: DataFrame, run: str = "run_id") -> DataFrame:
+    """One row for each entry that a replay derives again: run, seq, chained_hash."""
+    return seal(tape, run).select(run, "seq", "chained_hash")
+
+
 #: The payload of each kind of event, in the order in which it is hashed.
 EVENT_FIELDS = {
     "run_started": ("agent", "task", "cwd", "inputs"),

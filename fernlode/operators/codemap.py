@@ -219,6 +219,42 @@ def smallest_block(text: str, language: str, first: int, last: int) -> tuple[int
     return min(spans, key=lambda s: (s[1] - s[0], s[0]), default=None)
 
 
+_QUOTES = {"python": r"\"\"\".*?\"\"\"|'\'\'.*?'\'\'", "javascript": r"`(?:\\.|[^`\\])*`", "go": "`[^`]*`", "rust": r"r#\".*?\"#|'(?:\\.|[^'\\])'|'\w+"}
+_PAIRS = {")": "(", "]": "[", "}": "{"}
+MAX_ISSUES = 20
+
+
+def syntax_issues(text: str, language: str | None) -> list[tuple[int, str]]:
+    """(line, message) of brackets that do not pair, outside strings and comments; the first twenty, none for an unknown language or prose."""
+    if language is None or language == "markdown":
+        return []
+    family = _SAME.get(language, language)
+    comments = r"#[^\n]*" if family in ("python", "ruby") else r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+    own = f"{_QUOTES[family]}|" if family in _QUOTES else ""
+    skipped = rf"{comments}|{own}\"(?:\\.|[^\"\\\n])*\"" + ("" if family == "rust" else r"|'(?:\\.|[^'\\\n])*'")
+    open_: list[tuple[str, int]] = []
+    issues: list[tuple[int, str]] = []
+    line, at = 1, 0
+    for m in re.finditer(rf"(?s:{skipped})|(?P<mark>[()\[\]{{}}])", text):
+        mark = m["mark"]
+        if not mark:
+            continue
+        line += text.count("\n", at, m.start())
+        at = m.start()
+        if mark in _PAIRS.values():
+            open_.append((mark, line))
+        elif open_ and open_[-1][0] == _PAIRS[mark]:
+            open_.pop()
+        elif any(o == _PAIRS[mark] for o, _ in open_):  # what stands between was never closed
+            while open_[-1][0] != _PAIRS[mark]:
+                issues.append((open_[-1][1], f"unclosed {open_.pop()[0]}"))
+            open_.pop()
+        else:
+            issues.append((line, f"unexpected {mark}"))
+    issues += [(n, f"unclosed {o}") for o, n in open_]
+    return sorted(set(issues))[:MAX_ISSUES]
+
+
 def summarize(text: str, language: str | None) -> list[tuple[int, int, bool]]:
     """Segments (first, last, kept) of the structural view: long bodies, comments and import groups keep their first and last line."""
     rows = text.split("\n")

@@ -93,8 +93,9 @@ def symbol_search(symbols: DataFrame, query: str, language: str | None = None, k
     return out if max_results is None else out.orderBy(F.desc("score"), "path", "line", "kind", "name").limit(max_results)
 
 
-def tool_search(tools: DataFrame, query: str, max_results: int = 8) -> DataFrame:
-    return field_search(tools, query, TOOL_FIELDS, all_terms=False).orderBy(F.desc("score"), "name").limit(max_results).select("name", "score")
+def tool_search(tools: DataFrame, query: str, max_results: int | None = 8) -> DataFrame:
+    rows = field_search(tools, query, TOOL_FIELDS, all_terms=False).select("name", "score")
+    return rows if max_results is None else rows.orderBy(F.desc("score"), "name").limit(max_results)
 
 
 def path_relevance(path: Column, query: str) -> Column:
@@ -173,6 +174,30 @@ def selection_files(selection: DataFrame, catalog: DataFrame) -> DataFrame:
     return selection.join(catalog.select("root_id", F.col("rel_path").alias("path"), "size"), ["root_id", "path"]).withColumn("tokens", F.when(F.col("mode") == "full", F.ceil(F.col("size") / 4)).otherwise(0).cast("long"))
 
 
+def selection_summary(selection: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Files and token estimates of a selection, by mode."""
+    return selection_files(selection, catalog).groupBy("mode").agg(F.count("*").alias("files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
+def secret_slices(corpus: DataFrame, slices: DataFrame) -> DataFrame:
+    """Findings within line ranges (root_id, rel_path, start_line, end_line): a range that meets a private key finds it even where it holds only its body.
+
+    A key runs from its first line to its end mark, or to the end of the file.
+    """
+    marks = lines(F.col("text"))
+    rows = corpus.select("root_id", "rel_path", F.size(marks).alias("_n"), F.transform(marks, lambda x, k: F.when(x.contains("-----BEGIN ") & x.contains(" PRIVATE KEY-----"), k + 1)).alias("_b"), F.transform(marks, lambda x, k: F.when(x.contains("-----END ") & x.contains(" PRIVATE KEY-----"), k + 1)).alias("_e"))
+    present = lambda c: F.filter(c, lambda x: x.isNotNull())
+    rows = rows.select("root_id", "rel_path", "_n", present("_b").alias("_b"), present("_e").alias("_e")).filter(F.size("_b") > 0)
+    end = F.col("_e")
+    spans = F.transform("_b", lambda b: F.struct(b.alias("a"), F.coalesce(F.array_min(F.filter(end, lambda e: e >= b)), F.col("_n")).alias("z")))
+    keys = rows.select("root_id", "rel_path", F.explode(spans).alias("k"))
+    hit = slices.join(keys, ["root_id", "rel_path"]).filter((F.col("start_line") <= F.col("k.z")) & (F.col("k.a") <= F.col("end_line")))
+    blocks = hit.select("root_id", "rel_path", F.greatest("start_line", "k.a").cast("long").alias("line"), F.lit("private_key_block").alias("kind"))
+    found = scan_secrets(corpus.join(slices.select("root_id", "rel_path").distinct(), ["root_id", "rel_path"], "left_semi"))
+    within = found.join(slices, ["root_id", "rel_path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("root_id", "rel_path", "line", "kind")
+    return within.unionByName(blocks).distinct()
+
+
 def last_reason(exclusions: DataFrame, selected: DataFrame) -> DataFrame:
     """Exclusions (path, reason, seq) once for each path, the last reason wins, without selected paths."""
     return exclusions.groupBy("path").agg(F.max_by("reason", "seq").alias("reason")).join(selected.select("path"), "path", "left_anti")

@@ -116,6 +116,11 @@ def outcome_query(labels: DataFrame, agent: str | None = None, outcome: str | No
     return runs.filter("_any").drop("_any")
 
 
+def verdict_query(verdicts: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Sealed verdicts, of one run if it is given; newest first by the caller's order."""
+    return verdicts if run_id is None else verdicts.filter(F.col("run_id") == run_id)
+
+
 def run_summary(tape: DataFrame) -> DataFrame:
     """Per run: agent, events, first time, finished; newest first by the caller's order."""
     return tape.groupBy("run_id").agg(F.max("agent").alias("agent"), F.count("*").alias("event_count"), F.min("at_ms").alias("started_at_ms"), F.max(F.col("kind") == "run_finished").alias("finished"))

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import language_family, normalize_path
+from fernlode.sources.logs import changed_lines
 from fernlode.storage import materialize
 
 DAMPING, ITERATIONS, IMPORT_WEIGHT = 0.85, 30, 8.0
 PRUNE_FILES, PRUNE_SHARE = 4, 4
+#: Spans and lines meet by blocks of so many lines.
+BLOCK_LINES = 64
 
 # Names that are not followed, by language.
 STOP_NAMES = {
@@ -96,7 +99,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None,
     """Personalised PageRank (node, rank) with a fixed number of iterations.
 
     The start vector is the personalisation (uniform over seeds, or over all nodes); the mass of nodes without edges
-    goes back by it. Lineage is cut by a written table every few iterations.
+    goes back by it. Every iteration is one join and one written table, and the mass that it loses is observed while it is written.
     """
     if seeds is None or seeds.isEmpty():
         seeds = nodes
@@ -105,13 +108,15 @@ def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None,
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
     base = materialize(start.join(out.select(F.col("src").alias("node"), F.lit(True).alias("_out")), "node", "left").select("node", "p", F.col("_out").isNull().alias("dangling")), "nodes")
+    mass = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")
     ranks = base.withColumn("rank", F.col("p"))
-    for k in range(iterations):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    lost = ranks.agg(mass).first()["lost"]
+    for _ in range(iterations):
         incoming = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = base.join(incoming, "node", "left").crossJoin(F.broadcast(lost)).select("node", "p", "dangling", ((1 - damping) * F.col("p") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank"))  # one row
-        if k % 5 == 4 or k == iterations - 1:
-            ranks = materialize(ranks, "ranks")
+        rank = (1 - damping) * F.col("p") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("p"))
+        seen = Observation()
+        ranks = materialize(base.join(incoming, "node", "left").select("node", "p", "dangling", rank.alias("rank")).observe(seen, mass), "ranks", narrow=True)
+        lost = seen.get["lost"]
     return ranks.select("node", "rank")
 
 
@@ -139,7 +144,7 @@ def enclosing_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Spans are dealt to the blocks of lines they touch, so the join is on equality of (path, block) and not a range scan of a file.
     """
-    block = 64
+    block = BLOCK_LINES
     spans = symbols.select("path", F.struct((F.col("end_line") - F.col("start_line")).alias("width"), "line", "column", "name", "kind").alias("s"), "start_line", "end_line")
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
     uses = refs.select("path", F.col("name").alias("ref_name"), F.col("line").alias("ref_line"), F.col("column").alias("ref_column"), F.col("kind").alias("ref_kind")).withColumn("block", F.floor(F.col("ref_line") / block))
@@ -150,10 +155,16 @@ def enclosing_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def overlapping_symbols(symbols: DataFrame, changed: DataFrame) -> DataFrame:
     """Symbols whose span holds a changed line (path, line); a span falls back to its line."""
-    own = symbols.withColumn("_a", F.coalesce("start_line", "line")).withColumn("_b", F.coalesce("end_line", "line"))
-    lines = F.explode(F.sequence("_a", "_b")).alias("_line")
-    hit = own.select("path", "name", "kind", "line", "_a", "_b", lines).join(changed.select("path", F.col("line").alias("_line")).distinct(), ["path", "_line"], "left_semi")
-    return hit.groupBy("path", "name", "kind", F.col("_a").alias("start_line"), F.col("_b").alias("end_line")).agg(F.count("*").alias("changed_lines"))
+    own = symbols.select("path", "name", "kind", F.coalesce("start_line", "line").alias("start_line"), F.coalesce("end_line", "line").alias("end_line"))
+    blocks = F.sequence(F.floor(F.col("start_line") / BLOCK_LINES), F.floor(F.col("end_line") / BLOCK_LINES))
+    lines = changed.select("path", F.col("line").alias("_line")).distinct().withColumn("_block", F.floor(F.col("_line") / BLOCK_LINES))
+    hit = own.withColumn("_block", F.explode(blocks)).join(lines, ["path", "_block"]).filter(F.col("_line").between(F.col("start_line"), F.col("end_line")))
+    return hit.groupBy("path", "name", "kind", "start_line", "end_line").agg(F.count_distinct("_line").alias("changed_lines"))
+
+
+def detect_changes(diffs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbols that the new side of unified diffs (diff_id, diff) touches: path, name, kind, span and the number of changed lines."""
+    return overlapping_symbols(symbols, changed_lines(diffs).select("path", "line"))
 
 
 def confidence(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:

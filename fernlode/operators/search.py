@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import ascii_lower, glob_regex, lines, normalized_doc_len, smart_case, tokenize_query, tokenize_text
@@ -225,3 +225,54 @@ def hashline_view(corpus: DataFrame) -> DataFrame:
     numbered = F.transform(F.split("text", "\n"), lambda x, k: F.concat((k + 1).cast("string"), F.lit(":"), x))
     head = F.concat(F.lit("["), F.col("rel_path"), F.lit("#"), content_tag("text"), F.lit("]"))
     return corpus.select(*KEY, F.array_join(F.concat(F.array(head), numbered), "\n").alias("view"))
+
+
+def checked_pattern(spark: SparkSession, pattern: str, regex: bool, literal_fallback: bool = False) -> tuple[bool, list[str]]:
+    """(whether the pattern is a regular expression, diagnostics): one that does not compile is an error, or a literal with a note."""
+    if not regex:
+        return False, []
+    try:
+        spark.range(1).select(F.lit("").rlike(Matcher(pattern, True).java)).collect()
+    except Exception as e:
+        if not literal_fallback:
+            raise ValueError(f"invalid regular expression: {pattern}") from e
+        return False, [f"invalid regular expression, searched as a literal: {pattern}"]
+    return True, []
+
+
+def display_path(rows: DataFrame, roots: DataFrame, path: str = "rel_path") -> DataFrame:
+    """rows with display_path: the root's base name before the path; a path of an unknown root stays. roots(root_id, root_path) is a short list."""
+    name = F.regexp_extract(F.regexp_replace("root_path", "/+$", ""), "([^/]*)$", 1)
+    joined = rows.join(F.broadcast(roots.select("root_id", name.alias("_root"))), "root_id", "left")
+    shown = F.when(F.col("_root").isNull(), F.col(path)).when(F.col(path) == "", F.col("_root")).otherwise(F.concat("_root", F.lit("/"), path))
+    return joined.withColumn("display_path", shown).drop("_root")
+
+
+def top_content_files(hits: DataFrame, limit: int = 5) -> DataFrame:
+    """The files with the most matching lines; none if fewer than two files match."""
+    counts = hits.groupBy(*KEY).agg(F.count("*").alias("lines"))
+    several = counts.agg((F.count("*") >= 2).alias("_several"))
+    top = counts.orderBy(F.desc("lines"), "rel_path", "root_id").limit(limit)
+    return top.crossJoin(F.broadcast(several)).filter("_several").drop("_several")  # one row
+
+
+def code_scope(rows: DataFrame, paths: list[str], path: str = "rel_path") -> DataFrame:
+    """Rows at one of the paths or below it; no paths means all rows."""
+    hit = F.lit(not paths)
+    for p in paths:
+        hit = hit | (F.col(path) == p) | F.col(path).startswith(p.rstrip("/") + "/")
+    return rows.filter(hit)
+
+
+def search_report(corpus: DataFrame, pattern: str, max_results: int = 50) -> DataFrame:
+    """One row: scanned files and bytes, binary files passed over, matching files and lines, lines returned under the limits, and lines left out."""
+    m = Matcher(pattern)
+    binary = is_binary(F.encode("text", "UTF-8"))
+    counts = F.when(binary, 0).otherwise(F.size(F.filter(lines(F.col("text")), m.matches))).cast("long")
+    cap = min(max(-(-max_results // 3), 1), 20)
+    sums = corpus.agg(
+        F.count_if(~binary).alias("scanned_files"), F.coalesce(F.sum(F.when(~binary, F.octet_length("text").cast("long"))), F.lit(0)).alias("scanned_bytes"), F.count_if(binary).alias("binary_skipped"),
+        F.count_if(counts > 0).alias("matching_files"), F.coalesce(F.sum(counts), F.lit(0)).alias("matching_lines"), F.coalesce(F.sum(F.least(counts, F.lit(cap))), F.lit(0)).alias("_shown"),
+    )
+    returned = F.least("_shown", F.lit(max(max_results, 1)).cast("long"))
+    return sums.withColumn("returned", returned).withColumn("omitted", F.col("matching_lines") - returned).drop("_shown")

@@ -1,6 +1,6 @@
 """Graph, navigation, search and context queries over the driver's tables, with their DuckDB twins.
 
-English documents stand for source files: the first word of a line defines a symbol that spans to the next one, and
+Documents stand for source files: the first word of a line defines a symbol that spans to the next one, and
 all longer words are references.
 """
 
@@ -15,8 +15,7 @@ from fernlode.plans.search_queries import documents, page_entries
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).filter("language = 'en'")
-    return d.select(F.col("rel_path").alias("path"), F.posexplode(lines(F.col("text"))).alias("k", "text"))
+    return documents(spark, sf_dir).select(F.col("rel_path").alias("path"), F.posexplode(lines(F.col("text"))).alias("k", "text"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +30,17 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("path", F.lit("rust").alias("language"), F.lit("call").alias("kind"), "name", "line", F.col("column").cast("long").alias("column"))
 
 
-_L = """d AS (SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n$', '') AS text FROM documents WHERE lang = 'en' AND coalesce(text, '') <> ''),
+_L = """d AS (SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n$', '') AS text FROM documents WHERE coalesce(text, '') <> ''),
     l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
     s0 AS (SELECT path, line, lower(regexp_extract(text, '^([A-Za-z]{3,})', 1)) AS name FROM l),
     s AS (SELECT *, coalesce(lead(line) OVER (PARTITION BY path ORDER BY line), line + 50) - 1 AS end_line, CASE WHEN line % 3 = 0 THEN 'struct' ELSE 'function' END AS kind FROM s0 WHERE name <> ''),
     w AS (SELECT path, line, regexp_extract_all(lower(text), '[a-z]{6,}') AS ws FROM l),
     r AS (SELECT path, line, unnest(ws) AS name, unnest(range(len(ws))) AS "column" FROM w)"""
-_STOP = ", ".join(f"'{x}'" for x in graph.STOP_NAMES["rust"])
+# The stop words of the queries' language, written out for the twins.
+_STOP = ", ".join(
+    f"'{x}'"
+    for x in "Self abstract as async await become box break const continue crate do dyn else enum extern false final fn for if impl in let loop macro match mod move mut override priv pub ref return self static struct super trait true try type typeof unsafe unsized use virtual where while yield Result Option Some None Ok".split()
+)
 _DEFS = f"""{_L}, df AS (SELECT DISTINCT name, path FROM s), nf AS (SELECT count(DISTINCT path) AS files FROM s), pr AS (SELECT name FROM df, nf GROUP BY name, files HAVING count(*) >= 4 AND count(*) * 4 > files),
     dk AS (SELECT * FROM df WHERE name NOT IN (SELECT name FROM pr)),
     e AS (SELECT r.path AS src, dk.path AS dst, CAST(count(*) AS DOUBLE) AS weight FROM r JOIN dk USING (name) WHERE r.path <> dk.path AND r.name NOT IN ({_STOP}) GROUP BY ALL)"""
@@ -45,26 +48,33 @@ _ENC = """en AS (SELECT r.path, r.name AS ref_name, r.line AS ref_line, r."colum
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as nodes; an edge from a user to the one whose event comes next within the same 100 events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.floor(F.col("event_id") / 100).alias("g"))
+    """Users as nodes; an edge from a user with a purchase over 90 to the one whose event comes next within the same 100 events; other users have none."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", F.floor(F.col("event_id") / 100).alias("g"))
     after = F.lead("user_id").over(Window.partitionBy("g").orderBy("event_id"))
-    pairs = e.select(F.col("user_id").alias("src"), after.alias("dst")).filter("dst IS NOT NULL AND src <> dst AND src % 10 <> 0")
+    pairs = e.select(F.col("user_id").alias("src"), after.alias("dst"), "event_type", "value").filter("dst IS NOT NULL AND src <> dst AND event_type = 'purchase' AND value > 90")
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def _rank_sql() -> str:
+_TRANSITIONS = """t AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_id // 100 ORDER BY event_id) AS dst, event_type, value FROM events),
+    g AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM t WHERE dst IS NOT NULL AND src <> dst AND event_type = 'purchase' AND value > 90 GROUP BY ALL),
+    n AS (SELECT DISTINCT user_id AS node FROM events), z AS (SELECT DISTINCT user_id AS node FROM events WHERE event_type = 'signup' AND value > 90)"""
+
+
+def _rank_sql(tables: str, columns: str) -> str:
+    """Ranks over the tables g (src, dst, weight), n (nodes) and z (seeds)."""
     steps = ["x0 AS (SELECT node, p, dangling, p AS rank FROM b)"]
     for k in range(1, graph.ITERATIONS + 1):
         steps.append(f"""x{k} AS MATERIALIZED (SELECT b.node, b.p, b.dangling, 0.15 * b.p + 0.85 * (coalesce(i.got, 0) + (SELECT coalesce(sum(rank), 0) FROM x{k - 1} WHERE dangling) * b.p) AS rank
             FROM b LEFT JOIN (SELECT h.dst AS node, sum(x.rank * h.share) AS got FROM h JOIN x{k - 1} x ON x.node = h.src GROUP BY 1) i USING (node))""")
-    return """WITH t AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_id // 100 ORDER BY event_id) AS dst FROM events), g AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM t WHERE dst IS NOT NULL AND src <> dst AND src % 10 <> 0 GROUP BY ALL),
-        o AS (SELECT src, sum(weight) AS total FROM g GROUP BY 1), h AS (SELECT src, dst, weight / total AS share FROM g JOIN o USING (src)), n AS (SELECT DISTINCT user_id AS node FROM events),
-        b AS (SELECT node, CASE WHEN node % 7 = 0 THEN 1.0 / (SELECT count(*) FROM n WHERE node % 7 = 0) ELSE 0 END AS p, o.src IS NULL AS dangling FROM n LEFT JOIN o ON o.src = node), """ + ", ".join(steps) + f" SELECT node, CAST(round(rank * 100000000) AS BIGINT) AS score FROM x{graph.ITERATIONS}"
+    return f"""WITH {tables}, o AS (SELECT src, sum(weight) AS total FROM g GROUP BY 1), h AS MATERIALIZED (SELECT src, dst, weight / total AS share FROM g JOIN o USING (src)),
+        b AS MATERIALIZED (SELECT node, CASE WHEN node IN (SELECT node FROM z) THEN 1.0 / (SELECT count(*) FROM z) ELSE 0 END AS p, o.src IS NULL AS dangling FROM n LEFT JOIN o ON o.src = node), {", ".join(steps)} SELECT {columns} FROM x{graph.ITERATIONS}"""
 
 
 def _pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("node")).distinct()
-    return graph.pagerank(_transitions(spark, sf_dir), nodes, nodes.filter("node % 7 = 0")).select("node", F.round(F.col("rank") * 100_000_000).cast("long").alias("score"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    nodes = events.select(F.col("user_id").alias("node")).distinct()
+    seeds = events.filter("event_type = 'signup' AND value > 90").select(F.col("user_id").alias("node")).distinct()
+    return graph.pagerank(_transitions(spark, sf_dir), nodes, seeds).select("node", F.round(F.col("rank") * 100_000_000).cast("long").alias("score"))
 
 
 def _part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,17 +88,17 @@ def _hits(spark: SparkSession, sf_dir: str, word: str) -> DataFrame:
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     hits = search.content_search(d, "license", max_results=None).select(F.col("rel_path").alias("path"), "score")
-    paths = d.filter(F.col("rel_path").startswith("12")).select(F.col("rel_path").alias("path"), (F.char_length("rel_path") * 100).alias("score"))
-    ranks = d.filter(F.col("size") > 8000).select(F.col("rel_path").alias("path"), F.col("size").alias("rank"))
+    paths = d.select(F.col("rel_path").alias("path"), (F.char_length("rel_path") * 100).alias("score"))
+    ranks = d.select(F.col("rel_path").alias("path"), F.col("size").alias("rank"))
     return context.fuse(hits, paths, ranks, "12 7").select("path", F.round(F.col("fused") * 1_000_000).cast("long").alias("fused"))
 
 
 _FIELD = {"name": 80, "kind": 24, "signature": 16, "display_path": 4, "path": 4}
 
 
-def _field_sql(term: str) -> str:
+def _field_sql(term: str, fields: dict[str, int] = _FIELD) -> str:
     tokens = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
-    return " + ".join(f"CASE WHEN lower({f}) = '{term}' THEN {4 * w} WHEN list_contains({tokens.format(f)}, '{term}') THEN {2 * w} WHEN len(list_filter({tokens.format(f)}, lambda x: starts_with(x, '{term}'))) > 0 THEN {w} WHEN contains(lower({f}), '{term}') THEN {w // 2} ELSE 0 END" for f, w in _FIELD.items())
+    return " + ".join(f"CASE WHEN lower({f}) = '{term}' THEN {4 * w} WHEN list_contains({tokens.format(f)}, '{term}') THEN {2 * w} WHEN len(list_filter({tokens.format(f)}, lambda x: starts_with(x, '{term}'))) > 0 THEN {w} WHEN contains(lower({f}), '{term}') THEN {w // 2} ELSE 0 END" for f, w in fields.items())
 
 
 QUERIES = {
@@ -99,13 +109,13 @@ QUERIES = {
     "enclosing_symbols": lambda s, d: graph.enclosing_symbols(refs(s, d), symbols(s, d)),
     "find_references": lambda s, d: graph.find_references(refs(s, d), symbols(s, d), "erthat", max_results=None),
     "goto_definition": lambda s, d: graph.goto_definition(symbols(s, d), "with", max_results=None),
-    "incoming_calls": lambda s, d: graph.incoming_calls(refs(s, d), symbols(s, d), symbols(s, d).filter("name = 'inthe' OR name = 'erthat'").select("name").distinct()),
+    "incoming_calls": lambda s, d: graph.incoming_calls(refs(s, d), symbols(s, d), symbols(s, d).select("name").distinct()),
     "outgoing_calls": lambda s, d: graph.outgoing_calls(refs(s, d), symbols(s, d), "with"),
     "impact": lambda s, d: graph.impact(refs(s, d), symbols(s, d), "erthat", 2),
-    "overlapping_symbols": lambda s, d: graph.overlapping_symbols(symbols(s, d), _lines(s, d).filter("k % 17 = 3").select("path", (F.col("k") + 1).cast("long").alias("line"))),
+    "overlapping_symbols": lambda s, d: graph.overlapping_symbols(symbols(s, d), _lines(s, d).filter(F.col("text").contains("license")).select("path", (F.col("k") + 1).cast("long").alias("line"))),
     "type_expansion": lambda s, d: graph.type_expansion(refs(s, d), symbols(s, d), documents(s, d).filter("size > 9000").select(F.col("rel_path").alias("path")), ["struct"], None),
     "symbol_search": lambda s, d: context.symbol_search(_part_symbols(s, d), "blue bo", max_results=None).select("name", "kind", "signature", "path", "score"),
-    "secret_scan": lambda s, d: context.scan_secrets(documents(s, d)),
+    "secret_scan": lambda s, d: context.scan_secrets(_log_files(s, d)),
     "cluster_lines": lambda s, d: context.cluster_lines(_hits(s, d, "with"), ["root_id", "rel_path"]),
     "hit_slices": lambda s, d: context.hit_slices(_hits(s, d, "with"), ["root_id", "rel_path"]),
     "merge_ranges": lambda s, d: context.merge_ranges(_hits(s, d, "with").select("root_id", "rel_path", F.greatest(F.col("line") - 1, F.lit(1)).alias("start_line"), (F.col("line") + 1).alias("end_line"), (F.col("occurrences") > 1).cast("string").alias("label")), ["root_id", "rel_path"]),
@@ -116,6 +126,18 @@ QUERIES = {
 }
 
 
+def _log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of lines for each user, some of them with secrets made up from the events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    made = F.md5(F.col("event_id").cast("string"))
+    part = lambda n: F.substring(made, F.lit(1), (F.lit(n) + F.col("event_id") % 5).cast("int"))
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("use AKIA"), F.upper(part(14)))).when(F.col("event_type") == "click", F.concat(F.lit('db-password: "'), part(14), F.lit('"')))
+    line = line.when(F.col("event_type") == "signup", F.concat(F.lit("token github_pat_"), part(18))).when(F.col("event_type") == "error", "-----BEGIN RSA PRIVATE KEY-----")
+    line = line.otherwise(F.concat(F.lit("xoxb-"), part(10), F.lit(" key="), F.col("event_id")))
+    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("t")))).alias("l"))
+    return rows.select(F.lit("log").alias("root_id"), F.col("user_id").cast("string").alias("rel_path"), F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
+
+
 def _selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.lit("src0").alias("root_id"), F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("mode"), F.col("event_id").alias("seq"))
@@ -129,17 +151,17 @@ ORACLE_SQL = {
     "reference_edges": f"WITH {_DEFS} SELECT * FROM e",
     "graph_counters": f"WITH {_DEFS} SELECT (SELECT count(*) FROM e) AS edge_count, (SELECT count(*) FROM dk) AS symbols_indexed",
     "language_files": "SELECT lang AS family, count(*) AS files FROM documents GROUP BY 1",
-    "pagerank": _rank_sql(),
+    "pagerank": _rank_sql(_TRANSITIONS, "node, CAST(round(rank * 100000000) AS BIGINT) AS score"),
     "enclosing_symbols": f"""WITH {_L}, {_ENC} SELECT path, symbol, CAST(line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", kind, ref_name, CAST(ref_line AS BIGINT) AS ref_line, ref_column, 'call' AS ref_kind FROM en""",
     "find_references": f"""WITH {_L}, n AS (SELECT count(*) AS n FROM s WHERE name = 'erthat') SELECT path, CAST(line AS BIGINT) AS line, "column", 'call' AS kind, name, CASE WHEN n <= 1 OR path IN (SELECT path FROM s WHERE name = 'erthat') THEN 'high' ELSE 'low' END AS confidence FROM r, n WHERE name = 'erthat'""",
     "goto_definition": f"WITH {_L} SELECT path, CAST(line AS BIGINT) AS line, kind, name, (SELECT count(*) FROM s WHERE name = 'with') AS total FROM s WHERE name = 'with'",
-    "incoming_calls": f"""WITH {_L}, {_ENC} SELECT path, symbol, CAST(line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", kind, ref_name, CAST(ref_line AS BIGINT) AS ref_line, ref_column, 'call' AS ref_kind FROM en WHERE ref_name IN (SELECT name FROM s WHERE name IN ('inthe', 'erthat'))""",
+    "incoming_calls": f"""WITH {_L}, {_ENC} SELECT path, symbol, CAST(line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", kind, ref_name, CAST(ref_line AS BIGINT) AS ref_line, ref_column, 'call' AS ref_kind FROM en WHERE ref_name IN (SELECT name FROM s)""",
     "outgoing_calls": f"""WITH {_L}, {_ENC} SELECT DISTINCT s.name, s.path, CAST(s.line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", s.kind FROM s WHERE name IN (SELECT ref_name FROM en WHERE symbol = 'with' AND ref_name <> 'with')""",
     "impact": f"""WITH {_L}, {_ENC}, cl AS (SELECT * FROM en WHERE symbol <> ref_name), seed AS (SELECT name, path, line FROM s WHERE name = 'erthat'),
         a AS (SELECT symbol, path, line, min(ref_line * 1000) AS k, min((ref_line, ref_name)) AS m FROM cl WHERE ref_name = 'erthat' AND (symbol, path, line) NOT IN (SELECT (name, path, line) FROM seed) GROUP BY 1, 2, 3),
         b AS (SELECT symbol, path, line, min((ref_line, ref_name)) AS m FROM cl WHERE ref_name IN (SELECT symbol FROM a) AND (symbol, path, line) NOT IN (SELECT (name, path, line) FROM seed) AND (symbol, path, line) NOT IN (SELECT (symbol, path, line) FROM a) GROUP BY 1, 2, 3)
         SELECT symbol, path, CAST(line AS BIGINT) AS line, CAST(1 AS BIGINT) AS depth, m[2] AS via_symbol, CAST(m[1] AS BIGINT) AS reference_line FROM a UNION ALL SELECT symbol, path, CAST(line AS BIGINT), CAST(2 AS BIGINT), m[2], CAST(m[1] AS BIGINT) FROM b""",
-    "overlapping_symbols": f"WITH {_L}, ch AS (SELECT path, line FROM l WHERE (line - 1) % 17 = 3) SELECT s.path, name, kind, CAST(s.line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, count(*) AS changed_lines FROM s JOIN ch ON ch.path = s.path AND ch.line BETWEEN s.line AND end_line GROUP BY ALL",
+    "overlapping_symbols": f"WITH {_L}, ch AS (SELECT path, line FROM l WHERE contains(text, 'license')) SELECT s.path, name, kind, CAST(s.line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, count(*) AS changed_lines FROM s JOIN ch ON ch.path = s.path AND ch.line BETWEEN s.line AND end_line GROUP BY ALL",
     "type_expansion": f"WITH {_L}, sel AS (SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE octet_length(encode(text)) > 9000), u AS (SELECT DISTINCT name FROM r WHERE path IN (SELECT path FROM sel)) SELECT path, min(name) AS name FROM s WHERE kind = 'struct' AND path NOT IN (SELECT path FROM sel) AND name IN (SELECT name FROM u) GROUP BY 1",
     "symbol_search": f"""WITH p AS (SELECT p_name AS name, p_type AS kind, p_brand AS signature, 'part/' || p_partkey AS path, 'part/' || p_partkey AS display_path FROM part), q AS (SELECT *, {_field_sql('blue')} AS a, {_field_sql('bo')} AS b FROM p)
         SELECT name, kind, signature, path, CAST(a + b AS BIGINT) AS score FROM q WHERE a > 0 AND b > 0""",
@@ -154,7 +176,23 @@ ORACLE_SQL = {
         k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY kind, name) AS r FROM n) SELECT parent, name, kind, depth, files, bytes FROM k WHERE r <= 20""",
     "selection_add": "SELECT 'src0' AS root_id, CAST(user_id AS VARCHAR) AS path, arg_max(event_type, event_id) AS mode, max(event_id) AS seq FROM events GROUP BY user_id",
     "last_reason": "SELECT CAST(user_id AS VARCHAR) AS path, arg_max(event_type, event_id) AS reason FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents WHERE octet_length(encode(text)) < 500) GROUP BY user_id",
-    "score_fusion": None,
-    "secret_scan": None,
+    "score_fusion": """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+        l AS (SELECT path, unnest(string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10))) AS t FROM d WHERE text <> ''),
+        h AS (SELECT path, count(*) AS n FROM l WHERE contains(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'license') GROUP BY 1),
+        w AS (SELECT path, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM d),
+        f AS (SELECT path, len(list_filter(t, lambda x: x = 'license')) AS tf, greatest(len(t), 1) AS dl, avg(greatest(len(t), 1)) OVER () AS avgdl FROM w),
+        b AS (SELECT path, CAST(round((tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) * 1000000) AS BIGINT) AS score FROM f WHERE tf > 0),
+        c AS (SELECT d.path, coalesce(h.n, 0) * (coalesce(b.score, 0) + 2000000.0) + length(d.path) * 100 * 0.25 AS search, CAST(size AS DOUBLE) AS repo, (CASE WHEN contains(d.path, '12') THEN 1 ELSE 0 END + CASE WHEN contains(d.path, '7') THEN 1 ELSE 0 END) / 2 AS relevance
+              FROM d LEFT JOIN h USING (path) LEFT JOIN b USING (path)),
+        m AS (SELECT max(search) AS ms, max(repo) AS mr, max(relevance) AS mv FROM c),
+        x AS (SELECT path, 0.55 * CASE WHEN ms > 0 THEN search / ms ELSE 0 END + 0.35 * CASE WHEN mr > 0 THEN repo / mr ELSE 0 END + 0.10 * CASE WHEN mv > 0 THEN relevance / mv ELSE 0 END AS fused FROM c, m)
+        SELECT path, CAST(round(fused * 1000000) AS BIGINT) AS fused FROM x WHERE fused > 0""",
+    "secret_scan": """WITH t AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'use AKIA' || upper(md5(CAST(event_id AS VARCHAR)))[1:14 + event_id % 5] WHEN 'click' THEN 'db-password: "' || md5(CAST(event_id AS VARCHAR))[1:14 + event_id % 5] || '"'
+                       WHEN 'signup' THEN 'token github_pat_' || md5(CAST(event_id AS VARCHAR))[1:18 + event_id % 5] WHEN 'error' THEN '-----BEGIN RSA PRIVATE KEY-----' ELSE 'xoxb-' || md5(CAST(event_id AS VARCHAR))[1:10 + event_id % 5] || ' key=' || event_id END AS line_text,
+                       row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line FROM events),
+        k AS (SELECT *, unnest(list_filter([CASE WHEN contains(line_text, '-----BEGIN ') AND contains(line_text, ' PRIVATE KEY-----') THEN 'private_key_block' END, CASE WHEN regexp_matches(line_text, '(AKIA|ASIA)[A-Za-z0-9_.-]{16,}') THEN 'aws_access_key_id' END,
+                       CASE WHEN regexp_matches(line_text, '(gh[pousr]_|github_pat_)[A-Za-z0-9_.-]{20,}') THEN 'github_token' END, CASE WHEN regexp_matches(line_text, 'sk-[A-Za-z0-9_.-]{21,}') THEN 'openai_api_key' END, CASE WHEN regexp_matches(line_text, 'xox[bpars]-[A-Za-z0-9_.-]{12,}') THEN 'slack_token' END,
+                       CASE WHEN regexp_matches(line_text, 'password: "[a-f0-9]{16,}"') AND regexp_matches(line_text, '"[0-9]*[a-f]') AND regexp_matches(line_text, '"[a-f]*[0-9]') THEN 'generic_secret_assignment' END], lambda x: x IS NOT NULL)) AS kind FROM t)
+        SELECT 'log' AS root_id, CAST(user_id AS VARCHAR) AS rel_path, CAST(line AS BIGINT) AS line, kind FROM k""",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

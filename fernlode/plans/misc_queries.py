@@ -71,7 +71,7 @@ QUERIES = {
     "verdict_ids": _verdict_ids,
     "seal_labels": lambda s, d: chains.chain_roots(chains.seal_labels(labels(s, d))),
     "run_lineage": lambda s, d: evidence.run_lineage(_ledger_kinds(s, d)),
-    "merge_live": lambda s, d: evidence.merge_live(_events(s, d).filter("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.lit("live").alias("origin")), _events(s, d).filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit("stored").alias("origin"))),
+    "merge_live": lambda s, d: evidence.merge_live(_events(s, d).filter("event_type <> 'view'").select(F.col("event_id").alias("id"), F.lit("live").alias("origin")), _events(s, d).filter("event_type <> 'purchase'").select(F.col("event_id").alias("id"), F.lit("stored").alias("origin"))),
     "churn": lambda s, d: evidence.churn(_events(s, d).select(F.concat(F.lit("f"), F.col("user_id")).alias("path"), F.when(F.col("event_type") != "view", F.col("event_id") % 7).alias("insertions"), F.when(F.col("event_type") != "view", F.col("event_id") % 5).alias("deletions"))),
     "numstat": lambda s, d: _events(s, d).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", F.when(F.col("event_type") == "view", "-").otherwise((F.col("event_id") % 9).cast("string")), F.lit("1"), F.concat(F.lit("p"), F.col("event_id"))))), "\x00").alias("t")).select("user_id", F.inline(logs.parse_numstat(F.col("t")))),
     "trace_to_tape": lambda s, d: logs.trace_to_tape(logs.trace_spans(_traces(s, d))),
@@ -96,7 +96,7 @@ ORACLE_SQL = {
         h AS (SELECT run_id, k, sha256(e) AS c FROM n WHERE k = 1 UNION ALL SELECT n.run_id, n.k, sha256(h.c || n.e) FROM h JOIN n ON n.run_id = h.run_id AND n.k = h.k + 1) SELECT run_id, arg_max(c, k) AS root_hash, count(*) AS events FROM h GROUP BY 1""",
     "run_lineage": """WITH e AS (SELECT event_id AS k, event_id // 3 AS g FROM events), r AS (SELECT g FROM e WHERE k % 3 = 0), v AS (SELECT g FROM e WHERE k % 3 = 1), q AS (SELECT g - g % 3 + CASE WHEN g % 3 = 2 THEN -1 ELSE g % 3 END AS vg, g FROM e WHERE k % 3 = 2)
         SELECT 'run' || v.g AS run_id, 'v' || v.g AS verdict_id, 'r' || q.g AS receipt_id FROM v JOIN r USING (g) LEFT JOIN q ON q.vg = v.g""",
-    "merge_live": "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'live' ELSE 'stored' END AS origin FROM events WHERE event_id % 3 = 0 OR event_id % 2 = 0",
+    "merge_live": "SELECT event_id AS id, CASE WHEN event_type <> 'view' THEN 'live' ELSE 'stored' END AS origin FROM events",
     "churn": "SELECT 'f' || user_id AS path, CAST(sum(CASE WHEN event_type = 'view' THEN 0 ELSE event_id % 7 + event_id % 5 END) AS BIGINT) AS churn FROM events GROUP BY user_id",
     "numstat": "SELECT user_id, CASE WHEN event_type <> 'view' THEN event_id % 9 END AS insertions, CAST(1 AS BIGINT) AS deletions, 'p' || event_id AS path FROM events",
     "trace_to_tape": """WITH s AS (SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, event_type, event_id % 50 AS i FROM events)

@@ -43,7 +43,7 @@ QUERIES = {
     "tf_density_regex": lambda s, d: search.tf_density(documents(s, d), search.Matcher("[a-z]+tion", regex=True)),
     "match_files": lambda s, d: search.match_files(documents(s, d), "the"),
     "search_totals": lambda s, d: search.search_totals(documents(s, d), "der"),
-    "line_context": lambda s, d: search.line_context(documents(s, d), "license", 2, 1).select("root_id", "rel_path", "line", F.to_json("context").alias("context")),
+    "line_context": lambda s, d: search.line_context(documents(s, d), "license", 2, 1).select("root_id", "rel_path", "line", F.explode("context").alias("c")).select("root_id", "rel_path", "line", F.col("c.line").alias("context_line"), F.col("c.text").alias("text")),
     "path_search_regex": lambda s, d: search.path_search(page_entries(s, d), "[0-9]+$", regex=True, max_results=None),
     "path_search_literal": lambda s, d: search.path_search(page_entries(s, d), "blog", max_results=None),
     "entry_filter_globs": lambda s, d: search.entry_filter(page_entries(s, d), include=["**/en/**", "blog.*/**"], exclude=["**/*5"]),
@@ -62,6 +62,13 @@ ORACLE_SQL = {
         SELECT l.root_id, l.rel_path, CAST(line AS BIGINT) AS line, CAST(octet_length(encode(substr(line_text, 1, strpos({_FOLD.format('line_text')}, 'license') - 1))) + 1 AS BIGINT) AS "column", coalesce(score, 0) AS score,
                substr(line_text, 1, 240) AS text, row_number() OVER (PARTITION BY l.root_id, l.rel_path ORDER BY line) AS nth
         FROM l LEFT JOIN b USING (root_id, rel_path) WHERE contains({_FOLD.format('line_text')}, 'license')""",
+    "content_search_whole_word": f"""WITH {_CORPUS}, {_LINES}, g AS (SELECT root_id, rel_path, line_text, line, {_FOLD.format('line_text')} AS f FROM l),
+        k AS (SELECT *, len(list_filter(regexp_split_to_array(f, '[^a-z0-9_]+'), lambda x: x = 'la')) AS n FROM g), s AS (SELECT root_id, rel_path, sum(n) AS hits, count(*) AS n_lines FROM k GROUP BY ALL),
+        b AS (SELECT root_id, rel_path, CAST(round(hits / greatest(len(t), n_lines, 1) * 1000000) AS BIGINT) AS score FROM s JOIN c USING (root_id, rel_path) WHERE hits > 0)
+        SELECT root_id, rel_path, CAST(line AS BIGINT) AS line, CAST(octet_length(encode(substr(line_text, 1, length(regexp_extract(f, '(?s)^((?:.*?[^a-z0-9_])??)la(?:[^a-z0-9_]|$)', 1))))) + 1 AS BIGINT) AS "column", coalesce(score, 0) AS score,
+               substr(line_text, 1, 240) AS text, row_number() OVER (PARTITION BY root_id, rel_path ORDER BY line) AS nth FROM k LEFT JOIN b USING (root_id, rel_path) WHERE n > 0""",
+    "line_context": f"""WITH {_CORPUS}, {_LINES}, h AS (SELECT root_id, rel_path, line FROM l WHERE contains({_FOLD.format('line_text')}, 'license'))
+        SELECT h.root_id, h.rel_path, CAST(h.line AS BIGINT) AS line, CAST(l.line AS BIGINT) AS context_line, substr(l.line_text, 1, 240) AS text FROM h JOIN l ON l.root_id = h.root_id AND l.rel_path = h.rel_path AND l.line BETWEEN h.line - 2 AND h.line + 1""",
     "bm25_scores": f"WITH {_CORPUS}, {_bm25_sql(['the', 'license', 'que'])} SELECT * FROM b",
     "bm25_single_term": f"WITH {_CORPUS}, {_bm25_sql(['apache'])} SELECT * FROM b",
     "tf_density_regex": f"""WITH {_CORPUS}, {_LINES}, h AS (SELECT root_id, rel_path, count(*) AS n, sum(len(regexp_extract_all(line_text, '(?i)[a-z]+tion'))) AS hits FROM l GROUP BY ALL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-BATCH_BYTES = "8388608b"
+BATCH_BYTES = "4194304b"
 FILES_A_CORE, NARROW_FILES_A_CORE = 8, 2
 
 
@@ -30,14 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` with batches of at most 8 MB, unless the session has a size of its own.
+    """``df.mapInArrow(run, schema)`` with batches of at most 4 MB, unless the session has a size of its own.
 
     Whole texts and shingle sets fill Spark's default of 64 MB, which a task holds several times over on both sides.
     """
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     if key not in spark.conf.getAll:
         spark.conf.set(key, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return the memory that a task has used to the system; workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
