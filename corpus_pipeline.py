@@ -3,6 +3,10 @@
 Toxicity drops the documents it rejects; near-dedup keeps the smallest id of each group; suffix-array dedup
 takes repeated bytes out of the texts; decontamination drops documents that hold a benchmark
 item; packing returns the pieces with their sequences.  All stages but the last return the columns of documents.
+
+Cases: a null or empty text passes all stages and is packed as the separator alone; a row with a null doc_id is
+in no group, matches nothing and is kept; rows that share a doc_id go or stay together in near-dedup and
+decontamination; an empty table gives no pieces; other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,10 +35,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated bytes go; the character count, where there is one, follows the text."""
+    """Repeated bytes go; the character count, where there is one, follows the text (of a null text it stays)."""
     out = remove_repeats(docs)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
     return out
 
 
