@@ -1,7 +1,8 @@
 """Quality classifier: Bradley-Terry scores from preference pairs, thresholded by a score quantile.
 
 A document's strength is linear in features of its whole text.  Pairs of a better and a worse
-labelled document give the logistic loss on the difference of their features.  The threshold
+labelled document give the logistic loss on the difference of their features; ``pairs`` of them (60,000) are drawn
+from the bounded sample, each document as often as any other of its label.  The threshold
 is the quantile of the sample's scores at the share of worse documents; a slope fitted on
 the sample turns the distance to it into a probability, with the threshold at ``at_threshold``.
 

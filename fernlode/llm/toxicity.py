@@ -1,9 +1,11 @@
 """Toxicity score: a weighted lexicon matched by Aho-Corasick in folded text.
 
 Folding lower-cases, strips accents, and maps homoglyphs and digits that stand for letters, so
-that disguised spellings meet the same entries.  Entries are whole words and word beginnings,
-weighted by shrunken log odds in a bounded labelled sample; exception phrases (word pairs
-around an entry that harmless documents use, and a given list) take back the hits they cover.
+that disguised spellings meet the same entries.  Entries are all whole words and word beginnings
+that at least ``MIN_DOCS`` toxic texts of a bounded labelled sample hold (fewer are no evidence) and whose
+shrunken log odds reach ``MIN_WEIGHT``; these are their weights.  Exception phrases (word pairs
+around an entry that at least ``MIN_DOCS`` harmless texts of the sample and no toxic one use, and a given list) take back the hits
+they cover.  The sample's bound, ``sample_rows``, bounds both lists.
 The weights of a text's hits, plain and normalised by its length, give the score
 through a logistic curve fitted on a fold of the sample that the lexicon has not seen.
 
@@ -31,7 +33,7 @@ from fernlode.storage import map_batches
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 PRIOR = 10.0
-MIN_DOCS, MIN_WEIGHT, MAX_ENTRIES, MAX_EXCEPTIONS = 3, 1.5, 4000, 1000
+MIN_DOCS, MIN_WEIGHT = 3, 1.5
 CALIBRATION_FOLD = 4
 #: Harmless phrases around words that are often insults.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "pond scum")
@@ -116,7 +118,7 @@ def _row_features(machine, text: str | None) -> list[float]:
     return [math.log1p(total), math.log1p(1000 * total / (length + 200)), max((w for _, _, w in found), default=0.0), math.log1p(places)]
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS, max_entries: int = MAX_ENTRIES) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS) -> dict[str, float]:
     """Entries and weights from the sample's rows outside the calibration fold; equal texts count once."""
     rows = sample.filter(F.col("fold") != CALIBRATION_FOLD).groupBy(F.xxhash64("text").alias("_h")).agg(F.min_by("text", "doc_id").alias("text"), F.max("y").alias("y"))
 
@@ -139,11 +141,11 @@ def learn_lexicon(sample: DataFrame, min_docs: int = MIN_DOCS, max_entries: int
     p = F.col("p")
     weight = F.log((F.col("n1") + PRIOR * p) / (F.col("n0") + PRIOR * (1 - p))) - F.log(p / (1 - p))
     weighed = counted.filter(F.col("term") != "").join(F.broadcast(share), F.lit(True)).withColumn("weight", weight)  # one row
-    best = weighed.filter(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc(F.col("weight") * F.log1p("n1")), "term").limit(max_entries)
-    return {r["term"]: r["weight"] for r in best.select("term", "weight").collect()}  # at most max_entries
+    best = weighed.filter(F.col("weight") >= MIN_WEIGHT).select("term", "weight").orderBy("term")
+    return {r["term"]: r["weight"] for r in best.collect()}  # terms of a bounded sample
 
 
-def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], limit: int = MAX_EXCEPTIONS) -> list[str]:
+def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], min_docs: int = MIN_DOCS) -> list[str]:
     """Word pairs around an entry that harmless rows use and toxic rows do not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,7 @@ def learn_exceptions(sample: DataFrame, lexicon: dict[str, float], limit: int =
 
     rows = map_batches(sample.filter(F.col("fold") != CALIBRATION_FOLD).select("text", "y"), run, "pair string, y int, n long")
     pairs = rows.groupBy("pair").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
-    return [r["pair"] for r in pairs.filter("n1 = 0 AND n0 >= 3").orderBy(F.desc("n0"), "pair").limit(limit).collect()]
+    return [r["pair"] for r in pairs.filter((F.col("n1") == 0) & (F.col("n0") >= min_docs)).select("pair").orderBy("pair").collect()]  # pairs of a bounded sample
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict:

@@ -26,13 +26,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 
     The ids are the first by a hash of the id, so that the sample does not depend on how the
     input is partitioned.  Rows with a null id or label are left out; an id with several labels counts
-    once, with the largest.
+    once, with the largest, and an id with several texts counts with the one of the least hash, so that the sample never
+    has more than ``rows`` rows.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     own = own.withColumn("fold", fold_of(F.col("doc_id"))).filter("fold <> 0").groupBy("doc_id", "fold").agg(F.max("y").alias("y"))
     picked = materialize(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labels", narrow=True)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(picked), "doc_id"), "sample")  # picked has a proven bound
+    joined = texts.join(F.broadcast(picked), "doc_id")  # picked has a proven bound
+    one = joined.groupBy("doc_id", "y", "fold").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialize(one.select("doc_id", "text", "y", "fold"), "sample")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 40, intercept: bool = True) -> np.ndarray:
