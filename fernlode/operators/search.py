@@ -7,11 +7,13 @@ only split for texts that match.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import ascii_lower, glob_regex, lines, normalized_doc_len, smart_case, tokenize_query, tokenize_text
+from fernlode.storage import materialize
 
 K1, B = 1.2, 0.75
 PREVIEW_CHARS = 240
@@ -114,12 +116,55 @@ def bm25(corpus: DataFrame, terms: list[str], case_sensitive: bool = False) -> D
     joined = own.filter(" + ".join(f"tf{k}" for k in range(len(terms))) + " > 0").crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)
     for k in range(len(terms)):
-        tf = F.col(f"tf{k}")
-        idf = F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)) if len(terms) > 1 else F.lit(1.0)
-        total = total + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        idf = _idf(F.col("n"), F.col(f"df{k}")) if len(terms) > 1 else F.lit(1.0)
+        total = total + idf * _saturated(F.col(f"tf{k}"), F.col("dl"), F.col("avgdl"))
     return joined.select(*KEY, F.round(total * 1_000_000).cast("long").alias("score"))
 
 
+class TermIndex(NamedTuple):
+    """postings(term, root_id, rel_path, tf, dl) in the order of the terms, and what BM25 needs of the whole corpus."""
+
+    postings: DataFrame
+    n: int
+    avgdl: float
+
+
+def build_index(corpus: DataFrame) -> TermIndex:
+    """Tokenize the corpus once for many searches; the postings are a written table whose row groups can be skipped by term."""
+    own = corpus.select(*KEY, tokenize_text(F.col("text")).alias("_t")).withColumn("dl", F.greatest(F.size("_t"), F.lit(1)))
+    stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    counted = own.select(*KEY, "dl", F.explode("_t").alias("term")).groupBy("term", *KEY, "dl").agg(F.count("*").alias("tf"))
+    return TermIndex(materialize(counted.repartitionByRange("term").sortWithinPartitions("term"), "postings"), stats["n"], stats["avgdl"] or 1.0)
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def bm25_indexed(index: TermIndex, terms: list[str]) -> DataFrame:
+    """The same scores as ``bm25`` from the postings of the terms alone."""
+    rows = index.postings.filter(F.col("term").isin(terms))
+    df = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.count("*").alias("df")).collect()}  # at most a row a term
+    total, n, avgdl = F.lit(0.0), F.lit(index.n), F.lit(index.avgdl)
+    per_file = rows.groupBy(*KEY, "dl").agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{k}") for k, t in enumerate(terms)])
+    for k, t in enumerate(terms):
+        total = total + (_idf(n, F.lit(df.get(t, 0))) if len(terms) > 1 else F.lit(1.0)) * _saturated(F.col(f"tf{k}"), F.col("dl"), avgdl)
+    return per_file.select(*KEY, F.round(total * 1_000_000).cast("long").alias("score"))
+
+
+def _may_hold(corpus: DataFrame, index: TermIndex, terms: list[str]) -> DataFrame:
+    """The files with a term that holds the longest ASCII term of the pattern; all files if it has none."""
+    plain = [t for t in terms if t.isascii()]
+    if not plain:
+        return corpus
+    hit = index.postings.filter(F.col("term").contains(max(plain, key=len))).select(*KEY).distinct()
+    return corpus.join(hit, KEY, "left_semi")
+
+
 def tf_density(corpus: DataFrame, matcher: Matcher) -> DataFrame:
     """(root_id, rel_path, score): matches by max(tokens, lines, 1), scaled by 1e6."""
     length = normalized_doc_len(F.size(tokenize_text(F.col("text"), matcher.case)), F.size(lines(F.col("text"))))
@@ -134,14 +179,20 @@ def matching_lines(corpus: DataFrame, matcher: Matcher) -> DataFrame:
     return rows.select(*KEY, (F.col("_k") + 1).cast("long").alias("line"), matcher.column(F.col("_line")).alias("column"), F.substring("_line", 1, PREVIEW_CHARS).alias("text"), matcher.occurrences(F.col("_line")).cast("long").alias("occurrences"))
 
 
-def content_search(corpus: DataFrame, pattern: str, regex: bool = False, whole_word: bool = False, max_results: int | None = 50) -> DataFrame:
+def content_search(corpus: DataFrame, pattern: str, regex: bool = False, whole_word: bool = False, max_results: int | None = 50, index: TermIndex | None = None) -> DataFrame:
     """Ranked matching lines, taken round-robin from the files: each file's first line in rank order, then the second, ...
 
-    ``max_results`` None returns every line without the cap for each file.
+    ``max_results`` None returns every line without the cap for each file.  With an ``index`` of the corpus, a literal
+    search without capitals takes its scores from there and reads only files that can match.
     """
     matcher = Matcher(pattern, regex, whole_word)
     terms = tokenize_query(pattern, matcher.case)
-    scores = tf_density(corpus, matcher) if regex or whole_word or not terms else bm25(corpus, terms, matcher.case)
+    if regex or whole_word or not terms:
+        scores = tf_density(corpus, matcher)
+    elif index is None or matcher.case:
+        scores = bm25(corpus, terms, matcher.case)
+    else:
+        scores, corpus = bm25_indexed(index, terms), _may_hold(corpus, index, terms)
     rows = matching_lines(corpus, matcher).join(scores, KEY, "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("long"))
     nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("line")).cast("long")
     rows = rows.withColumn("nth", nth)

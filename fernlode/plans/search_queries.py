@@ -34,8 +34,16 @@ def _bm25_sql(terms: list[str]) -> str:
         b AS (SELECT root_id, rel_path, CAST(round(CAST(({parts}) AS DOUBLE) * 1000000) AS BIGINT) AS score FROM f, s WHERE {' + '.join(f'tf{k}' for k in range(len(terms)))} > 0)"""
 
 
+def _indexed(spark: SparkSession, sf_dir: str, pattern: str, max_results: int | None) -> DataFrame:
+    corpus = documents(spark, sf_dir)
+    return search.content_search(corpus, pattern, max_results=max_results, index=search.build_index(corpus))
+
+
 QUERIES = {
     "content_search_bm25": lambda s, d: search.content_search(documents(s, d), "the in", max_results=50),
+    "content_search_indexed": lambda s, d: _indexed(s, d, "the in", 50),
+    "content_search_indexed_all": lambda s, d: _indexed(s, d, "license", None),
+    "bm25_indexed": lambda s, d: search.bm25_indexed(search.build_index(documents(s, d)), ["the", "license", "que"]),
     "content_search_all_lines": lambda s, d: search.content_search(documents(s, d), "license", max_results=None),
     "content_search_whole_word": lambda s, d: search.content_search(documents(s, d), "la", whole_word=True, max_results=None),
     "bm25_scores": lambda s, d: search.bm25(documents(s, d), ["the", "license", "que"]),
@@ -92,3 +100,4 @@ ORACLE_SQL = {
         r AS (SELECT *, row_number() OVER w AS k, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS bytes FROM e WINDOW w AS (ORDER BY rel_path, root_id))
         SELECT root_id, rel_path, size FROM r WHERE k <= 700 AND bytes <= 1000000""",
 }
+ORACLE_SQL |= {"content_search_indexed": ORACLE_SQL["content_search_bm25"], "content_search_indexed_all": ORACLE_SQL["content_search_all_lines"], "bm25_indexed": ORACLE_SQL["bm25_scores"]}
