@@ -44,29 +44,44 @@ class IgnoreRules:
         return out
 
 
-def walk(root: str, root_id: str) -> Iterator[tuple[str, str, str, int]]:
-    """Regular files under ``root`` that no ignore file excludes; hidden files count."""
-    stack: list[tuple[str, list[IgnoreRules]]] = [("", _read_rules(os.path.join(root, ".git/info/exclude"), ""))]
-    while stack:
-        rel_dir, rules = stack.pop()
-        here = os.path.join(root, rel_dir)
-        rules = rules + _read_rules(os.path.join(here, ".gitignore"), rel_dir)
-        try:
-            entries = sorted(os.scandir(here), key=lambda e: e.name)
-        except OSError:
+def _list(root: str, rel_dir: str, rules: list[IgnoreRules]) -> tuple[list[os.DirEntry], list[str], list[IgnoreRules]]:
+    """(files, folders to enter, rules that hold below) of one folder."""
+    here = os.path.join(root, rel_dir)
+    rules = rules + _read_rules(os.path.join(here, ".gitignore"), rel_dir)
+    try:
+        entries = sorted(os.scandir(here), key=lambda e: e.name)
+    except OSError:
+        return [], [], rules
+    files, folders = [], []
+    for e in entries:
+        rel = f"{rel_dir}/{e.name}" if rel_dir else e.name
+        is_dir = e.is_dir(follow_symlinks=False)
+        if is_dir and e.name in PRUNED:
             continue
-        for e in entries:
-            rel = f"{rel_dir}/{e.name}" if rel_dir else e.name
-            is_dir = e.is_dir(follow_symlinks=False)
-            if is_dir and e.name in PRUNED:
-                continue
-            verdicts = [v for r in rules if (v := r.verdict(rel, is_dir)) is not None]
-            if verdicts and verdicts[-1]:
-                continue
-            if is_dir:
-                stack.append((rel, rules))
-            elif e.is_file(follow_symlinks=False):
-                yield root_id, rel, e.path, e.stat().st_size
+        verdicts = [v for r in rules if (v := r.verdict(rel, is_dir)) is not None]
+        if verdicts and verdicts[-1]:
+            continue
+        if is_dir:
+            folders.append(rel)
+        elif e.is_file(follow_symlinks=False):
+            files.append(e)
+    return files, folders, rules
+
+
+def walk(root: str, root_id: str, tops: list[str] | None = None) -> Iterator[tuple[str, str, str, int]]:
+    """Regular files under ``root`` that no ignore file excludes; hidden files count.
+
+    ``tops`` names the folders of the root to walk, the empty one for the files right in it; without it all are walked.
+    """
+    files, folders, rules = _list(root, "", _read_rules(os.path.join(root, ".git/info/exclude"), ""))
+    if tops is None or "" in tops:
+        yield from ((root_id, e.name, e.path, e.stat().st_size) for e in files)
+    stack = [(rel, rules) for rel in folders if tops is None or rel in tops]
+    while stack:
+        rel_dir, above = stack.pop()
+        files, folders, rules = _list(root, rel_dir, above)
+        yield from ((root_id, f"{rel_dir}/{e.name}", e.path, e.stat().st_size) for e in files)
+        stack += [(rel, rules) for rel in folders]
 
 
 def _read_rules(path: str, base: str) -> list[IgnoreRules]:
@@ -78,7 +93,7 @@ def _read_rules(path: str, base: str) -> list[IgnoreRules]:
 
 
 class CatalogSource(DataSource):
-    """``spark.read.format("fernlode_catalog").option("roots", "id=path;id=path")``: one task for each root."""
+    """``spark.read.format("fernlode_catalog").option("roots", "id=path;id=path")``: each root's folders are dealt to up to ``tasks`` tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -94,19 +109,24 @@ class CatalogSource(DataSource):
 class _CatalogReader(DataSourceReader):
     def __init__(self, options):
         self.roots = [tuple(r.split("=", 1)) for r in options["roots"].split(";") if r]
+        self.tasks = max(int(options.get("tasks", "1")), 1)
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(r) for r in self.roots]
+        out = []
+        for root_id, path in self.roots:
+            tops = ["", *_list(path, "", _read_rules(os.path.join(path, ".git/info/exclude"), ""))[1]]
+            out += [InputPartition((root_id, path, own)) for k in range(self.tasks) if (own := tops[k :: self.tasks])]
+        return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        root_id, path = partition.value
-        yield from walk(path, root_id)
+        root_id, path, tops = partition.value
+        yield from walk(path, root_id, tops)
 
 
 def scan(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """The catalog of local roots that all executors see."""
     spark.dataSource.register(CatalogSource)
-    return spark.read.format(CatalogSource.name()).option("roots", ";".join(f"{k}={v}" for k, v in roots.items())).load()
+    return spark.read.format(CatalogSource.name()).option("roots", ";".join(f"{k}={v}" for k, v in roots.items())).option("tasks", spark.sparkContext.defaultParallelism).load()
 
 
 def finalize(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[DataFrame, list[str]]:
