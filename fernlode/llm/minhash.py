@@ -8,7 +8,8 @@ Here all documents of a batch take the same step at once.
 
 Documents with equal shingle sets are one class.  Classes that share a band are compared with the
 smallest of the band.  Pairs of a band that are in different components after that are compared
-with each other unless the counts from the first comparison rule them out (see ``_across``), so no link
+with each other unless the counts from the first comparison rule them out (see ``_across``); those that are in the
+component of the band's smallest class meet only the others, and never each other.  So no link
 that the bands find is lost, while a band of many copies costs one comparison a copy and not one a
 pair.  Every link is confirmed on full sets.  With ``bands`` x ``rows`` = 48 x 6 a pair at the threshold of 0.8 shares no band with
 probability 5e-7.
@@ -220,20 +221,23 @@ def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets
     """
     own = broadcast_if_small(components.select(F.col("node").alias("id"), "component"), BROADCAST_IDS)
     rows = members.select("band", "id", "n", "pivot").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pivots = own.select(F.col("id").alias("pivot"), F.col("component").alias("_of_pivot"))
+    rows = rows.join(pivots, "pivot", "left").withColumn("rest", F.col("component") != F.coalesce("_of_pivot", "pivot")).drop("_of_pivot")
     mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
     rows = rows.filter(F.col("id") != F.col("pivot")).join(broadcast_if_small(materialize(mixed, "mixed", narrow=True), BROADCAST_IDS), "band")
     inside = measured.select(F.col("src").alias("id"), F.col("dst").alias("pivot"), F.col("common").alias("i"))
     rows = materialize(rows.join(inside, ["id", "pivot"]), "mixed_members", narrow=True)
 
     def side(frame: DataFrame, by: str, mark: str) -> DataFrame:
-        return frame.select(by, *(["pivot"] if by != "band" else []), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "n", "i", "component")))
+        return frame.select(by, *(["pivot"] if by != "band" else []), *(F.col(c).alias(f"{c}_{mark}") for c in ("id", "n", "i", "component", "rest")))
 
     def met(frame: DataFrame, on: list[str], extra) -> DataFrame:
-        pairs = side(frame, on[0], "a").join(side(frame, on[0], "b"), on)
-        pairs = pairs.filter((F.col("id_a") > F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _close("n_a", "n_b", similarity) & extra)
-        return pairs.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+        pairs = side(frame.filter("rest"), on[0], "a").join(side(frame, on[0], "b"), on)
+        once = ~F.col("rest_b") | (F.col("id_a") > F.col("id_b"))
+        pairs = pairs.filter(once & (F.col("component_a") != F.col("component_b")) & _close("n_a", "n_b", similarity) & extra)
+        return pairs.select(F.greatest("id_a", "id_b").alias("src"), F.least("id_a", "id_b").alias("dst"))
 
-    alone = rows.groupBy("id", "pivot", "n", "i", "component").agg(F.count("*").alias("_n")).drop("_n")
+    alone = rows.groupBy("id", "pivot", "n", "i", "component", "rest").agg(F.count("*").alias("_n")).drop("_n")
     outside = _measured(alone.select(F.col("id").alias("src"), F.col("pivot").alias("dst")), sets, own_part=True)
     outside = materialize(outside.select(F.col("src").alias("id"), F.col("dst").alias("pivot"), F.explode("own").alias("element")), "outside")
     groups = broadcast_if_small(materialize(alone.groupBy("pivot").agg(F.count("*").alias("members"), F.min("n").alias("least")), "groups", narrow=True), BROADCAST_IDS)
@@ -250,7 +254,7 @@ def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets
     placed = ranked.filter(~F.col("usual")).withColumn("place", F.row_number().over(order)).filter("df > 1")
     smallest = F.greatest(F.col("least"), F.col("n") * similarity / 100)
     prefix = placed.join(alone, ["id", "pivot"]).filter(F.col("place") <= F.col("n") - similarity * (F.col("n") + smallest) / (100 + similarity) + 1.001)
-    sharing = met(prefix.select("element", "pivot", "id", "n", "i", "component"), ["element", "pivot"], F.lit(True))
+    sharing = met(prefix.select("element", "pivot", "id", "n", "i", "component", "rest"), ["element", "pivot"], F.lit(True))
     tested = measured.select("src", "dst")
     return _distinct(bounded.unionByName(sharing)).join(tested, ["src", "dst"], "left_anti")
 
