@@ -62,15 +62,17 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return materialize(out.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("_n")).drop("_n"), "links", narrow=True)
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node) for every node of ``links`` (src, dst) that is not its component's smallest."""
+def connected_components(links: DataFrame) -> DataFrame:
+    """node, component (its smallest node) for every node of ``links`` (src, dst) that is not its component's smallest.
+
+    Rounds go on until nothing changes; their number grows with the square of the logarithm of the nodes at most.
+    """
     now = materialize(_unite_partition(links.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")), "links", narrow=True)
     if now.isEmpty():
         return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     sign = None
-    for _ in range(max_rounds):
+    while True:
         now = _star(_star(now, True), False)
         before, sign = sign, now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if sign == before:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    raise RuntimeError("components did not settle")

@@ -35,7 +35,8 @@ THRESHOLD = 0.98
 MISS = 1e-6
 #: Half-width of the bound in standard deviations.
 SIGMAS = 4.0
-BLOCK = 256
+BLOCK = 1024
+BYTES_A_TASK = 32 << 20
 SEED = 5
 BROADCAST_IDS = 400_000
 
@@ -220,7 +221,9 @@ def _duplicates(vectors: DataFrame, threshold: float) -> DataFrame:
     placed = members.withColumn("_k", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("rep", "size", "band", "group", F.least("_k", "_j").alias("lo"), F.greatest("_k", "_j").alias("hi"), (F.col("_k") > F.col("_j")).cast("int").alias("side"))
     full = placed.join(classes.select("rep", "weight", "v"), "rep")
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = shared.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
+    width = classes.agg(F.max(F.size("v"))).first()[0] or 0
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(sizes) * (8 * width + 64) // BYTES_A_TASK)
     dealt = full.repartition(parts, "group", "lo", "hi").sortWithinPartitions("size", "group", "lo", "hi", "rep")
     settled = materialize(_settle_groups(dealt, bands, bits, threshold), "settled")
     counts = broadcast_if_small(materialize(settled.filter("links > 0").groupBy("rep").agg(F.sum("links").alias("links")), "counts", narrow=True), BROADCAST_IDS)

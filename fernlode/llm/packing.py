@@ -8,7 +8,7 @@ there are distinct combinations, not as there are bins.  Documents then look up
 by (length, rank within length).
 
 Cases: a null text is an empty one; every document, also an empty one, ends in the
-separator id; equal documents and ties are ordered by (salt, doc_id, piece); an empty table
+separator id; rows that share a doc_id are each packed, and ties are ordered by (salt, doc_id, piece, checksum); an empty table
 gives an empty result; other columns of the input are ignored.
 """
 
@@ -335,7 +335,7 @@ def place_pieces(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     cells = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("_rank", F.row_number().over(within).cast("long") - 1).join(cells, ["length", "_salt"])
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = PIECES.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
