@@ -40,11 +40,13 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", F.to_json(F.struct("spans")).alias("body"))
 
 
-def _stream(spark: SparkSession, sf_dir: str, transform) -> DataFrame:
-    """A streaming query over ``events`` run to its end: file source, stateful operator, Parquet sink."""
-    schema = _events(spark, sf_dir).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
-    rows = transform(source)
+def _stream(spark: SparkSession, sf_dir: str, transform, files: int = 3) -> DataFrame:
+    """A streaming query over ``events`` run to its end: a source of several files, one a trigger, a stateful operator, a Parquet sink."""
+    events = _events(spark, sf_dir)
+    path, last = new_path(spark, "stream-in"), events.agg(F.max("event_id")).first()[0] or 0
+    for k in range(files):  # in the order of the events, so that state goes from trigger to trigger
+        events.filter(F.floor(F.col("event_id") * files / (last + 1)) == k).coalesce(1).write.mode("append").parquet(path)
+    rows = transform(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
     out, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
     query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -75,10 +77,10 @@ QUERIES = {
     "churn": lambda s, d: evidence.churn(_events(s, d).select(F.concat(F.lit("f"), F.col("user_id")).alias("path"), F.when(F.col("event_type") != "view", F.col("event_id") % 7).alias("insertions"), F.when(F.col("event_type") != "view", F.col("event_id") % 5).alias("deletions"))),
     "numstat": lambda s, d: _events(s, d).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", F.when(F.col("event_type") == "view", "-").otherwise((F.col("event_id") % 9).cast("string")), F.lit("1"), F.concat(F.lit("p"), F.col("event_id"))))), "\x00").alias("t")).select("user_id", F.inline(logs.parse_numstat(F.col("t")))),
     "trace_to_tape": lambda s, d: logs.trace_to_tape(logs.trace_spans(_traces(s, d))),
-    "stream_replay": lambda s, d: tapes.replay(_events(s, d).select(F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("session")), 9_100, "click", 1024),
+    "replay_window": lambda s, d: tapes.replay(_events(s, d).select(F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("session")), 9_100, "click", 1024),
     "stream_capture": _capture,
     "stream_budget_brake": _brake,
-    "stream_windows": lambda s, d: tapes.windowed_counts(_events(s, d)),
+    "windowed_counts": lambda s, d: tapes.windowed_counts(_events(s, d)),
     "select_remove": lambda s, d: context.select_ops(documents(s, d).select("root_id", F.col("rel_path").alias("path"), F.lit("full").alias("mode"), F.lit(1).alias("seq")), documents(s, d).filter("language = 'en'").select("root_id", F.col("rel_path").alias("path")), "remove").select("root_id", "path"),
     "code_map": lambda s, d: codemap.code_structure(codemap.parse_corpus(documents(s, d).withColumn("rel_path", F.concat("rel_path", F.lit(".py"))).withColumn("text", F.regexp_replace("text", "(?m)^([A-Za-z]+)", "def $1(x):")))).select("path", "n_symbols", "tokens"),
 }
@@ -102,10 +104,10 @@ ORACLE_SQL = {
     "trace_to_tape": """WITH s AS (SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, event_type, event_id % 50 AS i FROM events)
         SELECT trace_id, p * 2 + 1 AS seq, 'output' AS kind, event_type AS text, CAST(NULL AS BIGINT) AS input_tokens, CAST(NULL AS BIGINT) AS output_tokens FROM s UNION ALL SELECT trace_id, p * 2 + 2, 'usage_updated', NULL, i, 0 FROM s
         UNION ALL SELECT trace_id, 0, 'run_started', NULL, NULL, NULL FROM s GROUP BY 1 UNION ALL SELECT trace_id, 2 * count(*) + 1, 'run_finished', NULL, NULL, NULL FROM s GROUP BY 1""",
-    "stream_replay": "SELECT event_id AS seq, CASE WHEN event_type <> 'view' THEN event_type END AS session FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 1024 AND event_id > 9100 AND event_type IN ('view', 'click')",
+    "replay_window": "SELECT event_id AS seq, CASE WHEN event_type <> 'view' THEN event_type END AS session FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 1024 AND event_id > 9100 AND event_type IN ('view', 'click')",
     "stream_capture": """WITH e AS (SELECT user_id AS run_id, event_id, CASE WHEN event_type = 'purchase' AND event_id % 11 = 0 THEN 'run_finished' ELSE event_type END AS kind FROM events), f AS (SELECT run_id, min(event_id) AS last FROM e WHERE kind = 'run_finished' GROUP BY 1)
         SELECT e.run_id, row_number() OVER (PARTITION BY e.run_id ORDER BY event_id) - 1 AS seq, event_id, kind FROM e LEFT JOIN f USING (run_id) WHERE last IS NULL OR event_id <= last""",
     "stream_budget_brake": """WITH u AS (SELECT user_id AS run_id, event_id, CAST(sum(CASE WHEN event_type = 'view' THEN 50000 ELSE CAST(round(value * 100) AS BIGINT) END) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS spent FROM events) SELECT *, spent > 50000 AS exhausted FROM u""",
-    "stream_windows": "SELECT epoch_us(ts) // 3600000000 * 3600 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "windowed_counts": "SELECT epoch_us(ts) // 3600000000 * 3600 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "select_remove": "SELECT source AS root_id, CAST(doc_id AS VARCHAR) AS path FROM documents WHERE lang <> 'en'",
 }

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fernlode.functions.hashing import ledger_identity
 from fernlode.sources.logs import _exists
-from fernlode.storage import map_batches
+from fernlode.storage import map_batches, remove
 
 CAPTURED_DDL = "run_id long, seq long, event_id long, kind string"
 REPLAY_FRAMES = 1024
@@ -68,17 +68,17 @@ def replay(frames: DataFrame, after: int, session: str | None = None, keep: int
 def append_ledger(batch: DataFrame, path: str, batch_id: int) -> None:
     """foreachBatch sink: appends records (log_id, seq, kind_json) to their chains at ``path``, one folder for each batch.
 
-    Each log continues from its own head, so logs run in parallel; only a log is sequential. A batch that is delivered
-    again overwrites its own folder with the same rows.
+    Each log continues from its own head, so logs run in parallel; only a log is sequential.  The heads of all logs are a
+    table of their own beside the ledger (one row a log), so that no batch reads the history.  A batch that is delivered
+    again starts from the heads before it and overwrites its own folders with the same rows.
     """
-    spark = batch.sparkSession
+    spark, path = batch.sparkSession, path.rstrip("/")
     own = batch.select("log_id", "seq", "kind_json", ledger_identity(F.col("seq"), F.col("kind_json")).alias("event_hash"))
     heads = None
-    if _exists(spark, path):
-        before = spark.read.parquet(path)
-        if "batch" in before.columns:
-            before = before.filter(F.col("batch") < batch_id)
-        heads = before.groupBy("log_id").agg(F.max_by("record_hash", "seq").alias("head"))
+    if _exists(spark, f"{path}-heads"):
+        before = spark.read.parquet(f"{path}-heads").filter(F.col("batch") < batch_id)
+        newest = before.agg(F.max("batch")).first()[0]
+        heads = None if newest is None else before.filter(F.col("batch") == newest).select("log_id", "head")
     joined = own.withColumn("head", F.lit("")) if heads is None else own.join(heads, "log_id", "left").withColumn("head", F.coalesce("head", F.lit("")))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,11 @@ def append_ledger(batch: DataFrame, path: str, batch_id: int) -> None:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sealed = map_batches(joined.repartition(parts, "log_id").sortWithinPartitions("log_id", "seq"), fold, "log_id string, seq long, kind_json string, prev_hash string, record_hash string")
-    sealed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+    sealed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    new = spark.read.parquet(f"{path}/batch={batch_id}").groupBy("log_id").agg(F.max_by("record_hash", "seq").alias("head"))
+    kept = new if heads is None else heads.join(new, "log_id", "left_anti").unionByName(new)
+    kept.write.mode("overwrite").parquet(f"{path}-heads/batch={batch_id}")
+    remove(spark, f"{path}-heads/batch={batch_id - 2}")  # the one before stays, in case this batch comes again
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -49,10 +49,13 @@ def test_ledger_sink(spark, tmp_path):
     more = spark.createDataFrame([("a", 2, "{}")], batch.schema)
     for _ in range(2):  # delivered twice
         tapes.append_ledger(more, str(tmp_path / "ledger"), 1)
+    for k in range(2, 5):
+        tapes.append_ledger(spark.createDataFrame([("a", k + 1, "{}"), ("c", k - 2, "{}")], batch.schema), str(tmp_path / "ledger"), k)
     from fernlode.operators.chains import verify_ledger
 
+    assert sorted(p.name for p in (tmp_path / "ledger-heads").glob("batch=*")) == ["batch=3", "batch=4"]
     rows = spark.read.parquet(str(tmp_path / "ledger")).withColumn("position", F.col("seq"))
-    assert {(r.log_id, r.records, r.ok) for r in verify_ledger(rows).collect()} == {("a", 3, True), ("b", 1, True)}
+    assert {(r.log_id, r.records, r.ok) for r in verify_ledger(rows).collect()} == {("a", 6, True), ("b", 1, True), ("c", 3, True)}
 
 
 def test_replay(spark):
