@@ -1,6 +1,7 @@
+import random
 import re
 
-from fernlode.llm.licenses import BASE_PHRASES, license_spans, scan_licenses
+from fernlode.llm.licenses import BASE_PHRASES, DIAGONAL_GAP, K, MAX_STRETCH, MIN_COVERAGE, TEMPLATES, license_spans, scan_licenses
 
 ROWS = [
     (1, "Released under the MIT License. And under the mit license"), (2, None), (3, ""), (4, "mit"), (5, "Apache License, Version 2.0; CC-BY-NC"), (6, "under the éмit license"),
@@ -52,3 +53,46 @@ def test_repeats_side_by_side_are_kept(docs_of):
     text = " ".join([*words_[:11], "x", "x", *words_[9:], "x", *words_[9:], "x", *words_[9:]])
     r = license_spans(docs_of([(1, text)]), [], [("t", " ".join(words_))]).filter("label = 't'").collect()
     assert [(x.start, x.end, x.coverage) for x in r] == [(0, 11, 0.9)]
+
+
+def by_hand(text, template):
+    """Best coverage of one template in a text, by diagonals counted one after the other."""
+    w, t = words(text), template.split()
+    votes = {}
+    for p in range(len(w) - K + 1):
+        for q in range(len(t) - K + 1):
+            if w[p : p + K] == t[q : q + K]:
+                votes.setdefault(p - q, []).append(p)
+    grams, runs, before = len(t) - K + 1, [], None
+    for diagonal in sorted(votes):
+        own = (len(votes[diagonal]), min(votes[diagonal]), max(votes[diagonal]))
+        whole = own[0] == grams
+        if before is None or whole or before[1] or diagonal - before[0] > DIAGONAL_GAP or own[1] - before[2] > DIAGONAL_GAP + K:
+            runs.append([])
+        runs[-1].append(own)
+        before = (diagonal, whole, own[2])
+    best = 0.0
+    for run in runs:
+        n, lo, hi = sum(r[0] for r in run), min(r[1] for r in run), max(r[2] for r in run)
+        if hi - lo + 1 > MAX_STRETCH * grams + DIAGONAL_GAP:
+            n = max(run)[0]
+        best = max(best, min(n / grams, 1.0))
+    return best if best >= MIN_COVERAGE else 0.0
+
+
+def test_labels_against_counting_by_hand(docs_of):
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        w = rng.choice(TEMPLATES)[1].split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["odd"], [w[at], "new", "words"]])
+        rows.append((k, " ".join([*rng.choice([[], ["some", "text"]]), *w, *rng.choice([[], rng.choice(TEMPLATES)[1].split()])])))
+    rows.append((900, "word " * 200_000 + "all rights reserved"))  # a very long text
+    got = {r.doc_id: r for r in scan_licenses(docs_of(rows)).collect()}
+    for i, text in rows:
+        found = {label: max(by_hand(text, t) for own, t in TEMPLATES if own == label) for label, _ in TEMPLATES} if i < 900 else {"all-rights-reserved": 1.0}
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == {label for label, c in found.items() if c} | base, text
+        assert abs(got[i].score - max([*found.values(), 1.0 if base else 0.0])) < 1e-12

@@ -86,3 +86,10 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_very_long_texts(docs_of):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(5, " ".join(words)), (2, " ".join(words[3000:])), (9, " ".join(rng.sample(words, 60_000)))]
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(docs_of(rows), k=2).collect()} == {(5, 2), (2, 2), (9, 9)}

@@ -81,3 +81,23 @@ def test_ids_are_the_tokenizers(monkeypatch):
     texts += ["".join(rng.choice("aeiourstnlAEß. ,") for _ in range(rng.randint(0, 400))) for _ in range(300)]
     texts += [None, "é" * 300 + " a b", "x" * 2000, "a " * 2000 + "b" * 300, "abc " * 1000 + "日本", "<|endoftext|> don't"]
     assert list(ids_of.documents(pa.array(texts))) == [ids_of.encode(t or "") for t in texts]
+
+
+def test_the_fullest_combination_is_the_fullest():
+    rng = random.Random(6)
+    for _ in range(200):
+        counts = {n: rng.randint(1, 3) for n in rng.sample(range(1, 30), rng.randint(1, 5))}
+        capacity = rng.randint(1, 60)
+        sums = {0}
+        for n, times in counts.items():
+            sums = {s + n * k for s in sums for k in range(times + 1)}
+        chosen = packing._fullest(sorted(counts, reverse=True), counts, capacity)
+        assert all(k <= counts[n] for n, k in chosen) and sum(n * k for n, k in chosen) == max(s for s in sums if s <= capacity)
+
+
+def test_repeated_rows_are_each_packed(docs_of):
+    rows = [(1, "same text"), (1, "same text"), (1, "another one"), (None, "x"), (None, None)]
+    got = pack(docs_of(rows), PATH, max_len=8).collect()
+    assert sorted((r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i or 0, zlib.crc32(direct(t) + bytes(4))) for i, t in rows)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert len({p[:2] for p in places}) == len(rows) and all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(places, places[1:]))
