@@ -385,19 +385,30 @@ def _aligned(wrappers: list[str]) -> str:
     return json.dumps(wrapper)
 
 
-_CLASS_DDL = "host string, shape long, wrapper string, pages long, texts array<long>"
+_CLASS_DDL = "host string, shape long, wrapper string, pages long, lo long, hi long"
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Some classes of a host as one, in the order of their hashes."""
+    """Some wrappers of a host as one, in the order of their classes' hashes."""
     rows = sorted(zip(table.column("shape").to_pylist(), table.column("wrapper").to_pylist()))
-    texts = sorted({t for own in table.column("texts").to_pylist() for t in own})[:2]  # whether there are two
-    pages = sum(table.column("pages").to_pylist())
-    return pa.table({"host": table.column("host").slice(0, 1), "shape": pa.array([rows[0][0]], pa.int64()), "wrapper": [_aligned([w for _, w in rows])], "pages": pa.array([pages], pa.int64()), "texts": pa.array([texts], pa.list_(pa.int64()))})
+    lo, hi = min(table.column("lo").to_pylist()), max(table.column("hi").to_pylist())
+    values = [rows[0][0], _aligned([w for _, w in rows]), sum(table.column("pages").to_pylist()), lo, hi]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays([table.column("host").slice(0, 1), *(pa.array([v], k) for v, k in zip(values, kinds))], names=["host", "shape", "wrapper", "pages", "lo", "hi"])
+
+
+def _together(rows: DataFrame, *by: str) -> DataFrame:
+    """Align a host's wrappers by further keys; equal ones are counted before, so that they cost a row a task."""
+    equal = rows.groupBy("host", "shape", "wrapper", *(c for c in by if c != "shape")).agg(F.sum("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return materialize(equal.select("host", "shape", "wrapper", "pages", "lo", "hi", *(c for c in by if c != "shape")).groupBy("host", *by).applyInArrow(_merge, _CLASS_DDL), "classes")
+
+
+def _most(rows: DataFrame, *by: str) -> int:
+    return rows.groupBy(*by).agg(F.count_distinct("wrapper").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON nodes), pages, different (whether two pages differ in their texts): the wrapper of every host."""
+    """host, wrapper (JSON nodes), pages, different (whether two pages differ in their undropped texts): the wrapper of every host."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], list] = {}
@@ -406,42 +417,39 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             keys, values = list(found), list(found.values())
             return pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int64()), pa.array([json.dumps(v[0]) for v in values], pa.string()), pa.array([v[1] for v in values], pa.int64()), pa.array([sorted(v[2]) for v in values], pa.list_(pa.int64()))],
-                names=["host", "shape", "wrapper", "pages", "texts"],
+                [pa.array([h for h, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int64()), pa.array([json.dumps(v[0]) for v in values], pa.string()), *(pa.array([v[k] for v in values], pa.int64()) for k in (1, 2, 3))],
+                names=["host", "shape", "wrapper", "pages", "lo", "hi"],
             )
 
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 nodes = parse(html.as_py())
-                own, shape = page_wrapper(nodes), _number(_shape(nodes))
-                texts = _number("\n".join(_texts(nodes)))
+                own, shape, texts = page_wrapper(nodes), _number(_shape(nodes)), _number("\n".join(_texts(nodes)))
                 known = found.get((host, shape))
                 if known is None:
-                    found[host, shape] = [own, 1, {texts}]
+                    found[host, shape] = [own, 1, texts, texts]
                     size += len(html.as_buffer()) if html.is_valid else 0
                     if size > HELD_BYTES:
                         yield flush()
                         found.clear()
                         size = 0
                     continue
-                known[1] += 1
-                if texts not in known[2]:
-                    if len(known[2]) < 2:  # two tell that pages differ
-                        known[2].add(texts)
-                    known[0] = align(known[0], own)
+                known[0], known[1], known[2], known[3] = align(known[0], own), known[1] + 1, min(known[2], texts), max(known[3], texts)
         if found:
             yield flush()
 
-    partial = map_batches(_with_host(pages).select("host", "html"), local, _CLASS_DDL)
-    classes = materialize(partial.groupBy("host", "shape").applyInArrow(_merge, _CLASS_DDL), "classes")
-    most = classes.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    bits = max(math.ceil(math.log2(max(most, 1) / FAN_IN)), 0)
+    classes = materialize(map_batches(_with_host(pages).select("host", "html"), local, _CLASS_DDL), "classes")
+    # A class of very many tasks' wrappers is aligned in parts first; the order within a class makes no difference.
+    while (most := _most(classes, "host", "shape")) > FAN_IN:
+        before, classes = most, _together(classes.withColumn("_part", F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // FAN_IN)))), "shape", "_part")
+        if _most(classes, "host", "shape") >= before:
+            break
+    classes = _together(classes, "shape")
+    bits = max(math.ceil(math.log2(max(_most(classes, "host"), 1) / FAN_IN)), 0)
     while bits > 0:  # groups of classes with the same leading bits
-        part = F.shiftrightunsigned("shape", 64 - bits)
-        classes = materialize(classes.groupBy("host", part.alias("_part")).applyInArrow(_merge, _CLASS_DDL), "classes")
+        classes = _together(classes.withColumn("_part", F.shiftrightunsigned("shape", 64 - bits)), "_part")
         bits -= FAN_IN.bit_length() - 1
-    whole = classes.groupBy("host").applyInArrow(_merge, _CLASS_DDL)
-    return whole.select("host", "wrapper", "pages", (F.size("texts") > 1).alias("different"))
+    return _together(classes).select("host", "wrapper", "pages", (F.col("lo") < F.col("hi")).alias("different"))
 
 
 def _number(text: str) -> int:

@@ -80,6 +80,7 @@ def test_wrappers_do_not_depend_on_the_partitions(spark, monkeypatch):
     rows = [(k, f"http://{'abc'[k % 3]}/", "<body><div>top</div>" + "".join(block() for _ in range(rng.randrange(6))) + "</body>") for k in range(150)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     monkeypatch.setattr(wrappers, "FAN_IN", 4)
+    monkeypatch.setattr(wrappers, "HELD_BYTES", 300)
     found = [sorted(map(tuple, infer_wrappers(frame.repartition(n).orderBy(F.hash("page_id", F.lit(n))) if n else frame.coalesce(1)).collect())) for n in (0, 3, 7)]
     assert found[0] == found[1] == found[2] and [r[2] for r in found[0]] == [50, 50, 50]
 
