@@ -179,6 +179,11 @@ def selection_summary(selection: DataFrame, catalog: DataFrame) -> DataFrame:
     return selection_files(selection, catalog).groupBy("mode").agg(F.count("*").alias("files"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
 
+def selection_preview(selection: DataFrame, catalog: DataFrame, entries: DataFrame, op: str) -> DataFrame:
+    """What a selection would be after an operation: files and tokens by mode; the selection itself stays."""
+    return selection_summary(select_ops(selection, entries, op), catalog)
+
+
 def secret_slices(corpus: DataFrame, slices: DataFrame) -> DataFrame:
     """Findings within line ranges (root_id, rel_path, start_line, end_line): a range that meets a private key finds it even where it holds only its body.
 

@@ -190,7 +190,8 @@ def goto_definition(symbols: DataFrame, symbol: str, language: str | None = None
     rows = rows if language is None else rows.filter(F.col("language") == language)
     total = rows.agg(F.count("*").alias("total"))
     kept = rows if max_results is None else rows.orderBy("path", "line", "kind").limit(max_results)
-    return kept.select("path", "line", "kind", "name").crossJoin(F.broadcast(total))  # one row
+    cut = F.lit(False) if max_results is None else F.col("total") > max_results
+    return kept.select("path", "line", "kind", "name").crossJoin(F.broadcast(total)).withColumn("truncated", cut)  # one row
 
 
 def incoming_calls(refs: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
@@ -275,5 +276,17 @@ def type_expansion(refs: DataFrame, symbols: DataFrame, selected: DataFrame, kin
     return first if limit is None else first.orderBy("name", "path").limit(limit)
 
 
+def auto_codemap(refs: DataFrame, symbols: DataFrame, selected: DataFrame, kinds: list[str], limit: int = 8) -> DataFrame:
+    """The same within each root: unselected files (root_id, path) that define a type which selected files of their own root refer to.
+
+    They are taken in the order of (family, name, root, path), each file once, until there are ``limit``.
+    """
+    key = ["root_id", "path"]
+    used = with_family(refs).join(selected.select(*key).distinct(), key, "left_semi").select("root_id", "family", "name").distinct()
+    defs = with_family(symbols).filter(F.col("kind").isin(kinds)).join(selected.select(*key).distinct(), key, "left_anti").join(used, ["root_id", "family", "name"], "left_semi")
+    first = defs.groupBy(*key).agg(F.min(F.struct("family", "name")).alias("_f"))
+    return first.orderBy("_f", *key).limit(limit).select(*key, F.col("_f.name").alias("name"))
+
+
 def rank_of(column: str, *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(column).orderBy(*order))

@@ -55,10 +55,22 @@ def is_binary(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 8192)).rlike("^(?:..)*?00")
 
 
-def path_scope(entries: DataFrame, path: str) -> DataFrame:
-    """Exact path or everything below it."""
+def path_scope(entries: DataFrame, path: str, roots: dict[str, str] | None = None) -> DataFrame:
+    """Exact path or everything below it; an empty path matches nothing.
+
+    Where no entry has the path as it stands, its first part may be a root's id, or the base name of just one of
+    ``roots`` (id to path), and the rest the path in that root.
+    """
     p = path.rstrip("/")
-    return entries.filter(F.lit(bool(p)) & ((F.col("rel_path") == p) | F.col("rel_path").startswith(p + "/")))
+    if not p:
+        return entries.filter(F.lit(False))
+    prefix, _, rest = p.partition("/")
+    named = [i for i, full in (roots or {}).items() if full.rstrip("/").rpartition("/")[2] == prefix]
+    at, rel = F.col("root_id").isin([prefix, *(named if len(named) == 1 else [])]) & F.lit(bool(rest)), F.col("rel_path")
+    here, below = rel == p, rel.startswith(p + "/")
+    seen = entries.agg(F.max(here).alias("_here"), F.max(below).alias("_below"))
+    rows = entries.crossJoin(F.broadcast(seen))  # one row
+    return rows.filter(here | below | ~F.col("_here") & at & (rel == rest) | ~F.col("_below") & at & rel.startswith(rest + "/")).drop("_here", "_below")
 
 
 class Matcher:
@@ -252,11 +264,12 @@ def path_search(entries: DataFrame, pattern: str, regex: bool = False, max_resul
 
 
 def list_files(entries: DataFrame, query: str | None = None, limit: int | None = 4000) -> DataFrame:
-    """Paths that hold the query (any case), in order, with the total before the limit."""
+    """Paths that hold the query (any case), in order, with the total before the limit and whether that cut them."""
     rows = entries if not query else entries.filter(F.lower("rel_path").contains(query.lower()))
     total = rows.agg(F.count("*").alias("total"))
     kept = rows if limit is None else rows.orderBy("rel_path", "root_id").limit(limit)
-    return kept.select(*KEY, "size").crossJoin(F.broadcast(total))  # one row
+    cut = F.lit(False) if limit is None else F.col("total") > limit
+    return kept.select(*KEY, "size").crossJoin(F.broadcast(total)).withColumn("truncated", cut)  # one row
 
 
 def read_range(corpus: DataFrame, start_line: int | None = None, end_line: int | None = None, limit: int | None = None) -> DataFrame:

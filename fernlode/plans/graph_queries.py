@@ -154,7 +154,7 @@ ORACLE_SQL = {
     "pagerank": _rank_sql(_TRANSITIONS, "node, CAST(round(rank * 100000000) AS BIGINT) AS score"),
     "enclosing_symbols": f"""WITH {_L}, {_ENC} SELECT path, symbol, CAST(line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", kind, ref_name, CAST(ref_line AS BIGINT) AS ref_line, ref_column, 'call' AS ref_kind FROM en""",
     "find_references": f"""WITH {_L}, n AS (SELECT count(*) AS n FROM s WHERE name = 'erthat') SELECT path, CAST(line AS BIGINT) AS line, "column", 'call' AS kind, name, CASE WHEN n <= 1 OR path IN (SELECT path FROM s WHERE name = 'erthat') THEN 'high' ELSE 'low' END AS confidence FROM r, n WHERE name = 'erthat'""",
-    "goto_definition": f"WITH {_L} SELECT path, CAST(line AS BIGINT) AS line, kind, name, (SELECT count(*) FROM s WHERE name = 'with') AS total FROM s WHERE name = 'with'",
+    "goto_definition": f"WITH {_L} SELECT path, CAST(line AS BIGINT) AS line, kind, name, (SELECT count(*) FROM s WHERE name = 'with') AS total, false AS truncated FROM s WHERE name = 'with'",
     "incoming_calls": f"""WITH {_L}, {_ENC} SELECT path, symbol, CAST(line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", kind, ref_name, CAST(ref_line AS BIGINT) AS ref_line, ref_column, 'call' AS ref_kind FROM en WHERE ref_name IN (SELECT name FROM s)""",
     "outgoing_calls": f"""WITH {_L}, {_ENC} SELECT DISTINCT s.name, s.path, CAST(s.line AS BIGINT) AS line, CAST(1 AS BIGINT) AS "column", s.kind FROM s WHERE name IN (SELECT ref_name FROM en WHERE symbol = 'with' AND ref_name <> 'with')""",
     "impact": f"""WITH {_L}, {_ENC}, cl AS (SELECT * FROM en WHERE symbol <> ref_name), seed AS (SELECT name, path, line FROM s WHERE name = 'erthat'),

@@ -84,6 +84,21 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("path", "action", "new_path", F.sha2("text", 256).alias("text_hash"))
 
 
+def _rooted(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return rows.join(documents(spark, sf_dir).select(F.col("rel_path").alias("path"), "root_id"), "path")
+
+
+def _chosen(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    return documents(spark, sf_dir).filter(which).select("root_id", F.col("rel_path").alias("path"), F.lit("full" if "size" in which else "codemap_only").alias("mode"), F.lit(int("size" in which)).alias("seq"))
+
+
+def _plan_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changed lines that the diffs of a plan show."""
+    corpus = documents(spark, sf_dir).filter(F.col("text").contains("license"))
+    diffs = edits.plan_diffs(corpus, edits.plan_replace(corpus, "license", "LICENCE", all_matches=True))
+    return logs.changed_lines(diffs.withColumnRenamed("path", "diff_id"))
+
+
 def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _events(spark, sf_dir).select(F.concat(F.lit("r"), "event_id").alias("receipt_id"), F.struct(F.struct(F.col("user_id").cast("string").alias("run_id")).alias("provenance")).alias("statement"))
     return evidence.receipt_for_run(own, "7").select("receipt_id", F.col("statement.provenance.run_id").alias("run_id"))
@@ -122,6 +137,10 @@ QUERIES = {
     "top_content_files": lambda s, d: search.top_content_files(_hits(s, d, "with")),
     "search_report": lambda s, d: search.search_report(documents(s, d), "der", 50),
     "code_scope": lambda s, d: search.code_scope(page_entries(s, d), ["blog.tionsh.example.net/en", "thther.example.org/"]),
+    "path_scope_root": lambda s, d: search.path_scope(page_entries(s, d), "site/blog.tionsh.example.net/en", {"web": "/srv/site/"}),
+    "auto_codemap": lambda s, d: graph.auto_codemap(_rooted(s, d, refs(s, d)), _rooted(s, d, symbols(s, d)), documents(s, d).filter("size > 9000").select("root_id", F.col("rel_path").alias("path")), ["struct"], 8),
+    "selection_preview": lambda s, d: context.selection_preview(_chosen(s, d, "language = 'en'"), documents(s, d), _chosen(s, d, "size < 2000"), "add"),
+    "plan_diffs": _plan_diffs,
     "path_search_top": lambda s, d: search.path_search(page_entries(s, d), "[0-9]+$", regex=True, max_results=10),
     "verdict_query": lambda s, d: evidence.verdict_query(_events(s, d).select(F.concat(F.lit("v"), "event_id").alias("verdict_id"), F.col("user_id").cast("string").alias("run_id")), "7"),
     "ledger_newest": lambda s, d: evidence.ledger_query(_events(s, d).select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind")), record_kind="click"),
@@ -152,7 +171,7 @@ ORACLE_SQL = {
         SELECT path, CAST(line AS BIGINT) AS line, kind, signature, CASE WHEN total = 1 THEN array_to_string(t[line:end_line], chr(10)) END AS body, total FROM k JOIN x USING (path) ORDER BY path, line, kind, signature LIMIT 20""",
     "confident_references": f"""WITH {_L}, n AS (SELECT count(*) AS n FROM s WHERE name = 'inthat'), c AS (SELECT path, line, "column", CASE WHEN n <= 1 OR path IN (SELECT path FROM s WHERE name = 'inthat') THEN 'high' ELSE 'low' END AS confidence FROM r, n WHERE name = 'inthat')
         SELECT path, CAST(line AS BIGINT) AS line, "column", 'call' AS kind, 'inthat' AS name, confidence FROM c WHERE confidence = 'high' ORDER BY path, line, "column" LIMIT 200""",
-    "definitions_first": f"WITH {_L} SELECT path, CAST(line AS BIGINT) AS line, kind, name, (SELECT count(*) FROM s WHERE name = 'with') AS total FROM s WHERE name = 'with' ORDER BY path, line, kind LIMIT 5",
+    "definitions_first": f"WITH {_L} SELECT path, CAST(line AS BIGINT) AS line, kind, name, (SELECT count(*) FROM s WHERE name = 'with') AS total, (SELECT count(*) FROM s WHERE name = 'with') > 5 AS truncated FROM s WHERE name = 'with' ORDER BY path, line, kind LIMIT 5",
     "resolve_imports": """WITH f AS (SELECT DISTINCT 'pkg/' || event_type || '/m' || CAST(floor(value) AS BIGINT) || CASE WHEN event_type = 'view' THEN '/__init__.py' ELSE '.py' END AS dst FROM events WHERE event_type <> 'error'),
         u AS (SELECT 'app/u' || user_id || '.py' AS src, 'pkg/' || event_type || '/m' || CAST(floor(value) AS BIGINT) AS m FROM events) SELECT src, dst FROM u JOIN f ON dst = m || '.py' OR dst = m || '/__init__.py'""",
     "symbol_search_kind": f"""WITH p AS (SELECT p_name AS name, p_type AS kind, p_brand AS signature, 'part/' || p_partkey AS path, 'part/' || p_partkey AS display_path FROM part), q AS (SELECT *, {_field_sql('brand')} AS a FROM p)
@@ -171,6 +190,12 @@ ORACLE_SQL = {
     "search_report": f"""WITH {_CORPUS}, {_LINES}, h AS (SELECT root_id, rel_path, count(*) AS k FROM l WHERE contains({_FOLD.format('line_text')}, 'der') GROUP BY ALL), m AS (SELECT count(*) AS f, sum(k) AS k, sum(least(k, 17)) AS shown FROM h)
         SELECT (SELECT count(*) FROM c) AS scanned_files, (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) FROM c) AS scanned_bytes, CAST(0 AS BIGINT) AS binary_skipped, f AS matching_files, CAST(k AS BIGINT) AS matching_lines, CAST(least(shown, 50) AS BIGINT) AS returned, CAST(k - least(shown, 50) AS BIGINT) AS omitted FROM m""",
     "code_scope": f"WITH {_ENTRIES} SELECT * FROM e WHERE rel_path = 'blog.tionsh.example.net/en' OR starts_with(rel_path, 'blog.tionsh.example.net/en/') OR starts_with(rel_path, 'thther.example.org/')",
+    "path_scope_root": f"WITH {_ENTRIES} SELECT * FROM e WHERE rel_path = 'blog.tionsh.example.net/en' OR starts_with(rel_path, 'blog.tionsh.example.net/en/')",
+    "auto_codemap": f"""WITH {_L}, t AS (SELECT CAST(doc_id AS VARCHAR) AS path, source AS root_id, octet_length(encode(coalesce(text, ''))) AS size FROM documents), u AS (SELECT DISTINCT root_id, name FROM r JOIN t USING (path) WHERE size > 9000)
+        SELECT root_id, path, min(name) AS name FROM s JOIN t USING (path) WHERE kind = 'struct' AND size <= 9000 AND (root_id, name) IN (SELECT (root_id, name) FROM u) GROUP BY root_id, path ORDER BY name, root_id, path LIMIT 8""",
+    "selection_preview": """WITH d AS (SELECT octet_length(encode(coalesce(text, ''))) AS size, lang FROM documents) SELECT CASE WHEN size < 2000 THEN 'full' ELSE 'codemap_only' END AS mode, count(*) AS files, CAST(sum(CASE WHEN size < 2000 THEN ceil(size / 4) ELSE 0 END) AS BIGINT) AS tokens
+        FROM d WHERE lang = 'en' OR size < 2000 GROUP BY 1""",
+    "plan_diffs": f"WITH {_L} SELECT path AS diff_id, path, CAST(line AS BIGINT) AS line FROM l WHERE contains(text, 'license')",
     "path_search_top": f"""WITH {_ENTRIES} SELECT root_id, rel_path, CAST(900000 - octet_length(encode(rel_path)) - 2 * (length(rel_path) - length(regexp_extract(rel_path, '[0-9]+$'))) AS BIGINT) AS score
         FROM e WHERE regexp_matches(rel_path, '[0-9]+$') ORDER BY score DESC, rel_path, root_id LIMIT 10""",
     "verdict_query": "SELECT 'v' || event_id AS verdict_id, CAST(user_id AS VARCHAR) AS run_id FROM events WHERE user_id = 7",

@@ -91,7 +91,7 @@ ORACLE_SQL = {
         SELECT root_id, rel_path, CAST(CASE WHEN contains(lower(rel_path), 'blog') THEN 1000000 + 88 + CASE WHEN starts_with(base, 'blog') THEN 8 ELSE 0 END - octet_length(encode(rel_path)) - 2 * (strpos(lower(rel_path), 'blog') - 1)
                + CASE WHEN ends_with(lower(rel_path), 'blog') THEN 4 ELSE 0 END ELSE 64 END AS BIGINT) AS score FROM b WHERE contains(lower(rel_path), 'blog') OR regexp_matches(lower(rel_path), 'b.*?l.*?o.*?g')""",
     "entry_filter_globs": f"""WITH {_ENTRIES} SELECT * FROM e WHERE (regexp_matches(rel_path, '^(.*/)?en/.*$') OR regexp_matches(rel_path, '^blog\\.[^/]*/.*$')) AND NOT regexp_matches(rel_path, '^(.*/)?[^/]*5$')""",
-    "list_files": f"WITH {_ENTRIES}, k AS (SELECT * FROM e WHERE contains(lower(rel_path), 'example.org')) SELECT root_id, rel_path, size, (SELECT count(*) FROM k) AS total FROM k",
+    "list_files": f"WITH {_ENTRIES}, k AS (SELECT * FROM e WHERE contains(lower(rel_path), 'example.org')) SELECT root_id, rel_path, size, (SELECT count(*) FROM k) AS total, false AS truncated FROM k",
     "read_range": """WITH c AS (SELECT source AS root_id, CAST(doc_id AS VARCHAR) AS rel_path, string_split(coalesce(text, ''), chr(10)) AS p, coalesce(text, '') AS text FROM documents),
         n AS (SELECT *, CASE WHEN text = '' THEN 0 WHEN ends_with(text, chr(10)) THEN len(p) - 1 ELSE len(p) END AS total FROM c)
         SELECT root_id, rel_path, CASE WHEN least(4, total) < 2 THEN '' ELSE array_to_string(p[2:least(4, total)], chr(10)) || CASE WHEN total > 4 OR ends_with(text, chr(10)) THEN chr(10) ELSE '' END END AS text,

@@ -41,6 +41,13 @@ def append_ndjson(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def append_with_heads(records: DataFrame, path: str, key: str, order: str) -> None:
+    """Append records and rewrite the head document (the last record) of each key that they touch, below ``path-heads``."""
+    append_ndjson(records, path)
+    last = records.groupBy(key).agg(F.max_by(F.struct(*records.columns), order).alias("_r"))
+    write_documents(last.select("_r.*"), f"{path.rstrip('/')}-heads", key)
+
+
 def write_documents(records: DataFrame, path: str, key: str) -> None:
     """One JSON document folder for each key; documents of other keys stay."""
     records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)

@@ -150,3 +150,25 @@ def test_documents_of_other_keys_stay(spark, tmp_path):
     logs.write_documents(rows, str(tmp_path / "d"), "id")
     logs.write_documents(spark.createDataFrame([("b", 3)], "id string, n long"), str(tmp_path / "d"), "id")
     assert {(r.id, r.n) for r in spark.read.json(str(tmp_path / "d")).collect()} == {("a", 1), ("b", 3)}
+
+
+def test_heads_follow_the_records(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")], "log string, seq long, hash string")
+    logs.append_with_heads(rows, str(tmp_path / "l"), "log", "seq")
+    logs.append_with_heads(spark.createDataFrame([("b", 1, "w")], rows.schema), str(tmp_path / "l"), "log", "seq")
+    assert spark.read.json(str(tmp_path / "l")).count() == 4
+    assert {(r.log, r.seq, r.hash) for r in spark.read.json(str(tmp_path / "l-heads")).collect()} == {("a", 1, "y"), ("b", 1, "w")}
+
+
+def test_path_scope_of_roots(spark):
+    rows = spark.createDataFrame([("r", "a/x"), ("r", "b"), ("s", "r/a/x"), ("s", "c")], "root_id string, rel_path string")
+    found = lambda path, roots=None: sorted(tuple(r) for r in search.path_scope(rows, path, roots).collect())
+    assert found("r/a") == [("s", "r/a/x")] and found("r/b") == [("r", "b")] and found("s/c") == [("s", "c")]  # what stands as it is wins
+    assert found("base/b", {"r": "/x/base"}) == [("r", "b")] and found("base/b", {"r": "/x/base", "s": "/y/base/"}) == [] and found("r") == [("s", "r/a/x")] and found("") == []
+
+
+def test_diffs_of_a_plan(spark):
+    corpus = spark.createDataFrame([("f", "a\nb\n"), ("g", "same")], "rel_path string, text string")
+    plan = spark.createDataFrame([("f", "update", None, "a\nc\n"), ("g", "update", None, "same"), ("n", "write", None, "new\n"), ("d", "delete", None, None)], edits.PLAN_DDL)
+    got = {r.path: r.diff for r in edits.plan_diffs(corpus, plan).collect()}
+    assert got.keys() == {"f", "n"} and "-b\n+c" in got["f"] and "+new" in got["n"]
