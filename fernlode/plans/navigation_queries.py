@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions import text
-from fernlode.operators import context, edits, evidence, graph, policy, search
+from fernlode.operators import context, edits, evidence, flow, graph, policy, search
 from fernlode.plans.graph_queries import _DEFS, _ENC, _FIELD, _HIT, _L, _field_sql, _hits, _lines, _part_symbols, _rank_sql, refs, symbols
 from fernlode.plans.search_queries import _CORPUS, _ENTRIES, _FOLD, _LINES, documents, page_entries
 from fernlode.sources import logs
@@ -99,6 +99,19 @@ def _plan_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.changed_lines(diffs.withColumnRenamed("path", "diff_id"))
 
 
+def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow for each customer, its strategy by the nation; orders start its nodes, and the closed ones are results."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    kind = F.element_at(F.array(*[F.lit(k) for k in flow.STRATEGIES]), (F.col("c_nationkey") % 7 + 1).cast("int"))
+    flows = c.select(F.col("c_custkey").alias("flow_id"), kind.alias("strategy"), F.lit(2).alias("n"), F.lit(2).alias("rounds"), F.lit(2).alias("k"))
+    nodes = flow.compile_flows(flows)
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("flow_id"), "o_orderkey", "o_orderstatus")
+    names = nodes.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("phase", "node"))).alias("_n"))
+    turn = F.row_number().over(Window.partitionBy("flow_id").orderBy("o_orderkey"))
+    used = o.withColumn("_k", turn).join(names, "flow_id").select("flow_id", "o_orderstatus", F.try_element_at("_n", F.col("_k"))["node"].alias("node")).filter("node IS NOT NULL")
+    return flow.next_actions(nodes, used.select("flow_id", "node"), used.filter("o_orderstatus <> 'P'").select("flow_id", "node", (F.col("o_orderstatus") == "F").alias("ok")))
+
+
 def _receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _events(spark, sf_dir).select(F.concat(F.lit("r"), "event_id").alias("receipt_id"), F.struct(F.struct(F.col("user_id").cast("string").alias("run_id")).alias("provenance")).alias("statement"))
     return evidence.receipt_for_run(own, "7").select("receipt_id", F.col("statement.provenance.run_id").alias("run_id"))
@@ -141,6 +154,7 @@ QUERIES = {
     "auto_codemap": lambda s, d: graph.auto_codemap(_rooted(s, d, refs(s, d)), _rooted(s, d, symbols(s, d)), documents(s, d).filter("size > 9000").select("root_id", F.col("rel_path").alias("path")), ["struct"], 8),
     "selection_preview": lambda s, d: context.selection_preview(_chosen(s, d, "language = 'en'"), documents(s, d), _chosen(s, d, "size < 2000"), "add"),
     "plan_diffs": _plan_diffs,
+    "flow_actions": _flows,
     "path_search_top": lambda s, d: search.path_search(page_entries(s, d), "[0-9]+$", regex=True, max_results=10),
     "verdict_query": lambda s, d: evidence.verdict_query(_events(s, d).select(F.concat(F.lit("v"), "event_id").alias("verdict_id"), F.col("user_id").cast("string").alias("run_id")), "7"),
     "ledger_newest": lambda s, d: evidence.ledger_query(_events(s, d).select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind")), record_kind="click"),
@@ -196,6 +210,16 @@ ORACLE_SQL = {
     "selection_preview": """WITH d AS (SELECT octet_length(encode(coalesce(text, ''))) AS size, lang FROM documents) SELECT CASE WHEN size < 2000 THEN 'full' ELSE 'codemap_only' END AS mode, count(*) AS files, CAST(sum(CASE WHEN size < 2000 THEN ceil(size / 4) ELSE 0 END) AS BIGINT) AS tokens
         FROM d WHERE lang = 'en' OR size < 2000 GROUP BY 1""",
     "plan_diffs": f"WITH {_L} SELECT path AS diff_id, path, CAST(line AS BIGINT) AS line FROM l WHERE contains(text, 'license')",
+    "flow_actions": """WITH f AS (SELECT c_custkey AS flow_id, c_nationkey % 7 AS s FROM customer),
+        t AS (SELECT * FROM (VALUES (0, 0, 'step0', 1), (1, 0, 'branch0', 1), (1, 0, 'branch1', 1), (2, 0, 'step0', 1), (2, 1, 'step1', 1), (3, 0, 'map0', 0), (3, 0, 'map1', 0), (3, 1, 'reduce0', 1), (4, 0, 'candidate0', 2), (4, 0, 'candidate1', 2), (4, 1, 'judge0', 1),
+              (5, 0, 'turn0-0', 0), (5, 0, 'turn0-1', 0), (5, 1, 'turn1-0', 0), (5, 1, 'turn1-1', 0), (5, 2, 'judge0', 1), (6, 0, 'plan0', 1), (6, 1, 'worker0', 0), (6, 1, 'worker1', 0), (6, 2, 'summary0', 1)) AS t(s, phase, node, least)),
+        n AS (SELECT flow_id, phase, node, least, row_number() OVER (PARTITION BY flow_id ORDER BY phase, node) AS k FROM f JOIN t USING (s)),
+        o AS (SELECT o_custkey AS flow_id, o_orderstatus AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+        r AS (SELECT n.*, st IS NOT NULL AS begun, CASE WHEN st <> 'P' THEN st = 'F' END AS ok FROM n LEFT JOIN o USING (flow_id, k)),
+        p AS (SELECT flow_id, phase, least, count(ok) = count(*) AS settled, count(*) FILTER (WHERE ok) < least AS low FROM r GROUP BY flow_id, phase, least),
+        g AS (SELECT flow_id, min(phase) FILTER (WHERE NOT settled OR low) AS front FROM p GROUP BY 1), w AS (SELECT g.flow_id, front, coalesce(settled AND low, false) AS short FROM g LEFT JOIN p ON p.flow_id = g.flow_id AND p.phase = g.front)
+        SELECT r.flow_id, 'start' AS action, node, CAST(NULL AS BOOLEAN) AS ok FROM r JOIN w ON w.flow_id = r.flow_id AND front = phase WHERE NOT short AND NOT begun
+        UNION ALL SELECT flow_id, 'finish', NULL, front IS NULL FROM w WHERE front IS NULL OR short""",
     "path_search_top": f"""WITH {_ENTRIES} SELECT root_id, rel_path, CAST(900000 - octet_length(encode(rel_path)) - 2 * (length(rel_path) - length(regexp_extract(rel_path, '[0-9]+$'))) AS BIGINT) AS score
         FROM e WHERE regexp_matches(rel_path, '[0-9]+$') ORDER BY score DESC, rel_path, root_id LIMIT 10""",
     "verdict_query": "SELECT 'v' || event_id AS verdict_id, CAST(user_id AS VARCHAR) AS run_id FROM events WHERE user_id = 7",

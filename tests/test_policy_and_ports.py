@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import bpe_counter
-from fernlode.operators import chains, codemap, context, edits, evidence, graph, policy, search
+from fernlode.operators import chains, codemap, context, edits, evidence, flow, graph, policy, search
 from fernlode.operators.adapters import Operators
 from fernlode.sources import logs
 from fernlode.sources.git import GitError, git, history
@@ -172,3 +172,25 @@ def test_diffs_of_a_plan(spark):
     plan = spark.createDataFrame([("f", "update", None, "a\nc\n"), ("g", "update", None, "same"), ("n", "write", None, "new\n"), ("d", "delete", None, None)], edits.PLAN_DDL)
     got = {r.path: r.diff for r in edits.plan_diffs(corpus, plan).collect()}
     assert got.keys() == {"f", "n"} and "-b\n+c" in got["f"] and "+new" in got["n"]
+
+
+def test_flows_run_phase_by_phase(spark):
+    flows = spark.createDataFrame([(k, s, 2, 1, 2) for k, s in enumerate(flow.STRATEGIES)] + [(90, "debate", 2, 0, 1), (91, "parallel", 0, 0, 0), (92, "unknown", 1, 1, 1)], "flow_id long, strategy string, n int, rounds int, k int")
+    nodes, started, results = flow.compile_flows(flows), [], []
+    order = {}
+    for _ in range(6):
+        frames = spark.createDataFrame(started, "flow_id long, node string"), spark.createDataFrame(results, "flow_id long, node string, ok boolean")
+        actions = sorted(map(tuple, flow.next_actions(nodes, *frames).collect()), key=str)
+        begun = [(f, n) for f, a, n, _ in actions if a == "start"]
+        for f, n in begun:
+            order.setdefault(f, []).append(n)
+        started += begun
+        # Everything goes well but the second candidate of the vote.
+        results += [(f, n, n != "candidate1") for f, n in begun]
+        if not begun:
+            break
+    ends = {f: ok for f, a, _, ok in actions if a == "finish"}
+    assert ends == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True, 6: True}
+    assert order[2] == ["step0", "step1"] and order[3] == ["map0", "map1", "reduce0"] and order[4] == ["candidate0", "candidate1"] and order[5] == ["turn0-0", "turn0-1", "judge0"] and order[6] == ["plan0", "worker0", "worker1", "summary0"] and order.keys() == set(range(7))
+    waiting = flow.next_actions(nodes.filter("flow_id = 0"), spark.createDataFrame([(0, "step0")], "flow_id long, node string"), spark.createDataFrame([], "flow_id long, node string, ok boolean"))
+    assert waiting.count() == 0
