@@ -66,6 +66,15 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _cores(spark: SparkSession) -> int | None:
+    """The cores that the application can get; None where executors come and go without a stated limit."""
+    conf = spark.sparkContext.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false").lower() != "true":
+        return spark.sparkContext.defaultParallelism
+    executors = conf.get("spark.dynamicAllocation.maxExecutors")
+    return int(executors) * int(conf.get("spark.executor.cores", "1")) if executors else None
+
+
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the table read back.
 
@@ -73,9 +82,9 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     ``FILES_A_CORE`` files a core are written, and ``NARROW_FILES_A_CORE`` of a ``narrow`` table (ids, links, counts), so that
     many near-empty partitions do not become as many files; partitions are still computed one by one.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = _cores(df.sparkSession)
     path = new_path(df.sparkSession, label)
-    df.coalesce(cores * (NARROW_FILES_A_CORE if narrow else FILES_A_CORE)).write.parquet(path)
+    (df if cores is None else df.coalesce(cores * (NARROW_FILES_A_CORE if narrow else FILES_A_CORE))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
