@@ -1,4 +1,4 @@
-"""Queries of the ten pipeline operators over the driver's tables, with production parameters."""
+"""Queries of the pipeline operators over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -83,6 +83,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.exact import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.divergence import source_audit
+
+    return source_audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernlode.llm.spelling import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -94,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_licenses": op9_licenses,
     "op10_warc": op10_warc,
+    "op11_exact": op11_exact,
+    "op12_divergence": op12_divergence,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,4 +162,42 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
         FROM m""",
+    "op11_exact": """
+        WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+             g AS (SELECT *, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
+        SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op12_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+             kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+             l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             c AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN kept ON kept.lang = w.lang AND kept.term = w.term GROUP BY ALL),
+             gn AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+             full_grid AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c,
+                             1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(gn.n, 0) + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (kept.c + 5)) // (l.n + 5 * l.v) AS q
+                      FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+             pv AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM full_grid a JOIN full_grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                           LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+                       UNION ALL SELECT lang, source, 'term', term, p - q FROM full_grid WHERE c > 0 AND p > q),
+             r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_spelling": """
+        WITH RECURSIVE bits(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT b, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8),
+             crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+             d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+             u AS (SELECT doc_id, run, count(*) AS n, CAST(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS VARCHAR) AS s FROM d WHERE length(run) >= 6 GROUP BY doc_id, run),
+             y AS (SELECT doc_id, run, n, list_transform(range(0, strlen(s)), lambda k: CAST(('0x' || substr(hex(encode(s)), CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT)) AS bytes FROM u),
+             h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, t[CAST(xor(a & 255, x) + 1 AS BIGINT)])), 4294967295) AS h FROM y, crc),
+             v AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+             w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+             x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM w),
+             z AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS cut FROM x),
+             e AS (SELECT a.word AS a, b.word AS b FROM z a JOIN z b ON a.cut = b.cut AND a.k = b.k AND a.word <> b.word UNION SELECT z.word, w.word FROM z JOIN w ON z.cut = w.word UNION SELECT w.word, z.word FROM z JOIN w ON z.cut = w.word),
+             o AS (SELECT e.a AS word, e.b AS other, w.n AS m, count(*) OVER (PARTITION BY e.a) AS n_near, row_number() OVER (PARTITION BY e.a ORDER BY w.n DESC, encode(e.b)) AS r FROM e JOIN w ON w.word = e.b),
+             f AS (SELECT w.word, w.n, coalesce(o.n_near, 0) AS n_near, CASE WHEN o.m >= 5 * w.n THEN o.other END AS form, CASE WHEN o.m >= 5 * w.n THEN o.m END AS form_n FROM w LEFT JOIN o ON o.word = w.word AND o.r = 1),
+             p AS (SELECT word, word AS at FROM f UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.at WHERE f.form IS NOT NULL),
+             root AS (SELECT p.word, p.at AS root FROM p JOIN f ON f.word = p.at WHERE f.form IS NULL)
+        SELECT f.word, f.form, root.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN root USING (word)""",
 }
