@@ -14,8 +14,12 @@ that the bands find is lost, while a band of many copies costs one comparison a
 pair.  Every link is confirmed on full sets.  With ``bands`` x ``rows`` = 48 x 6 a pair at the threshold of 0.8 shares no band with
 probability 5e-7.
 
-Cases: null and empty texts have size 0, their own component, and are kept; rows that share a
-doc_id are one node; a row with a null doc_id is in no component and kept; an empty table gives
+Rows that share a doc_id but not the text stand for themselves while links are sought, each text under a number of
+its own.  The report then takes them as one document, linked with what any of its texts is near to; ``drop_near_duplicates``
+goes by the texts, so that none is lost that nothing else is near to.
+
+Cases: null and empty texts have size 0, their own component, and are kept; a row with a null doc_id is in
+no component and kept; of rows with equal sets and ids all stay or go; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -112,6 +116,11 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(out + np.arange(1, bands + 1, dtype=_U)[None, :] * _U(0xC2B2AE3D27D4EB4F)).view(np.int64)
 
 
+def _set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """set_a and set_b (a 128-bit hash of each set) and its size."""
+    return [*(pa.array([int(mix(s + _U(salt)).sum(dtype=_U).view(np.int64)) for s in sets], pa.int64()) for salt in (1, 2)), pa.array([len(s) for s in sets], pa.int64())]
+
+
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (a 128-bit hash of the set) and the band hashes."""
 
@@ -121,26 +130,34 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
             for sets in shingle_sets(batch.column(1), k):
                 ids = batch.column(0).slice(at, len(sets))
                 at += len(sets)
-                sums = [[int(mix(s + _U(salt)).sum(dtype=_U).view(np.int64)) for s in sets] for salt in (1, 2)]
                 own = band_hashes(superminhash(sets, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, bands), pa.int32()), pa.array(own.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(s, pa.int64()) for s in sums), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, *_set_hashes(sets), lists], names=["doc_id", *OF_SET, "bands"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, set_a long, set_b long, n_shingles long, bands array<long>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, aliases: DataFrame | None, k: int) -> DataFrame:
     """(id, full shingle set) of the documents in ``ids``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for sets in shingle_sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "grams"])
-                at += len(sets)
+    def sets(name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = 0
+                for own in shingle_sets(batch.column(1), k):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(own)), *_set_hashes(own), pa.array([s.tobytes() for s in own], pa.binary())], names=[name, *OF_SET, "grams"])
+                    at += len(own)
+
+        return run
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return map_batches(texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi"), run, "id long, grams binary")
+    fields = "set_a long, set_b long, n_shingles long, grams binary"
+    plain = map_batches(texts.join(broadcast_if_small(ids, BROADCAST_IDS), "id", "left_semi"), sets("id"), f"id long, {fields}").filter("n_shingles > 0").select("id", "grams")
+    if aliases is None:
+        return plain
+    several = texts.withColumnRenamed("id", "doc_id").join(broadcast_if_small(aliases.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi")
+    named = map_batches(several, sets("doc_id"), f"doc_id long, {fields}").join(aliases, ["doc_id", *OF_SET]).select(F.col("alias").alias("id"), "grams")
+    return plain.unionByName(named.join(ids, "id", "left_semi"))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, own_part: bool = False) -> DataFrame:
@@ -176,32 +193,69 @@ def _close(a: str, b: str, similarity: int):
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; links at ``similarity`` per cent or more."""
+OF_SET = ["set_a", "set_b", "n_shingles"]
+
+
+def _aliases(usable: DataFrame) -> DataFrame | None:
+    """doc_id, the set, alias: a number below every doc_id for each text of a doc_id that has several; None where there is no such id."""
+    ids = usable.groupBy("doc_id").agg(F.min(F.struct(*OF_SET)).alias("lo"), F.max(F.struct(*OF_SET)).alias("hi")).filter("lo <> hi").select("doc_id")
+    ids = materialize(ids, "repeated_ids", narrow=True)
+    if ids.isEmpty():
+        return None
+    least = min(usable.agg(F.min("doc_id")).first()[0], 0)
+    texts = usable.join(broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").groupBy("doc_id", *OF_SET).agg(F.count("*").alias("_n")).drop("_n")
+    return materialize(texts.withColumn("alias", F.lit(least - 1) - F.monotonically_increasing_id()), "aliases", narrow=True)
+
+
+def _with_id(rows: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """rows with id: the doc_id, or the alias of the row's text."""
+    if aliases is None:
+        return rows.withColumn("id", F.col("doc_id"))
+    return rows.join(broadcast_if_small(aliases, BROADCAST_IDS), ["doc_id", *OF_SET], "left").withColumn("id", F.coalesce("alias", "doc_id")).drop("alias")
+
+
+def _grouped(docs: DataFrame, k: int, similarity: int, bands: int, rows: int, by_text: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, the set, id, component) of every row, and the aliases; ``by_text``: texts that share a doc_id are not linked by it."""
     signed = materialize(signatures(docs, k, bands, rows), "signatures")
-    usable = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    of_set = ["set_a", "set_b", "n_shingles"]
+    aliases = _aliases(signed.filter("doc_id IS NOT NULL"))
+    signed = _with_id(signed, aliases)
+    usable = signed.filter("id IS NOT NULL AND n_shingles > 0")
     # A class of equal sets is represented by its smallest id; the classes of several rows are few and a table of their own.
-    classes = materialize(usable.groupBy(*of_set).agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "classes")
+    classes = materialize(usable.groupBy(*OF_SET).agg(F.min("id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "classes")
     classes = broadcast_if_small(classes, BROADCAST_IDS)
-    known = usable.join(classes, of_set, "left")
-    reps = known.filter("rep IS NULL OR rep = doc_id").select("doc_id", "n_shingles", "bands")
-    banded = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    known = usable.join(classes, OF_SET, "left")
+    reps = known.filter("rep IS NULL OR rep = id").select("id", "n_shingles", "bands")
+    banded = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     members = _shared(banded)
-    sets = materialize(_sets_of(docs, materialize(members.groupBy("id").agg(F.count("*").alias("_n")).select("id"), "member_ids", narrow=True), k), "sets")
+    sets = materialize(_sets_of(docs, materialize(members.groupBy("id").agg(F.count("*").alias("_n")).select("id"), "member_ids", narrow=True), aliases, k), "sets")
     stars = _distinct(members.filter(F.col("id") != F.col("pivot")).select(F.col("id").alias("src"), F.col("pivot").alias("dst")))
     measured = materialize(_measured(stars, sets).drop("own"), "stars")
     links = _links(measured, similarity)
+    if aliases is not None and not by_text:
+        own = signed.filter("id <> doc_id").join(classes, OF_SET, "left").groupBy("doc_id", F.coalesce("rep", "id").alias("src")).agg(F.count("*").alias("_n"))
+        links = links.unionByName(materialize(own.join(own.groupBy("doc_id").agg(F.min("src").alias("dst")), "doc_id").filter("src <> dst").select("src", "dst"), "same_ids", narrow=True))
     components = connected_components(links)
     across = materialize(_across(members, measured, components, sets, similarity), "across", narrow=True)
     more = materialize(_links(_measured(across, sets), similarity), "links", narrow=True)
     if not more.isEmpty():
         components = connected_components(links.unionByName(more))
     components = broadcast_if_small(components, BROADCAST_IDS)
-    rows_out = signed.drop("bands").join(classes, of_set, "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    joined = rows_out.join(components, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = signed.drop("bands").join(classes, OF_SET, "left").withColumn("node", F.coalesce("rep", "id")).join(components, "node", "left")
+    return out.select("doc_id", *OF_SET, "id", F.when(F.col("id").isNotNull(), F.coalesce("component", "node")).alias("component")), aliases
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; links at ``similarity`` per cent or more."""
+    out, aliases = _grouped(docs, k, similarity, bands, rows, by_text=False)
+    component = F.col("component")
+    if aliases is not None:  # a component with an alias takes its smallest doc_id
+        out = materialize(out, "grouped")
+        by_id = out.join(broadcast_if_small(aliases.select("doc_id").distinct(), BROADCAST_IDS), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("_c"))
+        out = out.join(broadcast_if_small(materialize(by_id, "of_ids", narrow=True), BROADCAST_IDS), "doc_id", "left").withColumn("component", F.coalesce("_c", "component"))
+        least = out.groupBy("component").agg(F.min("doc_id").alias("_least"), F.min("id").alias("_id")).filter("_least <> component").select("component", "_least")
+        out = out.join(broadcast_if_small(materialize(least, "least", narrow=True), BROADCAST_IDS), "component", "left")
+        component = F.coalesce("_least", "component")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _shared(banded: DataFrame) -> DataFrame:
@@ -260,6 +314,26 @@ def _across(members: DataFrame, measured: DataFrame, components: DataFrame, sets
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents whose id is the smallest of their group, all columns unchanged."""
-    gone = near_duplicates(docs, k, similarity).filter(~F.col("kept")).groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id")
-    return docs.join(broadcast_if_small(materialize(gone, "duplicates", narrow=True), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, all columns unchanged: of each group of near texts those of its smallest doc_id."""
+    out, aliases = _grouped(docs, k, similarity, BANDS, ROWS, by_text=True)
+    gone = lambda rows: broadcast_if_small(materialize(rows, "duplicates", narrow=True), BROADCAST_IDS)
+    if aliases is None:
+        ids = out.filter("id <> component").groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id")
+        return docs.join(gone(ids), "doc_id", "left_anti").select(*docs.columns)
+    out = materialize(out.filter("n_shingles > 0 AND id IS NOT NULL"), "grouped")
+    stays = out.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("_s"), F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo <> _hi").select("component", F.col("_s.id").alias("_stay"))
+    rows = out.join(gone(stays), "component").filter("id <> _stay")
+    plain = gone(rows.filter("id = doc_id").select("doc_id").distinct())
+    texts = gone(rows.filter("id <> doc_id").select(F.col("doc_id").alias("_i"), *[F.col(c).alias(f"_{c}") for c in OF_SET]).distinct())
+    several = gone(aliases.select("doc_id").distinct())
+
+    @F.arrow_udf("struct<_set_a: long, _set_b: long, _n_shingles: long>")
+    def of_text(text: pa.Array) -> pa.Array:
+        parts = [_set_hashes(sets) for sets in shingle_sets(text, k)]
+        columns = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], pa.int64()) for i in range(3)]
+        return pa.StructArray.from_arrays(columns, ["_set_a", "_set_b", "_n_shingles"])
+
+    own = F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    held = docs.join(several, "doc_id", "left_semi").select(own, F.col("doc_id").cast("long").alias("_i"), of_text(F.col("text").cast("string")).alias("_set")).select("_row", "_i", "_set.*")
+    held = held.join(texts, ["_i", *[f"_{c}" for c in OF_SET]], "left_anti").select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return docs.join(plain, "doc_id", "left_anti").join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(held)

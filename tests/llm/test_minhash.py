@@ -8,14 +8,13 @@ from fernlode.llm.components import connected_components
 from fernlode.llm.minhash import drop_near_duplicates, near_duplicates, superminhash
 
 
+def shingles(text, k):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
 def brute(rows, k, similarity):
-    sets = {}
-    for i, text in rows:
-        if i is None:
-            continue
-        w = (text or "").encode().lower().split()
-        own = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
-        sets[i] = own
+    sets = {i: shingles(text, k) for i, text in rows if i is not None}
     root = {i: i for i in sets}
 
     def find(x):
@@ -93,3 +92,79 @@ def test_very_long_texts(docs_of):
     words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
     rows = [(5, " ".join(words)), (2, " ".join(words[3000:])), (9, " ".join(rng.sample(words, 60_000)))]
     assert {(r.doc_id, r.component_id) for r in near_duplicates(docs_of(rows), k=2).collect()} == {(5, 2), (2, 2), (9, 9)}
+
+
+def components(nodes, linked):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in nodes}
+
+
+def repeated_ids(corpus):
+    base = dict(corpus[:25])
+    near = base[4].split()
+    near[3] = "other"
+    return corpus + [(5, base[3]), (5, "a text of its own " + base[20]), (8, base[9]), (8, base[8]), (2, ""), (700, base[11]), (700, " ".join(near)), (700, base[12] + " more"), (701, "alone one two three four"), (701, "alone five six seven eight nine"), (-4, base[14]), (-4, base[15] + " x")]
+
+
+@pytest.mark.parametrize("bound", [400_000, 0])
+def test_ids_with_several_texts(docs_of, corpus, monkeypatch, bound):
+    """A document that has several texts is one node of the report; the drop goes by texts."""
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", bound)
+    rows = repeated_ids(corpus)
+    texts = [(n, i, shingles(t, 2)) for n, (i, t) in enumerate(rows) if i is not None]
+    near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    by_id = {}
+    for _, i, own in texts:
+        by_id.setdefault(i, []).append(own)
+    want = components(sorted(by_id), lambda x, y: any(near(a, b) for a in by_id[x] for b in by_id[y]))
+    got = [tuple(r) for r in near_duplicates(docs_of(rows), k=2).collect() if r.doc_id is not None]
+    assert sorted(got) == sorted((i, len(own), want[i], want[i] == i) for _, i, own in texts)
+    numbered = {n: (i, own) for n, i, own in texts}
+    groups = components(sorted(numbered), lambda x, y: near(numbered[x][1], numbered[y][1]))
+    stay = {}
+    for n, g in groups.items():
+        stay[g] = min(stay.get(g, numbered[n][0]), numbered[n][0])
+    kept = {(i, rows[n][1] or "") for n, (i, own) in numbered.items() if i == stay[groups[n]]}
+    drop = {(r.doc_id, r.text or "") for r in drop_near_duplicates(docs_of(rows), k=2).collect() if r.doc_id is not None}
+    assert drop <= kept
+    # No text is lost: each group keeps a text, all of one document, and everything else of the group goes.
+    assert {groups[n] for n, (i, own) in numbered.items() if (i, rows[n][1] or "") in drop} == set(groups.values())
+
+
+def test_words_of_a_known_collision(docs_of):
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - b for b in bits]
+    one, other = ("".join("ab"[b] for b in x) for x in (bits, [1 - b for b in bits]))
+    rows = [(1, one), (2, other), (3, one[:1024]), (4, other[:1024]), (5, f"x {one} y"), (6, f"x {other} y"), (7, one.upper())]
+    assert {tuple(r) for r in near_duplicates(docs_of(rows), k=2).collect()} == brute(rows, 2, 80)
+
+
+def test_word_hashes_against_plain_words():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abAB\u00e9") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40, 255, 256, 257, 600]))) for _ in range(rng.randrange(0, 30))) + rng.choice(["", " ", "\n\t"]) for _ in range(60)]
+    from fernlode.llm.bytehash import text_chunks, word_hashes
+    import pyarrow as pa
+
+    seen = {}
+    for row, data, offsets in text_chunks(pa.array(texts), 700):
+        hashes, first = word_hashes(data, offsets)
+        for k in range(len(offsets) - 1):
+            words = texts[row + k].encode().lower().split()
+            own = hashes[first[k] : first[k + 1]].tolist()
+            assert len(own) == len(words)
+            for w, h in zip(words, own):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
