@@ -12,10 +12,11 @@ class; the classes of a host are then aligned in the order of their hashes, in g
 are aligned in turn, so that the result does not depend on how pages are dealt out and a host of a third of all
 pages costs a row a task and class.
 
-The wrapper says which region holds the host's slots: the kind of element (article, main, or one whose name speaks of
-content) that has undropped slots, or else the whole body.  Tags and names are the prior: what they mark as a menu, header, footer, sidebar,
-notice, advert, form or reader comments is no region and no part of one.  Each page is read along the wrapper: of a
-region all texts are kept, without one the slots, for a constant is a template's text once two different pages show it.
+Each page is read along its host's wrapper, which says of every text whether it is a slot's or the template's: a constant is
+the template's once two different pages show it.  Tags and names are the prior.  What they mark as a menu, header, footer, sidebar,
+notice, advert, form or reader comments is left out.  The outermost elements that they mark as content (article, main, or a name that
+speaks of it) are regions, whose texts are kept whole; around them headings and paragraphs of slots are kept, and without any region the
+slots alone.  Within a region a word such as "related" in a compound name tells nothing unless the other words are layout.
 
 Cases: a null html is empty, its text too; a page without host belongs to the host ""; unclosed and
 stray tags end with their parent; rows that share a page_id are each extracted; equal pages are one page for what is
@@ -27,6 +28,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -57,14 +59,17 @@ BOILERPLATE = frozenset(
     "sidebar aside rail widget cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus reply replies respond discussion pagination pager form search toolbar skip".split()
 )
+#: Boilerplate words that also name subjects (a section "related-work"): in a compound they tell only beside words of layout.
+SUBJECTS = frozenset("related recommended search share sharing social notice notices form header skip reply replies discussion".split())
+LAYOUT = frozenset("box list lists link links post posts item items block area wrap wrapper container inner outer widget slot bar button buttons panel group articles stories content site page top bottom left right icon icons field input results section".split())
 CONTENT = frozenset("article articlebody content post entry story main maincontent postcontent entrycontent text".split())
-KINDS = ("article", "main", "content")
 #: Blocks of running text: of names in parts, only whole ones tell.
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote figcaption caption".split())
 #: A name of a title, such as entry-header.
 TITLES = frozenset("header head title".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -84,6 +89,9 @@ def _marks(attributes: str, name: str) -> tuple[set[str], set[str], bool]:
         if attribute == "hidden" or attribute == "aria-hidden":
             hidden = hidden or attribute == "hidden" or value.lower() == "true"
             continue
+        if attribute == "style":
+            hidden = hidden or _HIDDEN.search(value) is not None
+            continue
         for token in value.split():
             words = {w.lower() for w in _WORD.findall(token)}
             whole = re.sub(r"[^a-z]", "", token.lower())
@@ -91,6 +99,8 @@ def _marks(attributes: str, name: str) -> tuple[set[str], set[str], bool]:
             if attribute == "role" and whole == "main":
                 content.add("main")
             bad = ({whole} if name in TEXT_BLOCKS else words | {whole}) & BOILERPLATE
+            if bad <= SUBJECTS and not words <= SUBJECTS | LAYOUT:
+                bad &= {whole}
             if not (bad <= TITLES and words & CONTENT):
                 boilerplate |= bad
     return boilerplate, content, hidden
@@ -199,9 +209,13 @@ def text_key(text: str) -> str:
 
 def _texts(nodes: list[list]) -> list[str]:
     """The undropped texts."""
-    read: list[tuple[str, bool]] = []
-    _read(nodes, [], read)
-    return [t for t, _ in read]
+    out: list[str] = []
+    for key, _, x in nodes:
+        if key == "#":
+            out.append(x)
+        elif "-" not in key:
+            out += _texts(x)
+    return out
 
 
 def page_wrapper(nodes: list[list]) -> list[list]:
@@ -232,21 +246,57 @@ def _optional(nodes: list[list]) -> list[list]:
     return [[key, flags | OPTIONAL, x] for key, flags, x in nodes]
 
 
-def _fold(out: list[list], nodes: list[list], at: int) -> int:
-    """Resolve nodes[at:] as a repeat of the end of ``out``; the number of nodes that are used up."""
-    if not out:
+class _Out:
+    """The wrapper so far, with the places of each key, so that a repeat of its end is found without a scan."""
+
+    def __init__(self):
+        self.nodes: list[list] = []
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, nodes: list[list]) -> None:
+        for x in nodes:
+            self.places.setdefault(x[0], []).append(len(self.nodes))
+            self.nodes.append(x)
+
+    def cut(self, k: int) -> None:
+        for x in self.nodes[len(self.nodes) - k :]:
+            self.places[x[0]].pop()
+        del self.nodes[len(self.nodes) - k :]
+
+    def fold(self, nodes: list[list], at: int) -> int:
+        """Resolve nodes[at:] as a repeat of the end; the number of nodes that are used up."""
+        out = self.nodes
+        if not out:
+            return 0
+        if out[-1][0] == "()":
+            used, unit = _take(out[-1][2], nodes, at)
+            if used:
+                out[-1] = ["()", out[-1][1], unit]
+                return used
+        for place in reversed(self.places.get(nodes[at][0], ())):
+            k = len(out) - place
+            if k > len(nodes) - at:
+                break
+            if all(out[place + i][0] == nodes[at + i][0] for i in range(k)):
+                unit = [_join(out[place + i], nodes[at + i]) for i in range(k)]
+                self.cut(k)
+                self.add([[unit[0][0], unit[0][1] | REPEATED, unit[0][2]]] if k == 1 else [["()", REPEATED, unit]])
+                return k
         return 0
-    if out[-1][0] == "()":
-        used, unit = _take(out[-1][2], nodes, at)
-        if used:
-            out[-1] = ["()", out[-1][1], unit]
-            return used
-    for k in range(1, min(len(out), len(nodes) - at) + 1):
-        if out[-k][0] == nodes[at][0] and all(out[i - k][0] == nodes[at + i][0] for i in range(k)):
-            unit = [_join(out[i - k], nodes[at + i]) for i in range(k)]
-            out[-k:] = [[unit[0][0], unit[0][1] | REPEATED, unit[0][2]]] if k == 1 else [["()", REPEATED, unit]]
-            return k
-    return 0
+
+
+def _next_places(nodes: list[list]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for k, x in enumerate(nodes):
+        out.setdefault(x[0], []).append(k)
+    return out
+
+
+def _after(places: dict[str, list[int]], key: str, k: int) -> int | None:
+    """The first place of the key after k."""
+    own = places.get(key, ())
+    at = bisect_right(own, k)
+    return own[at] if at < len(own) else None
 
 
 def _take(unit: list[list], nodes: list[list], at: int) -> tuple[int, list[list]]:
@@ -266,110 +316,132 @@ def _take(unit: list[list], nodes: list[list], at: int) -> tuple[int, list[list]
 
 def align(a: list[list], b: list[list]) -> list[list]:
     """The wrapper that covers two lists of nodes: what both have stays, and every mismatch becomes a repeat or optional."""
-    out: list[list] = []
+    out = _Out()
+    places: tuple[dict, dict] | None = None
     i = j = 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(_join(a[i], b[j]))
+            out.add([_join(a[i], b[j])])
             i, j = i + 1, j + 1
             continue
         if i < len(a) and j < len(b) and "()" in (a[i][0], b[j][0]):
             group, nodes, at = (a[i], b, j) if a[i][0] == "()" else (b[j], a, i)
             used, unit = _take(group[2], nodes, at)
             if used:
-                out.append(["()", group[1], unit])
+                out.add([["()", group[1], unit]])
                 i, j = (i + 1, j + used) if group is a[i] else (i + used, j + 1)
                 continue
-        used = _fold(out, b, j) if j < len(b) else 0
+        used = out.fold(b, j) if j < len(b) else 0
         if used:
             j += used
             continue
-        used = _fold(out, a, i) if i < len(a) else 0
+        used = out.fold(a, i) if i < len(a) else 0
         if used:
             i += used
             continue
         if i == len(a) or j == len(b):
-            out += _optional(a[i:] if j == len(b) else b[j:])[:1]
+            out.add(_optional([a[i] if j == len(b) else b[j]]))
             i, j = (i + 1, j) if j == len(b) else (i, j + 1)
             continue
-        skip_a = next((k for k in range(i + 1, len(a)) if a[k][0] == b[j][0]), None)
-        skip_b = next((k for k in range(j + 1, len(b)) if b[k][0] == a[i][0]), None)
+        places = places or (_next_places(a), _next_places(b))
+        skip_a, skip_b = _after(places[0], b[j][0], i), _after(places[1], a[i][0], j)
         if skip_a is not None and (skip_b is None or skip_a - i <= skip_b - j):
-            out += _optional(a[i:skip_a])
+            out.add(_optional(a[i:skip_a]))
             i = skip_a
         elif skip_b is not None:
-            out += _optional(b[j:skip_b])
+            out.add(_optional(b[j:skip_b]))
             j = skip_b
         else:
-            out += _optional([a[i], b[j]])
+            out.add(_optional([a[i], b[j]]))
             i, j = i + 1, j + 1
-    return out
+    return out.nodes
 
 
-def _regions(nodes: list[list], kind: str, around: tuple[int, ...] = ()) -> Iterator[tuple[list, tuple[int, ...], int]]:
-    """(element, ids of the dropped elements around it, number of its undropped slots) of the outermost elements of a kind."""
-    for node in nodes:
-        if node[0] == "#":
-            continue
-        if node[0].endswith(f"+{kind}"):
-            yield node, around, _slots(node[2])
-        else:
-            yield from _regions(node[2], kind, (*around, id(node)) if "-" in node[0] else around)
+class _Level:
+    """A list of wrapper nodes to be read along: groups laid open, where each node's next turn begins, and the places of each key."""
+
+    def __init__(self, wrapper: list[list]):
+        self.flat: list[list] = []
+        self.turn: list[int] = []  # where the next turn of a node's group begins, or the node itself if it repeats
+        for x in wrapper:
+            first = len(self.flat)
+            self.flat += x[2] if x[0] == "()" else [x]
+            self.turn += [first if x[0] == "()" else k if x[1] & REPEATED else k + 1 for k in range(first, len(self.flat))]
+        self.places = _next_places(self.flat)
+
+    def find(self, key: str, at: int) -> int | None:
+        """The place of a key that is read after the place ``at``: from there on, else from its group's turn, else from the start."""
+        again = self.turn[at] if at >= 0 else 0
+        near = at if at >= 0 and self.flat[at][1] & REPEATED else at + 1
+        own = self.places.get(key, ())
+        for lo, hi in ((near, len(self.flat)), (again, near), (0, again)):
+            k = bisect_left(own, lo)
+            if k < len(own) and own[k] < hi:
+                return own[k]
+        return None
 
 
-def _slots(nodes: list[list]) -> int:
-    return sum((x is None or bool(flags & REPEATED)) if key == "#" else 0 if "-" in key else _slots(x) for key, flags, x in nodes)
+def _level(wrapper: list[list], known: dict[int, _Level]) -> _Level:
+    if id(wrapper) not in known:
+        known[id(wrapper)] = _Level(wrapper)
+    return known[id(wrapper)]
 
 
-def choose_kind(wrapper: list[list]) -> str:
-    """The kind of the host's region: the first with undropped slots, or with undropped elements of it, or "" for the body."""
-    found = {kind: [n for _, _, n in _regions(wrapper, kind)] for kind in KINDS}
-    return next((k for k in KINDS if sum(found[k])), next((k for k in KINDS if found[k]), ""))
+class _Text:
+    """An undropped text in page order: its region (None outside), what stands dropped around that, and whether it is no template's."""
 
+    __slots__ = ("text", "region", "around", "own", "block")
 
-def _read(nodes: list[list], wrapper: list[list], out: list[tuple[str, bool]], optional: bool = False) -> None:
-    """(text, whether it is no template's) of the undropped texts of nodes, read along a wrapper.
+    def __init__(self, text: str, region: int | None, around: tuple[int, ...], own: bool, block: str):
+        self.text, self.region, self.around, self.own, self.block = text, region, around, own, block
 
-    A text is the template's if it is constant and stands in no optional part, so that every page has shown it.
+
+#: Text of these blocks is running text where no region holds it.
+RUNNING = frozenset("h1 h2 h3 p pre blockquote".split())
+
+
+def _read(nodes: list[list], wrapper: list[list], out: list[_Text], known: dict[int, _Level], optional: bool = False, region: int | None = None, around: tuple[int, ...] = (), block: str = "") -> None:
+    """The texts of nodes, read along a wrapper.
+
+    A text is the template's if it is constant and stands in no optional part, so that every page has shown it.  Dropped
+    elements are read only for the regions in them (``around``).
     """
-    flat: list[list] = []
-    turn: list[int] = []  # where the next turn of a node's group begins, or the node itself if it repeats
-    for x in wrapper:
-        first = len(flat)
-        flat += x[2] if x[0] == "()" else [x]
-        turn += [first if x[0] == "()" else k if x[1] & REPEATED else k + 1 for k in range(first, len(flat))]
+    level = _level(wrapper, known)
     at = -1
     for key, _, x in nodes:
-        if "-" in key:
-            continue
-        again = turn[at] if at >= 0 else 0
-        near = at if at >= 0 and flat[at][1] & REPEATED else at + 1
-        own = next((k for k in (*range(near, len(flat)), *range(again, near), *range(again)) if flat[k][0] == key), None)
+        dropped = "-" in key
+        if dropped and region is not None:
+            continue  # a dropped part of a region
+        own = level.find(key, at)
         at = at if own is None else own
+        node = None if own is None else level.flat[own]
         if key == "#":
-            out.append((x, optional or own is None or bool(flat[own][1] & OPTIONAL) or flat[own][2] != text_key(x)))
-        else:
-            _read(x, [] if own is None else flat[own][2], out, optional or own is not None and bool(flat[own][1] & OPTIONAL))
+            if region is not None or not around:
+                out.append(_Text(x, region, around, optional or node is None or bool(node[1] & OPTIONAL) or node[2] != text_key(x), block))
+            continue
+        name, _, kind = key.partition("+")
+        inside = id(x) if region is None and kind and not dropped else region
+        _read(x, [] if node is None else node[2], out, known, optional or node is not None and bool(node[1] & OPTIONAL), inside, (*around, id(x)) if dropped else around, name.partition("-")[0])
 
 
-def extract(html: str | None, wrapper: list[list] | None, different: bool = True, kind: str | None = None) -> str:
-    """Main text of one page, read along the wrapper of its host; ``different``: whether that covers different pages."""
+def extract(html: str | None, wrapper: list[list] | None, different: bool = True, known: dict[int, _Level] | None = None) -> str:
+    """Main text of one page, read along the wrapper of its host; ``different``: whether that covers different pages; ``known`` keeps what is prepared for it."""
     nodes = parse(html)
     if wrapper is None:  # one page by itself cannot tell what is a template's
         wrapper, different = page_wrapper(nodes), False
-    for own in dict.fromkeys((kind or choose_kind(wrapper), *KINDS)):
-        regions = [(node, around) for node, around, _ in _regions(nodes, own)] if own else []
-        texts: list[list[str]] = []
-        for node, _ in regions:
-            texts.append(_texts(node[2]) if "-" not in node[0] else [])
-        if any(texts):
-            # What stands around the largest region is no boilerplate, whatever its name says.
-            best = max(range(len(texts)), key=lambda k: (sum(map(len, texts[k])), -k))
-            clean = set(regions[best][1])
-            return "\n".join(t for (_, around), own_texts in zip(regions, texts) if clean.issuperset(around) for t in own_texts)
-    read: list[tuple[str, bool]] = []
-    _read(nodes, wrapper, read)
-    return "\n".join(t for t, own in read if own or not different)
+    read: list[_Text] = []
+    _read(nodes, wrapper, read, {} if known is None else known)
+    sizes: dict[int, int] = {}
+    for t in read:
+        if t.region is not None:
+            sizes[t.region] = sizes.get(t.region, 0) + len(t.text)
+    if not sizes:
+        return "\n".join(t.text for t in read if t.own or not different)
+    # What stands around the largest region is no boilerplate, whatever its name says.
+    largest = max(sizes, key=lambda r: sizes[r])  # the first of equals
+    clean = set(next(t.around for t in read if t.region == largest))
+    # A region's text is kept whole; around regions, running text that is not the template's.
+    return "\n".join(t.text for t in read if clean.issuperset(t.around) and (t.region is not None or not t.around and t.block in RUNNING and (t.own or not different)))
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -470,7 +542,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         rows = rows.join(hosts, "host", "left").select("page_id", "url", "html", "wrapper", "different")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, str]] = {}
+        known: dict[str, tuple[list, dict[int, _Level]]] = {}
         for batch in batches:
             texts = []
             found = (shared.value[h] for h in batch.column(3).to_pylist()) if shared else zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
@@ -478,10 +550,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 if wrapper not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    own = json.loads(wrapper)
-                    known[wrapper] = own, choose_kind(own)
-                own, kind = known[wrapper]
-                texts.append(extract(html.as_py(), own, different, kind))
+                    known[wrapper] = json.loads(wrapper), {}
+                own, levels = known[wrapper]
+                texts.append(extract(html.as_py(), own, different, levels))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return map_batches(rows, run, "page_id long, url string, text string, n_chars long")

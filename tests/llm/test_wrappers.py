@@ -113,6 +113,52 @@ def test_boilerplate_is_a_whole_text_of_distinct_pages(spark):
 def test_all_elements_of_the_kind_are_kept():
     assert extract("<div class=content><p>one</div><div class=ad>buy</div><div class=content><p>two, longer</div>", None) == "one\ntwo, longer"
     assert extract("<main><article>a</article><article>b b<aside>x</aside></article></main><article class=comment>no no no</article><aside><article>t</article></aside>", None) == "a\nb b"
-    assert extract("<main>one</main><nav>n</nav><main>two</main>", None, kind="main") == "one\ntwo"
+    assert extract("<main>one</main><nav>n</nav><main>two</main>", None) == "one\ntwo"
     named = "<div class='page with-sidebar'><article>long main text</article><article>next</article></div><article>end</article><div class=related><article>rel</article></div>"
     assert extract(named, None) == "long main text\nnext\nend"
+
+
+def test_no_main_text_is_lost():
+    assert extract("<main><h1>Title</h1><p>Lead paragraph of the story.</p><article><p>card</p></article><p>More of the story.</p></main>", None) == "Title\nLead paragraph of the story.\ncard\nMore of the story."
+    assert extract("<div class='content'><p>lead text</p><article><p>card</p></article></div>", None) == "lead text\ncard"
+    assert extract("<h1>Outside title</h1><article><p>body</p></article>", None) == "Outside title\nbody"
+    assert extract("<article><p>first</p></article><div class='entry-content'><p>second body</p></div>", None) == "first\nsecond body"
+    inside = "<article><p>a</p><div class='related-work'><p>b</p></div><section class='text-search'><p>c</p></section><div class='related-posts'>no</div><div id='search-box'>no</div></article>"
+    assert extract(inside, None) == "a\nb\nc"
+    assert extract("<div style='color:red; display : none'>gone</div><p style='margin:0'>there</p>", None) == "there"
+
+
+def test_the_wrapper_decides_around_regions():
+    page = "<body><p>Slogan of the house</p><h1>Title {k}</h1><article><p>text {k}</p></article><p>All rights</p></body>"
+    wrapper = wrapped(*(page.replace("{k}", str(k)) for k in range(3)))
+    assert extract(page.replace("{k}", "1"), wrapper) == "Title 1\ntext 1"
+    assert extract(page.replace("{k}", "1"), None) == "Slogan of the house\nTitle 1\ntext 1\nAll rights"
+
+
+def test_many_blocks_take_linear_time():
+    import time
+
+    kinds = ("<p>t{}</p>", "<h2>h{}</h2>", "<ul><li>i{}</ul>", "<pre>c{}</pre>")
+    rng = random.Random(1)
+    mixed = "".join(rng.choice(kinds).format(k) for k in range(50_000))
+    plain = "".join(f"<p>t{k}</p>" for k in range(100_000))
+    began = time.perf_counter()
+    assert extract(plain, None).count("\n") == 99_999 and extract(mixed, None).count("\n") == 49_999
+    assert len(wrapped(plain, plain[: len(plain) // 2 // 10 * 10])) < 100_001
+    assert time.perf_counter() - began < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=6), min_size=2, max_size=4), st.lists(st.sampled_from("abcd"), max_size=8))
+def test_reading_along_a_wrapper_follows_its_order(pages, page):
+    """The place of each node is the first of its key from the last place on, or from the turn of its group, as a scan finds it."""
+    wrapper = [[k, 0, []] for k in pages[0]]
+    for own in pages[1:]:
+        wrapper = align(wrapper, [[k, 0, []] for k in own])
+    level, at = wrappers._Level(wrapper), -1
+    for key in page:
+        again = level.turn[at] if at >= 0 else 0
+        near = at if at >= 0 and level.flat[at][1] & REPEATED else at + 1
+        scan = next((k for k in [*range(near, len(level.flat)), *range(again, near), *range(again)] if level.flat[k][0] == key), None)
+        assert level.find(key, at) == scan
+        at = at if scan is None else scan
