@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from fernlode.functions.text import language_family, normalize_path
 from fernlode.sources.logs import changed_lines
-from fernlode.storage import materialize
+from fernlode.storage import Buckets, broadcast_if_small, materialize
 
 DAMPING, ITERATIONS, IMPORT_WEIGHT = 0.85, 30, 8.0
 PRUNE_FILES, PRUNE_SHARE = 4, 4
-#: Spans and lines meet by blocks of so many lines.
-BLOCK_LINES = 64
+#: Rows of a key beyond this number are dealt to several buckets.
+SPLIT_EDGES = 1_000_000
+#: Spans and lines meet by blocks of so many lines, and of twice, four times, ... as many.
+BLOCK_LINES, BROADCAST_PATHS = 64, 400_000
 
 # Names that are not followed, by language.
 STOP_NAMES = {
@@ -95,34 +97,92 @@ def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     return hits.groupBy("src", "import_path", "line").agg(F.min("dst").alias("dst")).select("src", "dst")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank (node, rank) with a fixed number of iterations.
+def _parts(degrees: DataFrame) -> DataFrame:
+    """degrees(key, n) with the number of parts that the key's rows are dealt to."""
+    return degrees.select("key", F.greatest(F.ceil(F.col("n") / SPLIT_EDGES), F.lit(1)).cast("int").alias("parts"))
 
-    The start vector is the personalisation (uniform over seeds, or over all nodes); the mass of nodes without edges
-    goes back by it. Every iteration is one join and one written table, and the mass that it loses is observed while it is written.
+
+def _hop(rows: DataFrame, parts_of_src: DataFrame, parts_of_dst: DataFrame) -> DataFrame:
+    """rows(src, dst, share) as (key, salt, dst, parts, share): the part of the source's rows, and the parts that the target's own rows have."""
+    known = rows.join(parts_of_src.select(F.col("key").alias("src"), F.col("parts").alias("_own")), "src").join(parts_of_dst.select(F.col("key").alias("dst"), "parts"), "dst")
+    return known.select(F.col("src").alias("key"), F.pmod(F.hash("dst"), F.col("_own")).alias("salt"), "dst", "parts", "share")
+
+
+def _walk(nodes: DataFrame, hops: list[DataFrame], iterations: int, damping: float) -> DataFrame:
+    """(node, rank) after the iterations over ``nodes`` (key, parts, p, dangling) along ``hops`` (of ``_hop``; the last leads back to nodes).
+
+    Edges and nodes stay in their buckets: a step moves ranks and the sums by target only.  Its result is a written table that takes the
+    place of the one before, and the mass on nodes without edges is observed while it is written.
     """
+    at = ["key", "salt"]
+    copies = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))  # noqa: E731  a target in several parts gets what is sent to it in each
+    mass = F.coalesce(F.sum(F.when(F.col("dangling") & (F.col("salt") == 0), F.col("rank"))), F.lit(0.0)).alias("lost")
+    with Buckets(nodes.sparkSession) as tables:
+        edges = [tables.write(h.select(*at, "dst", copies("parts").alias("dst_salt"), "share"), at) for h in hops]
+        base = tables.write(nodes.select("key", copies("parts").alias("salt"), "p", "dangling"), at)
+        ranks = base.withColumn("rank", F.col("p"))
+        lost = ranks.agg(mass).first()["lost"]
+        for _ in range(iterations):
+            flow = ranks.select(*at, F.col("rank").alias("v"))
+            for table in edges:
+                sent = flow.join(table, at).select(F.col("dst").alias("key"), F.col("dst_salt").alias("salt"), (F.col("v") * F.col("share")).alias("v"))
+                flow = sent.groupBy(*at).agg(F.sum("v").alias("v"))
+            rank = (1 - damping) * F.col("p") + damping * (F.coalesce("v", F.lit(0.0)) + F.lit(lost) * F.col("p"))
+            seen = Observation()
+            ranks = tables.step(base.join(flow, at, "left").select(*at, "dangling", rank.alias("rank")).observe(seen, mass))
+            lost = seen.get["lost"]
+        return materialize(ranks.filter("salt = 0").select(F.col("key").alias("node"), "rank"), "ranks", narrow=True)
+
+
+def _start(nodes: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """(key, p): uniform over the seeds, or over all nodes where there are none."""
     if seeds is None or seeds.isEmpty():
         seeds = nodes
     n = seeds.distinct().count()
-    start = nodes.distinct().join(seeds.distinct().withColumn("_s", F.lit(1.0 / n)), "node", "left").select("node", F.coalesce("_s", F.lit(0.0)).alias("p"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = materialize(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    base = materialize(start.join(out.select(F.col("src").alias("node"), F.lit(True).alias("_out")), "node", "left").select("node", "p", F.col("_out").isNull().alias("dangling")), "nodes")
-    mass = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost")
-    ranks = base.withColumn("rank", F.col("p"))
-    lost = ranks.agg(mass).first()["lost"]
-    for _ in range(iterations):
-        incoming = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = (1 - damping) * F.col("p") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("p"))
-        seen = Observation()
-        ranks = materialize(base.join(incoming, "node", "left").select("node", "p", "dangling", rank.alias("rank")).observe(seen, mass), "ranks", narrow=True)
-        lost = seen.get["lost"]
-    return ranks.select("node", "rank")
-
-
-def repo_map(edges: DataFrame, files: DataFrame, seeds: DataFrame | None = None, max_files: int | None = 20) -> DataFrame:
-    """Files by rank, the score with eight decimals."""
-    ranks = pagerank(edges, files.select(F.col("path").alias("node")), seeds)
+    return nodes.distinct().join(seeds.distinct().withColumn("_s", F.lit(1.0 / max(n, 1))), "node", "left").select(F.col("node").alias("key"), F.coalesce("_s", F.lit(0.0)).alias("p"))
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRank (node, rank) with a fixed number of iterations over edges (src, dst, weight) between nodes.
+
+    The start vector is the personalisation (uniform over seeds, or over all nodes); the mass of nodes without edges
+    goes back by it.
+    """
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    start = _start(nodes, seeds)
+    known = start.join(out.select(F.col("src").alias("key"), "n"), "key", "left").select("key", "p", F.col("n").isNull().alias("dangling"), F.coalesce("n", F.lit(0)).alias("n"))
+    known = materialize(known.join(_parts(known), "key").drop("n"), "nodes")
+    shares = edges.join(out.drop("n"), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+    return _walk(known, [_hop(shares, known, known)], iterations, damping)
+
+
+def reference_ranks(refs: DataFrame, symbols: DataFrame, files: DataFrame, seeds: DataFrame | None = None, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+    """The PageRank (node, rank) of ``files`` (node) over ``reference_edges(refs, symbols)``, without that table.
+
+    A name's uses times its defining files can be far more than either. Here a step goes from the files to the names they use and
+    from the names to the files that define them; what comes back to the file itself is taken off, as files do not refer to themselves.
+    """
+    defs = defining_files(symbols).join(files.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
+    defs = materialize(defs.select(F.concat_ws("\0", "family", "name").alias("name"), "path"), "definitions")
+    defined = materialize(defs.groupBy("name").agg(F.count("*").alias("files")), "defined", narrow=True)
+    uses = followed_references(refs).groupBy(F.concat_ws("\0", "family", "name").alias("name"), "path").agg(F.count("*").alias("w"))
+    uses = materialize(uses.join(defined, "name").join(defs.withColumn("_own", F.lit(1)), ["name", "path"], "left").select("path", "name", "w", "files", F.coalesce("_own", F.lit(0)).alias("own")), "uses")
+    out = uses.groupBy(F.col("path").alias("key")).agg(F.sum(F.col("w") * (F.col("files") - F.col("own"))).alias("total"), F.sum(F.col("w") * F.col("own")).alias("back"), F.count("*").alias("n")).filter("total > 0")
+    start = _start(files, seeds)
+    known = start.join(out, "key", "left").select("key", "p", F.col("total").isNull().alias("dangling"), F.coalesce(F.col("back") / F.col("total"), F.lit(0.0)).alias("own"), "total", F.coalesce("n", F.lit(0)).alias("n"))
+    known = materialize(known.join(_parts(known), "key").drop("n"), "nodes")
+    own = known.filter("own > 0").select(F.col("key").alias("file"), F.concat(F.lit("\0own "), "key").alias("mirror"), "own")
+    names = _parts(defined.select(F.col("name").alias("key"), F.col("files").alias("n"))).unionByName(own.select(F.col("mirror").alias("key"), F.lit(1).alias("parts")))
+    shares = uses.join(known.filter("NOT dangling").select(F.col("key").alias("path"), "total"), "path").select(F.col("path").alias("src"), F.col("name").alias("dst"), (F.col("w") / F.col("total")).alias("share"))
+    shares = shares.unionByName(own.select(F.col("file").alias("src"), F.col("mirror").alias("dst"), (-F.col("own")).alias("share")))
+    back = defs.select(F.col("name").alias("src"), F.col("path").alias("dst"), F.lit(1.0).alias("share")).unionByName(own.select(F.col("mirror").alias("src"), F.col("file").alias("dst"), F.lit(1.0).alias("share")))
+    return _walk(known.drop("total", "own"), [_hop(shares, known, names), _hop(back, names, known)], iterations, damping)
+
+
+def repo_map(edges: DataFrame | tuple[DataFrame, DataFrame], files: DataFrame, seeds: DataFrame | None = None, max_files: int | None = 20) -> DataFrame:
+    """Files by rank, the score with eight decimals; ``edges`` is an edge table, or (refs, symbols) to rank without one."""
+    nodes = files.select(F.col("path").alias("node"))
+    ranks = reference_ranks(*edges, nodes, seeds) if isinstance(edges, tuple) else pagerank(edges, nodes, seeds)
     rows = ranks.select(F.col("node").alias("path"), "rank", F.format_string("%.8f", F.col("rank")).alias("score"))
     return rows if max_files is None else rows.orderBy(F.desc("rank"), "path").limit(max(max_files, 1))
 
@@ -139,27 +199,50 @@ def seed_files(files: DataFrame, terms: list[str], seed_paths: list[str] = (), l
     return files.filter(hit).select(F.col("path").alias("node"))
 
 
-def enclosing_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each reference with the smallest symbol span of its file that holds its line (first by line, column, name among equals).
+def span_blocks(start: Column, end: Column) -> Column:
+    """The aligned intervals that cover the blocks of ``start`` to ``end``: (level, block) stands for 2^level blocks of BLOCK_LINES lines.
+
+    At a level the cover has a block at either side at most, where the rest of the span begins or ends with an odd one; so a
+    span of n blocks is covered by less than 2 log2(n) + 2 of them.
+    """
+    first, after = F.floor(start / BLOCK_LINES), F.floor(end / BLOCK_LINES) + 1
+    size = lambda k: F.pow(F.lit(2.0), k)
+    lo, hi = lambda k: F.ceil(first / size(k)), lambda k: F.floor(after / size(k))
+    block = lambda k, odd, at: F.when((lo(k) < hi(k)) & (odd % 2 == 1), F.struct(k.alias("level"), at.cast("long").alias("block")))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((after - first).cast("double"))).cast("int"))
+    sides = F.flatten(F.transform(levels, lambda k: F.array(block(k, lo(k), lo(k)), block(k, hi(k), hi(k) - 1))))
+    return F.when(end >= start, F.filter(sides, lambda x: x.isNotNull()))
+
+
+def meet_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """points(path, at, ...) joined with spans(path, start_line, end_line, ...) that hold them, by equality of (path, level, block) alone.
 
-    Spans are dealt to the blocks of lines they touch, so the join is on equality of (path, block) and not a range scan of a file.
+    A span costs a row for each block of its cover, a point one for each level that its file's spans have; where all spans of a
+    file lie within a block of lines or two that is one.
     """
-    block = BLOCK_LINES
+    covered = spans.withColumn("_b", F.explode(span_blocks(F.col("start_line"), F.col("end_line")))).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
+    higher = covered.filter("_level > 0").groupBy("path").agg(F.collect_set("_level").alias("_higher"))  # at most a number for each level
+    higher = broadcast_if_small(materialize(higher, "levels", narrow=True), BROADCAST_PATHS)
+    levels = F.concat(F.array(F.lit(0)), F.coalesce("_higher", F.array().cast("array<int>")))
+    placed = points.join(higher, "path", "left").withColumn("_level", F.explode(levels)).drop("_higher")
+    placed = placed.withColumn("_block", F.floor(F.col("at") / BLOCK_LINES / F.pow(F.lit(2.0), F.col("_level"))))
+    hits = placed.join(covered, ["path", "_level", "_block"])
+    return hits.filter(F.col("at").between(F.col("start_line"), F.col("end_line"))).drop("_level", "_block")
+
+
+def enclosing_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Each reference with the smallest symbol span of its file that holds its line (first by line, column, name, kind among equals)."""
     spans = symbols.select("path", F.struct((F.col("end_line") - F.col("start_line")).alias("width"), "line", "column", "name", "kind").alias("s"), "start_line", "end_line")
-    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))))
-    uses = refs.select("path", F.col("name").alias("ref_name"), F.col("line").alias("ref_line"), F.col("column").alias("ref_column"), F.col("kind").alias("ref_kind")).withColumn("block", F.floor(F.col("ref_line") / block))
-    hits = uses.join(spans, ["path", "block"]).filter(F.col("ref_line").between(F.col("start_line"), F.col("end_line")) & (F.col("s.line") <= F.col("ref_line")))
-    best = hits.groupBy("path", "ref_name", "ref_line", "ref_column", "ref_kind").agg(F.min("s").alias("s"))
+    uses = refs.select("path", F.col("name").alias("ref_name"), F.col("line").alias("ref_line"), F.col("column").alias("ref_column"), F.col("kind").alias("ref_kind"), F.col("line").alias("at"))
+    best = meet_spans(spans, uses).filter(F.col("s.line") <= F.col("ref_line")).groupBy("path", "ref_name", "ref_line", "ref_column", "ref_kind").agg(F.min("s").alias("s"))
     return best.select("path", F.col("s.name").alias("symbol"), F.col("s.line").alias("line"), F.col("s.column").alias("column"), F.col("s.kind").alias("kind"), "ref_name", "ref_line", "ref_column", "ref_kind")
 
 
 def overlapping_symbols(symbols: DataFrame, changed: DataFrame) -> DataFrame:
     """Symbols whose span holds a changed line (path, line); a span falls back to its line."""
     own = symbols.select("path", "name", "kind", F.coalesce("start_line", "line").alias("start_line"), F.coalesce("end_line", "line").alias("end_line"))
-    blocks = F.sequence(F.floor(F.col("start_line") / BLOCK_LINES), F.floor(F.col("end_line") / BLOCK_LINES))
-    lines = changed.select("path", F.col("line").alias("_line")).distinct().withColumn("_block", F.floor(F.col("_line") / BLOCK_LINES))
-    hit = own.withColumn("_block", F.explode(blocks)).join(lines, ["path", "_block"]).filter(F.col("_line").between(F.col("start_line"), F.col("end_line")))
-    return hit.groupBy("path", "name", "kind", "start_line", "end_line").agg(F.count_distinct("_line").alias("changed_lines"))
+    lines = changed.select("path", F.col("line").alias("at")).distinct()
+    return meet_spans(own, lines).groupBy("path", "name", "kind", "start_line", "end_line").agg(F.count_distinct("at").alias("changed_lines"))
 
 
 def detect_changes(diffs: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ only split for texts that match.
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import ascii_lower, glob_regex, lines, normalized_doc_len, smart_case, tokenize_query, tokenize_text
-from fernlode.storage import materialize
+from fernlode.operators import index as indexes
+from fernlode.operators.index import SearchIndex, binary_text
 
 K1, B = 1.2, 0.75
 PREVIEW_CHARS = 240
@@ -133,22 +133,6 @@ def bm25(corpus: DataFrame, terms: list[str], case_sensitive: bool = False) -> D
     return joined.select(*KEY, F.round(total * 1_000_000).cast("long").alias("score"))
 
 
-class TermIndex(NamedTuple):
-    """postings(term, root_id, rel_path, tf, dl) in the order of the terms, and what BM25 needs of the whole corpus."""
-
-    postings: DataFrame
-    n: int
-    avgdl: float
-
-
-def build_index(corpus: DataFrame) -> TermIndex:
-    """Tokenize the corpus once for many searches; the postings are a written table whose row groups can be skipped by term."""
-    own = corpus.select(*KEY, tokenize_text(F.col("text")).alias("_t")).withColumn("dl", F.greatest(F.size("_t"), F.lit(1)))
-    stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    counted = own.select(*KEY, "dl", F.explode("_t").alias("term")).groupBy("term", *KEY, "dl").agg(F.count("*").alias("tf"))
-    return TermIndex(materialize(counted.repartitionByRange("term").sortWithinPartitions("term"), "postings"), stats["n"], stats["avgdl"] or 1.0)
-
-
 def _idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -157,26 +141,6 @@ def _saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
     return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25_indexed(index: TermIndex, terms: list[str]) -> DataFrame:
-    """The same scores as ``bm25`` from the postings of the terms alone."""
-    rows = index.postings.filter(F.col("term").isin(terms))
-    df = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.count("*").alias("df")).collect()}  # at most a row a term
-    total, n, avgdl = F.lit(0.0), F.lit(index.n), F.lit(index.avgdl)
-    per_file = rows.groupBy(*KEY, "dl").agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf{k}") for k, t in enumerate(terms)])
-    for k, t in enumerate(terms):
-        total = total + (_idf(n, F.lit(df.get(t, 0))) if len(terms) > 1 else F.lit(1.0)) * _saturated(F.col(f"tf{k}"), F.col("dl"), avgdl)
-    return per_file.select(*KEY, F.round(total * 1_000_000).cast("long").alias("score"))
-
-
-def _may_hold(corpus: DataFrame, index: TermIndex, terms: list[str]) -> DataFrame:
-    """The files with a term that holds the longest ASCII term of the pattern; all files if it has none."""
-    plain = [t for t in terms if t.isascii()]
-    if not plain:
-        return corpus
-    hit = index.postings.filter(F.col("term").contains(max(plain, key=len))).select(*KEY).distinct()
-    return corpus.join(hit, KEY, "left_semi")
-
-
 def tf_density(corpus: DataFrame, matcher: Matcher) -> DataFrame:
     """(root_id, rel_path, score): matches by max(tokens, lines, 1), scaled by 1e6."""
     length = normalized_doc_len(F.size(tokenize_text(F.col("text"), matcher.case)), F.size(lines(F.col("text"))))
@@ -185,34 +149,79 @@ def tf_density(corpus: DataFrame, matcher: Matcher) -> DataFrame:
 
 
 def matching_lines(corpus: DataFrame, matcher: Matcher) -> DataFrame:
-    """One row per matching line: line, byte column, preview, occurrences. Texts without a match are dropped before they are split."""
-    hit = corpus if matcher.regex else corpus.filter(matcher.matches(F.col("text")))
+    """One row per matching line: line, byte column, preview, occurrences. Binary texts are passed over; texts without a match are dropped before they are split."""
+    hit = corpus.filter(~binary_text(F.col("text")))
+    hit = hit if matcher.regex else hit.filter(matcher.matches(F.col("text")))
     rows = hit.select(*KEY, F.posexplode(lines(F.col("text"))).alias("_k", "_line")).filter(matcher.matches(F.col("_line")))
     return rows.select(*KEY, (F.col("_k") + 1).cast("long").alias("line"), matcher.column(F.col("_line")).alias("column"), F.substring("_line", 1, PREVIEW_CHARS).alias("text"), matcher.occurrences(F.col("_line")).cast("long").alias("occurrences"))
 
 
-def content_search(corpus: DataFrame, pattern: str, regex: bool = False, whole_word: bool = False, max_results: int | None = 50, index: TermIndex | None = None) -> DataFrame:
+RESULT = [*KEY, "line", "column", "score", "text", "nth"]
+
+
+def file_cap(max_results: int) -> int:
+    """Lines that a file may give to a limited result."""
+    return min(max(-(-max_results // 3), 1), 20)
+
+
+def _round_robin(rows: DataFrame, max_results: int) -> DataFrame:
+    return rows.filter(F.col("nth") <= file_cap(max_results)).orderBy("nth", F.desc("score"), "rel_path", "root_id", "line").limit(max(max_results, 1))
+
+
+def content_search(corpus: DataFrame | None, pattern: str, regex: bool = False, whole_word: bool = False, max_results: int | None = 50, index: SearchIndex | None = None) -> DataFrame:
     """Ranked matching lines, taken round-robin from the files: each file's first line in rank order, then the second, ...
 
     ``max_results`` None returns every line without the cap for each file.  With an ``index`` of the corpus, a literal
-    search without capitals takes its scores from there and reads only files that can match.
+    search without capitals reads its files, texts and scores from there; other searches need the corpus.
     """
     matcher = Matcher(pattern, regex, whole_word)
+    if index is not None and not (regex or whole_word or matcher.case):
+        return _indexed_search(index, pattern, max_results)
+    corpus = corpus.filter(~binary_text(F.col("text")))
     terms = tokenize_query(pattern, matcher.case)
-    if regex or whole_word or not terms:
-        scores = tf_density(corpus, matcher)
-    elif index is None or matcher.case:
-        scores = bm25(corpus, terms, matcher.case)
-    else:
-        scores, corpus = bm25_indexed(index, terms), _may_hold(corpus, index, terms)
+    scores = tf_density(corpus, matcher) if regex or whole_word or not terms else bm25(corpus, terms, matcher.case)
     rows = matching_lines(corpus, matcher).join(scores, KEY, "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("long"))
-    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("line")).cast("long")
-    rows = rows.withColumn("nth", nth)
-    columns = [*KEY, "line", "column", "score", "text", "nth"]
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("line")).cast("long")).select(*RESULT)
+    return rows if max_results is None else _round_robin(rows, max_results)
+
+
+def search_many(index: SearchIndex, patterns: list[str], max_results: int | None = 50) -> DataFrame:
+    """The rows of ``content_search`` for several literals without capitals, with the pattern, in one pass over the index."""
+    folded = [p.translate({k: k + 32 for k in range(65, 91)}) for p in patterns]
+    if any(smart_case(p) for p in patterns):
+        raise ValueError("search_many takes literals without capitals")
+    if not patterns:
+        raise ValueError("no patterns")
+    files = indexes.matching_files(index, folded)
+    name = F.get(F.array(*[F.lit(p) for p in folded]), F.col("p"))
+    found = _lines_of(files.withColumn("pattern", name))
     if max_results is None:
-        return rows.select(*columns)
-    cap = min(max(-(-max_results // 3), 1), 20)
-    return rows.filter(F.col("nth") <= cap).orderBy("nth", F.desc("score"), "rel_path", "root_id", "line").limit(max(max_results, 1)).select(*columns)
+        return found.select("pattern", *RESULT)
+    order = F.row_number().over(Window.partitionBy("pattern").orderBy("nth", F.desc("score"), "rel_path", "root_id", "line"))
+    return found.filter(F.col("nth") <= file_cap(max_results)).withColumn("_r", order).filter(F.col("_r") <= max(max_results, 1)).select("pattern", *RESULT)
+
+
+def _lines_of(files: DataFrame) -> DataFrame:
+    """(pattern, root_id, rel_path, text, score) to the rows of RESULT: the file's lines with the literal; nth comes from the array of a file's lines."""
+    hit = files.filter(F.contains(ascii_lower(F.col("text")), F.col("pattern")))
+    at = lambda x: F.position(F.col("pattern"), ascii_lower(x))
+    own = F.transform(lines(F.col("text")), lambda x, k: F.struct((k + 1).cast("long").alias("line"), x.alias("text"), at(x).alias("at")))
+    rows = hit.select("pattern", *KEY, "score", F.posexplode(F.filter(own, lambda x: x["at"] > 0)).alias("k", "l"))
+    column = F.octet_length(F.substring(F.col("l.text"), F.lit(1), F.col("l.at") - 1)) + 1
+    return rows.select("pattern", *KEY, "l.line", column.cast("long").alias("column"), "score", F.substring("l.text", 1, PREVIEW_CHARS).alias("text"), (F.col("k") + 1).cast("long").alias("nth"))
+
+
+def _indexed_search(index: SearchIndex, pattern: str, max_results: int | None) -> DataFrame:
+    """Where many files hold the grams of a limited search with terms, the best files first, until enough of them match; else all candidates."""
+    terms = tokenize_query(pattern)
+    if max_results is not None and terms and indexes.many_candidates(index, pattern, 8 * max_results):
+        texts = lambda chunks: index.table("files").select("chunk", "at", "text").filter(F.col("chunk").isin(chunks))
+        holds = F.contains(ascii_lower(F.col("text")), F.lit(pattern))
+        top = indexes.bm25_top(index, terms, max(max_results, 1), lambda found, chunks: found.join(texts(chunks).filter(holds), ["chunk", "at"]).drop("text"))
+        if top.found >= max_results:
+            files = top.files.join(texts(top.chunks), ["chunk", "at"]).withColumn("pattern", F.lit(pattern))
+            return _round_robin(_lines_of(files).filter("nth = 1").select(*RESULT), max_results)
+    return search_many(index, [pattern], max_results).drop("pattern")
 
 
 def match_files(corpus: DataFrame, pattern: str, regex: bool = False, whole_word: bool = False) -> DataFrame:
@@ -230,7 +239,8 @@ def search_totals(corpus: DataFrame, pattern: str) -> DataFrame:
 def line_context(corpus: DataFrame, pattern: str, before: int = 2, after: int = 2, regex: bool = False) -> DataFrame:
     """Matching lines with their neighbours [line - before, line + after], cut to the file; each line previewed."""
     m = Matcher(pattern, regex)
-    hit = corpus if regex else corpus.filter(m.matches(F.col("text")))
+    hit = corpus.filter(~binary_text(F.col("text")))
+    hit = hit if regex else hit.filter(m.matches(F.col("text")))
     # The context is a slice of the text's own line array: no window, no shuffle.
     own = hit.select(*KEY, lines(F.col("text")).alias("_l"))
     numbered = own.select(*KEY, F.transform("_l", lambda x, k: F.struct((k + 1).cast("long").alias("line"), F.substring(x, 1, PREVIEW_CHARS).alias("text"), m.matches(x).alias("hit"))).alias("_l"))
@@ -331,7 +341,7 @@ def code_scope(rows: DataFrame, paths: list[str], path: str = "rel_path") -> Dat
 def search_report(corpus: DataFrame, pattern: str, max_results: int = 50) -> DataFrame:
     """One row: scanned files and bytes, binary files passed over, matching files and lines, lines returned under the limits, and lines left out."""
     m = Matcher(pattern)
-    binary = is_binary(F.encode("text", "UTF-8"))
+    binary = binary_text(F.col("text"))
     counts = F.when(binary, 0).otherwise(F.size(F.filter(lines(F.col("text")), m.matches))).cast("long")
     cap = min(max(-(-max_results // 3), 1), 20)
     sums = corpus.agg(

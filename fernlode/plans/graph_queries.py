@@ -6,7 +6,7 @@ all longer words are references.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import lines
@@ -30,6 +30,39 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("path", F.lit("rust").alias("language"), F.lit("call").alias("kind"), "name", "line", F.col("column").cast("long").alias("column"))
 
 
+def nested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of four languages whose spans hold each other, from one line to a million, with ties in width and line."""
+    d = documents(spark, sf_dir).select(F.col("rel_path").alias("path"), "language", F.posexplode(lines(F.col("text"))).alias("k", "text"))
+    word = F.lower(F.regexp_extract("text", "^([A-Za-z]{3,})", 1))
+    line = (F.col("k") + 1).cast("long")
+    reach = F.when(line % 11 == 0, 1_000_000).when(line % 5 == 0, 700).when(line % 5 == 1, 0).when(line % 5 == 2, 12).otherwise(4)
+    rows = d.select("path", _language().alias("language"), word.alias("name"), line.alias("line"), (line + reach).alias("end_line")).filter("name <> ''")
+    both = F.array(F.struct("name", F.lit(3).alias("column")), F.when(F.col("line") % 4 == 0, F.struct(F.reverse("name").alias("name"), F.lit(2).alias("column"))))
+    rows = rows.select("path", "language", "line", "end_line", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("s"))
+    kind = F.when(F.col("line") % 3 == 0, "struct").when(F.col("line") % 3 == 1, "enum").otherwise("function")
+    return rows.select("path", "language", kind.alias("kind"), "s.name", "line", F.col("s.column").cast("long").alias("column"), F.col("line").alias("start_line"), "end_line", F.lit("").alias("signature"))
+
+
+def nested_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).select(F.col("rel_path").alias("path"), "language", F.posexplode(lines(F.col("text"))).alias("k", "text"))
+    words = d.select("path", _language().alias("language"), (F.col("k") + 1).cast("long").alias("line"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0)).alias("column", "name"))
+    return words.select("path", "language", F.when(F.char_length("name") % 2 == 1, "type").otherwise("call").alias("kind"), "name", "line", F.col("column").cast("long").alias("column"), F.lit(None).cast("string").alias("import_path"))
+
+
+def _language() -> Column:
+    return F.when(F.col("language") == "en", "rust").when(F.col("language") == "de", "python").when(F.col("language") == "fr", "typescript").otherwise("tsx")
+
+
+_N = """nd AS (SELECT CAST(doc_id AS VARCHAR) AS path, CASE lang WHEN 'en' THEN 'rust' WHEN 'de' THEN 'python' ELSE 'javascript' END AS family, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n$', '') AS text FROM documents WHERE coalesce(text, '') <> ''),
+    nl AS (SELECT path, family, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM nd),
+    n0 AS (SELECT path, family, line, lower(regexp_extract(text, '^([A-Za-z]{3,})', 1)) AS name, line + CASE WHEN line % 11 = 0 THEN 1000000 WHEN line % 5 = 0 THEN 700 WHEN line % 5 = 1 THEN 0 WHEN line % 5 = 2 THEN 12 ELSE 4 END AS end_line, ['enum', 'function', 'struct'][(line + 2) % 3 + 1] AS kind FROM nl),
+    ns AS (SELECT path, family, line, end_line, kind, name, 3 AS "column" FROM n0 WHERE name <> '' UNION ALL SELECT path, family, line, end_line, kind, reverse(name), 2 FROM n0 WHERE name <> '' AND line % 4 = 0),
+    nw AS (SELECT path, family, line, regexp_extract_all(lower(text), '[a-z]{4,}') AS ws FROM nl),
+    nr AS (SELECT path, family, line, unnest(ws) AS name, unnest(range(len(ws))) AS "column" FROM nw)"""
+_STOPPED = " OR ".join("family = '{}' AND nr.name IN ({})".format(f, ", ".join(f"'{x}'" for x in names)) for f, names in graph.STOP_NAMES.items())
+_N_EDGES = f"""{_N}, ndf AS (SELECT DISTINCT family, name, path FROM ns), nfl AS (SELECT family, count(DISTINCT path) AS files FROM ns GROUP BY 1),
+    npr AS (SELECT family, name FROM ndf JOIN nfl USING (family) GROUP BY family, name, files HAVING count(*) >= 4 AND count(*) * 4 > files), ndk AS (SELECT * FROM ndf WHERE (family, name) NOT IN (SELECT (family, name) FROM npr)),
+    ne AS (SELECT nr.path AS src, ndk.path AS dst, CAST(count(*) AS DOUBLE) AS weight FROM nr JOIN ndk USING (family, name) WHERE nr.path <> ndk.path AND NOT ({_STOPPED}) GROUP BY ALL)"""
 _L = """d AS (SELECT CAST(doc_id AS VARCHAR) AS path, regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '\\n$', '') AS text FROM documents WHERE coalesce(text, '') <> ''),
     l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
     s0 AS (SELECT path, line, lower(regexp_extract(text, '^([A-Za-z]{3,})', 1)) AS name FROM l),
@@ -48,16 +81,18 @@ _ENC = """en AS (SELECT r.path, r.name AS ref_name, r.line AS ref_line, r."colum
 
 
 def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as nodes; an edge from a user with a purchase over 90 to the one whose event comes next within the same 100 events; other users have none."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", F.floor(F.col("event_id") / 100).alias("g"))
+    """An edge from a user to the one whose event comes next within the same 100 events, and one to each type of event, which leads nowhere."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.floor(F.col("event_id") / 100).alias("g"))
     after = F.lead("user_id").over(Window.partitionBy("g").orderBy("event_id"))
-    pairs = e.select(F.col("user_id").alias("src"), after.alias("dst"), "event_type", "value").filter("dst IS NOT NULL AND src <> dst AND event_type = 'purchase' AND value > 90")
+    next_user = e.select(F.col("user_id").cast("string").alias("src"), after.cast("string").alias("dst")).filter("dst IS NOT NULL AND src <> dst")
+    pairs = next_user.unionByName(e.select(F.col("user_id").cast("string").alias("src"), F.col("event_type").alias("dst")))
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 _TRANSITIONS = """t AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_id // 100 ORDER BY event_id) AS dst, event_type, value FROM events),
-    g AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM t WHERE dst IS NOT NULL AND src <> dst AND event_type = 'purchase' AND value > 90 GROUP BY ALL),
-    n AS (SELECT DISTINCT user_id AS node FROM events), z AS (SELECT DISTINCT user_id AS node FROM events WHERE event_type = 'signup' AND value > 90)"""
+    u AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM t WHERE dst IS NOT NULL AND src <> dst UNION ALL SELECT CAST(src AS VARCHAR), event_type FROM t),
+    g AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM u GROUP BY ALL),
+    n AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS node FROM events UNION SELECT DISTINCT event_type FROM events), z AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS node FROM events WHERE event_type = 'signup' AND value > 90)"""
 
 
 def _rank_sql(tables: str, columns: str) -> str:
@@ -72,8 +107,8 @@ def _rank_sql(tables: str, columns: str) -> str:
 
 def _pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    nodes = events.select(F.col("user_id").alias("node")).distinct()
-    seeds = events.filter("event_type = 'signup' AND value > 90").select(F.col("user_id").alias("node")).distinct()
+    nodes = events.select(F.explode(F.array(F.col("user_id").cast("string"), "event_type")).alias("node")).distinct()
+    seeds = events.filter("event_type = 'signup' AND value > 90").select(F.col("user_id").cast("string").alias("node")).distinct()
     return graph.pagerank(_transitions(spark, sf_dir), nodes, seeds).select("node", F.round(F.col("rank") * 100_000_000).cast("long").alias("score"))
 
 
@@ -107,6 +142,10 @@ QUERIES = {
     "language_files": lambda s, d: graph.language_files(documents(s, d).select(F.col("rel_path").alias("path"), "language")),
     "pagerank": _pagerank,
     "enclosing_symbols": lambda s, d: graph.enclosing_symbols(refs(s, d), symbols(s, d)),
+    "enclosing_symbols_nested": lambda s, d: graph.enclosing_symbols(nested_refs(s, d), nested_symbols(s, d)),
+    "overlapping_symbols_nested": lambda s, d: graph.overlapping_symbols(nested_symbols(s, d), _lines(s, d).filter(F.col("k") % 50 == 7).select("path", (F.col("k") + 1).cast("long").alias("line"))),
+    "reference_edges_languages": lambda s, d: graph.reference_edges(nested_refs(s, d), nested_symbols(s, d)),
+    "reference_ranks_languages": lambda s, d: graph.reference_ranks(nested_refs(s, d), nested_symbols(s, d), documents(s, d).select(F.col("rel_path").alias("node"))).select("node", F.round(F.col("rank") * 1_000_000).cast("long").alias("score")),
     "find_references": lambda s, d: graph.find_references(refs(s, d), symbols(s, d), "erthat", max_results=None),
     "goto_definition": lambda s, d: graph.goto_definition(symbols(s, d), "with", max_results=None),
     "incoming_calls": lambda s, d: graph.incoming_calls(refs(s, d), symbols(s, d), symbols(s, d).select("name").distinct()),
@@ -195,4 +234,11 @@ ORACLE_SQL = {
                        CASE WHEN regexp_matches(line_text, 'password: "[a-f0-9]{16,}"') AND regexp_matches(line_text, '"[0-9]*[a-f]') AND regexp_matches(line_text, '"[a-f]*[0-9]') THEN 'generic_secret_assignment' END], lambda x: x IS NOT NULL)) AS kind FROM t)
         SELECT 'log' AS root_id, CAST(user_id AS VARCHAR) AS rel_path, CAST(line AS BIGINT) AS line, kind FROM k""",
 }
+ORACLE_SQL["enclosing_symbols_nested"] = f"""WITH {_N}, k AS (SELECT nr.path, nr.name AS ref_name, nr.line AS ref_line, nr."column" AS ref_column, ns.name AS symbol, ns.line, ns."column", ns.kind,
+        row_number() OVER (PARTITION BY nr.path, nr.line, nr."column" ORDER BY end_line - ns.line, ns.line, ns."column", ns.name, ns.kind) AS r FROM nr JOIN ns ON ns.path = nr.path AND nr.line BETWEEN ns.line AND end_line)
+    SELECT path, symbol, CAST(line AS BIGINT) AS line, CAST("column" AS BIGINT) AS "column", kind, ref_name, CAST(ref_line AS BIGINT) AS ref_line, ref_column, CASE WHEN length(ref_name) % 2 = 1 THEN 'type' ELSE 'call' END AS ref_kind FROM k WHERE r = 1"""
+ORACLE_SQL["overlapping_symbols_nested"] = f"""WITH {_N} SELECT ns.path, name, kind, CAST(ns.line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, count(DISTINCT nl.line) AS changed_lines
+    FROM ns JOIN nl ON nl.path = ns.path AND (nl.line - 1) % 50 = 7 AND nl.line BETWEEN ns.line AND end_line GROUP BY ALL"""
+ORACLE_SQL["reference_edges_languages"] = f"WITH {_N_EDGES} SELECT * FROM ne"
+ORACLE_SQL["reference_ranks_languages"] = _rank_sql(f"{_N_EDGES}, g AS (SELECT * FROM ne), n AS (SELECT CAST(doc_id AS VARCHAR) AS node FROM documents), z AS (SELECT node FROM n)", "node, CAST(round(rank * 1000000) AS BIGINT) AS score")
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -131,7 +131,7 @@ def _first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "detect_changes": lambda s, d: graph.detect_changes(_diffs(s, d), symbols(s, d)),
     "changed_lines": lambda s, d: logs.changed_lines(_diffs(s, d)),
-    "repo_map": lambda s, d: graph.repo_map(graph.reference_edges(refs(s, d), symbols(s, d)), documents(s, d).select(F.col("rel_path").alias("path")), max_files=None).select("path", F.round(F.col("rank") * 1_000_000).cast("long").alias("score")),
+    "repo_map": lambda s, d: graph.repo_map((refs(s, d), symbols(s, d)), documents(s, d).select(F.col("rel_path").alias("path")), max_files=None).select("path", F.round(F.col("rank") * 1_000_000).cast("long").alias("score")),
     "seed_files": lambda s, d: graph.seed_files(_files(s, d), ["apache", "license"], literal="copyright"),
     "trace_path": lambda s, d: graph.trace_path(refs(s, d), symbols(s, d), "achein", "einach", 3),
     "referencing_symbols": lambda s, d: graph.referencing_symbols(refs(s, d), symbols(s, d), documents(s, d), "erthat").select("path", "symbol", "line", "kind", "ref_line", "ref_column", "context"),

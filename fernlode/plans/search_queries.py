@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fernlode.operators import search
+from fernlode.operators import index, search
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +35,34 @@ def _bm25_sql(terms: list[str]) -> str:
 
 
 def _indexed(spark: SparkSession, sf_dir: str, pattern: str, max_results: int | None) -> DataFrame:
-    corpus = documents(spark, sf_dir)
-    return search.content_search(corpus, pattern, max_results=max_results, index=search.build_index(corpus))
+    return search.content_search(None, pattern, max_results=max_results, index=index.build_index(documents(spark, sf_dir)))
+
+
+def _updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over an index that grew by a segment, lost files and had files replaced since it was built."""
+    d = documents(spark, sf_dir)
+    number = F.col("rel_path").cast("long") % 10
+    first = index.build_index(d.filter(number < 7).withColumn("text", F.when(number == 3, "an old license").otherwise(F.col("text"))))
+    second = index.update_index(first, d.filter((number >= 7) | (number == 3)), d.filter(number == 5))
+    return search.content_search(None, "icens", max_results=None, index=second)
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_many(index.build_index(documents(spark, sf_dir)), ["mit license", "é", "ß", "in der", "qu", "erth", "no such text"], None)
+
+
+def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.bm25_top(index.build_index(documents(spark, sf_dir)), ["the", "license", "que"], 50).files.select("root_id", "rel_path", "score")
 
 
 QUERIES = {
     "content_search_bm25": lambda s, d: search.content_search(documents(s, d), "the in", max_results=50),
     "content_search_indexed": lambda s, d: _indexed(s, d, "the in", 50),
     "content_search_indexed_all": lambda s, d: _indexed(s, d, "license", None),
-    "bm25_indexed": lambda s, d: search.bm25_indexed(search.build_index(documents(s, d)), ["the", "license", "que"]),
+    "content_search_updated_index": _updated,
+    "content_search_many": _many,
+    "bm25_indexed": lambda s, d: index.bm25_of(index.build_index(documents(s, d)), ["the", "license", "que"]),
+    "bm25_top_blocks": _top,
     "content_search_all_lines": lambda s, d: search.content_search(documents(s, d), "license", max_results=None),
     "content_search_whole_word": lambda s, d: search.content_search(documents(s, d), "la", whole_word=True, max_results=None),
     "bm25_scores": lambda s, d: search.bm25(documents(s, d), ["the", "license", "que"]),
@@ -101,3 +120,19 @@ ORACLE_SQL = {
         SELECT root_id, rel_path, size FROM r WHERE k <= 700 AND bytes <= 1000000""",
 }
 ORACLE_SQL |= {"content_search_indexed": ORACLE_SQL["content_search_bm25"], "content_search_indexed_all": ORACLE_SQL["content_search_all_lines"], "bm25_indexed": ORACLE_SQL["bm25_scores"]}
+ORACLE_SQL["bm25_top_blocks"] = ORACLE_SQL["bm25_scores"] + " ORDER BY score DESC, rel_path, root_id LIMIT 50"
+
+
+def _lines_sql(tables: str, pattern: str, score: str) -> str:
+    fold = _FOLD.format("line_text")
+    return f"""SELECT {pattern} AS pattern, l.root_id, l.rel_path, CAST(line AS BIGINT) AS line, CAST(octet_length(encode(substr(line_text, 1, strpos({fold}, {pattern}) - 1))) + 1 AS BIGINT) AS "column", {score} AS score,
+        substr(line_text, 1, 240) AS text, row_number() OVER (PARTITION BY {pattern}, l.root_id, l.rel_path ORDER BY line) AS nth FROM {tables} WHERE contains({fold}, {pattern})"""
+
+
+ORACLE_SQL["content_search_updated_index"] = f"""WITH {_CORPUS.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 5)')}, {_LINES}, k AS ({_lines_sql("l", "'icens'", "CAST(0 AS BIGINT)")}) SELECT * EXCLUDE (pattern) FROM k"""
+ORACLE_SQL["content_search_many"] = f"""WITH {_CORPUS}, {_LINES}, q(pattern, terms) AS (VALUES ('mit license', ['mit', 'license']), ('é', ['é']), ('ß', ['ß']), ('in der', ['in', 'der']), ('qu', ['qu']), ('erth', ['erth']), ('no such text', ['no', 'such', 'text'])),
+    a AS (SELECT count(*) AS n, avg(greatest(len(t), 1)) AS avgdl FROM c), u AS (SELECT pattern, len(terms) AS many, unnest(terms) AS term, generate_subscripts(terms, 1) AS k FROM q),
+    df AS (SELECT u.term, count(*) AS df FROM c, (SELECT DISTINCT term FROM u) u WHERE list_contains(t, u.term) GROUP BY 1),
+    tf AS (SELECT root_id, rel_path, pattern, k, many, u.term, len(list_filter(t, lambda x: x = u.term)) AS tf, greatest(len(t), 1) AS dl FROM c, u WHERE list_contains(t, u.term)),
+    b AS (SELECT root_id, rel_path, pattern, CAST(round(CAST(list_sum(list(CASE WHEN many > 1 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) ELSE 1 END * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) ORDER BY k)) AS DOUBLE) * 1000000) AS BIGINT) AS score FROM tf JOIN df USING (term), a GROUP BY ALL),
+    m AS ({_lines_sql("l, q", "q.pattern", "CAST(0 AS BIGINT)")}) SELECT m.* REPLACE (coalesce(b.score, 0) AS score) FROM m LEFT JOIN b USING (pattern, root_id, rel_path)"""

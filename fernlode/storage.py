@@ -88,6 +88,44 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """Written tables that are dealt out by hash into a fixed number of sorted buckets, so that joins on those columns move no rows of them.
+
+    Used as a context: the tables are dropped and their files deleted at its end.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: dict[str, str] = {}
+        self.last: str | None = None
+
+    def step(self, df: DataFrame) -> DataFrame:
+        """``df`` written as a narrow table, which takes the place of the step before: that one is deleted."""
+        path, cores = new_path(self.spark, "step"), _cores(self.spark)
+        (df if cores is None else df.coalesce(cores * NARROW_FILES_A_CORE)).write.parquet(path)
+        if self.last:
+            remove(self.spark, self.last)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def write(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """``df`` as a table in buckets of ``keys``."""
+        name, path = f"t_{uuid.uuid4().hex}", new_path(self.spark, "buckets")
+        df.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+        self.names[name] = path
+        return self.spark.table(name)
+
+    def __enter__(self) -> Buckets:
+        return self
+
+    def __exit__(self, *_exc) -> None:
+        for name, path in self.names.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, path)
+        if self.last:
+            remove(self.spark, self.last)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting ``df`` (a materialized table of narrow rows) against ``max_rows``."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -106,3 +106,29 @@ def test_selection(spark):
     tools = spark.createDataFrame([("file_search", "find text in files", "pattern", "regex"), ("git", "history", "op", "x")], "name string, description string, params string, param_descriptions string")
     assert [r.name for r in context.tool_search(tools, "search zzz").collect()] == ["file_search"]
     assert {r.name: r.description for r in context.first_wins([tools.limit(1), tools], "name").collect()}.keys() == {"file_search", "git"}
+
+
+def test_ranks_against_power_iteration(spark, monkeypatch):
+    """Hot keys in several parts, dangling nodes, seeds; files that refer to themselves count no such reference."""
+    import random
+
+    monkeypatch.setattr(graph, "SPLIT_EDGES", 3)
+    rng = random.Random(4)
+    uses = [(f"f{rng.randrange(9)}", f"name{rng.randrange(5)}") for _ in range(60)]
+    defs = sorted({(f"f{rng.randrange(12)}", f"name{k % 5}") for k in range(12)})
+    refs = spark.createDataFrame([(p, "go", "call", n, k, 1, None) for k, (p, n) in enumerate(uses)], REF)
+    symbols = spark.createDataFrame([(p, "go", "function", n, k, 1, k, k, "") for k, (p, n) in enumerate(defs)], SYM)
+    files = spark.createDataFrame([(f"f{k}",) for k in range(13)], "node string")
+    weights = {(r.src, r.dst): r.weight for r in graph.reference_edges(refs, symbols).collect()}
+    for seeds in (None, ["f1", "f12"]):
+        nodes = [f"f{k}" for k in range(13)]
+        p = {n: (1 / len(seeds) if n in seeds else 0.0) if seeds else 1 / 13 for n in nodes}
+        total = {n: sum(w for (a, _), w in weights.items() if a == n) for n in nodes}
+        x = dict(p)
+        for _ in range(graph.ITERATIONS):
+            lost = sum(x[n] for n in nodes if not total[n])
+            x = {n: 0.15 * p[n] + 0.85 * (lost * p[n] + sum(x[a] * w / total[a] for (a, b), w in weights.items() if b == n)) for n in nodes}
+        given = None if seeds is None else spark.createDataFrame([(s,) for s in seeds], "node string")
+        for got in (graph.reference_ranks(refs, symbols, files, given), graph.pagerank(graph.reference_edges(refs, symbols), files, given)):
+            assert {r.node: pytest.approx(r["rank"], abs=1e-12) for r in got.collect()} == x
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("t_")]
