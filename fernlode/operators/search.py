@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -248,12 +250,71 @@ def line_context(corpus: DataFrame, pattern: str, before: int = 2, after: int =
     return rows.select(*KEY, "m.line", "m.context")
 
 
-def fuzzy_score(path: Column, pattern: str) -> Column:
-    """An own subsequence score: 16 a character, 8 more for a run, 8 more at the base name's start; 0 without a match."""
-    chars = [re.sub(r"([\\.+*?()|{}^$\[\]#-])", r"\\\1", c) for c in pattern.lower()]
-    low = F.lower(path)
-    base = F.regexp_extract(low, r"([^/]*)$", 1)
-    return F.when(low.contains(pattern.lower()), 16 * len(chars) + 8 * (len(chars) - 1) + F.when(base.startswith(pattern.lower()), 8).otherwise(0)).when(low.rlike(".*?".join(chars)), 16 * len(chars)).otherwise(0)
+#: A matched character, a gap's first and further characters, and the bonuses of the place that a character is matched at.
+MATCH, GAP_START, GAP_NEXT = 16, 3, 1
+AFTER_SLASH, BOUNDARY, CAMEL, IN_A_ROW = 9, 8, 5, 8
+LOWEST = -(10**9)
+
+
+def _place_bonus(codes: np.ndarray) -> np.ndarray:
+    """(rows x places) the bonus of each place: a path part's start, a word's start, a hump or a number's start."""
+    kinds = np.zeros(codes.shape, np.int8)  # 0 other, 1 slash, 2 small letter, 3 capital, 4 digit
+    kinds[(codes == 47) | (codes == 92)] = 1
+    kinds[(codes >= 97) & (codes <= 122) | (codes > 127)] = 2
+    kinds[(codes >= 65) & (codes <= 90)] = 3
+    kinds[(codes >= 48) & (codes <= 57)] = 4
+    before = np.ones(codes.shape, np.int8)
+    before[:, 1:] = kinds[:, :-1]
+    word = kinds >= 2
+    out = np.zeros(codes.shape, np.int64)
+    out[word & (before == 2) & (kinds == 3) | word & (before != 4) & (kinds == 4)] = CAMEL
+    out[word & (before == 0) | ~word] = BOUNDARY
+    out[word & (before == 1)] = AFTER_SLASH
+    return out
+
+
+def fuzzy_scores(paths: list[str], pattern: str, case: bool) -> np.ndarray:
+    """The best affine-gap alignment of the pattern as a subsequence of each path; 0 where it is none, and 1 at least where it is.
+
+    Two rows of a dynamic program over the places, for all paths at once: the best score with the pattern so far ending at a
+    place, and the best one that ended before it, less its gap.
+    """
+    fold = lambda t: t if case else "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    n, width = len(paths), max((len(p) for p in paths), default=0)
+    codes, low = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
+    for k, p in enumerate(paths):
+        codes[k, : len(p)] = [ord(c) for c in p]
+        low[k, : len(p)] = [ord(c) for c in fold(p)]
+    bonus = _place_bonus(codes)
+    ends: np.ndarray | None = None
+    for c in fold(pattern):
+        hit = low == ord(c)
+        if ends is None:
+            ends = np.where(hit, MATCH + 2 * bonus, LOWEST)
+            continue
+        new, gap = np.full((n, width), LOWEST, np.int64), np.full(n, LOWEST, np.int64)
+        for j in range(1, width):
+            row = np.maximum(ends[:, j - 1] + np.maximum(bonus[:, j], IN_A_ROW), gap + bonus[:, j])
+            new[:, j] = np.where(hit[:, j] & (row > LOWEST // 2), row + MATCH, LOWEST)
+            gap = np.maximum(ends[:, j - 1] - GAP_START, gap - GAP_NEXT)
+        ends = new
+    best = ends.max(axis=1) if ends is not None and width else np.full(n, LOWEST)
+    return np.where(best > LOWEST // 2, np.maximum(best, 1), 0)
+
+
+def fuzzy_score(path: Column, pattern: str, case: bool = False) -> Column:
+    """``fuzzy_scores`` as a column, for the paths that hold the pattern's characters in order; 0 for others."""
+
+    @F.arrow_udf("long")
+    def scores(column: pa.Array) -> pa.Array:
+        own = column.to_pylist()
+        known = [p for p in own if p is not None]
+        found = iter(fuzzy_scores(known, pattern, case).tolist())
+        return pa.array([0 if p is None else next(found) for p in own], pa.int64())
+
+    chars = [re.sub(r"([\\.+*?()|{}^$\[\]#-])", r"\\\1", c) for c in pattern]
+    inside = path.rlike(("(?s)" if case else "(?isu)") + ".*?".join(chars))
+    return F.coalesce(scores(F.when(inside, path)), F.lit(0))
 
 
 def path_search(entries: DataFrame, pattern: str, regex: bool = False, max_results: int | None = 50) -> DataFrame:
@@ -267,7 +328,7 @@ def path_search(entries: DataFrame, pattern: str, regex: bool = False, max_resul
         score = F.when(m.matches(path), 900_000 - length - 2 * start)
     else:
         text, low = m._plain(path)
-        fuzzy = fuzzy_score(path, pattern)
+        fuzzy = fuzzy_score(path, pattern, m.case)
         score = F.when(m.matches(path), 1_000_000 + fuzzy - length - 2 * start + F.when(text.endswith(low), 4).otherwise(0)).when(fuzzy > 0, fuzzy)
     out = entries.select(*KEY, score.cast("long").alias("score")).filter("score IS NOT NULL")
     return out if max_results is None else out.orderBy(F.desc("score"), "rel_path", "root_id").limit(max(max_results, 1))

@@ -73,6 +73,7 @@ QUERIES = {
     "line_context": lambda s, d: search.line_context(documents(s, d), "license", 2, 1).select("root_id", "rel_path", "line", F.explode("context").alias("c")).select("root_id", "rel_path", "line", F.col("c.line").alias("context_line"), F.col("c.text").alias("text")),
     "path_search_regex": lambda s, d: search.path_search(page_entries(s, d), "[0-9]+$", regex=True, max_results=None),
     "path_search_literal": lambda s, d: search.path_search(page_entries(s, d), "blog", max_results=None),
+    "path_search_fuzzy": lambda s, d: search.path_search(page_entries(s, d), "eor5", max_results=None),
     "entry_filter_globs": lambda s, d: search.entry_filter(page_entries(s, d), include=["**/en/**", "blog.*/**"], exclude=["**/*5"]),
     "list_files": lambda s, d: search.list_files(page_entries(s, d), "Example.org", limit=None),
     "read_range": lambda s, d: search.read_range(documents(s, d), 2, 4),
@@ -106,9 +107,6 @@ ORACLE_SQL = {
         SELECT count(*) AS scanned_files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS scanned_bytes, any_value(f) AS matching_files, any_value(k) AS matching_lines FROM c, h""",
     "path_search_regex": f"""WITH {_ENTRIES} SELECT root_id, rel_path, CAST(900000 - octet_length(encode(rel_path)) - 2 * (length(rel_path) - length(regexp_extract(rel_path, '[0-9]+$'))) AS BIGINT) AS score
         FROM e WHERE regexp_matches(rel_path, '[0-9]+$')""",
-    "path_search_literal": f"""WITH {_ENTRIES}, b AS (SELECT *, regexp_extract(lower(rel_path), '([^/]*)$', 1) AS base FROM e)
-        SELECT root_id, rel_path, CAST(CASE WHEN contains(lower(rel_path), 'blog') THEN 1000000 + 88 + CASE WHEN starts_with(base, 'blog') THEN 8 ELSE 0 END - octet_length(encode(rel_path)) - 2 * (strpos(lower(rel_path), 'blog') - 1)
-               + CASE WHEN ends_with(lower(rel_path), 'blog') THEN 4 ELSE 0 END ELSE 64 END AS BIGINT) AS score FROM b WHERE contains(lower(rel_path), 'blog') OR regexp_matches(lower(rel_path), 'b.*?l.*?o.*?g')""",
     "entry_filter_globs": f"""WITH {_ENTRIES} SELECT * FROM e WHERE (regexp_matches(rel_path, '^(.*/)?en/.*$') OR regexp_matches(rel_path, '^blog\\.[^/]*/.*$')) AND NOT regexp_matches(rel_path, '^(.*/)?[^/]*5$')""",
     "list_files": f"WITH {_ENTRIES}, k AS (SELECT * FROM e WHERE contains(lower(rel_path), 'example.org')) SELECT root_id, rel_path, size, (SELECT count(*) FROM k) AS total, false AS truncated FROM k",
     "read_range": """WITH c AS (SELECT source AS root_id, CAST(doc_id AS VARCHAR) AS rel_path, string_split(coalesce(text, ''), chr(10)) AS p, coalesce(text, '') AS text FROM documents),
@@ -136,3 +134,20 @@ ORACLE_SQL["content_search_many"] = f"""WITH {_CORPUS}, {_LINES}, q(pattern, ter
     tf AS (SELECT root_id, rel_path, pattern, k, many, u.term, len(list_filter(t, lambda x: x = u.term)) AS tf, greatest(len(t), 1) AS dl FROM c, u WHERE list_contains(t, u.term)),
     b AS (SELECT root_id, rel_path, pattern, CAST(round(CAST(list_sum(list(CASE WHEN many > 1 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) ELSE 1 END * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) ORDER BY k)) AS DOUBLE) * 1000000) AS BIGINT) AS score FROM tf JOIN df USING (term), a GROUP BY ALL),
     m AS ({_lines_sql("l, q", "q.pattern", "CAST(0 AS BIGINT)")}) SELECT m.* REPLACE (coalesce(b.score, 0) AS score) FROM m LEFT JOIN b USING (pattern, root_id, rel_path)"""
+
+
+def _fuzzy_sql(pattern: str) -> str:
+    """Every way to place the pattern's characters one after the other, with the best predecessor of each place by its distance."""
+    return f"""WITH RECURSIVE {_ENTRIES}, h AS (SELECT root_id, rel_path, unnest(range(1, length(rel_path) + 1)) AS j FROM e),
+        k AS (SELECT root_id, rel_path, j, lower(substr(rel_path, j, 1)) AS c, substr(rel_path, j, 1) AS x, CASE WHEN j = 1 THEN '/' ELSE substr(rel_path, j - 1, 1) END AS b FROM h),
+        w AS (SELECT *, CASE WHEN NOT regexp_matches(x, '[a-zA-Z0-9]') AND ascii(x) < 128 THEN 8 WHEN b = '/' OR b = chr(92) THEN 9 WHEN NOT regexp_matches(b, '[a-zA-Z0-9]') AND ascii(b) < 128 THEN 8
+                     WHEN regexp_matches(b, '[a-z]') AND regexp_matches(x, '[A-Z]') OR NOT regexp_matches(b, '[0-9]') AND regexp_matches(x, '[0-9]') THEN 5 ELSE 0 END AS bonus FROM k),
+        s AS (SELECT root_id, rel_path, 1 AS i, j, 16 + 2 * bonus AS v FROM w WHERE c = '{pattern[0]}' UNION ALL
+              SELECT s.root_id, s.rel_path, s.i + 1, w.j, max(s.v + 16 + CASE WHEN w.j = s.j + 1 THEN greatest(w.bonus, 8) ELSE w.bonus - 2 - (w.j - s.j - 1) END)
+              FROM s JOIN w ON w.root_id = s.root_id AND w.rel_path = s.rel_path AND w.j > s.j AND w.c = substr('{pattern}', s.i + 1, 1) WHERE s.i < {len(pattern)} GROUP BY s.root_id, s.rel_path, s.i, w.j),
+        f AS (SELECT root_id, rel_path, greatest(max(v), 1) AS fuzzy FROM s WHERE i = {len(pattern)} GROUP BY 1, 2), o AS (SELECT root_id, rel_path, strpos(lower(rel_path), '{pattern}') AS p FROM e)
+        SELECT root_id, rel_path, CAST(CASE WHEN p > 0 THEN 1000000 + fuzzy - octet_length(encode(rel_path)) - 2 * octet_length(encode(substr(rel_path, 1, p - 1))) + CASE WHEN ends_with(lower(rel_path), '{pattern}') THEN 4 ELSE 0 END ELSE fuzzy END AS BIGINT) AS score
+        FROM o JOIN f USING (root_id, rel_path)"""
+
+
+ORACLE_SQL["path_search_literal"], ORACLE_SQL["path_search_fuzzy"] = _fuzzy_sql("blog"), _fuzzy_sql("eor5")

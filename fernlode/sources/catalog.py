@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,8 @@ def _list(root: str, rel_dir: str, rules: list[IgnoreRules]) -> tuple[list[os.Di
     rules = rules + _read_rules(os.path.join(here, ".gitignore"), rel_dir)
     try:
         entries = sorted(os.scandir(here), key=lambda e: e.name)
-    except OSError:
+    except OSError as e:
+        warnings.warn(f"folder skipped: {here}: {e.strerror}", RuntimeWarning, stacklevel=2)
         return [], [], rules
     files, folders = [], []
     for e in entries:
@@ -68,6 +70,15 @@ def _list(root: str, rel_dir: str, rules: list[IgnoreRules]) -> tuple[list[os.Di
     return files, folders, rules
 
 
+def _sized(entries: list[os.DirEntry]) -> Iterator[tuple[os.DirEntry, int]]:
+    """The files with their sizes; one that has gone since its folder was read is left out."""
+    for e in entries:
+        try:
+            yield e, e.stat().st_size
+        except FileNotFoundError:
+            continue
+
+
 def walk(root: str, root_id: str, tops: list[str] | None = None) -> Iterator[tuple[str, str, str, int]]:
     """Regular files under ``root`` that no ignore file excludes; hidden files count.
 
@@ -75,12 +86,12 @@ def walk(root: str, root_id: str, tops: list[str] | None = None) -> Iterator[tup
     """
     files, folders, rules = _list(root, "", _read_rules(os.path.join(root, ".git/info/exclude"), ""))
     if tops is None or "" in tops:
-        yield from ((root_id, e.name, e.path, e.stat().st_size) for e in files)
+        yield from ((root_id, e.name, e.path, size) for e, size in _sized(files))
     stack = [(rel, rules) for rel in folders if tops is None or rel in tops]
     while stack:
         rel_dir, above = stack.pop()
         files, folders, rules = _list(root, rel_dir, above)
-        yield from ((root_id, f"{rel_dir}/{e.name}", e.path, e.stat().st_size) for e in files)
+        yield from ((root_id, f"{rel_dir}/{e.name}", e.path, size) for e, size in _sized(files))
         stack += [(rel, rules) for rel in folders]
 
 

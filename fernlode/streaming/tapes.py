@@ -74,11 +74,11 @@ def append_ledger(batch: DataFrame, path: str, batch_id: int) -> None:
     """
     spark, path = batch.sparkSession, path.rstrip("/")
     own = batch.select("log_id", "seq", "kind_json", ledger_identity(F.col("seq"), F.col("kind_json")).alias("event_hash"))
-    heads = None
-    if _exists(spark, f"{path}-heads"):
-        before = spark.read.parquet(f"{path}-heads").filter(F.col("batch") < batch_id)
-        newest = before.agg(F.max("batch")).first()[0]
-        heads = None if newest is None else before.filter(F.col("batch") == newest).select("log_id", "head")
+    earlier = lambda folder: [b for b in _batches(spark, folder) if b < batch_id]
+    known = earlier(f"{path}-heads")
+    if not known and earlier(path):
+        raise RuntimeError(f"the heads before batch {batch_id} are gone; the chains of {path} cannot be continued from them")
+    heads = spark.read.schema("log_id string, head string").parquet(f"{path}-heads/batch={max(known)}") if known else None
     joined = own.withColumn("head", F.lit("")) if heads is None else own.join(heads, "log_id", "left").withColumn("head", F.coalesce("head", F.lit("")))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,17 @@ def append_ledger(batch: DataFrame, path: str, batch_id: int) -> None:
     new = spark.read.parquet(f"{path}/batch={batch_id}").groupBy("log_id").agg(F.max_by("record_hash", "seq").alias("head"))
     kept = new if heads is None else heads.join(new, "log_id", "left_anti").unionByName(new)
     kept.write.mode("overwrite").parquet(f"{path}-heads/batch={batch_id}")
-    remove(spark, f"{path}-heads/batch={batch_id - 2}")  # the one before stays, in case this batch comes again
+    for old in sorted(known)[:-1]:  # the newest before this batch stays, in case this one comes again
+        remove(spark, f"{path}-heads/batch={old}")
+
+
+def _batches(spark, folder: str) -> list[int]:
+    """The numbers of the batch folders at a path."""
+    if not _exists(spark, folder):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]
+    return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from fernlode.operators import chains, evidence
 
 TAPE = "run_id string, seq long, kind string, agent string, task string, cwd string, turn long, text string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, cost_micro_usd long, ok boolean, exit_code int, timed_out boolean"
+# A tape and its chain's root, which the hashes must reproduce.
 ROWS = [
     {"kind": "run_started", "agent": "codex", "task": "add a regression test for the parser", "cwd": "/repo"},
     {"kind": "turn_started", "turn": 0},

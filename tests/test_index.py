@@ -68,3 +68,37 @@ def test_grams():
     own = set(index.text_grams("Ab\ncde日本").tolist())
     holds = lambda p: any(any(lo <= g <= hi for g in own) for lo, hi in index.gram_ranges(p)) if len(p) < 3 else all(lo in own for lo, _ in index.gram_ranges(p))
     assert all(map(holds, ["a", "ab", "b", "cde", "e日", "de日本", "本"])) and not any(map(holds, ["bc", "日c", "x", "b\nc"]))
+
+
+def test_fuzzy_scores():
+    score = lambda path, pattern, case=False: int(search.fuzzy_scores([path], pattern, case)[0])
+    assert score("src/FooBar.rs", "fb") > score("src/afobb.rs", "fb") > 0
+    assert score("src/foo_bar.rs", "foo") > score("src/f_a_o_o.rs", "foo") > 0
+    assert score("abc", "acb") == 0 and score("", "a") == 0 and score("Foo", "foo", True) == 0 and score("x" + "y" * 300 + "z", "xz") == 1
+    assert search.fuzzy_scores([], "a", False).tolist() == []
+
+    def best(path, pattern):
+        """All placements of the pattern."""
+        bonus = search._place_bonus(__import__("numpy").array([[ord(c) for c in path]]))[0].tolist()
+
+        def go(i, last):
+            if i == len(pattern):
+                return 0
+            options = []
+            for j in range(last + 1, len(path)):
+                if path[j].lower() == pattern[i]:
+                    gap = j - last - 1
+                    own = 16 + (2 * bonus[j] if i == 0 else max(bonus[j], 8) if gap == 0 else bonus[j] - 3 - (gap - 1))
+                    rest = go(i + 1, j)
+                    if rest is not None:
+                        options.append(own + rest)
+            return max(options, default=None)
+
+        found = go(0, -1)
+        return 0 if found is None else max(found, 1)
+
+    rng = random.Random(2)
+    for _ in range(300):
+        path = "".join(rng.choice("abAB/_1.") for _ in range(rng.randrange(0, 12)))
+        pattern = "".join(rng.choice("ab1") for _ in range(rng.randrange(1, 4)))
+        assert score(path, pattern) == best(path, pattern), (path, pattern)
