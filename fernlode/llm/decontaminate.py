@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.llm.bytehash import IS_BREAK, mix, text_chunks, word_hashes
+from fernlode.llm.columns import own_columns
 from fernlode.storage import broadcast_if_small, map_batches, materialize
 
 _U = np.uint64
@@ -179,4 +180,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_words: int = ERROR
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no test item is found, all columns unchanged."""
     found = contaminated(docs, benchmark).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id")
-    return docs.join(broadcast_if_small(materialize(found, "contaminated", narrow=True), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(materialize(found, "contaminated", narrow=True), BROADCAST_IDS), "doc_id", "left_anti").select(*own_columns(docs))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlode.llm.bytehash import mix, text_chunks, word_hashes
+from fernlode.llm.columns import column, own_columns
 from fernlode.llm.components import connected_components
 from fernlode.storage import broadcast_if_small, map_batches, materialize
 
@@ -319,7 +320,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SI
     gone = lambda rows: broadcast_if_small(materialize(rows, "duplicates", narrow=True), BROADCAST_IDS)
     if aliases is None:
         ids = out.filter("id <> component").groupBy("doc_id").agg(F.count("*").alias("_n")).select("doc_id")
-        return docs.join(gone(ids), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(gone(ids), "doc_id", "left_anti").select(*own_columns(docs))
     out = materialize(out.filter("n_shingles > 0 AND id IS NOT NULL"), "grouped")
     stays = out.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("_s"), F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo <> _hi").select("component", F.col("_s.id").alias("_stay"))
     rows = out.join(gone(stays), "component").filter("id <> _stay")
@@ -333,7 +334,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SI
         columns = [pa.concat_arrays([p[i] for p in parts]) if parts else pa.array([], pa.int64()) for i in range(3)]
         return pa.StructArray.from_arrays(columns, ["_set_a", "_set_b", "_n_shingles"])
 
-    own = F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    own = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
     held = docs.join(several, "doc_id", "left_semi").select(own, F.col("doc_id").cast("long").alias("_i"), of_text(F.col("text").cast("string")).alias("_set")).select("_row", "_i", "_set.*")
     held = held.join(texts, ["_i", *[f"_{c}" for c in OF_SET]], "left_anti").select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return docs.join(plain, "doc_id", "left_anti").join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(held)
+    return docs.join(plain, "doc_id", "left_anti").join(several, "doc_id", "left_anti").select(*own_columns(docs)).unionByName(held)

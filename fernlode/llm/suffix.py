@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernlode.llm.bytehash import BYTE_VALUES, mix, powers, text_chunks
+from fernlode.llm.columns import own_columns
 from fernlode.storage import map_batches, materialize
 
 _U = np.uint64
@@ -518,7 +519,7 @@ def remove_repeats(docs: DataFrame, min_match: int = MIN_MATCH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     # The bases go by rows of their own names, so that no column of the input can clash with one used here.
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(own_columns(docs))]).alias("_row"), F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _based(rows, bases)
     joined = rows.join(ranges, rows.doc_id.cast("long") == ranges["_doc"], "left")
-    return map_batches(joined.select(*(F.col("_row")[c].alias(c) for c in names), F.col("ranges").alias("__fernlode_ranges"), F.col("_base").alias("__fernlode_base")), run, schema)
+    return map_batches(joined.select(*(F.col(f"_row.c{i}") for i in range(len(names))), F.col("ranges").alias("__fernlode_ranges"), F.col("_base").alias("__fernlode_base")), run, schema)

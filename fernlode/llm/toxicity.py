@@ -224,6 +224,6 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             if batch.num_rows:
                 keep = _scores(model, machine, batch.column(names.index("text")).to_pylist()) < threshold
-                yield batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, names=names)
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs.toDF(*[f"c{i}" for i in range(len(names))]), run, docs.schema)
