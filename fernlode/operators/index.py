@@ -28,7 +28,7 @@ from fernlode.functions.text import LOWER, UPPER, ascii_lower, tokenize_query
 from fernlode.storage import map_batches, materialize, new_path, remove
 
 KEY = ["root_id", "rel_path"]
-CHUNK_FILES, BLOCK_FILES, CHUNK_BYTES = 1024, 32, 16 << 20
+CHUNK_FILES, BLOCK_FILES, CHUNK_BYTES = 1024, 8, 16 << 20
 BLOCKS_A_CHUNK = CHUNK_FILES // BLOCK_FILES
 #: A search whose files lie in at most so many chunks carries them in its plan; beyond it they are a written table.
 PLAN_CHUNKS = 2048
