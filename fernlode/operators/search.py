@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernlode.functions.regex import line_hits, linear_pattern, may_hold
 from fernlode.functions.text import ascii_lower, glob_regex, lines, normalized_doc_len, smart_case, tokenize_query, tokenize_text
 from fernlode.operators import index as indexes
 from fernlode.operators.index import SearchIndex, binary_text
+from fernlode.storage import bound_batches
 
 K1, B = 1.2, 0.75
 PREVIEW_CHARS = 240
@@ -76,27 +78,39 @@ def path_scope(entries: DataFrame, path: str, roots: dict[str, str] | None = Non
 
 
 class Matcher:
-    """Line predicate, first byte column and number of matches of a pattern."""
+    """Line predicate, first byte column and number of matches of a literal; ``hits`` of a literal or a regular expression."""
 
     def __init__(self, pattern: str, regex: bool = False, whole_word: bool = False):
         self.pattern, self.regex, self.whole_word = pattern, regex, whole_word
         self.case = smart_case(pattern)
-        body = pattern if regex else re.sub(r"([\\.+*?()|{}^$\[\]#-])", r"\\\1", pattern)
-        flags = ("(?U)" if regex else "") + ("" if self.case else "(?iu)" if regex else "(?i)")
-        self.java = f"{flags}(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])" if whole_word else flags + body
+        body = re.sub(r"([\\.+*?()|{}^$\[\]#-])", r"\\\1", pattern)
+        self.java = ("" if self.case else "(?i)") + f"(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])"
+        if regex:
+            linear_pattern(pattern)
+
+    def may_match(self, text: Column) -> Column:
+        """False only for texts without a match: a test before they are split."""
+        return may_hold(text, self.pattern, self.case) if self.regex else self.matches(text)
+
+    def hits(self, own: Column) -> Column:
+        """Of an array of lines those that match: k (from 0), at (bytes before the first match), n (matches)."""
+        if self.regex:
+            return line_hits(own, self.pattern, self.case, self.whole_word)
+        found = F.transform(own, lambda x, k: F.when(self.matches(x), F.struct(k.alias("k"), (self.column(x) - 1).alias("at"), self.occurrences(x).cast("long").alias("n"))))
+        return F.array_compact(found)
 
     def _plain(self, c: Column) -> tuple[Column, str]:
         return (c, self.pattern) if self.case else (ascii_lower(c), self.pattern.translate({k: k + 32 for k in range(65, 91)}))
 
     def matches(self, c: Column) -> Column:
-        if self.regex or self.whole_word:
+        if self.whole_word:
             return c.rlike(self.java)
         text, pattern = self._plain(c)
         return text.contains(pattern)
 
     def first_char(self, c: Column) -> Column:
         """Characters before the first match."""
-        if self.regex or self.whole_word:
+        if self.whole_word:
             return F.char_length(F.split(c, self.java, 2)[0])
         text, pattern = self._plain(c)
         return F.locate(pattern, text) - 1
@@ -106,7 +120,7 @@ class Matcher:
         return (F.octet_length(F.substring(c, F.lit(1), self.first_char(c).cast("int"))) + 1).cast("long")
 
     def occurrences(self, c: Column) -> Column:
-        if self.regex or self.whole_word:
+        if self.whole_word:
             return F.regexp_count(c, F.lit(self.java))
         text, pattern = self._plain(c)
         return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(pattern), F.lit("")))) / len(pattern)).cast("long")
@@ -145,17 +159,23 @@ def _saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
 
 def tf_density(corpus: DataFrame, matcher: Matcher) -> DataFrame:
     """(root_id, rel_path, score): matches by max(tokens, lines, 1), scaled by 1e6."""
-    length = normalized_doc_len(F.size(tokenize_text(F.col("text"), matcher.case)), F.size(lines(F.col("text"))))
-    hits = F.aggregate(lines(F.col("text")), F.lit(0).cast("long"), lambda s, x: s + matcher.occurrences(x).cast("long"))
-    return corpus.filter(matcher.matches(F.col("text"))).select(*KEY, F.round(hits / length * 1_000_000).cast("long").alias("score"))
+    own = _hit_lines(corpus, matcher, normalized_doc_len(F.size(tokenize_text(F.col("text"), matcher.case)), F.size(lines(F.col("text")))).alias("_n"))
+    total = F.aggregate("_h", F.lit(0).cast("long"), lambda s, h: s + h["n"])
+    return own.select(*KEY, F.round(total / F.col("_n") * 1_000_000).cast("long").alias("score"))
+
+
+def _hit_lines(corpus: DataFrame, matcher: Matcher, *more: Column) -> DataFrame:
+    """The texts with a matching line: their lines ``_l`` and the hits ``_h`` among them. Texts that cannot match are dropped before they are split."""
+    bound_batches(corpus.sparkSession)
+    own = corpus.filter(matcher.may_match(F.col("text"))).select(*KEY, lines(F.col("text")).alias("_l"), *more)
+    return own.withColumn("_h", matcher.hits(F.col("_l"))).filter(F.size("_h") > 0)
 
 
 def matching_lines(corpus: DataFrame, matcher: Matcher) -> DataFrame:
-    """One row per matching line: line, byte column, preview, occurrences. Binary texts are passed over; texts without a match are dropped before they are split."""
-    hit = corpus.filter(~binary_text(F.col("text")))
-    hit = hit if matcher.regex else hit.filter(matcher.matches(F.col("text")))
-    rows = hit.select(*KEY, F.posexplode(lines(F.col("text"))).alias("_k", "_line")).filter(matcher.matches(F.col("_line")))
-    return rows.select(*KEY, (F.col("_k") + 1).cast("long").alias("line"), matcher.column(F.col("_line")).alias("column"), F.substring("_line", 1, PREVIEW_CHARS).alias("text"), matcher.occurrences(F.col("_line")).cast("long").alias("occurrences"))
+    """One row per matching line: line, byte column, preview, occurrences. Binary texts are passed over."""
+    own = _hit_lines(corpus.filter(~binary_text(F.col("text"))), matcher)
+    shown = F.transform("_h", lambda h: F.struct((h["k"] + 1).cast("long").alias("line"), (h["at"] + 1).cast("long").alias("column"), F.substring(F.get(F.col("_l"), h["k"]), 1, PREVIEW_CHARS).alias("text"), h["n"].alias("occurrences")))
+    return own.select(*KEY, F.explode(shown).alias("m")).select(*KEY, "m.*")
 
 
 RESULT = [*KEY, "line", "column", "score", "text", "nth"]
@@ -240,13 +260,12 @@ def search_totals(corpus: DataFrame, pattern: str) -> DataFrame:
 
 def line_context(corpus: DataFrame, pattern: str, before: int = 2, after: int = 2, regex: bool = False) -> DataFrame:
     """Matching lines with their neighbours [line - before, line + after], cut to the file; each line previewed."""
-    m = Matcher(pattern, regex)
-    hit = corpus.filter(~binary_text(F.col("text")))
-    hit = hit if regex else hit.filter(m.matches(F.col("text")))
     # The context is a slice of the text's own line array: no window, no shuffle.
-    own = hit.select(*KEY, lines(F.col("text")).alias("_l"))
-    numbered = own.select(*KEY, F.transform("_l", lambda x, k: F.struct((k + 1).cast("long").alias("line"), F.substring(x, 1, PREVIEW_CHARS).alias("text"), m.matches(x).alias("hit"))).alias("_l"))
-    rows = numbered.select(*KEY, F.explode(F.transform(F.filter("_l", lambda x: x["hit"]), lambda h: F.struct(h["line"].alias("line"), F.transform(F.filter("_l", lambda x: x["line"].between(h["line"] - before, h["line"] + after)), lambda x: F.struct(x["line"].alias("line"), x["text"].alias("text"))).alias("context")))).alias("m"))
+    own = _hit_lines(corpus.filter(~binary_text(F.col("text"))), Matcher(pattern, regex))
+    first = lambda h: F.greatest(h["k"] - before, F.lit(0))
+    around = lambda h: F.slice(F.col("_l"), first(h) + 1, h["k"] + after + 1 - first(h))
+    context = lambda h: F.transform(around(h), lambda x, j: F.struct((first(h) + j + 1).cast("long").alias("line"), F.substring(x, 1, PREVIEW_CHARS).alias("text")))
+    rows = own.select(*KEY, F.explode(F.transform("_h", lambda h: F.struct((h["k"] + 1).cast("long").alias("line"), context(h).alias("context")))).alias("m"))
     return rows.select(*KEY, "m.line", "m.context")
 
 
@@ -321,12 +340,14 @@ def path_search(entries: DataFrame, pattern: str, regex: bool = False, max_resul
     """Paths by score; lengths and places in bytes. Regex 900000 - len - 2 start; literal 1000000 + fuzzy - len - 2 start (+4 at the end); else fuzzy alone."""
     path, m = F.col("rel_path"), Matcher(pattern, regex)
     length = F.octet_length(path)
-    start = m.column(path) - 1
     if not pattern:
         score = F.lit(0)
     elif regex:
-        score = F.when(m.matches(path), 900_000 - length - 2 * start)
+        bound_batches(entries.sparkSession)
+        entries = entries.filter(m.may_match(path)).withColumn("_h", m.hits(F.array(path)))
+        score = F.when(F.size("_h") > 0, 900_000 - length - 2 * F.get("_h", F.lit(0))["at"])
     else:
+        start = m.column(path) - 1
         text, low = m._plain(path)
         fuzzy = fuzzy_score(path, pattern, m.case)
         score = F.when(m.matches(path), 1_000_000 + fuzzy - length - 2 * start + F.when(text.endswith(low), 4).otherwise(0)).when(fuzzy > 0, fuzzy)
@@ -362,15 +383,15 @@ def hashline_view(corpus: DataFrame) -> DataFrame:
     return corpus.select(*KEY, F.array_join(F.concat(F.array(head), numbered), "\n").alias("view"))
 
 
-def checked_pattern(spark: SparkSession, pattern: str, regex: bool, literal_fallback: bool = False) -> tuple[bool, list[str]]:
+def checked_pattern(_spark: SparkSession, pattern: str, regex: bool, literal_fallback: bool = False) -> tuple[bool, list[str]]:
     """(whether the pattern is a regular expression, diagnostics): one that does not compile is an error, or a literal with a note."""
     if not regex:
         return False, []
     try:
-        spark.range(1).select(F.lit("").rlike(Matcher(pattern, True).java)).collect()
-    except Exception as e:
+        linear_pattern(pattern)
+    except ValueError:
         if not literal_fallback:
-            raise ValueError(f"invalid regular expression: {pattern}") from e
+            raise
         return False, [f"invalid regular expression, searched as a literal: {pattern}"]
     return True, []
 

@@ -67,6 +67,7 @@ QUERIES = {
     "content_search_whole_word": lambda s, d: search.content_search(documents(s, d), "la", whole_word=True, max_results=None),
     "bm25_scores": lambda s, d: search.bm25(documents(s, d), ["the", "license", "que"]),
     "bm25_single_term": lambda s, d: search.bm25(documents(s, d), ["apache"]),
+    "regex_lines": lambda s, d: search.matching_lines(documents(s, d), search.Matcher(r"(\w+ ){2}[a-z]+ion", regex=True)),
     "tf_density_regex": lambda s, d: search.tf_density(documents(s, d), search.Matcher("[a-z]+tion", regex=True)),
     "match_files": lambda s, d: search.match_files(documents(s, d), "the"),
     "search_totals": lambda s, d: search.search_totals(documents(s, d), "der"),
@@ -99,6 +100,9 @@ ORACLE_SQL = {
         SELECT h.root_id, h.rel_path, CAST(h.line AS BIGINT) AS line, CAST(l.line AS BIGINT) AS context_line, substr(l.line_text, 1, 240) AS text FROM h JOIN l ON l.root_id = h.root_id AND l.rel_path = h.rel_path AND l.line BETWEEN h.line - 2 AND h.line + 1""",
     "bm25_scores": f"WITH {_CORPUS}, {_bm25_sql(['the', 'license', 'que'])} SELECT * FROM b",
     "bm25_single_term": f"WITH {_CORPUS}, {_bm25_sql(['apache'])} SELECT * FROM b",
+    "regex_lines": f"""WITH {_CORPUS}, {_LINES}
+        SELECT root_id, rel_path, CAST(line AS BIGINT) AS line, CAST(octet_length(encode(regexp_extract(line_text, '(?s)^(.*?)(?:' || '(?i)([\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+ ){{2}}[a-z]+ion' || ')', 1))) + 1 AS BIGINT) AS column,
+            substr(line_text, 1, 240) AS text, CAST(len(regexp_extract_all(line_text, '(?i)([\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+ ){{2}}[a-z]+ion')) AS BIGINT) AS occurrences FROM l WHERE regexp_matches(line_text, '(?i)([\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+ ){{2}}[a-z]+ion')""",
     "tf_density_regex": f"""WITH {_CORPUS}, {_LINES}, h AS (SELECT root_id, rel_path, count(*) AS n, sum(len(regexp_extract_all(line_text, '(?i)[a-z]+tion'))) AS hits FROM l GROUP BY ALL)
         SELECT root_id, rel_path, CAST(round(hits / greatest(len(t), n, 1) * 1000000) AS BIGINT) AS score FROM h JOIN c USING (root_id, rel_path) WHERE hits > 0""",
     "match_files": f"""WITH {_CORPUS}, {_LINES} SELECT root_id, rel_path, count(*) AS count, CAST(sum((length(line_text) - length(replace({_FOLD.format('line_text')}, 'the', ''))) // 3) AS BIGINT) AS occurrences

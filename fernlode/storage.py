@@ -30,14 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of at most 4 MB, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` with batches of at most 4 MB, unless the session has a size of its own.
 
     Whole texts and shingle sets fill Spark's default of 64 MB, which a task holds several times over on both sides.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, BATCH_BYTES)
+    bound_batches(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
