@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernlode.functions.hashing import chain, ledger_identity
@@ -103,7 +103,12 @@ def hash_events(tape: DataFrame, nested: bool = True) -> DataFrame:
     return tape.withColumn("event_hash", F.sha2(json, 256))
 
 
+def label_identity() -> Column:
+    """The hash of an outcome label (seq, outcome, source); the time of observation and derived hashes are zeroed before hashing."""
+    json = F.to_json(F.struct(F.col("seq").cast("long").alias("seq"), F.struct("outcome").alias("outcome"), F.struct("source").alias("source"), F.lit(0).alias("observed_at_ms"), F.lit("").alias("label_hash"), F.lit("").alias("chained_hash")))
+    return F.sha2(json, 256)
+
+
 def seal_labels(labels: DataFrame) -> DataFrame:
-    """Outcome labels as a chain for each run; the time of observation and derived hashes are zeroed before hashing."""
-    identity = F.to_json(F.struct(F.col("seq").cast("long").alias("seq"), F.struct("outcome").alias("outcome"), F.struct("source").alias("source"), F.lit(0).alias("observed_at_ms"), F.lit("").alias("label_hash"), F.lit("").alias("chained_hash")))
-    return seal(labels.withColumn("event_hash", F.sha2(identity, 256)))
+    """Outcome labels as a chain for each run."""
+    return seal(labels.withColumn("event_hash", label_identity()))

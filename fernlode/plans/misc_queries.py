@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.functions import hashing, text
@@ -11,7 +11,7 @@ from fernlode.plans.evidence_queries import _CHECKS, _LABELS, checks, labels
 from fernlode.plans.search_queries import documents
 from fernlode.sources import logs
 from fernlode.storage import new_path
-from fernlode.streaming import tapes
+from fernlode.streaming import keyed, tapes
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,52 @@ def _stream(spark: SparkSession, sf_dir: str, transform, files: int = 3) -> Data
     return spark.read.schema(rows.schema).parquet(out)
 
 
+def _redelivered(spark: SparkSession, rows: DataFrame, at: str, transform, files: int = 3) -> DataFrame:
+    """A stateful query over ``rows`` in the order of ``at``, a file a trigger, each file but the first with the rows of the one before once more."""
+    path, last, own = new_path(spark, "stream-in"), rows.agg(F.max(at)).first()[0] or 0, keyed.state_session(spark)
+    part = F.floor(F.col(at) * files / (last + 1))
+    for k in range(files):
+        rows.filter(part.between(max(k - 1, 0), k)).coalesce(1).write.mode("append").parquet(path)
+    out = transform(own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    target, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    out.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(target)
+
+
+def _stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each user as a ledger, appended in triggers that overlap, then verified."""
+    e = _events(spark, sf_dir)
+    place = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
+    rows = e.select("event_id", F.col("user_id").alias("log_id"), place.alias("seq"), F.to_json(F.struct("event_type")).alias("kind_json"))
+    out = _redelivered(spark, rows, "event_id", keyed.append_ledger)
+    return chains.verify_ledger(out.withColumn("position", F.col("seq"))).select("log_id", "records", "ok", "head_hash")
+
+
+def _stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _redelivered(spark, labels(spark, sf_dir), "seq", keyed.append_labels)
+    return chains.chain_roots(out)
+
+
+def _stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames on 16 tapes with rings of 20; one event in 499 is a subscriber of its tape, from 400 events back, every other one of a session."""
+    e = _events(spark, sf_dir)
+    rows = e.select("event_id", (F.col("user_id") % 16).alias("tape"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("session"), F.col("event_type").alias("payload"))
+    rows = rows.select("*", (F.col("event_id") % 499 == 7).alias("joins"))
+
+    def transform(s: DataFrame) -> DataFrame:
+        frames = s.filter("NOT joins").select("tape", F.col("event_id").alias("at"), F.col("event_id").alias("seq"), "session", "payload")
+        new = s.filter("joins").select("tape", F.col("event_id").alias("at"), F.col("event_id").cast("string").alias("subscriber"), (F.col("event_id") - 400).alias("after"), F.when(F.col("event_id") % 2 == 0, F.lit("click")).alias("session"))
+        return keyed.replay_ring(frames, new, 20)
+
+    path, last, own = new_path(spark, "stream-in"), rows.agg(F.max("event_id")).first()[0] or 0, keyed.state_session(spark)
+    for k in range(3):
+        rows.filter(F.floor(F.col("event_id") * 3 / (last + 1)) == k).coalesce(1).write.mode("append").parquet(path)
+    out = transform(own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    target, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    out.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(target)
+
+
 def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 11 == 0), "run_finished").otherwise(F.col("event_type"))
     return _stream(spark, sf_dir, lambda s: tapes.capture(s.select(F.col("user_id").alias("run_id"), "event_id", kind.alias("kind"))))
@@ -80,6 +126,9 @@ QUERIES = {
     "replay_window": lambda s, d: tapes.replay(_events(s, d).select(F.col("event_id").alias("seq"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("session")), 9_100, "click", 1024),
     "stream_capture": _capture,
     "stream_budget_brake": _brake,
+    "stream_ledger": _stream_ledger,
+    "stream_labels": _stream_labels,
+    "stream_ring": _stream_ring,
     "windowed_counts": lambda s, d: tapes.windowed_counts(_events(s, d)),
     "select_remove": lambda s, d: context.select_ops(documents(s, d).select("root_id", F.col("rel_path").alias("path"), F.lit("full").alias("mode"), F.lit(1).alias("seq")), documents(s, d).filter("language = 'en'").select("root_id", F.col("rel_path").alias("path")), "remove").select("root_id", "path"),
     "code_map": lambda s, d: codemap.code_structure(codemap.parse_corpus(documents(s, d).withColumn("rel_path", F.concat("rel_path", F.lit(".py"))).withColumn("text", F.regexp_replace("text", "(?m)^([A-Za-z]+)", "def $1(x):")))).select("path", "n_symbols", "tokens"),
@@ -111,3 +160,14 @@ ORACLE_SQL = {
     "windowed_counts": "SELECT epoch_us(ts) // 3600000000 * 3600 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "select_remove": "SELECT source AS root_id, CAST(doc_id AS VARCHAR) AS path FROM documents WHERE lang <> 'en'",
 }
+
+ORACLE_SQL["stream_labels"] = ORACLE_SQL["seal_labels"]
+ORACLE_SQL["stream_ledger"] = """WITH RECURSIVE n AS (SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, '{"event_type":"' || event_type || '"}' AS j FROM events),
+    e AS (SELECT log_id, seq, sha256(from_hex(printf('%02x%02x%02x0000000000', seq % 256, seq // 256 % 256, seq // 65536)) || encode(j)) AS e FROM n),
+    h AS (SELECT log_id, seq, sha256(e) AS c FROM e WHERE seq = 0 UNION ALL SELECT e.log_id, e.seq, sha256(h.c || e.e) FROM h JOIN e ON e.log_id = h.log_id AND e.seq = h.seq + 1)
+    SELECT log_id, count(*) AS records, true AS ok, arg_max(c, seq) AS head_hash FROM h GROUP BY 1"""
+ORACLE_SQL["stream_ring"] = """WITH f AS (SELECT user_id % 16 AS tape, event_id AS seq, CASE WHEN event_type <> 'view' THEN event_type END AS session, event_type AS payload, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS r FROM events WHERE event_id % 499 <> 7),
+    s AS (SELECT user_id % 16 AS tape, event_id AS at, CASE WHEN event_id % 2 = 0 THEN 'click' END AS own FROM events WHERE event_id % 499 = 7),
+    c AS (SELECT s.*, (SELECT count(*) FROM f WHERE f.tape = s.tape AND f.seq < s.at) AS n FROM s)
+    SELECT f.tape, CAST(c.at AS VARCHAR) AS subscriber, f.seq, f.session, f.payload, CASE WHEN f.seq < c.at THEN 'replay' ELSE 'live' END AS origin FROM c JOIN f USING (tape)
+    WHERE (f.seq > c.at OR f.r > c.n - 20 AND f.seq > c.at - 400) AND (own IS NULL OR f.session IS NULL OR f.session = own)"""
