@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from fernlode.functions import text
 from fernlode.operators import context, edits, evidence, flow, graph, policy, search
 from fernlode.plans.graph_queries import _DEFS, _ENC, _FIELD, _HIT, _L, _field_sql, _hits, _lines, _part_symbols, _rank_sql, refs, symbols
 from fernlode.plans.search_queries import _CORPUS, _ENTRIES, _FOLD, _LINES, documents, page_entries
-from fernlode.sources import logs
+from fernlode.sources import catalog, logs
 from fernlode.storage import new_path
 
 
@@ -70,6 +72,26 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("event_id", "tool", policy.tool_tier(F.col("tool")).alias("tier"), policy.allowed_without_asking(F.col("tool"), "edit").alias("passes"), "decision")
 
 
+def _append_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three appends of several files each, the late events first, and the place of each record among those of its user."""
+    path, e = new_path(spark, "ndjson"), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    for k in (2, 1, 0):
+        logs.append_ndjson(e.filter(F.col("event_id") % 3 == k).repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), path)
+    rows = logs.read_ndjson(spark, path, "event_id long, user_id long", positions=True)
+    return rows.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("position")).cast("long").alias("place"))
+
+
+def _catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a tree of folders by source and language; the lines of the files in the folders of src1 to src19 that the catalog lists."""
+    path, d = new_path(spark, "tree"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d.select("source", "lang", F.to_json(F.struct("doc_id", "text")).alias("value")).write.partitionBy("source", "lang").text(path)
+    local = F.regexp_replace("abs_path", "^file:/+", "/")
+    own = catalog.scan(spark, {"docs": re.sub("^file:/+", "/", path)}, "source=src1", ".txt", 1)
+    bodies = catalog.read_bodies(spark, f"{path}/source=src1*").select(local.alias("abs_path"), F.size(text.lines(catalog.decode("content"))).alias("n"))
+    folder = F.regexp_extract("rel_path", "^source=([^/]*)/lang=([^/]*)/", 1), F.regexp_extract("rel_path", "^source=([^/]*)/lang=([^/]*)/", 2)
+    return own.join(bodies, "abs_path").groupBy(folder[0].alias("source"), folder[1].alias("lang")).agg(F.sum("n").cast("long").alias("docs"))
+
+
 def _ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records appended in two batches and read back; those of a newer schema are passed over."""
     path = new_path(spark, "records")
@@ -164,6 +186,8 @@ QUERIES = {
     "args_hash": lambda s, d: _events(s, d).select("event_id", policy.json_hash(F.concat(F.lit('{"z": '), "event_id", F.lit(', "a": ["'), "event_type", F.lit('", null]}'))).alias("args_hash")),
     "selection_summary": _selection,
     "ndjson_round_trip": _ndjson,
+    "ndjson_append_order": _append_order,
+    "catalog_scan": _catalog_scan,
     "plan_replace": _replaced,
 }
 
@@ -235,6 +259,8 @@ ORACLE_SQL = {
         SELECT event_id, tool, tier, tier <> 'exec' AS passes, CASE WHEN starts_with(tool, 'run_') THEN 'deny' WHEN contains(tool, 'e') THEN 'allow' ELSE 'ask' END AS decision FROM u""",
     "args_hash": """SELECT event_id, sha256('{"a":["' || event_type || '",null],"z":' || event_id || '}') AS args_hash FROM events""",
     "selection_summary": """SELECT CASE lang WHEN 'en' THEN 'full' WHEN 'de' THEN 'slices' ELSE 'codemap_only' END AS mode, count(*) AS files, CAST(sum(CASE WHEN lang = 'en' THEN ceil(octet_length(encode(coalesce(text, ''))) / 4) ELSE 0 END) AS BIGINT) AS tokens FROM documents GROUP BY 1""",
+    "ndjson_append_order": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 DESC, event_id) AS place FROM events",
+    "catalog_scan": "SELECT source, coalesce(nullif(lang, ''), '__HIVE_DEFAULT_PARTITION__') AS lang, count(*) AS docs FROM documents WHERE source LIKE 'src1%' GROUP BY 1, 2",
     "ndjson_round_trip": "SELECT event_id, event_type FROM events WHERE event_type <> 'error'",
     "plan_replace": "SELECT CAST(doc_id AS VARCHAR) AS path, 'update' AS action, CAST(NULL AS VARCHAR) AS new_path, sha256(replace(text, 'license', 'LICENCE')) AS text_hash FROM documents WHERE contains(text, 'license')",
 }

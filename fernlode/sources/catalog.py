@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import warnings
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,20 +81,65 @@ def _sized(entries: list[os.DirEntry]) -> Iterator[tuple[os.DirEntry, int]]:
             continue
 
 
-def walk(root: str, root_id: str, tops: list[str] | None = None) -> Iterator[tuple[str, str, str, int]]:
-    """Regular files under ``root`` that no ignore file excludes; hidden files count.
+class Wanted(NamedTuple):
+    """The entries that a scan asks for, tested before a folder is listed or a file's size is read."""
 
-    ``tops`` names the folders of the root to walk, the empty one for the files right in it; without it all are walked.
+    prefix: str = ""
+    suffix: str = ""
+    min_size: int = 0
+    max_size: int | None = None
+
+    def folder(self, rel: str) -> bool:
+        """Whether an entry below the folder can be wanted."""
+        return self.prefix.startswith(f"{rel}/") or f"{rel}/".startswith(self.prefix)
+
+    def file(self, rel: str) -> bool:
+        return rel.startswith(self.prefix) and rel.endswith(self.suffix)
+
+    def size(self, size: int) -> bool:
+        return size >= self.min_size and (self.max_size is None or size <= self.max_size)
+
+
+def walk(root: str, root_id: str, units: list[tuple[str, bool]] | None = None, wanted: Wanted | None = None) -> Iterator[tuple[str, str, str, int]]:
+    """Regular files under ``root`` that no ignore file excludes and that are ``wanted``; hidden files count.
+
+    ``units`` are the folders to list, each with whether those below it are walked; without them the whole root is.
     """
-    files, folders, rules = _list(root, "", _read_rules(os.path.join(root, ".git/info/exclude"), ""))
-    if tops is None or "" in tops:
-        yield from ((root_id, e.name, e.path, size) for e, size in _sized(files))
-    stack = [(rel, rules) for rel in folders if tops is None or rel in tops]
-    while stack:
-        rel_dir, above = stack.pop()
-        files, folders, rules = _list(root, rel_dir, above)
-        yield from ((root_id, f"{rel_dir}/{e.name}", e.path, size) for e, size in _sized(files))
-        stack += [(rel, rules) for rel in folders]
+    wanted = wanted or Wanted()
+    for top, deep in [("", True)] if units is None else units:
+        stack = [(top, _rules_above(root, top))]
+        while stack:
+            rel_dir, above = stack.pop()
+            files, folders, rules = _list(root, rel_dir, above)
+            base = f"{rel_dir}/" if rel_dir else ""
+            own = [e for e in files if wanted.file(base + e.name)]
+            yield from ((root_id, base + e.name, e.path, size) for e, size in _sized(own) if wanted.size(size))
+            if deep:
+                stack += [(rel, rules) for rel in folders if wanted.folder(rel)]
+
+
+def frontier(root: str, wanted: Wanted, units: int) -> list[tuple[str, bool]]:
+    """The root as units of work: the widest folders opened first until there are ``units``; at most as many are listed.
+
+    A folder with most of a root's files below it is opened like any other, so that its own folders are dealt out.
+    """
+    queue = deque([("", _rules_above(root, ""))])
+    opened: list[tuple[str, bool]] = []
+    while queue and len(opened) < units and len(opened) + len(queue) < 2 * units:
+        rel_dir, above = queue.popleft()
+        _, folders, rules = _list(root, rel_dir, above)
+        opened.append((rel_dir, False))
+        queue.extend((rel, rules) for rel in folders if wanted.folder(rel))
+    return opened + [(rel, True) for rel, _ in queue]
+
+
+def _rules_above(root: str, rel_dir: str) -> list[IgnoreRules]:
+    """The rules that hold in a folder before its own: those of the root and of the folders on the way."""
+    rules = _read_rules(os.path.join(root, ".git/info/exclude"), "")
+    parts = rel_dir.split("/") if rel_dir else []
+    for k in range(len(parts)):
+        rules = rules + _read_rules(os.path.join(root, *parts[:k], ".gitignore"), "/".join(parts[:k]))
+    return rules
 
 
 def _read_rules(path: str, base: str) -> list[IgnoreRules]:
@@ -104,7 +151,11 @@ def _read_rules(path: str, base: str) -> list[IgnoreRules]:
 
 
 class CatalogSource(DataSource):
-    """``spark.read.format("fernlode_catalog").option("roots", "id=path;id=path")``: each root's folders are dealt to up to ``tasks`` tasks."""
+    """``spark.read.format("fernlode_catalog").option("roots", "id=path;id=path")``: each root's folders are dealt to up to ``tasks`` tasks.
+
+    The options prefix, suffix, minSize and maxSize narrow the scan.  They are options and not filters that Spark pushes down, for
+    Spark keeps the pushed filters of a Python source with the DataFrame: one that is used again without them would lose rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -121,23 +172,27 @@ class _CatalogReader(DataSourceReader):
     def __init__(self, options):
         self.roots = [tuple(r.split("=", 1)) for r in options["roots"].split(";") if r]
         self.tasks = max(int(options.get("tasks", "1")), 1)
+        most = options.get("maxSize")
+        self.wanted = Wanted(options.get("prefix", ""), options.get("suffix", ""), int(options.get("minSize", "0")), None if most is None else int(most))
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for root_id, path in self.roots:
-            tops = ["", *_list(path, "", _read_rules(os.path.join(path, ".git/info/exclude"), ""))[1]]
-            out += [InputPartition((root_id, path, own)) for k in range(self.tasks) if (own := tops[k :: self.tasks])]
+            units = frontier(path, self.wanted, 4 * self.tasks)
+            out += [InputPartition((root_id, path, own)) for k in range(self.tasks) if (own := units[k :: self.tasks])]
         return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        root_id, path, tops = partition.value
-        yield from walk(path, root_id, tops)
+        root_id, path, units = partition.value
+        yield from walk(path, root_id, units, self.wanted)
 
 
-def scan(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """The catalog of local roots that all executors see."""
+def scan(spark: SparkSession, roots: dict[str, str], prefix: str = "", suffix: str = "", min_size: int = 0, max_size: int | None = None) -> DataFrame:
+    """The catalog of local roots that all executors see: entries whose path starts and ends so, of a size within the bounds."""
     spark.dataSource.register(CatalogSource)
-    return spark.read.format(CatalogSource.name()).option("roots", ";".join(f"{k}={v}" for k, v in roots.items())).option("tasks", spark.sparkContext.defaultParallelism).load()
+    reader = spark.read.format(CatalogSource.name()).option("roots", ";".join(f"{k}={v}" for k, v in roots.items())).option("tasks", spark.sparkContext.defaultParallelism)
+    reader = reader.option("prefix", prefix).option("suffix", suffix).option("minSize", min_size)
+    return (reader if max_size is None else reader.option("maxSize", max_size)).load()
 
 
 def finalize(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[DataFrame, list[str]]:

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernlode.storage import broadcast_if_small, materialize
+
 SCHEMA_VERSION = 1
 _HUNK = re.compile(r"^@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
@@ -17,12 +19,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_ndjson(spark: SparkSession, path: str, schema: str, max_version: int = SCHEMA_VERSION) -> DataFrame:
-    """Records in append order; malformed lines and records of a newer version are skipped."""
+def read_ndjson(spark: SparkSession, path: str, schema: str, max_version: int = SCHEMA_VERSION, positions: bool = False) -> DataFrame:
+    """Records of an appended log; malformed lines and records of a newer version are skipped.
+
+    With ``positions`` each has a ``position`` that sorts them in the order in which they were appended.
+    """
     if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, position {POSITION}" if positions else schema)
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.filter(F.coalesce("schema_version", F.lit(1)) <= max_version) if "schema_version" in rows.columns else rows
+    kept = F.coalesce("schema_version", F.lit(1)) <= max_version if "schema_version" in rows.columns else F.lit(True)
+    if not positions:
+        return rows.filter(kept)
+    # A block of a file is read by one task from its start, so the numbers that a task gives rise within it.
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    files = materialize(_appended_files(spark, path), "log-files", narrow=True)
+    joined = placed.join(broadcast_if_small(files, MAX_FILES), "_file")
+    at = F.struct(F.col("_at").alias("appended_at"), F.col("_job").alias("job"), F.col("_part").alias("part"), F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row"))
+    return joined.filter(kept).select(*rows.columns, at.alias("position"))
+
+
+POSITION = "struct<appended_at: timestamp, job: string, part: int, file: string, block: bigint, row: bigint>"
+MAX_FILES = 100_000
+
+
+def _appended_files(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _job, _part, _at) of a log's files. Those that one append wrote have its id in their names and their order there; an append's time is that of its first file."""
+    name = F.element_at(F.split("_file", "/"), -1)
+    own = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_time"))
+    pattern = "^part-([0-9]+)-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})"
+    job = F.coalesce(F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")), F.col("_file"))
+    named = own.select("_file", "_time", job.alias("_job"), F.coalesce(F.try_to_number(F.regexp_extract(name, pattern, 1), F.lit("999999999")), F.lit(0)).cast("int").alias("_part"))
+    return named.join(named.groupBy("_job").agg(F.min("_time").alias("_at")), "_job").drop("_time")
 
 
 def read_json_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
