@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernlode.operators import chains, evidence
@@ -100,6 +100,11 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.merge_gate(verdicts, states, specs)
 
 
+def _tier(n: Column) -> Column:
+    """The n-th isolation tier (from 1), the strictest one for every larger number."""
+    return F.element_at(F.array(*[F.lit(t) for t in evidence.ISOLATION_TIERS]), F.least(n, F.lit(len(evidence.ISOLATION_TIERS))))
+
+
 _GATE = f"""{_CHECKS}, v AS (SELECT verdict_id AS receipt_id, CASE WHEN bool_or(status = 'error') THEN 'error' WHEN NOT bool_and(status = 'pass') THEN 'failed' ELSE 'passed' END AS verdict FROM k WHERE required GROUP BY 1),
     q AS (SELECT receipt_id, unnest(['check0', 'check3']) AS name FROM v), f AS (SELECT verdict_id AS receipt_id, name, arg_min(status, seq) AS status FROM k GROUP BY ALL),
     s AS (SELECT q.receipt_id, count(*) FILTER (WHERE f.status IS NULL) AS missing, count(*) FILTER (WHERE f.status <> 'pass') AS not_passed FROM q LEFT JOIN f USING (receipt_id, name) GROUP BY 1),
@@ -115,7 +120,7 @@ QUERIES = {
     "rerun_fold": lambda s, d: evidence.rerun_fold(checks(s, d).select(F.concat_ws("/", "verdict_id", "name").alias("check_id"), (F.col("status") == "pass").alias("passed"), (F.col("status") == "error").alias("launch_error"))),
     "required_checks": lambda s, d: evidence.required_checks(checks(s, d), checks(s, d).select(F.col("verdict_id").alias("receipt_id"), F.lit("check4").alias("name")).distinct()),
     "merge_gate": _gate,
-    "isolation_floor": lambda s, d: evidence.isolation_floor(_gate(s, d).withColumn("isolation_tier", F.element_at(F.array(*[F.lit(t) for t in evidence.ISOLATION_TIERS]), F.char_length("receipt_id") - 8)), "contained"),
+    "isolation_floor": lambda s, d: evidence.isolation_floor(_gate(s, d).withColumn("isolation_tier", _tier(F.char_length("receipt_id") - 8)), "contained"),
     "run_summary": lambda s, d: evidence.run_summary(tape(s, d).select("run_id", F.concat(F.lit("a"), F.col("run_id") % 3).alias("agent"), F.when(F.col("event_type") == "purchase", "run_finished").otherwise("output").alias("kind"), "at_ms")),
     "budget_fold": lambda s, d: evidence.budget_fold(_usage(s, d), 30000),
     "cost_estimate": lambda s, d: evidence.cost_estimate(_tokens(s, d), _prices(s)),
