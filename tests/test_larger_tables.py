@@ -1,9 +1,14 @@
 """Queries on tables with larger keys or other shapes than the given ones, against their twins."""
 
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 
+from fernlode.operators import blocks, graph
 from fernlode.plans import registry
+from fernlode.streaming import keyed
 
 DIR = "/root/testdata/sf0.001"
 
@@ -38,3 +43,36 @@ def test_isolation_floor_of_long_ids(spark, tables):
     folder = tables(events="SELECT * REPLACE (user_id * (10 ** (event_id % 7))::BIGINT AS user_id) FROM {events}")
     rows, more, less = differences(spark, "isolation_floor", folder, "events")
     assert rows > 100 and (more, less) == (0, 0)
+
+
+def test_pairs_by_tiles(spark, monkeypatch):
+    """Many tiles and many runs in a tile; the pairs of the edges meet no exchange."""
+    for name, value in {"TILE_PAIRS": 16, "TILE_ROWS": 40, "HELD_PAIRS": 8, "HELD_CELLS": 16}.items():
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(7)
+    refs = [(f"f{rng.randrange(30)}", "go", "call", f"name{rng.randrange(25)}", k, 1) for k in range(400)]
+    defs = sorted({(f"f{rng.randrange(40)}", f"name{rng.randrange(25)}") for _ in range(60)})
+    uses = spark.createDataFrame(refs, "path string, language string, kind string, name string, line long, column long")
+    symbols = spark.createDataFrame([(p, "go", "function", n, k, 1, k, k, "") for k, (p, n) in enumerate(defs)], "path string, language string, kind string, name string, line long, column long, start_line long, end_line long, signature string")
+    want: dict[tuple[str, str], float] = {}
+    for r in refs:
+        for p, n in defs:
+            if n == r[3] and p != r[0]:
+                want[r[0], p] = want.get((r[0], p), 0) + 1
+    edges = graph.reference_edges(uses, symbols)
+    assert sorted((r.src, r.dst, r.weight) for r in edges.collect()) == sorted((*k, float(w)) for k, w in want.items())
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow") and "Join" not in plan.partition("RepartitionByExpression")[0]
+    assert graph.reference_counters(uses, symbols).first().edge_count == len(want)
+
+
+def test_ring_rows_come_in_pieces(monkeypatch):
+    """Forty subscribers of a tape with a thousand frames."""
+    monkeypatch.setattr(keyed, "RING_ROWS", 500)
+    joins = [(k, -1, None, None, f"s{k}") for k in range(40)]
+    frames = [(40 + k, k, None if k % 3 else "x", "p", None) for k in range(1000)]
+    news = pd.DataFrame(joins + frames, columns=["at", "seq", "session", "payload", "subscriber"])
+    parts = list(keyed._served(1, 20, [], {}, news, lambda v: None if pd.isna(v) else v))
+    assert sum(len(p) for p in parts) == 40_000 and max(len(p) for p in parts) <= 540
+    every = pd.concat(parts)
+    assert every.groupby("subscriber").seq.nunique().eq(1000).all() and set(every.origin) == {"live"}
