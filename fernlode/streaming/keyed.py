@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from fernlode.functions.hashing import ledger_identity
 from fernlode.operators.chains import label_identity
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that a task holds at a time of what a tape's subscribers get.
+RING_ROWS = 20_000
 CHAIN_COLUMNS = ["log_id", "seq", "payload", "prev_hash", "record_hash"]
 
 
@@ -110,28 +113,54 @@ class _Ring(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], _timers) -> Iterator[pd.DataFrame]:
         ring = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
         known = {k[0]: v[0] for k, v in self.subscribers.iterator()} if self.subscribers.exists() else {}
-        out, news = [], pd.concat(list(rows)).sort_values("at", kind="stable")
+        news = pd.concat(list(rows)).sort_values("at", kind="stable")
         text = lambda v: None if pd.isna(v) else v
-        for r in news.itertuples(index=False):
-            session, subscriber = text(r.session), text(r.subscriber)
-            if subscriber is None:
-                frame = (int(r.seq), session, text(r.payload))
-                ring.append(frame)
-                if len(ring) >= 2 * self.keep:  # evicted in runs, so that a frame is moved once
-                    ring = ring[-self.keep :]
-                out += [(key[0], s, *frame, "live") for s, own in known.items() if _sees(own, session)]
-            else:
-                last = ring[-self.keep :]
-                out += [(key[0], subscriber, *f, "replay") for f in last if f[0] > r.seq and _sees(session, f[1])]
-                known[subscriber] = session
-                self.subscribers.updateValue((subscriber,), (session,))
-        self.ring.put(ring[-self.keep :])
-        yield pd.DataFrame(out, columns=["tape", "subscriber", "seq", "session", "payload", "origin"])
+        rows_of = lambda f: [(int(r.seq), text(r.session), text(r.payload)) for r in f.itertuples(index=False)]
+        joining = news["subscriber"].notna()
+        self.ring.put((ring + rows_of(news[~joining].tail(self.keep)))[-self.keep :])
+        for name, session in dict(zip(news[joining]["subscriber"], news[joining]["session"])).items():
+            self.subscribers.updateValue((name,), (text(session),))
+        yield from _served(key[0], self.keep, ring, known, news, text)
 
     def close(self) -> None:
         pass
 
 
+def _served(tape, keep: int, ring: list[tuple], known: dict[str, str | None], news: pd.DataFrame, text) -> Iterator[pd.DataFrame]:
+    """What the subscribers get of a trigger's rows, in frames of about RING_ROWS rows: a tape's rows for all of them can be far more than what came."""
+    seeing: dict[str | None, np.ndarray] = {}  # the subscribers of a frame, by its session
+    sent: list[tuple[np.ndarray, tuple, str]] = []
+    size = 0
+    for r in news.itertuples(index=False):
+        session, subscriber = text(r.session), text(r.subscriber)
+        if subscriber is None:
+            frame = (int(r.seq), session, text(r.payload))
+            ring.append(frame)
+            if len(ring) >= 2 * keep:  # evicted in runs, so that a frame is moved once
+                ring = ring[-keep:]
+            if session not in seeing:
+                seeing[session] = np.array([s for s, own in known.items() if _sees(own, session)], object)
+            to = [(seeing[session], frame, "live")]
+        else:
+            last = ring[-keep:]
+            to = [(np.array([subscriber], object), f, "replay") for f in last if f[0] > r.seq and _sees(session, f[1])]
+            known[subscriber] = session
+            seeing.clear()
+        sent += to
+        size += sum(len(names) for names, _, _ in to)
+        if size >= RING_ROWS or len(sent) >= RING_ROWS:
+            yield _ring_frame(tape, sent)
+            sent, size = [], 0
+    yield _ring_frame(tape, sent)
+
+
+def _ring_frame(tape, sent: list[tuple[np.ndarray, tuple, str]]) -> pd.DataFrame:
+    times = [len(names) for names, _, _ in sent]
+    columns = [np.repeat(np.array(v, object), times) for v in ([f[0] for _, f, _ in sent], [f[1] for _, f, _ in sent], [f[2] for _, f, _ in sent], [o for _, _, o in sent])]
+    names = np.concatenate([np.array([], object), *(n for n, _, _ in sent)])
+    return pd.DataFrame({"tape": [tape] * len(names), "subscriber": names, "seq": columns[0], "session": columns[1], "payload": columns[2], "origin": columns[3]})
+
+
 def _sees(own: str | None, session: str | None) -> bool:
     return own is None or session is None or own == session
 
