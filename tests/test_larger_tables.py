@@ -76,3 +76,15 @@ def test_ring_rows_come_in_pieces(monkeypatch):
     assert sum(len(p) for p in parts) == 40_000 and max(len(p) for p in parts) <= 540
     every = pd.concat(parts)
     assert every.groupby("subscriber").seq.nunique().eq(1000).all() and set(every.origin) == {"live"}
+
+
+def test_walk_by_blocks(spark, monkeypatch):
+    """Several blocks of nodes, several rows for two blocks, a node without edges."""
+    monkeypatch.setattr(blocks, "BLOCK_NODES", 4)
+    edges = [(f"n{a}", f"n{(a * a + k) % 21}", 0.5) for a in range(20) for k in (1, 2)]
+    nodes = spark.createDataFrame([(f"n{k}", 1 / 21, k == 20) for k in range(21)], "key string, p double, dangling boolean")
+    got = blocks.walk(nodes, [(spark.createDataFrame(edges, "src string, dst string, share double"), nodes)], 2, 0.85, 3)
+    x = {f"n{k}": 1 / 21 for k in range(21)}
+    for _ in range(2):
+        x = {n: 0.15 / 21 + 0.85 * (x["n20"] / 21 + sum(x[a] * w for a, b, w in edges if b == n)) for n in x}
+    assert {r.node: pytest.approx(r["rank"], abs=1e-12) for r in got.collect()} == x
