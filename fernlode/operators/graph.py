@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fernlode.functions.text import language_family, normalize_path
 from fernlode.operators.blocks import file_pairs, walk
+from fernlode.operators.spans import aligned_blocks, chunk_spans, nearest_spans
 from fernlode.sources.logs import changed_lines
 from fernlode.storage import broadcast_if_small, materialize
 
@@ -181,18 +182,8 @@ def seed_files(files: DataFrame, terms: list[str], seed_paths: list[str] = (), l
 
 
 def span_blocks(start: Column, end: Column) -> Column:
-    """The aligned intervals that cover the blocks of ``start`` to ``end``: (level, block) stands for 2^level blocks of BLOCK_LINES lines.
-
-    At a level the cover has a block at either side at most, where the rest of the span begins or ends with an odd one; so a
-    span of n blocks is covered by less than 2 log2(n) + 2 of them.
-    """
-    first, after = F.floor(start / BLOCK_LINES), F.floor(end / BLOCK_LINES) + 1
-    size = lambda k: F.pow(F.lit(2.0), k)
-    lo, hi = lambda k: F.ceil(first / size(k)), lambda k: F.floor(after / size(k))
-    block = lambda k, odd, at: F.when((lo(k) < hi(k)) & (odd % 2 == 1), F.struct(k.alias("level"), at.cast("long").alias("block")))
-    levels = F.sequence(F.lit(0), F.ceil(F.log2((after - first).cast("double"))).cast("int"))
-    sides = F.flatten(F.transform(levels, lambda k: F.array(block(k, lo(k), lo(k)), block(k, hi(k), hi(k) - 1))))
-    return F.when(end >= start, F.filter(sides, lambda x: x.isNotNull()))
+    """The aligned intervals that cover the blocks of ``start`` to ``end``: (level, block) stands for 2^level blocks of BLOCK_LINES lines."""
+    return F.when(end >= start, aligned_blocks(F.floor(start / BLOCK_LINES), F.floor(end / BLOCK_LINES) + 1))
 
 
 def meet_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
@@ -213,10 +204,7 @@ def meet_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
 
 def enclosing_symbols(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """Each reference with the smallest symbol span of its file that holds its line (first by line, column, name, kind among equals)."""
-    spans = symbols.select("path", F.struct((F.col("end_line") - F.col("start_line")).alias("width"), "line", "column", "name", "kind").alias("s"), "start_line", "end_line")
-    uses = refs.select("path", F.col("name").alias("ref_name"), F.col("line").alias("ref_line"), F.col("column").alias("ref_column"), F.col("kind").alias("ref_kind"), F.col("line").alias("at"))
-    best = meet_spans(spans, uses).filter(F.col("s.line") <= F.col("ref_line")).groupBy("path", "ref_name", "ref_line", "ref_column", "ref_kind").agg(F.min("s").alias("s"))
-    return best.select("path", F.col("s.name").alias("symbol"), F.col("s.line").alias("line"), F.col("s.column").alias("column"), F.col("s.kind").alias("kind"), "ref_name", "ref_line", "ref_column", "ref_kind")
+    return nearest_spans(refs, chunk_spans(symbols))
 
 
 def overlapping_symbols(symbols: DataFrame, changed: DataFrame) -> DataFrame:
@@ -260,7 +248,13 @@ def goto_definition(symbols: DataFrame, symbol: str, language: str | None = None
 
 def incoming_calls(refs: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
     """Enclosing symbols of references to ``names`` (name)."""
-    return enclosing_symbols(refs.join(names, "name", "left_semi"), symbols)
+    return enclosing_symbols(_named_by(refs, names), symbols)
+
+
+def _named_by(refs: DataFrame, names: DataFrame) -> DataFrame:
+    """The references to ``names`` (name), which move only where the names are too many for a broadcast."""
+    own = materialize(names.groupBy("name").agg(F.count("*").alias("_n")).drop("_n"), "names", narrow=True)
+    return refs.join(broadcast_if_small(own, BROADCAST_PATHS), "name", "left_semi")
 
 
 def outgoing_calls(refs: DataFrame, symbols: DataFrame, symbol: str) -> DataFrame:
@@ -272,29 +266,30 @@ def outgoing_calls(refs: DataFrame, symbols: DataFrame, symbol: str) -> DataFram
 def impact(refs: DataFrame, symbols: DataFrame, symbol: str, max_depth: int = 2) -> DataFrame:
     """Symbols that reach ``symbol`` through references, each once at its first depth; the seed's definitions are left out.
 
-    One join of references with their enclosing symbols is written once; every level is a join on a name.
+    The spans are written once; every level takes the references to its own names alone and looks up their symbols.
     """
-    calls = materialize(enclosing_symbols(refs, symbols).filter("symbol <> ref_name").select("symbol", "path", "line", "ref_name", "ref_line"), "calls")
-    frontier = calls.sparkSession.createDataFrame([(symbol,)], "ref_name string")
-    seen = symbols.filter(F.col("name") == symbol).select(F.col("name").alias("symbol"), "path", "line").distinct()
+    spans = chunk_spans(symbols)
+    own = refs.filter(F.col("name") == symbol)
+    seen = spans.filter(F.col("name") == symbol).select(F.col("name").alias("symbol"), "path", "line").distinct()
     found = None
     for depth in range(1, max(max_depth, 1) + 1):
-        level = calls.join(frontier, "ref_name").groupBy("symbol", "path", "line").agg(F.min(F.struct("ref_line", "ref_name")).alias("r"))
+        level = nearest_spans(own, spans).filter("symbol <> ref_name").groupBy("symbol", "path", "line").agg(F.min(F.struct("ref_line", "ref_name")).alias("r"))
         level = level.join(seen, ["symbol", "path", "line"], "left_anti").select("symbol", "path", "line", F.lit(depth).cast("long").alias("depth"), F.col("r.ref_name").alias("via_symbol"), F.col("r.ref_line").alias("reference_line"))
         level = materialize(level, f"impact{depth}")
         found = level if found is None else found.unionByName(level)
         if level.isEmpty():
             break
         seen = seen.unionByName(level.select("symbol", "path", "line"))
-        frontier = level.select(F.col("symbol").alias("ref_name")).distinct()
+        own = _named_by(refs, level.select(F.col("symbol").alias("name"))) if depth < max_depth else own
     return found
 
 
 def trace_path(refs: DataFrame, symbols: DataFrame, start: str, goal: str, max_depth: int = 8) -> DataFrame:
     """One shortest chain of calls (step, name) from ``start`` to ``goal``; empty if there is none within the depth."""
     spark = refs.sparkSession
-    calls = enclosing_symbols(refs, symbols).filter("symbol <> ref_name").select(F.col("symbol").alias("caller"), F.col("ref_name").alias("callee"))
-    calls = materialize(calls.join(symbols.select(F.col("name").alias("callee")).distinct(), "callee", "left_semi").groupBy("caller", "callee").agg(F.count("*").alias("_n")).drop("_n"), "calls")
+    symbols = materialize(symbols.select("path", "name", "kind", "line", "column", "start_line", "end_line"), "symbols", narrow=True)
+    calls = incoming_calls(refs, symbols, symbols.select("name")).filter("symbol <> ref_name").select(F.col("symbol").alias("caller"), F.col("ref_name").alias("callee"))
+    calls = materialize(calls.groupBy("caller", "callee").agg(F.count("*").alias("_n")).drop("_n"), "calls")
     paths = spark.createDataFrame([(start, [start])], "name string, path array<string>")
     seen = paths.select("name")
     for _ in range(max_depth):
