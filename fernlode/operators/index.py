@@ -5,7 +5,7 @@ alike in length.  A segment has three written tables:
 
 * files(chunk, at, root_id, rel_path, dl, text),
 * grams(gram, chunk, n, files): for three characters of a line (A-Z lower-cased; fewer before the line's end) the files of a chunk,
-* terms(term, block, n, max_tf, min_dl, files, tfs, dls): the files of a block with a token.
+* terms(term, chunk, files, tfs, dls, cuts): the files of a chunk with a token, and where each block of them begins; read as a row a block.
 
 Grams and terms are sorted by their key, so a search reads the row groups of its own keys.  Lists of a chunk are
 intersected within the chunk, shortest first; no list of a whole corpus is ever put together.  Added files are a segment of their own, and
@@ -20,12 +20,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernlode.functions.text import LOWER, UPPER, ascii_lower, tokenize_query
-from fernlode.storage import map_batches, materialize, new_path, remove
+from fernlode.storage import broadcast_if_small, map_batches, materialize, new_path, remove
 
 KEY = ["root_id", "rel_path"]
 CHUNK_FILES, BLOCK_FILES, CHUNK_BYTES = 1024, 8, 16 << 20
@@ -36,7 +37,11 @@ GROWTH = 2
 K1, B = 1.2, 0.75
 CODE_BITS = 21
 FOLD = str.maketrans(UPPER, LOWER)
-RAW = "kind string, key long, term string, chunk long, block long, at int, n int, max_tf int, min_dl int, root_id string, rel_path string, text string, dl int, files array<int>, tfs array<int>, dls array<int>"
+#: Candidates with their scores that are sent to the texts; beyond them the texts are moved, once.
+BROADCAST_FILES = 400_000
+#: Keys of a chunk that are sent as a batch.
+SENT_KEYS = 20_000
+RAW = "kind string, key long, term string, chunk long, at int, n int, root_id string, rel_path string, text string, dl int, files array<int>, tfs array<int>, dls array<int>, cuts array<int>"
 TOP_DDL = "chunk long, at int, root_id string, rel_path string, score long"
 
 
@@ -54,8 +59,18 @@ class SearchIndex(NamedTuple):
         return self.tokens / self.n if self.n else 1.0
 
     def table(self, kind: str) -> DataFrame:
-        schema = {"files": "chunk long, at int, root_id string, rel_path string, dl int, text string", "grams": "gram long, chunk long, n int, files array<int>", "terms": "term string, block long, n int, max_tf int, min_dl int, files array<int>, tfs array<int>, dls array<int>"}
-        return self.spark.read.schema(schema[kind]).parquet(*[f"{s}/{kind}" for s in self.segments])
+        """The written rows of all segments; those of terms as (term, block, n, max_tf, min_dl, files, tfs, dls)."""
+        schema = {"files": "chunk long, at int, root_id string, rel_path string, dl int, text string", "grams": "gram long, chunk long, n int, files array<int>", "terms": "term string, chunk long, files array<int>, tfs array<int>, dls array<int>, cuts array<int>"}
+        rows = self.spark.read.schema(schema[kind]).parquet(*[f"{s}/{kind}" for s in self.segments])
+        return rows.select("term", F.inline(F.transform("cuts", _block))) if kind == "terms" else rows
+
+
+def _block(start: Column, k: Column) -> Column:
+    """The k-th block of a term's files in a chunk, which begins at ``start``; the first file of a block is the shortest."""
+    n = F.coalesce(F.get("cuts", k + 1), F.size("files")) - start
+    own = {c: F.slice(c, start + 1, n) for c in ("files", "tfs", "dls")}
+    block = F.col("chunk") * BLOCKS_A_CHUNK + F.shiftright(F.get("files", start), BLOCK_FILES.bit_length() - 1)
+    return F.struct(block.alias("block"), n.alias("n"), F.array_max(own["tfs"]).alias("max_tf"), F.get("dls", start).alias("min_dl"), *(v.alias(c) for c, v in own.items()))
 
 
 def _local(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -70,11 +85,14 @@ def _codes(text: str) -> np.ndarray:
 
 def text_grams(text: str) -> np.ndarray:
     """The distinct grams of a text: three code points of 21 bits; where a line ends sooner, the rest is 0."""
-    c = np.concatenate([_codes(text.translate(FOLD)), np.zeros(2, np.int64)])
+    c = np.concatenate([_codes(text), np.zeros(2, np.int64)])
+    c[(c >= 65) & (c <= 90)] += 32
     c[c == 10] = 0
     a, b = c[:-2], c[1:-1]
     second = b * (a > 0)
-    return np.unique(((a << 2 * CODE_BITS) | (second << CODE_BITS) | (c[2:] * (second > 0)))[a > 0])
+    grams = ((a << 2 * CODE_BITS) | (second << CODE_BITS) | (c[2:] * (second > 0)))[a > 0]
+    grams.sort()
+    return grams[np.diff(grams, prepend=-1) != 0]
 
 
 def gram_ranges(pattern: str) -> list[tuple[int, int]]:
@@ -91,45 +109,57 @@ def gram_ranges(pattern: str) -> list[tuple[int, int]]:
 def _chunks(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(root_id, rel_path, text, words) to the rows of all three tables."""
 
-    def rows_of(held: list[tuple[str, str, str, list[str]]], chunk: int) -> Iterator[pa.RecordBatch]:
-        held.sort(key=lambda r: (len(r[3]), r[0], r[1]))
-        lengths = [max(len(words), 1) for *_, words in held]
-
-        def batch(kind: str, size: int, **columns) -> pa.RecordBatch:
-            arrays = [pa.array([kind] * size if f.name == "kind" else columns.get(f.name, [None] * size), f.type) for f in ARROW]
-            return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
-
-        yield batch("files", len(held), chunk=[chunk] * len(held), at=list(range(len(held))), root_id=[r[0] for r in held], rel_path=[r[1] for r in held], text=[r[2] for r in held], dl=lengths)
+    def batch(kind: str, size: int, **columns) -> pa.RecordBatch:
+        known = {"kind": pa.array([kind]).take(pa.array(np.zeros(size, np.int64))), **columns}
+        arrays = [pa.nulls(size, f.type) if f.name not in known else known[f.name] if isinstance(known[f.name], pa.Array) else pa.array(known[f.name], f.type) for f in ARROW]
+        return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
+
+    def lists(cuts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), pa.array(values[cuts[0] : cuts[-1]], pa.int32()))
+
+    def parts(n: int) -> Iterator[tuple[int, int]]:
+        return ((a, min(a + SENT_KEYS, n)) for a in range(0, n, SENT_KEYS))
+
+    def rows_of(held: list[tuple[str, str, str, str]], chunk: int) -> Iterator[pa.RecordBatch]:
+        pieces = pc.split_pattern(pa.array([r[3] for r in held], pa.string()), " ")
+        file, words = np.repeat(np.arange(len(held)), np.diff(pieces.offsets.to_numpy())), pieces.flatten()
+        real = pc.greater(pc.binary_length(words), 0)
+        file, words = file[real.to_numpy(zero_copy_only=False)], words.filter(real)
+        count = np.bincount(file, minlength=len(held))
+        order = sorted(range(len(held)), key=lambda k: (count[k], held[k][0], held[k][1]))
+        place = np.empty(len(held), np.int64)
+        place[order] = np.arange(len(held))
+        held, lengths = [held[k] for k in order], np.maximum(count[order], 1)
+        same = lambda n: np.full(n, chunk, np.int64)
+
+        yield batch("files", len(held), chunk=same(len(held)), at=np.arange(len(held)), root_id=[r[0] for r in held], rel_path=[r[1] for r in held], text=[r[2] for r in held], dl=lengths)
         grams = [text_grams(r[2]) for r in held]
         every = np.concatenate(grams)
-        files = np.repeat(np.arange(len(held), dtype=np.int32), [len(g) for g in grams])
-        order = np.argsort(every, kind="stable")
-        every, files = every[order], files[order]
-        edges = np.flatnonzero(np.diff(every, prepend=-1))
-        for a in range(0, len(edges), 20_000):
-            cut = [*edges[a : a + 20_000], edges[a + 20_000] if a + 20_000 < len(edges) else len(every)]
-            lists = pa.ListArray.from_arrays(pa.array(np.asarray(cut) - cut[0], pa.int32()), pa.array(files[cut[0] : cut[-1]]))
-            yield batch("grams", len(cut) - 1, key=every[cut[:-1]], chunk=[chunk] * (len(cut) - 1), n=np.diff(cut), files=lists)
-        for first in range(0, len(held), BLOCK_FILES):
-            postings: dict[str, list[tuple[int, int]]] = {}
-            for at in range(first, min(first + BLOCK_FILES, len(held))):
-                times: dict[str, int] = {}
-                for word in held[at][3]:
-                    times[word] = times.get(word, 0) + 1
-                for word, tf in times.items():
-                    postings.setdefault(word, []).append((at, tf))
-            if postings:
-                own = list(postings.values())
-                out = {"term": list(postings), "block": [chunk * BLOCKS_A_CHUNK + first // BLOCK_FILES] * len(own), "n": [len(p) for p in own], "max_tf": [max(tf for _, tf in p) for p in own], "min_dl": [lengths[p[0][0]] for p in own]}
-                yield batch("terms", len(own), **out, files=[[at for at, _ in p] for p in own], tfs=[[tf for _, tf in p] for p in own], dls=[[lengths[at] for at, _ in p] for p in own])
+        files = np.repeat(np.arange(len(held)), [len(g) for g in grams])
+        by_gram = np.argsort(every, kind="stable")
+        every, files = every[by_gram], files[by_gram]
+        edges = np.append(np.flatnonzero(np.diff(every, prepend=-1)), len(every))
+        for a, b in parts(len(edges) - 1):
+            yield batch("grams", b - a, key=every[edges[a:b]], chunk=same(b - a), n=np.diff(edges[a : b + 1]), files=lists(edges[a : b + 1], files))
+
+        coded = words.dictionary_encode()
+        postings, tfs = np.unique(coded.indices.to_numpy().astype(np.int64) * CHUNK_FILES + place[file], return_counts=True)
+        files = postings % CHUNK_FILES
+        edges = np.append(np.flatnonzero(np.diff(postings // CHUNK_FILES, prepend=-1)), len(postings))
+        starts = np.flatnonzero(np.diff(postings // BLOCK_FILES, prepend=-1))
+        ends = np.searchsorted(starts, edges)
+        cuts = starts - np.repeat(edges[:-1], np.diff(ends))
+        for a, b in parts(len(edges) - 1):
+            cut = edges[a : b + 1]
+            yield batch("terms", b - a, term=coded.dictionary.slice(a, b - a), chunk=same(b - a), files=lists(cut, files), tfs=lists(cut, tfs), dls=lists(cut, lengths[files]), cuts=lists(ends[a : b + 1], cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = (segment << 44) | (TaskContext.get().partitionId() << 24)
-        held: list[tuple[str, str, str, list[str]]] = []
+        held: list[tuple[str, str, str, str]] = []
         size = 0
         for b in batches:
             for root, path, text, words in zip(*(c.to_pylist() for c in b.columns)):
-                held.append((root, path, text, words.split()))
+                held.append((root, path, text, words))
                 size += len(text)
                 if len(held) == CHUNK_FILES or size > CHUNK_BYTES:
                     yield from rows_of(held, chunk)
@@ -141,8 +171,8 @@ def _chunks(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 ARROW = pa.schema([
-    ("kind", pa.string()), ("key", pa.int64()), ("term", pa.string()), ("chunk", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("max_tf", pa.int32()), ("min_dl", pa.int32()),
-    ("root_id", pa.string()), ("rel_path", pa.string()), ("text", pa.string()), ("dl", pa.int32()), ("files", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("dls", pa.list_(pa.int32())),
+    ("kind", pa.string()), ("key", pa.int64()), ("term", pa.string()), ("chunk", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("root_id", pa.string()), ("rel_path", pa.string()), ("text", pa.string()), ("dl", pa.int32()),
+    ("files", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("dls", pa.list_(pa.int32())), ("cuts", pa.list_(pa.int32())),
 ])
 
 
@@ -152,11 +182,11 @@ def _segment(corpus: DataFrame, number: int) -> tuple[str, int, int]:
     words = F.regexp_replace(F.lower("text"), r"[^\p{IsAlphabetic}\p{N}]+", " ")
     raw, folder = new_path(spark, "index-raw"), new_path(spark, "index")
     own = corpus.select(*KEY, F.coalesce("text", F.lit("")).alias("text")).filter(~binary_text(F.col("text"))).withColumn("words", words.substr(F.lit(1), F.char_length("text") * 3))
-    map_batches(own, _chunks(number), RAW).write.partitionBy("kind").parquet(raw)
+    map_batches(own, _chunks(number), RAW).write.parquet(raw)  # without folders for the kinds, which would sort the rows
     read = lambda kind: spark.read.schema(RAW).parquet(raw).filter(F.col("kind") == kind)
     read("files").select("chunk", "at", *KEY, "dl", "text").write.parquet(f"{folder}/files")
     read("grams").select(F.col("key").alias("gram"), "chunk", "n", "files").repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk").write.parquet(f"{folder}/grams")
-    read("terms").select("term", "block", "n", "max_tf", "min_dl", "files", "tfs", "dls").repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/terms")
+    read("terms").select("term", "chunk", "files", "tfs", "dls", "cuts").repartitionByRange("term", "chunk").sortWithinPartitions("term", "chunk").write.parquet(f"{folder}/terms")
     remove(spark, raw)
     sums = spark.read.schema("dl int").parquet(f"{folder}/files").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     return folder, sums["n"], sums["tokens"]
@@ -346,11 +376,11 @@ def matching_files(index: SearchIndex, patterns: list[str]) -> DataFrame:
     """(p, chunk, at, root_id, rel_path, text, score): the candidates with their texts and BM25 scores (0 without a term), one pass for all patterns."""
     held, chunks = _held(index, candidates(index, patterns))
     near = lambda frame: frame if chunks is None else frame.filter(F.col("chunk").isin(chunks))
-    texts = near(index.table("files")).join(held, ["chunk", "at"])
-    queries = [tokenize_query(p) for p in patterns]
+    texts, queries = near(index.table("files")), [tokenize_query(p) for p in patterns]
     if not any(queries):
-        return texts.withColumn("score", F.lit(0).cast("long"))
+        return texts.join(held, ["chunk", "at"]).withColumn("score", F.lit(0).cast("long"))
     names = sorted({t for q in queries for t in q})
     terms = near(index.table("terms").filter(F.col("term").isin(names)).withColumn("chunk", _chunk_of("block"))).join(F.broadcast(_parts(index, queries)), "term")  # a row a term
-    scores = _scored(index, terms.drop("chunk"))
-    return texts.join(scores, ["p", "chunk", "at"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    # The scores meet the numbers of the files; a text is moved at most once, whatever the patterns.
+    scored = held.join(_scored(index, terms.drop("chunk")), ["p", "chunk", "at"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
+    return texts.join(broadcast_if_small(materialize(scored, "scored", narrow=True), BROADCAST_FILES), ["chunk", "at"])

@@ -102,3 +102,33 @@ def test_fuzzy_scores():
         path = "".join(rng.choice("abAB/_1.") for _ in range(rng.randrange(0, 12)))
         pattern = "".join(rng.choice("ab1") for _ in range(rng.randrange(1, 4)))
         assert score(path, pattern) == best(path, pattern), (path, pattern)
+
+
+def test_terms_of_a_chunk_are_one_row(spark, corpus):
+    """Written once for each chunk and read as blocks with the counts of the plain texts."""
+    built = index.build_index(corpus)
+    stored = spark.read.parquet(f"{built.segments[0]}/terms")
+    assert stored.groupBy("term", "chunk").count().filter("count > 1").isEmpty()
+    assert stored.count() < built.table("terms").count()
+    dl, got = {(r.chunk, r.at): (r.rel_path, r.dl) for r in built.table("files").collect()}, {}
+    for r in built.table("terms").collect():
+        chunk = r.block // index.BLOCKS_A_CHUNK
+        assert r.n == len(r.files) and r.max_tf == max(r.tfs) and r.min_dl == min(r.dls) and {chunk * index.BLOCKS_A_CHUNK + f // index.BLOCK_FILES for f in r.files} == {r.block}
+        for at, tf, n in zip(r.files, r.tfs, r.dls):
+            path, length = dl[chunk, at]
+            assert n == length and (r.term, path) not in got
+            got[r.term, path] = tf
+    want = {}
+    for _, path, text in made(1, 80):
+        for word in [] if text is None or "\0" in text[:8192] else text.lower().replace("_", " ").split():
+            word = word.replace("\0", " ").strip()
+            want[word, path] = want.get((word, path), 0) + 1
+    assert got == want
+
+
+def test_scores_meet_numbers_and_not_texts(spark, corpus, monkeypatch):
+    """The texts are joined once, by their numbers, with files that have their scores."""
+    monkeypatch.setattr(index, "PLAN_CHUNKS", 0)
+    monkeypatch.setattr(index, "BROADCAST_FILES", 0)
+    found = index.matching_files(index.build_index(corpus), ["license", "the in"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 and not found.isEmpty()
