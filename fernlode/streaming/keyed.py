@@ -47,8 +47,10 @@ class _Chain(StatefulProcessor):
         self.early = handle.getListState("early", "seq long, payload string, digest string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], _timers) -> Iterator[pd.DataFrame]:
-        following, head = self.head.get() if self.head.exists() else (0, "")
-        own = {int(s): (p, d) for s, p, d in self.early.get()} if self.early.exists() else {}
+        # Each call of a state is a message to the executor: none that only asks whether there is one.
+        following, head = self.head.get() or (0, "")
+        own = {int(s): (p, d) for s, p, d in self.early.get()}
+        waited = len(own)
         for frame in rows:
             for s, p, d in zip(frame["seq"], frame["payload"], frame["event_hash"]):
                 if s >= following:  # earlier ones are in the chain: they were delivered again
@@ -65,9 +67,9 @@ class _Chain(StatefulProcessor):
         self.head.update((following, head))
         if own:
             self.early.put([(s, p, d) for s, (p, d) in sorted(own.items())])
-        else:
+        elif waited:
             self.early.clear()
-        yield pd.DataFrame(out, columns=CHAIN_COLUMNS)
+        yield pd.DataFrame(dict(zip(CHAIN_COLUMNS, zip(*out))) if out else None, columns=CHAIN_COLUMNS)
 
     def close(self) -> None:
         pass

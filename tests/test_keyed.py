@@ -1,3 +1,4 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fernlode.operators import chains
@@ -54,3 +55,30 @@ def test_ring_evicts_and_fans_out(spark, tmp_path):
         [("x", k, "replay") for k in (5, 6, 7)] + [("x", k, "live") for k in (11, 12, 14, 15)] + [("y", 7, "replay"), ("y", 11, "replay"), ("y", 15, "live")]
         + [("x", k, "replay") for k in (14, 15)] + [("x", 17, "live"), ("y", 17, "live")]
     )
+
+
+def test_a_chain_asks_its_state_no_more_than_it_must():
+    """Every call of a state is a message: two reads and a write for a log without early records."""
+    calls = []
+
+    class State:
+        def __init__(self, name, value):
+            self.name, self.value = name, value
+
+        def __getattr__(self, call):
+            def run(*args):
+                calls.append((self.name, call))
+                self.value = args[0] if call in ("update", "put") else [] if call == "clear" else self.value
+                return self.value
+
+            return run
+
+    chain = keyed._Chain(True)
+    chain.head, chain.early = State("head", None), State("early", [])
+    rows = lambda *seqs: iter([pd.DataFrame({"seq": seqs, "payload": [f"p{s}" for s in seqs], "event_hash": [f"d{s}" for s in seqs]})])
+    first = pd.concat(chain.handleInputRows(("a",), rows(1, 0), None))
+    assert first["seq"].tolist() == [0, 1] and list(first.columns) == keyed.CHAIN_COLUMNS
+    assert calls == [("head", "get"), ("early", "get"), ("head", "update")]
+    assert len(pd.concat(chain.handleInputRows(("a",), rows(3, 1), None))) == 0 and [e[0] for e in chain.early.value] == [3]
+    later = pd.concat(chain.handleInputRows(("a",), rows(2), None))
+    assert later["seq"].tolist() == [2, 3] and later["payload"].tolist() == ["p2", "p3"] and calls[-1] == ("early", "clear")
