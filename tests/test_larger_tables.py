@@ -88,3 +88,24 @@ def test_walk_by_blocks(spark, monkeypatch):
     for _ in range(2):
         x = {n: 0.15 / 21 + 0.85 * (x["n20"] / 21 + sum(x[a] * w for a, b, w in edges if b == n)) for n in x}
     assert {r.node: pytest.approx(r["rank"], abs=1e-12) for r in got.collect()} == x
+
+
+def test_copies_of_tiles_do_not_grow_with_pairs():
+    """Pairs grow with the square of the files; how often a side is copied must not, and a tile's defining side stays bounded."""
+    for n in (1, 6, 36, 216):
+        uses, defs = 10_000_000 * n, 400_000 * n
+        i, j = blocks.tiles(758_000_000 * n * n, uses, defs, 12)
+        assert i * j >= 12 and defs / j <= 4_000_000
+        assert i * defs + j * uses <= (3 + defs / 4_000_000) * (uses + defs)
+
+
+def test_edges_are_sent_in_large_batches():
+    """Runs of a few files are added up at a time, and their edges leave together."""
+    import pyarrow as pa
+
+    rows = lambda n, **more: pa.RecordBatch.from_pydict({"path": [f"f{k}" for k in range(n)], "ids": [[k % 7, 7] for k in range(n)]} | {k: [v] * n for k, v in more.items()})
+    got = list(blocks._sums(rows(1000, ws=[1.0, 2.0]), *blocks._by_id([rows(1000)]), False))
+    assert sum(len(b) for b in got) == 1000 * 999 and min(len(b) for b in got[:-1]) >= 1 << 15 and max(len(b) for b in got) <= 1 << 16
+    weights = {(s, d): w for b in got[:1] for s, d, w in zip(*(c.to_pylist() for c in b.columns))}
+    assert weights["f0", "f7"] == 3 and weights["f0", "f1"] == 2 and ("f0", "f0") not in weights
+    assert [b.column(0)[0].as_py() for b in blocks._sums(rows(1000, ws=[]), *blocks._by_id([rows(1000)]), True)] == [1000 * 999]
