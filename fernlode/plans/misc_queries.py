@@ -10,9 +10,11 @@ from fernlode.operators import chains, codemap, context, evidence
 from fernlode.plans.evidence_queries import _CHECKS, _LABELS, checks, labels
 from fernlode.plans.search_queries import documents
 from fernlode.sources import logs
-from fernlode.storage import new_path
+from fernlode.storage import _cores, new_path
 from fernlode.streaming import keyed, tapes
 
+RING_PARTS_A_CORE = 8
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -88,7 +90,7 @@ def _stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     def transform(s: DataFrame) -> DataFrame:
         frames = s.filter("NOT joins").select("tape", F.col("event_id").alias("at"), F.col("event_id").alias("seq"), "session", "payload")
         new = s.filter("joins").select("tape", F.col("event_id").alias("at"), F.col("event_id").cast("string").alias("subscriber"), (F.col("event_id") - 400).alias("after"), F.when(F.col("event_id") % 2 == 0, F.lit("click")).alias("session"))
-        return keyed.replay_ring(frames, new, 20)
+        return keyed.replay_ring_packed(frames, new, 20)
 
     path, last, own = new_path(spark, "stream-in"), rows.agg(F.max("event_id")).first()[0] or 0, keyed.state_session(spark)
     for k in range(3):
@@ -96,7 +98,8 @@ def _stream_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transform(own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path))
     target, state = new_path(spark, "stream-out"), new_path(spark, "stream-state")
     out.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(target)
+    # Packed rows are few and unequal: dealt out before they become the rows of all subscribers.
+    return keyed.ring_rows(spark.read.schema(out.schema).parquet(target).repartition(RING_PARTS_A_CORE * (_cores(spark) or spark.sparkContext.defaultParallelism)))
 
 
 def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,10 @@ from fernlode.functions.hashing import ledger_identity
 from fernlode.operators.chains import label_identity
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows that a task holds at a time of what a tape's subscribers get.
+#: Rows (or frames and subscribers of packed ones) that a task holds at a time of what a tape's subscribers get.
 RING_ROWS = 20_000
+PACKED_RING = "origin string, subscribers array<string>, seqs array<long>, sessions array<string>, payloads array<string>"
+RING_COLUMNS = ["tape", "origin", "subscribers", "seqs", "sessions", "payloads"]
 CHAIN_COLUMNS = ["log_id", "seq", "payload", "prev_hash", "record_hash"]
 
 
@@ -122,17 +124,20 @@ class _Ring(StatefulProcessor):
         self.ring.put((ring + rows_of(news[~joining].tail(self.keep)))[-self.keep :])
         for name, session in dict(zip(news[joining]["subscriber"], news[joining]["session"])).items():
             self.subscribers.updateValue((name,), (text(session),))
-        yield from _served(key[0], self.keep, ring, known, news, text)
+        yield from _served(key[0], self.keep, ring, known, news, text, packed=True)
 
     def close(self) -> None:
         pass
 
 
-def _served(tape, keep: int, ring: list[tuple], known: dict[str, str | None], news: pd.DataFrame, text) -> Iterator[pd.DataFrame]:
-    """What the subscribers get of a trigger's rows, in frames of about RING_ROWS rows: a tape's rows for all of them can be far more than what came."""
+def _served(tape, keep: int, ring: list[tuple], known: dict[str, str | None], news: pd.DataFrame, text, packed: bool = False) -> Iterator[pd.DataFrame]:
+    """What the subscribers get of a trigger's rows, in frames of about RING_ROWS rows: a tape's rows for all of them can be far more than what came.
+
+    ``packed``: a row for all frames that the same subscribers see, which between two joins are few.
+    """
     seeing: dict[str | None, np.ndarray] = {}  # the subscribers of a frame, by its session
     sent: list[tuple[np.ndarray, tuple, str]] = []
-    size = 0
+    size, widest, held = 0, 0, set()
     for r in news.itertuples(index=False):
         session, subscriber = text(r.session), text(r.subscriber)
         if subscriber is None:
@@ -144,16 +149,20 @@ def _served(tape, keep: int, ring: list[tuple], known: dict[str, str | None], ne
                 seeing[session] = np.array([s for s, own in known.items() if _sees(own, session)], object)
             to = [(seeing[session], frame, "live")]
         else:
-            last = ring[-keep:]
-            to = [(np.array([subscriber], object), f, "replay") for f in last if f[0] > r.seq and _sees(session, f[1])]
+            last, alone = ring[-keep:], np.array([subscriber], object)
+            to = [(alone, f, "replay") for f in last if f[0] > r.seq and _sees(session, f[1])]
             known[subscriber] = session
             seeing.clear()
+        to = [x for x in to if len(x[0])]
+        for names, *_ in to:
+            size += 1 if packed and id(names) in held else len(names)
+            held.add(id(names))
+            widest = max(widest, len(names))
         sent += to
-        size += sum(len(names) for names, _, _ in to)
-        if size >= RING_ROWS or len(sent) >= RING_ROWS:
-            yield _ring_frame(tape, sent)
-            sent, size = [], 0
-    yield _ring_frame(tape, sent)
+        if size >= (max(RING_ROWS, 4 * widest) if packed else RING_ROWS) or len(sent) >= RING_ROWS:
+            yield (_packed_frame if packed else _ring_frame)(tape, sent)
+            sent, size, widest, held = [], 0, 0, set()
+    yield (_packed_frame if packed else _ring_frame)(tape, sent)
 
 
 def _ring_frame(tape, sent: list[tuple[np.ndarray, tuple, str]]) -> pd.DataFrame:
@@ -163,6 +172,14 @@ def _ring_frame(tape, sent: list[tuple[np.ndarray, tuple, str]]) -> pd.DataFrame
     return pd.DataFrame({"tape": [tape] * len(names), "subscriber": names, "seq": columns[0], "session": columns[1], "payload": columns[2], "origin": columns[3]})
 
 
+def _packed_frame(tape, sent: list[tuple[np.ndarray, tuple, str]]) -> pd.DataFrame:
+    runs: dict[int, tuple[np.ndarray, str, list[tuple]]] = {}
+    for names, frame, origin in sent:
+        runs.setdefault(id(names), (names, origin, []))[2].append(frame)
+    rows = [(tape, origin, names.tolist(), *([f[k] for f in frames] for k in range(3))) for names, origin, frames in runs.values()]
+    return pd.DataFrame(dict(zip(RING_COLUMNS, zip(*rows))) if rows else None, columns=RING_COLUMNS)
+
+
 def _sees(own: str | None, session: str | None) -> bool:
     return own is None or session is None or own == session
 
@@ -174,8 +191,20 @@ def replay_ring(frames: DataFrame, subscriptions: DataFrame, keep: int) -> DataF
     order within a tape.  A subscriber gets frames with seq past its ``after``, of its session or of none; without a session
     all.  One that subscribes again is served again from the ring.  Frames that left the ring are gone for late subscribers.
     """
+    return ring_rows(replay_ring_packed(frames, subscriptions, keep))
+
+
+def replay_ring_packed(frames: DataFrame, subscriptions: DataFrame, keep: int) -> DataFrame:
+    """``replay_ring`` before ``ring_rows``: a row for the frames that the same subscribers see, which grows with what came and not with its square."""
     none = F.lit(None).cast("string")
     a = frames.select("tape", F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"), "session", "payload", none.alias("subscriber"))
     b = subscriptions.filter("subscriber IS NOT NULL").select("tape", F.col("at").cast("long").alias("at"), F.coalesce("after", F.lit(-1)).cast("long").alias("seq"), "session", none.alias("payload"), F.col("subscriber").cast("string").alias("subscriber"))
     dtype = frames.schema["tape"].dataType.simpleString()
-    return a.unionByName(b).groupBy("tape").transformWithStateInPandas(_Ring(keep), f"tape {dtype}, subscriber string, seq long, session string, payload string, origin string", "append", "none")
+    return a.unionByName(b).groupBy("tape").transformWithStateInPandas(_Ring(keep), f"tape {dtype}, {PACKED_RING}", "append", "none")
+
+
+def ring_rows(packed: DataFrame) -> DataFrame:
+    """(tape, subscriber, seq, session, payload, origin): a row for each frame and subscriber of packed ones."""
+    frames = packed.select("tape", "origin", "subscribers", "sessions", "payloads", F.posexplode("seqs").alias("_k", "seq"))
+    columns = ["seq", F.get("sessions", F.col("_k")).alias("session"), F.get("payloads", F.col("_k")).alias("payload"), "origin"]
+    return frames.select("tape", F.explode("subscribers").alias("subscriber"), *columns)

@@ -109,3 +109,17 @@ def test_edges_are_sent_in_large_batches():
     weights = {(s, d): w for b in got[:1] for s, d, w in zip(*(c.to_pylist() for c in b.columns))}
     assert weights["f0", "f7"] == 3 and weights["f0", "f1"] == 2 and ("f0", "f0") not in weights
     assert [b.column(0)[0].as_py() for b in blocks._sums(rows(1000, ws=[]), *blocks._by_id([rows(1000)]), True)] == [1000 * 999]
+
+
+def test_ring_rows_leave_packed():
+    """What leaves the state grows with the frames and subscribers that came, not with their product, and gives the same rows."""
+    joins = [(k, -1, "x" if k % 2 else None, None, f"s{k}") for k in range(400)]
+    frames = [(400 + k, k, ["x", "y", None][k % 3], "p", None) for k in range(3000)]
+    late = [(3400, 2990, None, None, "late"), (3401, 3001, "y", "p", None)]
+    news = pd.DataFrame(joins + frames + late, columns=["at", "seq", "session", "payload", "subscriber"])
+    text = lambda v: None if pd.isna(v) else v
+    packed = pd.concat(keyed._served(1, 20, [], {}, news, text, packed=True))
+    assert len(packed) < 50 and packed["subscribers"].map(len).sum() + packed["seqs"].map(len).sum() < 5_000
+    got = sorted((s, q, str(e), o) for names, seqs, sessions, o in zip(packed["subscribers"], packed["seqs"], packed["sessions"], packed["origin"]) for s in names for q, e in zip(seqs, sessions))
+    plain = pd.concat(keyed._served(1, 20, [], {}, news, text))
+    assert got == sorted(zip(plain["subscriber"], plain["seq"], plain["session"].map(str), plain["origin"])) and len(got) > 1_000_000
