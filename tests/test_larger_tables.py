@@ -123,3 +123,22 @@ def test_ring_rows_leave_packed():
     got = sorted((s, q, str(e), o) for names, seqs, sessions, o in zip(packed["subscribers"], packed["seqs"], packed["sessions"], packed["origin"]) for s in names for q, e in zip(seqs, sessions))
     plain = pd.concat(keyed._served(1, 20, [], {}, news, text))
     assert got == sorted(zip(plain["subscriber"], plain["seq"], plain["session"].map(str), plain["origin"])) and len(got) > 1_000_000
+
+
+def test_uses_of_ranks_meet_in_one_shuffle(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def stop(df, label, narrow=False, write=graph.materialize):
+        if label == "uses":
+            raise Stop(df)
+        return write(df, label, narrow)
+
+    monkeypatch.setattr(graph, "materialize", stop)
+    refs = spark.createDataFrame([("a", "go", "foo"), ("a", "go", "foo"), ("a", "go", "baz"), ("b", "go", "foo"), ("b", "go", "none")], "path string, language string, name string")
+    symbols = spark.createDataFrame([("a", "go", "foo"), ("b", "go", "foo"), ("c", "go", "baz")], "path string, language string, name string")
+    with pytest.raises(Stop) as held:
+        graph.reference_ranks(refs, symbols, spark.createDataFrame([("a",), ("b",), ("c",)], "node string"))
+    uses = held.value.args[0]
+    assert sorted((r.path, r.name, r.w, r.files, r.own, r.total) for r in uses.collect()) == [("a", "go\0baz", 1, 1, 0, 3), ("a", "go\0foo", 2, 2, 1, 3), ("b", "go\0foo", 1, 2, 1, 1)]
+    assert uses._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
